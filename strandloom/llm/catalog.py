@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from strandloom.llm import bpe, exact_dedup
+from strandloom.llm import bpe, exact_dedup, line_dedup, packing, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -21,15 +22,48 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = line_dedup.drop_repeated_lines(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
+
+
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_round_trip(spark, spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_byte_bpe": op1_byte_bpe,
+        "op2_line_dedup": op2_line_dedup,
+        "op4_packing": op4_packing,
         "op7_exact_dedup": op7_exact_dedup,
+        "op8_warc": op8_warc,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op2_line_dedup": """
+            WITH docs AS (SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+            each AS (SELECT r, doc_id, unnest(lines) AS line, unnest(range(len(lines))) AS i FROM docs),
+            keyed AS (SELECT *, translate(trim(line, concat(' ', chr(9), chr(10), chr(11), chr(12), chr(13))),
+                                          'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM each),
+            often AS (SELECT key, max(doc_id) AS last_doc FROM keyed WHERE length(key) >= 40 GROUP BY key HAVING count(DISTINCT r) >= 5),
+            told AS (SELECT r, doc_id, line, i, last_doc IS NOT NULL AND doc_id <> last_doc AS lost FROM keyed LEFT JOIN often USING (key))
+            SELECT doc_id, count(*) AS n_lines, count(*) FILTER (lost) AS n_dropped,
+                   sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT lost), '')) AS kept_sha256
+            FROM told GROUP BY r, doc_id""",
+        "op8_warc": """
+            WITH rows AS (SELECT page_id, coalesce(html, '') AS html, sha256(coalesce(html, '')) AS digest FROM pages),
+            sized AS (SELECT *, octet_length(encode(html)) AS size, min(page_id) OVER (PARTITION BY digest) AS first_id FROM rows)
+            SELECT page_id, size AS payload_bytes, digest AS payload_digest,
+                   CASE WHEN size >= 100 AND first_id < page_id THEN 'revisit' ELSE 'response' END AS record_type,
+                   CASE WHEN size >= 100 AND first_id < page_id THEN first_id END AS refers_to
+            FROM sized""",
         "op7_exact_dedup": """
             SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
                    doc_id = max(doc_id) OVER same AS kept, sha256(coalesce(text, '')) AS text_sha256
