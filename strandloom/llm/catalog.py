@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandloom.llm import bpe, exact_dedup, line_dedup, packing, warc
+from strandloom.llm import bpe, exact_dedup, line_dedup, near_dedup, packing, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -35,6 +35,10 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_round_trip(spark, spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
+def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_groups(spark.read.parquet(f"{sf_dir}/documents.parquet"), words=3, percent=85)
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_byte_bpe": op1_byte_bpe,
@@ -42,6 +46,7 @@ def queries() -> dict[str, Query]:
         "op4_packing": op4_packing,
         "op7_exact_dedup": op7_exact_dedup,
         "op8_warc": op8_warc,
+        "op9_minhash_near_dedup": op9_minhash_near_dedup,
     }
 
 

@@ -1,0 +1,34 @@
+"""Connected components of a link table by repeated contraction, in DataFrame operations."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from strandloom.session import materialize
+
+
+def connected_components(links: DataFrame) -> DataFrame:
+    """(id, component) for every id in ``links`` (a, b): component is the smallest id reachable.
+
+    Each round every node points at its smallest neighbour, pointers are followed once more, and the links are
+    rewritten between what the ends point at; at least half of the nodes that still have links go each round. Nodes
+    with very many links are only ever aggregated or the many side of a join, so no group is gathered.
+    """
+    links = materialize(links.select("a", "b").where("a <> b").distinct(), "links")
+    labels = materialize(links.select(F.explode(F.array("a", "b")).alias("id")).distinct().withColumn("component", F.col("id")), "labels")
+    while not links.isEmpty():
+        both = links.select(F.col("a").alias("id"), F.col("b").alias("to")).unionByName(links.select(F.col("b").alias("id"), F.col("a").alias("to")))
+        parents = both.groupBy("id").agg(F.min("to").alias("to")).select("id", F.least("id", "to").alias("parent"))
+        parents = materialize(parents, "parents")
+        above = parents.select(F.col("id").alias("parent"), F.col("parent").alias("root"))
+        roots = materialize(parents.join(above, "parent", "left").select("id", F.coalesce("root", "parent").alias("root")).where("id <> root"), "roots")
+        labels = materialize(
+            labels.join(roots.select(F.col("id").alias("component"), "root"), "component", "left").select("id", F.coalesce("root", "component").alias("component")), "labels"
+        )
+        moved = links.join(roots.select(F.col("id").alias("a"), F.col("root").alias("a_root")), "a", "left").join(
+            roots.select(F.col("id").alias("b"), F.col("root").alias("b_root")), "b", "left"
+        )
+        moved = moved.select(F.coalesce("a_root", "a").alias("a"), F.coalesce("b_root", "b").alias("b")).where("a <> b")
+        links = materialize(moved.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "links")
+    return labels
