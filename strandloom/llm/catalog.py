@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandloom.llm import bpe, exact_dedup, line_dedup, near_dedup, packing, warc
+from strandloom.llm import bpe, embedding_dedup, exact_dedup, license_scan, line_dedup, near_dedup, packing, toxicity, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -39,14 +39,29 @@ def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_groups(spark.read.parquet(f"{sf_dir}/documents.parquet"), words=3, percent=85)
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan_licenses(spark.read.parquet(f"{sf_dir}/documents.parquet"), license_scan.known_licenses(spark))
+
+
+def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_byte_bpe": op1_byte_bpe,
         "op2_line_dedup": op2_line_dedup,
         "op4_packing": op4_packing,
+        "op5_toxicity": op5_toxicity,
+        "op6_license_scan": op6_license_scan,
         "op7_exact_dedup": op7_exact_dedup,
         "op8_warc": op8_warc,
         "op9_minhash_near_dedup": op9_minhash_near_dedup,
+        "op10_embedding_near_dedup": op10_embedding_near_dedup,
     }
 
 
@@ -62,6 +77,7 @@ def oracle_sql() -> dict[str, str]:
             SELECT doc_id, count(*) AS n_lines, count(*) FILTER (lost) AS n_dropped,
                    sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT lost), '')) AS kept_sha256
             FROM told GROUP BY r, doc_id""",
+        "op6_license_scan": license_scan.oracle(),
         "op8_warc": """
             WITH rows AS (SELECT page_id, coalesce(html, '') AS html, sha256(coalesce(html, '')) AS digest FROM pages),
             sized AS (SELECT *, octet_length(encode(html)) AS size, min(page_id) OVER (PARTITION BY digest) AS first_id FROM rows)
