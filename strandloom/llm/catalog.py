@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandloom.llm import bpe, embedding_dedup, exact_dedup, license_scan, line_dedup, near_dedup, packing, toxicity, warc
+import corpus_pipeline
+from strandloom.llm import bpe, embedding_dedup, exact_dedup, html_extract, license_scan, line_dedup, near_dedup, packing, toxicity, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -39,6 +40,10 @@ def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_groups(spark.read.parquet(f"{sf_dir}/documents.parquet"), words=3, percent=85)
 
 
+def op3_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.main_text(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
@@ -55,6 +60,7 @@ def queries() -> dict[str, Query]:
     return {
         "op1_byte_bpe": op1_byte_bpe,
         "op2_line_dedup": op2_line_dedup,
+        "op3_html_extract": op3_html_extract,
         "op4_packing": op4_packing,
         "op5_toxicity": op5_toxicity,
         "op6_license_scan": op6_license_scan,
@@ -62,6 +68,7 @@ def queries() -> dict[str, Query]:
         "op8_warc": op8_warc,
         "op9_minhash_near_dedup": op9_minhash_near_dedup,
         "op10_embedding_near_dedup": op10_embedding_near_dedup,
+        "pipeline": corpus_pipeline.run,
     }
 
 

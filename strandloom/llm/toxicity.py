@@ -257,3 +257,17 @@ def score_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
     words, stems, coef = train(docs, labels, id_col, text_col, label_col)
     rows = docs.select(F.col(id_col).alias("doc_id"), held_out(id_col).alias("held_out"), F.coalesce(F.col(text_col), F.lit("")).alias("body"))
     return rows.mapInArrow(lambda b: _score(b, words, stems, coef), "doc_id long, held_out boolean, score double, predicted int")
+
+
+def keep_clean(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
+    """Rows of ``docs`` that score below ``threshold``, with all their columns; texts don't leave their partition."""
+    words, stems, coef = train(docs, labels, id_col, text_col, label_col)
+    at = docs.columns.index(text_col)
+
+    def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = Scorer(words, stems)
+        for batch in batches:
+            rows = np.array([scorer.features(t or "") for t in batch.column(at).to_pylist()]).reshape(-1, len(FEATURES))
+            yield batch.filter(pa.array(1 / (1 + np.exp(-np.clip(rows @ coef, -30, 30))) < threshold))
+
+    return docs.mapInArrow(clean, docs.schema)
