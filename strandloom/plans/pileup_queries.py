@@ -50,7 +50,7 @@ QUERIES = {
     "b1_explode_mappings": (
         lambda t: align.explode_mappings(t.alignments()).select("name", "node_id", "offset", "is_reverse", "read_offset", "read_length", "bases"),
         sql("""SELECT 'read' || read_id AS name, node_id, CAST(noff AS BIGINT) AS "offset", strand = '-' AS is_reverse,
-            coalesce(sum(length(fseq)) OVER (PARTITION BY read_id ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS read_offset, length(fseq) AS read_length, fseq AS bases FROM mappings"""),
+            CAST(coalesce(sum(length(fseq)) OVER (PARTITION BY read_id ORDER BY ord, node_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS INT) AS read_offset, length(fseq) AS read_length, fseq AS bases FROM mappings"""),
     ),
     "b2_edits_to_cigar": (
         lambda t: align.with_cigar(align.explode_mappings(t.alignments())).groupBy("node_id", "cigar").agg(F.count(F.lit(1)).alias("n")),
@@ -58,7 +58,7 @@ QUERIES = {
     ),
     "b3_mapping_is_perfect": (
         lambda t: align.with_cigar(align.explode_mappings(t.alignments())).select("name", "node_id", "read_offset", "perfect"),
-        sql("""SELECT 'read' || read_id AS name, node_id, coalesce(sum(length(fseq)) OVER (PARTITION BY read_id ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS read_offset, kind = 0 AS perfect FROM mappings"""),
+        sql("""SELECT 'read' || read_id AS name, node_id, CAST(coalesce(sum(length(fseq)) OVER (PARTITION BY read_id ORDER BY ord, node_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS INT) AS read_offset, kind = 0 AS perfect FROM mappings"""),
     ),
     "b4_mapq_gate": (
         lambda t: align.mapq_gate(t.alignments(), 11).groupBy("mapping_quality").agg(F.count(F.lit(1)).alias("n")),
@@ -107,15 +107,15 @@ QUERIES = {
     "d1_node_stats": (lambda t: align.node_stats(t.alignments()), sql("SELECT * FROM node_stats")),
     "d2_scan_totals": (
         lambda t: align.scan_totals(t.alignments()),
-        sql("""SELECT (SELECT count(*) FROM reads WHERE mapping_quality > 5) AS reads, sum(perfect) AS perfect, sum(not_perfect) AS imperfect, sum(perfect) * 100.0 / (SELECT count(*) FROM reads WHERE mapping_quality > 5) AS perfect_percent,
+        sql("""SELECT (SELECT count(*) FROM reads WHERE mapping_quality > 5) AS reads, isum(perfect) AS perfect, isum(not_perfect) AS imperfect, sum(perfect) * 100.0 / (SELECT count(*) FROM reads WHERE mapping_quality > 5) AS perfect_percent,
             sum(not_perfect) * 100.0 / (SELECT count(*) FROM reads WHERE mapping_quality > 5) AS imperfect_percent FROM node_stats"""),
     ),
     "d3_candidate_counts": (lambda t: pileup.candidate_counts(_variants(t)), sql("SELECT * FROM kept", **_INDELS)),
     "d4_allele_summary": (lambda t: pileup.allele_summary(_states(t)), sql("SELECT * FROM summary", **_INDELS)),
     "d5_align_stats_graph": (
         lambda t: align.align_stats_graph(t.alignments()),
-        sql("""SELECT count(*) AS total, count(*) AS aligned, count(*) FILTER (worst = 0) AS perfect, count(*) FILTER (NOT gaps) AS gapless, sum(mm) AS match_bp, sum(xx) AS substitution_bp, sum(ii) AS insertion_bp, sum(dd) AS deletion_bp,
-            sum(ii) AS softclip_bp FROM (SELECT read_id, max(kind) AS worst, bool_or(kind >= 2) AS gaps, sum(CASE kind WHEN 1 THEN m - 1 WHEN 2 THEN m + 6 WHEN 3 THEN m + 6 ELSE m END) AS mm,
+        sql("""SELECT count(*) AS total, count(*) AS aligned, count(*) FILTER (worst = 0) AS perfect, count(*) FILTER (NOT gaps) AS gapless, isum(mm) AS match_bp, isum(xx) AS substitution_bp, isum(ii) AS insertion_bp, isum(dd) AS deletion_bp,
+            isum(ii) AS softclip_bp FROM (SELECT read_id, max(kind) AS worst, bool_or(kind >= 2) AS gaps, sum(CASE kind WHEN 1 THEN m - 1 WHEN 2 THEN m + 6 WHEN 3 THEN m + 6 ELSE m END) AS mm,
             count(*) FILTER (kind = 1) AS xx, 2 * count(*) FILTER (kind = 2) AS ii, count(*) FILTER (kind = 3) AS dd FROM mappings GROUP BY 1)"""),
     ),
     "d7_mapq_summary": (
@@ -182,7 +182,7 @@ QUERIES = {
     ),
     "h34_masked_segment": (
         lambda t: align.masked_segment(align.explode_mappings(t.alignments())).select("name", "node_id", "read_offset", "masked"),
-        sql("""SELECT 'read' || read_id AS name, node_id, coalesce(sum(length(fseq)) OVER (PARTITION BY read_id ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS read_offset,
+        sql("""SELECT 'read' || read_id AS name, node_id, CAST(coalesce(sum(length(fseq)) OVER (PARTITION BY read_id ORDER BY ord, node_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS INT) AS read_offset,
             CASE kind WHEN 1 THEN substr(fseq, 1, m - 1) || lower(substr(fseq, m, 1)) WHEN 2 THEN substr(fseq, 1, m) || 'gt' || substr(fseq, m + 3) ELSE fseq END AS masked FROM mappings"""),
     ),
     "h36_supporting_pileup": (
