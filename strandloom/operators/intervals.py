@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from strandloom.session import materialize
+
 BIN = 1_000
 
 
@@ -26,7 +28,7 @@ def overlap_join(left: DataFrame, right: DataFrame, lo: tuple[str, Column, Colum
         return rows.withColumn(f"__{tag}f", first).withColumn(f"__{tag}b", F.explode(F.sequence(first, F.greatest(number(F.col(f"__{tag}e") - 1), first))))
 
     if how in ("left", "left_semi", "left_anti"):
-        left = left.withColumn("__row", F.monotonically_increasing_id())
+        left = materialize(left.withColumn("__row", F.monotonically_increasing_id()), "overlap-left")  # the same row numbers on both uses
     l, r = binned(left, lo, "l"), binned(right, ro, "r")
     if ro[0] in left.columns:
         r = r.drop(ro[0])
@@ -50,6 +52,7 @@ def truth_label(candidates: DataFrame, truth: DataFrame) -> DataFrame:
     ALT, others if REF and an ALT are equal.
     """
     calls = candidates.withColumn("__call", F.monotonically_increasing_id()).withColumn("genomic_position", F.col("start") + F.col("v_pos"))
+    calls = materialize(calls, "truth-calls")  # the same call numbers on both uses
     near = calls.where("chrom IS NOT NULL AND start IS NOT NULL").select("__call", "chrom", "genomic_position", "v_type", "v_ref", "v_alt")
     records = truth.select(F.col("chrom").alias("t_chrom"), F.col("pos").alias("t_pos"), F.col("ref").alias("t_ref"), F.col("alts").alias("t_alts"))
     pos, t0 = F.col("genomic_position"), F.col("t_pos") - 1
