@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strandloom.plans import graph_queries, pileup_queries, variant_queries
+from strandloom.plans import dataset_queries, graph_queries, pileup_queries, variant_queries
 from strandloom.plans.fixtures import Tables
 
-MODULES = (pileup_queries, graph_queries, variant_queries)
+MODULES = (pileup_queries, graph_queries, variant_queries, dataset_queries)
 
 
 def _on_tables(query: Callable[[Tables], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:

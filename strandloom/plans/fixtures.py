@@ -13,6 +13,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from strandloom.functions.cigar import reverse_complement
+from strandloom.session import materialize
+
+
+_CANDIDATES: dict[tuple[str, str], DataFrame] = {}
 
 
 class Tables:
@@ -88,7 +92,10 @@ class Tables:
         """SNV candidates of the pileup with counts."""
         from strandloom.operators import pileup
 
-        return pileup.candidate_summary(self.segments(), self.nodes(), kind="snp")
+        key = (self.spark.sparkContext.applicationId, self.sf_dir)
+        if key not in _CANDIDATES:  # many queries start from it
+            _CANDIDATES[key] = materialize(pileup.candidate_summary(self.segments(), self.nodes(), kind="snp"), "candidates")
+        return _CANDIDATES[key]
 
     def truth(self) -> DataFrame:
         """chrom, pos, ref, alts: two thirds of the candidates on the path; odd nodes' with a base in front."""
