@@ -66,11 +66,16 @@ def write_vcf(rows: DataFrame, path: str, meta: tuple[str, ...] = ("##fileformat
     spark = rows.sparkSession
     ordered = (sort_vcf_linear if sort == "linear" else sort_vcf_node)(rows)
     ordered.select(body_line().alias("value")).write.text(f"{path}/body")
-    names = rows.select("chrom").distinct()
     node = F.col("chrom").try_cast("long")
-    contigs = names.orderBy(*(contig_rank(F.col("chrom")) if sort == "linear" else [node.isNull(), node, "chrom"])).select(F.concat(F.lit("##contig=<ID="), "chrom", F.lit(">")).alias("value"))
-    lines = spark.createDataFrame([(x,) for x in meta], "value string").coalesce(1).unionByName(contigs.coalesce(1)).unionByName(spark.createDataFrame([(COLUMNS,)], "value string"))
-    lines.coalesce(1).write.text(f"{path}/header")
+    keys = contig_rank(F.col("chrom")) if sort == "linear" else [F.coalesce(node, F.lit(1 << 62)), F.when(node.isNull(), F.col("chrom")).otherwise("")]
+    contigs = rows.select("chrom").distinct().select(F.lit(1).alias("part"), keys[0].cast("long").alias("n"), keys[1].alias("name"), F.concat(F.lit("##contig=<ID="), "chrom", F.lit(">")).alias("value"))
+    fixed = spark.createDataFrame([(0, k, "", x) for k, x in enumerate(meta)] + [(2, 0, "", COLUMNS)], "part int, n long, name string, value string")
+    _write_header(contigs.unionByName(fixed), f"{path}/header")
+
+
+def _write_header(lines: DataFrame, path: str) -> None:
+    """Header lines (part, n, name, value) in one file, in order."""
+    lines.repartition(1).sortWithinPartitions("part", "n", "name").select("value").write.text(path)
 
 
 def read_written(spark: SparkSession, path: str) -> DataFrame:
@@ -79,9 +84,12 @@ def read_written(spark: SparkSession, path: str) -> DataFrame:
 
 def merge_vcf(spark: SparkSession, paths: list[str], out: str) -> DataFrame:
     """Union of files' records under their distinct header lines, written once; returns the records."""
-    heads = spark.read.text([f"{p}/header" for p in paths]).where("startswith(value, '##')").groupBy("value").agg(F.count(F.lit(1)).alias("n"))
-    first = F.when(F.col("value").startswith("##fileformat"), 0).when(F.col("value").startswith("##contig"), 2).otherwise(1)
-    heads.orderBy(first, "value").select("value").unionByName(spark.createDataFrame([(COLUMNS,)], "value string")).coalesce(1).write.text(f"{out}/header")
+    heads = spark.read.text([f"{p}/header" for p in paths]).where("startswith(value, '##')").distinct()
+    part = F.when(F.col("value").startswith("##fileformat"), 0).when(F.col("value").startswith("##contig"), 2).otherwise(1)
+    contig = contig_rank(F.regexp_extract("value", "ID=([^,>]+)", 1))
+    n, name = (F.when(part == 2, c).otherwise(other) for c, other in zip(contig, (F.lit(0), F.col("value")), strict=True))
+    last = spark.createDataFrame([(3, 0, "", COLUMNS)], "part int, n int, name string, value string")
+    _write_header(heads.select(part.alias("part"), n.alias("n"), name.alias("name"), "value").unionByName(last), f"{out}/header")
     sort_vcf_linear(read_vcf(spark, [f"{p}/body" for p in paths])).select(body_line().alias("value")).write.text(f"{out}/body")
     return read_written(spark, out)
 
