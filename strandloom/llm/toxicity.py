@@ -29,7 +29,7 @@ FLUSH_TERMS = 500_000
 STEM_CHARS = tuple(range(8, 2, -1))
 FUZZY_CHARS = 5
 WINDOW = 4
-KNOWN_WORDS = 300_000
+KNOWN_WORDS = 500_000
 
 WORD = re.compile(r"[^\W_]+")
 QUOTES = "\"'“”„«»‹›‘’`"
@@ -81,13 +81,16 @@ class Scorer:
 
     def __init__(self, words: dict[str, float], stems: dict[str, float]) -> None:
         self.words, self.stems = words, stems
-        self.trie = Trie({w: v for w, v in words.items() if len(w) >= FUZZY_CHARS})
-        longest = max((len(w) for w in words), default=0)
-        self.lengths = range(FUZZY_CHARS - 1, longest + 2)
-        # one edit leaves the beginning or the end of a term as it is
-        long = [w for w in words if len(w) >= FUZZY_CHARS]
-        self.heads, self.tails = {w[:2] for w in long}, {w[-2:] for w in long}
-        self.known: dict[str, tuple[float, int] | None] = {}
+        fuzzy = {w: v for w, v in words.items() if len(w) >= FUZZY_CHARS and not any(w[:n] in stems for n in STEM_CHARS)}
+        self.trie = Trie(fuzzy)
+        # one edit, a swap included, leaves the first or the last (length - 1) // 2 letters of a term as they are
+        self.ends: dict[int, list[tuple[int, set[str], set[str]]]] = {}
+        for length in {len(w) for w in fuzzy}:
+            same, half = [w for w in fuzzy if len(w) == length], (length - 1) // 2
+            for near in (length - 1, length, length + 1):
+                self.ends.setdefault(near, []).append((half, {w[:half] for w in same}, {w[-half:] for w in same}))
+        self.clean: set[str] = set()
+        self.found: set[str] = set()
 
     def match(self, word: str) -> tuple[float, int] | None:
         """(weight, kind) of a word: kind 0 exact, 1 misspelled, 2 stem."""
@@ -96,39 +99,42 @@ class Scorer:
         for n in STEM_CHARS:
             if len(word) > n and word[:n] in self.stems:
                 return self.stems[word[:n]], 2
-        if len(word) in self.lengths and (word[:2] in self.heads or word[-2:] in self.tails):
-            found = self.trie.within(word, 1)
-            if found:
-                return found[1], 1
+        for half, heads, tails in self.ends.get(len(word), ()):
+            if word[:half] in heads or word[-half:] in tails:
+                found = self.trie.within(word, 1)
+                return found and (found[1], 1)
         return None
 
     def features(self, text: str) -> list[float]:
+        if not self._any(set(text.split())):
+            return [1.0] + [0.0] * (len(FEATURES) - 1)
         lowered = text.lower()
-        spans = [(m.group(), m.start(), m.end()) for m in WORD.finditer(lowered)] if self._any(lowered) else []
-        hits = [(k, self.known[w] if w in self.known else self.match(w)) for k, (w, _, _) in enumerate(spans)] if spans else []
-        counts, weight = [0, 0, 0, 0], 0.0
-        for k, hit in hits:
-            if hit is None:
+        spans = [(m.group(), m.start(), m.end()) for m in WORD.finditer(lowered)]
+        counts, weight, known = [0, 0, 0, 0], 0.0, {}
+        for k, (word, _, _) in enumerate(spans):
+            if word not in known:
+                known[word] = self.match(word)
+            if known[word] is None:
                 continue
-            value, kind = hit
+            value, kind = known[word]
             if self._quoted(lowered, spans, k):
                 counts[3] += 1
                 value *= 0.3
             else:
                 counts[kind] += 1
             weight += value
-        n = max(1, len(spans))
-        return [1.0, *(math.log1p(c) for c in counts), math.log1p(weight), min(1.0, 20 * sum(counts) / n)]
-
-    def _any(self, lowered: str) -> bool:
-        found = False
-        for word in set(WORD.findall(lowered)):
-            if word not in self.known:
-                if len(self.known) >= KNOWN_WORDS:
-                    self.known.clear()
-                self.known[word] = self.match(word)
-            found = found or self.known[word] is not None
-        return found
+        return [1.0, *(math.log1p(c) for c in counts), math.log1p(weight), min(1.0, 20 * sum(counts) / max(1, len(spans)))]
+
+    def _any(self, tokens: set[str]) -> bool:
+        """Whether a run free of white space holds a hit; runs are looked at once and remembered."""
+        hit = not tokens.isdisjoint(self.found)
+        for token in (tokens - self.clean) - self.found:
+            if any(self.match(word) for word in WORD.findall(token.lower())):
+                self.found.add(token)
+                hit = True
+            elif len(self.clean) < KNOWN_WORDS:
+                self.clean.add(token)
+        return hit
 
     @staticmethod
     def _quoted(text: str, spans: list, k: int) -> bool:
@@ -231,10 +237,11 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     marks = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("doc_id")).agg(F.max(label_col).cast("int").alias("toxic"))
     marks = marks.where(~held_out("doc_id"))
     texts = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("body")).where(~held_out("doc_id"))
-    training = materialize(texts.join(marks, "doc_id"), "toxicity-training")
+    # both sides are shuffled at every size: labels grow with the corpus
+    training = materialize(texts.join(marks.hint("merge"), "doc_id"), "toxicity-training")
     words, stems = learn_lexicon(training)
     thin = max(1, training.count() // FIT_ROWS)
-    sample = training.where(F.pmod(F.xxhash64("doc_id"), F.lit(thin)) == 0).limit(FIT_ROWS)
+    sample = training.where(F.pmod(F.xxhash64("doc_id"), F.lit(thin)) == 0)
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         scorer = Scorer(words, stems)
@@ -242,7 +249,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             made = pd.DataFrame([scorer.features(t) for t in batch["body"]], columns=list(FEATURES))
             yield made.assign(toxic=batch["toxic"].to_numpy())
 
-    table = sample.select("body", "toxic").mapInPandas(rows, ", ".join(f"{f} double" for f in FEATURES) + ", toxic int").toPandas()  # at most FIT_ROWS
+    table = sample.select("body", "toxic").mapInPandas(rows, ", ".join(f"{f} double" for f in FEATURES) + ", toxic int").limit(FIT_ROWS).toPandas()
     coef = fit(table[list(FEATURES)].to_numpy(float), table["toxic"].to_numpy(float)) if len(table) else np.zeros(len(FEATURES))
     return words, stems, coef
 
