@@ -12,6 +12,8 @@ import string
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strandloom.session import materialize
+
 # Spellings that license-matching guidelines treat as equal.
 SPELLINGS = (
     ("licence", "license"), ("sub-license", "sublicense"), ("non-commercial", "noncommercial"), ("organisation", "organization"),
@@ -74,11 +76,12 @@ def scan_licenses(docs: DataFrame, known: DataFrame, id_col: str = "doc_id", tex
     rows; other columns are not read.
     """
     known = known.where(F.col("digest") != F.sha2(F.lit(""), 256))
-    rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("body"))
-    # lines are digested where they are; only their digests travel
-    lines = rows.select("rid", F.explode(F.split("body", "\n", -1)).alias("line")).where(F.btrim("line") != "").select("rid", digest(F.col("line")).alias("digest"))
-    found = lines.join(known, "digest").groupBy("rid").agg(F.array_sort(F.collect_set("license")).alias("line_licenses"), F.count(F.lit(1)).alias("n_license_lines"))
-    whole = rows.select("rid", "doc_id", digest(F.col("body")).alias("text_digest"))
+    body = F.coalesce(F.col(text_col), F.lit(""))
+    # texts are read once; only digests travel
+    line_digests = F.transform(F.filter(F.split(body, "\n", -1), lambda x: F.btrim(x) != ""), digest)
+    rows = materialize(docs.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).alias("doc_id"), digest(body).alias("text_digest"), line_digests.alias("line_digests")), "license-digests")
+    found = rows.select("rid", F.explode("line_digests").alias("digest")).join(known, "digest").groupBy("rid").agg(F.array_sort(F.collect_set("license")).alias("line_licenses"), F.count(F.lit(1)).alias("n_license_lines"))
+    whole = rows.select("rid", "doc_id", "text_digest")
     whole = whole.join(known.withColumnRenamed("digest", "text_digest"), "text_digest", "left")
     return whole.join(found, "rid", "left").select(
         "doc_id", "text_digest", "license", F.coalesce(F.array_join("line_licenses", ","), F.lit("")).alias("line_licenses"), F.coalesce("n_license_lines", F.lit(0)).cast("long").alias("n_license_lines")
