@@ -16,6 +16,10 @@ _TRUTH_LABEL = """SELECT node_id, v_pos, v_alt, CASE WHEN start IS NULL THEN -1
 _SBS = """SELECT *, CASE WHEN filters <> ['PASS'] THEN 'not_pass' WHEN prob <= 0.3 THEN 'low_prob' WHEN af < 0.1 THEN 'low_af' WHEN left_base IS NULL OR right_base IS NULL THEN 'no_context' END AS reason FROM (
     SELECT chrom, start + v_pos AS pos, 's' || node_id % 3 AS sample, v_ref AS ref, v_alt AS alt, CASE WHEN node_id % 4 = 0 THEN ['RefCall'] ELSE ['PASS'] END AS filters, ((node_id * 37 + v_pos * 11) % 101) / 100.0 AS prob,
     alt_allele_frequency AS af, nullif(substr(sequence, v_pos, CASE WHEN v_pos = 0 THEN 0 ELSE 1 END), '') AS left_base, nullif(substr(sequence, v_pos + 2, 1), '') AS right_base FROM located JOIN nodes USING (node_id))"""
+_LIFTED = """SELECT q.contig, q.q_pos, b.r_chrom, b.ref_pos, b.map_kind FROM (SELECT *, 'ctg' || node_id % 20 AS contig, node_id * 40 + node_id % 12 AS q_pos, node_id % 12 AS d FROM nodes WHERE node_id % 10 < 5) AS q LEFT JOIN (
+            SELECT q.node_id, arg_min(chrom, ord) AS r_chrom, arg_min(start + noff + CASE WHEN d < m THEN d WHEN kind = 2 AND d < m + 2 THEN m - 1 WHEN kind = 2 THEN d - 2 ELSE d + 1 END, ord) AS ref_pos,
+            arg_min(CASE WHEN kind = 2 AND d >= m AND d < m + 2 THEN 'anchor' ELSE 'exact' END, ord) AS map_kind FROM (SELECT node_id, node_id % 12 AS d FROM nodes) AS q JOIN mappings AS a USING (node_id) JOIN coords USING (node_id)
+            WHERE node_id % 10 < 3 AND d < length(fseq) GROUP BY 1) AS b USING (node_id)"""
 _PON = """SELECT *, list_filter([1, 2, 3, 4], lambda k: list_contains(hits, k)) AS hit FROM (SELECT c.*, (SELECT list(DISTINCT p.panel) FROM panels AS p WHERE p.chrom = c.chrom AND p.pos = c.pos
     AND (p.panel > 2 OR (p.ref = c.ref AND list_contains(c.alts, p.alt)))) AS hits FROM calls AS c)"""
 
@@ -159,10 +163,7 @@ QUERIES = {
     "c16_recover_dropped": (lambda t: variants.recover_dropped(t.calls(), t.calls().where("pos % 3 = 0")).select("id", "pos", F.get("alts", 0).alias("alt")), sql("SELECT id, pos, alts[1] AS alt FROM calls WHERE pos % 3 <> 0")),
     "c18_lift_query_pos": (
         _lifted,
-        sql("""SELECT q.contig, q.q_pos, b.r_chrom, b.ref_pos, b.map_kind FROM (SELECT *, 'ctg' || node_id % 20 AS contig, node_id * 40 + node_id % 12 AS q_pos, node_id % 12 AS d FROM nodes WHERE node_id % 10 < 5) AS q LEFT JOIN (
-            SELECT q.node_id, arg_min(chrom, ord) AS r_chrom, arg_min(start + noff + CASE WHEN d < m THEN d WHEN kind = 2 AND d < m + 2 THEN m - 1 WHEN kind = 2 THEN d - 2 ELSE d + 1 END, ord) AS ref_pos,
-            arg_min(CASE WHEN kind = 2 AND d >= m AND d < m + 2 THEN 'anchor' ELSE 'exact' END, ord) AS map_kind FROM (SELECT node_id, node_id % 12 AS d FROM nodes) AS q JOIN mappings AS a USING (node_id) JOIN coords USING (node_id)
-            WHERE node_id % 10 < 3 AND d < length(fseq) GROUP BY 1) AS b USING (node_id)"""),
+        sql("SELECT * FROM lifted", lifted=_LIFTED),
     ),
     "c21_locus_counts": (
         lambda t: intervals.locus_counts(_loci(t), _linear_reads(t)),
@@ -211,8 +212,9 @@ QUERIES = {
             UNION ALL SELECT 'PoN' || k, count(*) FROM (SELECT unnest(hit) AS k FROM pon) GROUP BY ALL""", pon=_PON),
     ),
     "d21_lift_summary": (
-        lambda t: variants.lift_summary(_lifted(t).selectExpr("IF(q_pos % 2 = 0, 'hap1', 'hap2') AS hap", "coalesce(map_kind, 'none') AS map_kind", "string(q_pos % 3) AS type_change", "r_chrom = 'chr1' AS same_chrom", "coalesce(map_kind = 'exact', false) AS exact")).where("same_chrom IS NOT NULL OR hap IS NOT NULL OR map_kind IS NOT NULL OR type_change IS NOT NULL").groupBy("hap", "map_kind", "type_change").agg(F.sum("n").alias("n")),
-        None,
+        lambda t: variants.lift_summary(_lifted(t).selectExpr("IF(q_pos % 2 = 0, 'hap1', 'hap2') AS hap", "coalesce(map_kind, 'none') AS map_kind", "string(q_pos % 3) AS type_change", "coalesce(r_chrom = 'chr1', false) AS same_chrom", "coalesce(map_kind = 'exact', false) AS exact")),
+        sql("""SELECT hap, map_kind, type_change, same_chrom, count(*) AS n, count(*) FILTER (exact) AS exact FROM (SELECT CASE WHEN q_pos % 2 = 0 THEN 'hap1' ELSE 'hap2' END AS hap, coalesce(map_kind, 'none') AS map_kind, CAST(q_pos % 3 AS VARCHAR) AS type_change,
+            coalesce(r_chrom = 'chr1', false) AS same_chrom, coalesce(map_kind = 'exact', false) AS exact FROM lifted) GROUP BY GROUPING SETS ((hap), (map_kind), (type_change), (same_chrom), ())""", lifted=_LIFTED),
     ),
     "d23_chrom_rollup": (
         lambda t: variants.chrom_rollup(t.calls().groupBy("chrom", F.when(F.length("ref") == 1, "SNV").otherwise("INDEL").alias("kind")).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("pos") % 2 == 0).alias("shared"))),
