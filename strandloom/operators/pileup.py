@@ -48,6 +48,21 @@ def detect_variants(segments: DataFrame, kind: str = "all", max_indel: int = 50)
     return rows.where({"snp": "v_type = 'X'", "indel": "v_type IN ('I', 'D')", "all": "true"}[kind])
 
 
+_OVERRUN = """CASE WHEN w.op IN ('M', 'X', '=') THEN w.read_pos + w.n > length(seq) OR w.node_pos + w.n > length(node_seq) WHEN w.op = 'I' THEN w.read_pos + w.n > length(seq)
+    WHEN w.op = 'D' THEN w.node_pos + w.n > length(node_seq) ELSE false END"""
+_INSERTION_V1 = "filter(array(named_struct('v_pos', w.node_pos - 1, 'v_type', 'I', 'v_ref', '-', 'v_alt', substring(seq, w.read_pos + 1, w.n))), v -> w.read_pos + w.n <= length(seq))"
+_DELETION_V1 = "filter(array(named_struct('v_pos', w.node_pos, 'v_type', 'D', 'v_ref', substring(node_seq, w.node_pos + 1, w.n), 'v_alt', '-')), v -> w.node_pos + w.n <= length(node_seq))"
+
+
+def detect_variants_v1(segments: DataFrame) -> DataFrame:
+    """The earlier rules: a read ends at the first op that runs over its or the node's end, ``-`` stands for a missing
+    allele, an insertion's anchor is the last position before it, and indels have no longest length."""
+    first_over = f"array_position(transform(walk, w -> {_OVERRUN}), true)"
+    used = segments.withColumn("walk", F.expr(f"IF({first_over} = 0, walk, slice(walk, 1, int({first_over})))"))
+    found = f"""flatten(transform(walk, w -> CASE WHEN w.op IN ('M', 'X') THEN {_MISMATCHES} WHEN w.op = 'I' THEN {_INSERTION_V1} WHEN w.op = 'D' THEN {_DELETION_V1} ELSE array() END))"""
+    return used.select("node_id", "seg_order", F.explode(F.expr(found)).alias("v")).select("node_id", "seg_order", "v.*")
+
+
 def candidate_counts(variants: DataFrame) -> DataFrame:
     return variants.groupBy(*VARIANT).agg(F.count(F.lit(1)).alias("supporting"))
 

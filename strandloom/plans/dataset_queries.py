@@ -183,6 +183,11 @@ QUERIES = {
         sql(f"SELECT node_id, repeat('0', 40) || rpad(left(string_agg({_DIGIT}, '' ORDER BY i), 60), 60, '0') AS row FROM af_bases GROUP BY 1", **_MORE),
     ),
     "h14_tensor_rows": (lambda t: _tensors(t).select(*_KEYS, "n_rows", F.crc32("data").alias("crc")), None),
+    "h15_mismatch_flags": (
+        lambda t: tensor.mismatch_counts(_tensors(t)).select(*_KEYS, "n_5", (F.col("n_0") + F.col("n_1") + F.col("n_5")).alias("cells")),
+        sql("""SELECT v.node_id, v_pos, v_ref, v_alt, CAST(count(*) FILTER (p = v_pos AND base <> v_ref) AS INT) AS n_5, CAST(count(*) AS INT) AS cells FROM candidates AS v JOIN site_states AS s ON s.node_id = v.node_id
+            WHERE p BETWEEN v_pos - 50 AND v_pos + 49 GROUP BY ALL"""),
+    ),
     "h16_build_tensor": (
         lambda t: _tensors(t).select(*_KEYS, F.octet_length("data").alias("bytes"), "n_rows"),
         sql("SELECT v.node_id, v_pos, v_ref, v_alt, 100500 AS bytes, CAST(count(*) AS INT) AS n_rows FROM candidates AS v JOIN mappings AS s ON s.node_id = v.node_id AND mapq >= 10 WHERE noff < v_pos + 50 AND noff + span > v_pos - 50 GROUP BY ALL"),

@@ -154,6 +154,10 @@ QUERIES = {
         sql("""SELECT node_id, ord AS seg_order, noff AS "offset", fcigar AS cigar, 10 + (read_id * 3) % 31 AS first_bq FROM mappings WHERE mapq >= 10 AND strand = '-'"""),
     ),
     "h5_detect_variants": (lambda t: _variants(t).select("node_id", "seg_order", "v_pos", "v_type", "v_ref", "v_alt"), sql("SELECT node_id, ord AS seg_order, v_pos, v_type, v_ref, v_alt FROM found", **_INDELS)),
+    "h5b_detect_variants_v1": (
+        lambda t: pileup.detect_variants_v1(_ranked(t)),
+        sql("SELECT node_id, ord AS seg_order, v_pos, v_type, CASE v_type WHEN 'I' THEN '-' ELSE v_ref END AS v_ref, CASE v_type WHEN 'D' THEN '-' ELSE v_alt END AS v_alt FROM found", **_INDELS),
+    ),
     "h6_allele_at": (
         lambda t: _states(t).where("v_type = 'D'").select(*pileup.VARIANT, "seg_order", "state", "bq"),
         sql("SELECT node_id, v_pos, v_type, v_ref, v_alt, ord AS seg_order, state, bq FROM at_sites WHERE v_type = 'D'", **_INDELS),

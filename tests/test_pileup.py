@@ -113,6 +113,13 @@ def test_random_cigars_match_the_model(spark):
     assert rows_of(found.select("seg_order", "v_pos", "v_type", "v_ref", "v_alt")) == sorted(wanted)
 
 
+def test_earlier_rules(spark):
+    nodes = spark.createDataFrame([(1, 6, "ACGTAC")], NODE)
+    segs = segments(spark, [(1, 0, "GGACT", None, "2I3M", 60, "+"), (1, 1, "CGTA", None, "1M4D1M2M", 60, "+"), (1, 3, "TAGGG", None, "5M1I", 60, "+"), (1, 3, "TG", None, "1M5D1M", 60, "+")])
+    found = pileup.detect_variants_v1(pileup.valid_segments(segs, nodes))
+    assert rows_of(found.select("seg_order", "v_pos", "v_type", "v_ref", "v_alt")) == [(0, -1, "I", "-", "GG"), (0, 2, "X", "G", "T"), (1, 2, "D", "GTAC", "-"), (2, 5, "X", "C", "G")]
+
+
 def test_counts_add_up_and_reverse_complement_is_its_own_inverse(spark):
     nodes = spark.createDataFrame([(1, 20, "ACGTACGTACGTACGTACGT")], NODE)
     segs = segments(spark, [(1, k % 3, "ACCTACGT", None, ("8M", "4M1D4M", "3M1I4M")[k % 3], 60, "+-"[k % 2]) for k in range(12)])
