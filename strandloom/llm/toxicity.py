@@ -32,11 +32,11 @@ WINDOW = 4
 KNOWN_WORDS = 500_000
 
 WORD = re.compile(r"[^\W_]+")
-QUOTES = "\"'“”„«»‹›‘’`"
+QUOTES = "\"“”„«»‹›"
 # Words that report speech rather than address someone.
 REPORTING = frozenset("said says saying quote quoted quotes called calling wrote writes word term phrase dit sagte schrieb dijo".split())
 
-FEATURES = ("bias", "open_hits", "fuzzy_hits", "stem_hits", "quoted_hits", "weight", "density")
+FEATURES = ("bias", "term_hits", "stem_hits", "quoted_hits", "weight", "density")
 
 
 class Trie:
@@ -77,10 +77,10 @@ class Trie:
 
 
 class Scorer:
-    """Features of whole texts under a lexicon of words and stems."""
+    """Features of whole texts under a lexicon of words and stems; ``benign`` forms are no misspellings."""
 
-    def __init__(self, words: dict[str, float], stems: dict[str, float]) -> None:
-        self.words, self.stems = words, stems
+    def __init__(self, words: dict[str, float], stems: dict[str, float], benign: frozenset[str] = frozenset()) -> None:
+        self.words, self.stems, self.benign = words, stems, benign
         fuzzy = {w: v for w, v in words.items() if len(w) >= FUZZY_CHARS and not any(w[:n] in stems for n in STEM_CHARS)}
         self.trie = Trie(fuzzy)
         # one edit, a swap included, leaves the first or the last (length - 1) // 2 letters of a term as they are
@@ -100,17 +100,17 @@ class Scorer:
             if len(word) > n and word[:n] in self.stems:
                 return self.stems[word[:n]], 2
         for half, heads, tails in self.ends.get(len(word), ()):
-            if word[:half] in heads or word[-half:] in tails:
+            if (word[:half] in heads or word[-half:] in tails) and word not in self.benign:
                 found = self.trie.within(word, 1)
                 return found and (found[1], 1)
         return None
 
     def features(self, text: str) -> list[float]:
-        if not self._any(set(text.split())):
+        if not self.hits(set(text.split())):
             return [1.0] + [0.0] * (len(FEATURES) - 1)
         lowered = text.lower()
         spans = [(m.group(), m.start(), m.end()) for m in WORD.finditer(lowered)]
-        counts, weight, known = [0, 0, 0, 0], 0.0, {}
+        counts, weight, known = [0, 0, 0], 0.0, {}  # terms, stems, quoted ones
         for k, (word, _, _) in enumerate(spans):
             if word not in known:
                 known[word] = self.match(word)
@@ -118,14 +118,14 @@ class Scorer:
                 continue
             value, kind = known[word]
             if self._quoted(lowered, spans, k):
-                counts[3] += 1
+                counts[2] += 1
                 value *= 0.3
             else:
-                counts[kind] += 1
+                counts[kind == 2] += 1
             weight += value
         return [1.0, *(math.log1p(c) for c in counts), math.log1p(weight), min(1.0, 20 * sum(counts) / max(1, len(spans)))]
 
-    def _any(self, tokens: set[str]) -> bool:
+    def hits(self, tokens: set[str]) -> bool:
         """Whether a run free of white space holds a hit; runs are looked at once and remembered."""
         hit = not tokens.isdisjoint(self.found)
         for token in (tokens - self.clean) - self.found:
@@ -208,6 +208,29 @@ def learn_lexicon(training: DataFrame) -> tuple[dict[str, float], dict[str, floa
     return words, stems
 
 
+def learn_benign(training: DataFrame, words: dict[str, float], stems: dict[str, float]) -> frozenset[str]:
+    """Forms one edit from a term that aren't misspellings of it, as clean texts have them too.
+
+    Counted over all of ``training``; there are at most as many as the terms have neighbours.
+    """
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer, counts = Scorer(words, stems), Counter()
+        for batch in batches:
+            for text, toxic in zip(batch.column("body").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
+                tokens = set(text.split())
+                if scorer.hits(tokens):
+                    counts.update((w, toxic) for w in {w for t in tokens & scorer.found for w in WORD.findall(t.lower())} if (scorer.match(w) or (0, 0))[1] == 1)
+        keys = list(counts)
+        yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.int32()), pa.array(list(counts.values()), pa.int64())], ["form", "toxic", "n"])
+
+    forms = training.select("body", "toxic").mapInArrow(count, "form string, toxic int, n long").groupBy("form").pivot("toxic", [0, 1]).agg(F.sum("n"))
+    totals = training.groupBy().pivot("toxic", [0, 1]).agg(F.count(F.lit(1))).first()
+    clean, toxic = (totals[c] or 0 for c in ("0", "1"))
+    ratio = (F.coalesce("1", F.lit(0)) + 0.5) / (toxic + 1) / ((F.col("0") + 0.5) / (clean + 1))
+    return frozenset(r["form"] for r in forms.where((F.col("0") > 0) & (ratio < MIN_RATIO)).select("form").toLocalIterator())
+
+
 def fit(features: np.ndarray, labels: np.ndarray, l2: float = 1e-2, steps: int = 60) -> np.ndarray:
     """Logistic regression by Newton's method."""
     coef = np.zeros(features.shape[1])
@@ -221,16 +244,15 @@ def fit(features: np.ndarray, labels: np.ndarray, l2: float = 1e-2, steps: int =
     return coef
 
 
-def _score(batches: Iterator[pa.RecordBatch], words: dict, stems: dict, coef: np.ndarray) -> Iterator[pa.RecordBatch]:
-    scorer = Scorer(words, stems)
+def _score(batches: Iterator[pa.RecordBatch], scorer: Scorer, coef: np.ndarray) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = np.array([scorer.features(t) for t in batch.column("body").to_pylist()]).reshape(-1, len(FEATURES))
         score = 1 / (1 + np.exp(-np.clip(rows @ coef, -30, 30)))
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(score), pa.array((score >= 0.5).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> tuple[dict, dict, np.ndarray]:
-    """(words, stems, coefficients) from the labelled rows outside the test fold.
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> tuple[dict, dict, frozenset, np.ndarray]:
+    """(words, stems, benign forms, coefficients) from the labelled rows outside the test fold.
 
     Rows with null labels or ids are not used; of several labels of one id the largest counts.
     """
@@ -240,18 +262,19 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     # both sides are shuffled at every size: labels grow with the corpus
     training = materialize(texts.join(marks.hint("merge"), "doc_id"), "toxicity-training")
     words, stems = learn_lexicon(training)
+    benign = learn_benign(training, words, stems) if words else frozenset()
     thin = max(1, training.count() // FIT_ROWS)
     sample = training.where(F.pmod(F.xxhash64("doc_id"), F.lit(thin)) == 0)
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        scorer = Scorer(words, stems)
+        scorer = Scorer(words, stems, benign)
         for batch in batches:
             made = pd.DataFrame([scorer.features(t) for t in batch["body"]], columns=list(FEATURES))
             yield made.assign(toxic=batch["toxic"].to_numpy())
 
     table = sample.select("body", "toxic").mapInPandas(rows, ", ".join(f"{f} double" for f in FEATURES) + ", toxic int").limit(FIT_ROWS).toPandas()
     coef = fit(table[list(FEATURES)].to_numpy(float), table["toxic"].to_numpy(float)) if len(table) else np.zeros(len(FEATURES))
-    return words, stems, coef
+    return words, stems, benign, coef
 
 
 def score_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
@@ -261,18 +284,18 @@ def score_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
     rows score alike; without labels of both kinds every score is 0.5 at most, from no lexicon; an empty table gives
     no rows; other columns are not read.
     """
-    words, stems, coef = train(docs, labels, id_col, text_col, label_col)
+    words, stems, benign, coef = train(docs, labels, id_col, text_col, label_col)
     rows = docs.select(F.col(id_col).alias("doc_id"), held_out(id_col).alias("held_out"), F.coalesce(F.col(text_col), F.lit("")).alias("body"))
-    return rows.mapInArrow(lambda b: _score(b, words, stems, coef), "doc_id long, held_out boolean, score double, predicted int")
+    return rows.mapInArrow(lambda b: _score(b, Scorer(words, stems, benign), coef), "doc_id long, held_out boolean, score double, predicted int")
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
     """Rows of ``docs`` that score below ``threshold``, with all their columns; texts don't leave their partition."""
-    words, stems, coef = train(docs, labels, id_col, text_col, label_col)
+    words, stems, benign, coef = train(docs, labels, id_col, text_col, label_col)
     at = docs.columns.index(text_col)
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(words, stems)
+        scorer = Scorer(words, stems, benign)
         for batch in batches:
             rows = np.array([scorer.features(t or "") for t in batch.column(at).to_pylist()]).reshape(-1, len(FEATURES))
             yield batch.filter(pa.array(1 / (1 + np.exp(-np.clip(rows @ coef, -30, 30))) < threshold))

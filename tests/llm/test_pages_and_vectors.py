@@ -130,7 +130,8 @@ def test_toxicity_learns_and_holds_out(spark):
 def test_quotation_counts_less():
     scorer = toxicity.Scorer({"blockhead": 3.0}, {})
     abuse, quoted = scorer.features("you are a blockhead indeed"), scorer.features('he said "blockhead" once')
-    assert abuse[1] > 0 and quoted[1] == 0 and quoted[4] > 0 and quoted[5] < abuse[5]
+    assert abuse[1] > 0 and quoted[1] == 0 and quoted[3] > 0 and quoted[4] < abuse[4]
+    assert toxicity.Scorer({"blockhead": 3.0}, {}, frozenset(["blockheads"])).match("blockheads") is None
 
 
 def test_license_forms(spark):
