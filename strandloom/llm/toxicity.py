@@ -10,6 +10,7 @@ the hits turns them into a score; it is fitted on at most ``FIT_ROWS`` training
 
 from __future__ import annotations
 
+import functools
 import math
 import re
 from collections import Counter
@@ -127,6 +128,8 @@ class Scorer:
 
     def hits(self, tokens: set[str]) -> bool:
         """Whether a run free of white space holds a hit; runs are looked at once and remembered."""
+        if len(self.found) > KNOWN_WORDS:
+            self.found.clear()
         hit = not tokens.isdisjoint(self.found)
         for token in (tokens - self.clean) - self.found:
             if any(self.match(word) for word in WORD.findall(token.lower())):
@@ -147,6 +150,17 @@ class Scorer:
         return before and after or bool(around & REPORTING)
 
 
+@functools.lru_cache(maxsize=2)
+def _scorer(words: tuple, stems: tuple, benign: frozenset[str]) -> Scorer:
+    """One scorer to a Python worker: what it remembers of words serves the worker's later tasks too."""
+    return Scorer(dict(words), dict(stems), benign)
+
+
+def _in_order(terms: dict[str, float]) -> tuple[tuple[str, float], ...]:
+    """Terms in an order of their own, so that ties between near terms fall alike in every run."""
+    return tuple(sorted(terms.items()))
+
+
 def held_out(id_col: str) -> Column:
     """Rows of the test fold: those whose crc32 of the id as text is a multiple of 5."""
     return F.coalesce(F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % 5 == 0, F.lit(False))
@@ -194,8 +208,8 @@ def learn_lexicon(training: DataFrame) -> tuple[dict[str, float], dict[str, floa
         return parts.groupBy("stem", "term").agg(F.sum("n").alias("n"))
 
     least = max(MIN_DOCS, math.ceil(MIN_SHARE * toxic))
-    hits = {(r["stem"], r["term"]): r["n"] for r in counted(training.where("toxic = 1"), None).where(F.col("n") >= least).toLocalIterator()}
-    clean = {(r["stem"], r["term"]): r["n"] for r in counted(training.where("toxic = 0"), frozenset(hits)).toLocalIterator()}
+    hits = {(r["stem"], r["term"]): r["n"] for r in counted(training.where("toxic = 1"), None).where(F.col("n") >= least).collect()}
+    clean = {(r["stem"], r["term"]): r["n"] for r in counted(training.where("toxic = 0"), frozenset(hits)).collect()}
     score = {k: math.log((h + 0.5) / (toxic + 1)) - math.log((clean.get(k, 0) + 0.5) / (n - toxic + 1)) for k, h in hits.items()}
     words = {t: v for (stem, t), v in score.items() if not stem and v >= math.log(MIN_RATIO)}
     # a beginning that is there because of one word says no more than the word
@@ -213,9 +227,10 @@ def learn_benign(training: DataFrame, words: dict[str, float], stems: dict[str,
 
     Counted over all of ``training``; there are at most as many as the terms have neighbours.
     """
+    known_words, known_stems = _in_order(words), _in_order(stems)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer, counts = Scorer(words, stems), Counter()
+        scorer, counts = _scorer(known_words, known_stems, frozenset()), Counter()
         for batch in batches:
             for text, toxic in zip(batch.column("body").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
                 tokens = set(text.split())
@@ -228,7 +243,7 @@ def learn_benign(training: DataFrame, words: dict[str, float], stems: dict[str,
     totals = training.groupBy().pivot("toxic", [0, 1]).agg(F.count(F.lit(1))).first()
     clean, toxic = (totals[c] or 0 for c in ("0", "1"))
     ratio = (F.coalesce("1", F.lit(0)) + 0.5) / (toxic + 1) / ((F.col("0") + 0.5) / (clean + 1))
-    return frozenset(r["form"] for r in forms.where((F.col("0") > 0) & (ratio < MIN_RATIO)).select("form").toLocalIterator())
+    return frozenset(r["form"] for r in forms.where((F.col("0") > 0) & (ratio < MIN_RATIO)).select("form").collect())
 
 
 def fit(features: np.ndarray, labels: np.ndarray, l2: float = 1e-2, steps: int = 60) -> np.ndarray:
@@ -244,7 +259,8 @@ def fit(features: np.ndarray, labels: np.ndarray, l2: float = 1e-2, steps: int =
     return coef
 
 
-def _score(batches: Iterator[pa.RecordBatch], scorer: Scorer, coef: np.ndarray) -> Iterator[pa.RecordBatch]:
+def _score(batches: Iterator[pa.RecordBatch], lexicon: tuple, coef: np.ndarray) -> Iterator[pa.RecordBatch]:
+    scorer = _scorer(*lexicon)
     for batch in batches:
         rows = np.array([scorer.features(t) for t in batch.column("body").to_pylist()]).reshape(-1, len(FEATURES))
         score = 1 / (1 + np.exp(-np.clip(rows @ coef, -30, 30)))
@@ -263,11 +279,12 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     training = materialize(texts.join(marks.hint("merge"), "doc_id"), "toxicity-training")
     words, stems = learn_lexicon(training)
     benign = learn_benign(training, words, stems) if words else frozenset()
+    lexicon = _in_order(words), _in_order(stems), benign
     thin = max(1, training.count() // FIT_ROWS)
     sample = training.where(F.pmod(F.xxhash64("doc_id"), F.lit(thin)) == 0)
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        scorer = Scorer(words, stems, benign)
+        scorer = _scorer(*lexicon)
         for batch in batches:
             made = pd.DataFrame([scorer.features(t) for t in batch["body"]], columns=list(FEATURES))
             yield made.assign(toxic=batch["toxic"].to_numpy())
@@ -285,17 +302,18 @@ def score_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
     no rows; other columns are not read.
     """
     words, stems, benign, coef = train(docs, labels, id_col, text_col, label_col)
+    lexicon = _in_order(words), _in_order(stems), benign
     rows = docs.select(F.col(id_col).alias("doc_id"), held_out(id_col).alias("held_out"), F.coalesce(F.col(text_col), F.lit("")).alias("body"))
-    return rows.mapInArrow(lambda b: _score(b, Scorer(words, stems, benign), coef), "doc_id long, held_out boolean, score double, predicted int")
+    return rows.mapInArrow(lambda b: _score(b, lexicon, coef), "doc_id long, held_out boolean, score double, predicted int")
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
     """Rows of ``docs`` that score below ``threshold``, with all their columns; texts don't leave their partition."""
     words, stems, benign, coef = train(docs, labels, id_col, text_col, label_col)
-    at = docs.columns.index(text_col)
+    lexicon, at = (_in_order(words), _in_order(stems), benign), docs.columns.index(text_col)
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(words, stems, benign)
+        scorer = _scorer(*lexicon)
         for batch in batches:
             rows = np.array([scorer.features(t or "") for t in batch.column(at).to_pylist()]).reshape(-1, len(FEATURES))
             yield batch.filter(pa.array(1 / (1 + np.exp(-np.clip(rows @ coef, -30, 30))) < threshold))
