@@ -128,14 +128,15 @@ class Scorer:
 
     def hits(self, tokens: set[str]) -> bool:
         """Whether a run free of white space holds a hit; runs are looked at once and remembered."""
-        if len(self.found) > KNOWN_WORDS:
-            self.found.clear()
+        for known in (self.clean, self.found):
+            if len(known) > KNOWN_WORDS:
+                known.clear()
         hit = not tokens.isdisjoint(self.found)
         for token in (tokens - self.clean) - self.found:
             if any(self.match(word) for word in WORD.findall(token.lower())):
                 self.found.add(token)
                 hit = True
-            elif len(self.clean) < KNOWN_WORDS:
+            else:
                 self.clean.add(token)
         return hit
 
