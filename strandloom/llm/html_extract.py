@@ -1,28 +1,30 @@
-"""Main text of web pages: block parsing, and a host suffix array for boilerplate that markup doesn't tell.
+"""Main text of web pages: block parsing, and runs of words that a host repeats for boilerplate that markup doesn't tell.
 
 Every page is cut into blocks of text. Markup settles most of them: what is inside menus, headers, footers, sidebars,
 notices, adverts, forms, scripts, styles and comments goes, what else is inside the page's article stays. Blocks
-that markup leaves open, those of pages without an article, are put to the host: the token streams of the host's pages
-are concatenated, their suffixes sorted by their first ``REPEAT`` tokens, and runs of at least that length that
-distinct pages share are boilerplate. Runs that are unique stay. Hosts with many pages are dealt into shards of about
-``SHARD_PAGES`` by the page's hash, each with an array of its own.
+that markup leaves open, those of pages without an article, are put to the host: runs of at least ``REPEAT`` tokens
+that distinct pages of the host share are boilerplate. Runs that are unique stay.
+
+The whole host is looked at, whatever its size: each window of ``REPEAT`` tokens travels as a 128-bit digest of host and
+tokens with its row, windows are reduced to their smallest and largest row, and those of which the two differ go back to
+the rows that have them. ``repeated_runs`` is the same rule by a suffix array, for pages that fit in memory.
 """
 
 from __future__ import annotations
 
+import hashlib
 import html
 import re
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandloom.session import materialize
 
-REPEAT, SHARD_PAGES = 8, 1_000
+REPEAT, FLUSH_WINDOWS = 8, 50_000
 
 # Elements by their role in HTML.
 DROPPED = frozenset("script style noscript template head title nav header footer aside form button select textarea input option label fieldset menu dialog iframe object embed svg canvas audio video map math".split())
@@ -190,22 +192,42 @@ def _settled(blocks: list[tuple[str, str]]) -> list[tuple[str, str]]:
     return [b for b in blocks if b[0] == "article" or b[0] == "open" and not has_article]
 
 
-def _unique_runs(rows: pd.DataFrame) -> pd.DataFrame:
-    """Open blocks of one host's shard without the runs that its pages repeat."""
-    words = [[block["body"].split(" ") for block in blocks] for blocks in rows["blocks"]]
-    flat = [w for blocks in words for block in blocks for w in block]
-    page = np.repeat(np.arange(len(rows)), [sum(map(len, blocks)) for blocks in words])
-    names: dict[str, int] = {}
-    covered = repeated_runs(np.array([names.setdefault(w, len(names)) for w in flat], np.int64), page)
-    texts, at = [], 0
-    for blocks in words:
-        kept = []
-        for block in blocks:
-            left = [w for w, c in zip(block, covered[at : at + len(block)], strict=True) if not c]
-            at += len(block)
-            kept += [" ".join(left)] if left else []
-        texts.append(" ".join(kept))
-    return rows[["page_id", "url"]].assign(text=texts)
+def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(rid, at, digest) of every window of ``REPEAT`` tokens of a page's blocks, one after the other."""
+    rids, ats, digests = [], [], []
+
+    def flush() -> pa.RecordBatch:
+        out = pa.RecordBatch.from_arrays([pa.array(rids, pa.int64()), pa.array(ats, pa.int32()), pa.array(digests, pa.binary())], ["rid", "at", "digest"])
+        for column in (rids, ats, digests):
+            column.clear()
+        return out
+
+    for batch in batches:
+        for rid, host, blocks in zip(*(batch.column(c) for c in ("rid", "host", "blocks")), strict=True):
+            of_host = hashlib.blake2b(host.as_py().encode() + b"\n", digest_size=16)
+            words = [w.encode() for block in blocks.as_py() for w in block["body"].split(" ")]
+            for at in range(len(words) - REPEAT + 1):
+                window = of_host.copy()
+                window.update(b" ".join(words[at : at + REPEAT]))
+                rids.append(rid.as_py())
+                ats.append(at)
+                digests.append(window.digest())
+                if len(rids) >= FLUSH_WINDOWS:
+                    yield flush()
+    yield flush()
+
+
+def _unique_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Open blocks without the windows that begin at one of ``starts``."""
+    for batch in batches:
+        texts = []
+        for blocks, starts in zip(batch.column("blocks").to_pylist(), batch.column("starts").to_pylist(), strict=True):
+            words = [block["body"].split(" ") for block in blocks]
+            covered = np.zeros(sum(map(len, words)), bool)
+            for at in starts or ():
+                covered[at : at + REPEAT] = True
+            texts.append(" ".join(w for w, c in zip((w for block in words for w in block), covered, strict=True) if not c))
+        yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string())], ["page_id", "url", "text"])
 
 
 def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -222,7 +244,10 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     is_open = F.exists("blocks", lambda b: b["place"] == "open")
     settled = blocks.where(~is_open).select("page_id", "url", F.array_join(F.transform("blocks", lambda b: b["body"]), " ").alias("text"))
     unsettled = blocks.where(is_open)
-    counts = unsettled.groupBy("host").agg(F.ceil(F.count(F.lit(1)) / SHARD_PAGES).cast("int").alias("shards"))
-    dealt = unsettled.join(counts, "host").withColumn("shard", F.pmod(F.xxhash64("rid"), F.col("shards")))
-    unique = dealt.groupBy("host", "shard").applyInPandas(_unique_runs, "page_id long, url string, text string")
+    windows = unsettled.select("rid", "host", "blocks").mapInArrow(_windows, "rid long, at int, digest binary")
+    ends = windows.groupBy("digest").agg(F.min("rid").alias("first"), F.max("rid").alias("last"))
+    shared = ends.where("first <> last").select("digest")
+    # a window that many pages have makes one skewed key of the larger side, which adaptive execution deals out
+    starts = windows.join(shared.hint("merge"), "digest", "left_semi").groupBy("rid").agg(F.collect_list("at").alias("starts"))
+    unique = unsettled.join(starts, "rid", "left").select("page_id", "url", "blocks", "starts").mapInArrow(_unique_runs, "page_id long, url string, text string")
     return settled.unionByName(unique).withColumn("n_chars", F.char_length("text").cast("long"))

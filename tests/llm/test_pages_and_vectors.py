@@ -46,6 +46,33 @@ def test_repeated_runs_equal_brute_force():
         assert (html_extract.repeated_runs(np.array(tokens), np.array(page), n) == wanted).all()
 
 
+def test_a_large_host_is_searched_whole_and_alike_in_any_partitioning(spark):
+    n, shared = 2_500, lambda k: " ".join(f"s{k}y{j}" for j in range(9))
+    own = [" ".join(f"u{i}x{k}" for k in range(4)) for i in range(n)]
+    # each of 20 runs is on two far pages of one host, and once on another host
+    bodies = [f"<div>{own[i]}</div>" + (f"<p>{shared(i % 1_250)}</p>" if i % 1_250 < 20 else "") for i in range(n)]
+    rows = [(i, f"https://big.example/{i}", b, None, None) for i, b in enumerate(bodies)]
+    rows += [(n + k, f"https://small.example/{k}", f"<p>{shared(k)}</p>", None, None) for k in range(20)]
+    pages = spark.createDataFrame(rows, PAGE)
+    wanted = [(i, own[i]) for i in range(n)] + [(n + k, shared(k)) for k in range(20)]
+    for parts in (3, 7):
+        assert sorted((r.page_id, r.text) for r in html_extract.main_text(pages.repartition(parts)).collect()) == wanted
+
+
+def test_repeats_of_whole_hosts_equal_the_suffix_array(spark):
+    rng = random.Random(5)
+    bodies = [[" ".join(rng.choice("ab") for _ in range(rng.randint(1, 14))) for _ in range(rng.randint(1, 4))] for _ in range(40)]
+    rows = [(7, f"https://h{i % 2}.example/", "".join(f"<p>{b}</p>" for b in blocks), None, None) for i, blocks in enumerate(bodies)]
+    wanted = []
+    for host in range(2):
+        flat = [(w, i) for i, blocks in enumerate(bodies) if i % 2 == host for b in blocks for w in b.split(" ")]
+        covered = html_extract.repeated_runs(np.array([ord(w) for w, _ in flat]), np.array([i for _, i in flat]))
+        for i in range(host, len(bodies), 2):
+            wanted.append((f"https://h{host}.example/", " ".join(w for (w, page), c in zip(flat, covered, strict=True) if page == i and not c)))
+    got = [(r.url, r.text) for r in html_extract.main_text(spark.createDataFrame(rows, PAGE)).collect()]
+    assert sorted(got) == sorted(wanted) and any(covered) and not all(covered)
+
+
 def test_warc_round_trip(spark, tmp_path):
     rng = random.Random(1)
     body = lambda n: "".join(chr(rng.choice([65, 233, 0x6F22])) for _ in range(n))
