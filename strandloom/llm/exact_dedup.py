@@ -1,75 +1,100 @@
 """Exact dedup by an extendible-hash index on shared files, in DataFrame operations only.
 
-A text's key is its 64-bit hash; the directory maps the key's leading bits to buckets. Building starts from one
-bucket and doubles the directory wherever a bucket holds more than ``capacity`` distinct texts, up to
-``MAX_DEPTH`` bits, so the directory has at most ``2 ** MAX_DEPTH`` entries at any input size. Buckets are key
-ranges; range partitioning gives each to an owner task, which writes it sorted. Texts whose keys collide are
-chained as separate entries: grouping is by key *and* text, that is by comparing bytes.
-
-Copies are folded before the shuffle (partial aggregation), so a group of any size reaches its owner as at most
-one row per map task. No group is collected and nothing but directory counts reaches the driver.
+A text's key is its 64-bit hash; the directory maps the key's leading bits, its slot, to buckets. It starts as one
+bucket; a bucket of more distinct keys than ``capacity`` is split by its next bit, and the directory doubles when a
+bucket's bits outgrow it. Rows meet the directory first and are routed by bucket from there on: an owner takes the rows
+of a key range, chains texts of equal keys as entries of their own by comparing their bytes, and writes its range sorted.
+Lookups are routed alike and answered by bucket, key and digest.
+
+The directory goes to all tasks. The capacity grows with the table so that there are at most about ``BUCKETS`` full
+buckets, and slots have at most ``MAX_DEPTH`` bits; should hashes ever be so uneven that a bucket is overfull at that
+depth, its key range is still dealt over several owners. Copies are folded before the shuffle (partial aggregation),
+so a group of any size reaches its owner as at most one row per map task. No group is collected.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandloom.session import materialize
 
-MAX_DEPTH = 12
-CAPACITY = 1_000_000
+MAX_DEPTH = 20
+CAPACITY = 4_096
+BUCKETS = 1 << 15
 
 
-def _text(column: str):
+def _text(column: str) -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 
 
-def directory_of(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int]]:
-    """Split overfull buckets: (slot, bucket, local depth) for every slot of the full directory.
+def _digest(body: str) -> Column:
+    return F.sha2(F.col(body).cast("binary"), 256)
 
-    ``counts`` has the distinct texts of each ``MAX_DEPTH``-bit slot. A bucket is named by its first slot.
+
+def _slot(depth: int) -> Column:
+    return F.shiftrightunsigned("key", 64 - depth).cast("int") if depth else F.lit(0)
+
+
+def directory_of(counts: dict[int, int], depth: int, capacity: int) -> list[tuple[int, int, int]]:
+    """Split overfull buckets: (slot, bucket, local depth) for every slot of the directory.
+
+    ``counts`` has the distinct keys of each slot of ``depth`` bits. Buckets are numbered in the order of their keys. The
+    directory is as deep as its deepest bucket: 2 to the largest local depth is its number of slots.
     """
-    slots = 1 << MAX_DEPTH
+    slots = 1 << depth
     running = [0]
     for slot in range(slots):
         running.append(running[-1] + counts.get(slot, 0))
     buckets, todo = [], [(0, 0)]
     while todo:
-        first, depth = todo.pop()
-        width = slots >> depth
-        if running[first + width] - running[first] > capacity and depth < MAX_DEPTH:
-            todo += [(first, depth + 1), (first + width // 2, depth + 1)]
+        first, bits = todo.pop()
+        width = slots >> bits
+        if running[first + width] - running[first] > capacity and bits < depth:
+            todo += [(first + width // 2, bits + 1), (first, bits + 1)]
         else:
-            buckets += [(slot, first, depth) for slot in range(first, first + width)]
-    return buckets
+            buckets.append((first, bits))
+    deepest = max(bits for _, bits in buckets)
+    return [(slot, number, bits) for number, (first, bits) in enumerate(buckets) for slot in range(first >> depth - deepest, (first >> depth - deepest) + (1 << deepest - bits))]
+
+
+def build_directory(rows: DataFrame, capacity: int = CAPACITY) -> tuple[DataFrame, int]:
+    """(slot, bucket, depth) for all slots, and the bits of a slot, from the distinct keys of ``rows`` (key)."""
+    keys = materialize(rows.select("key").distinct(), "exact-keys")
+    n = keys.count()
+    capacity = max(capacity, n // BUCKETS)
+    # so deep that a slot holds a small part of a bucket: at most 2 ** MAX_DEPTH counts reach the driver
+    depth = min(MAX_DEPTH, (n // capacity).bit_length() + 3)
+    counts = {r["slot"]: r["n"] for r in keys.groupBy(_slot(depth).alias("slot")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    slots = directory_of(counts, depth, capacity)
+    return rows.sparkSession.createDataFrame(slots, "slot int, bucket int, depth int"), (len(slots) - 1).bit_length()
 
 
-def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY) -> DataFrame:
-    """The index: one entry per distinct text (bucket, depth, key, digest, keep_id, group_size), on shared files.
+def _routed(rows: DataFrame, directory: DataFrame, bits: int) -> DataFrame:
+    """``rows`` (key, ...) with the bucket that the directory gives their slot."""
+    return rows.withColumn("slot", _slot(bits)).join(F.broadcast(directory.select("slot", "bucket")), "slot").drop("slot")
+
+
+def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY) -> tuple[DataFrame, DataFrame, int]:
+    """The index, one entry per distinct text (bucket, key, digest, keep_id, group_size), its directory and a slot's bits.
 
     Null text counts as empty. ``keep_id`` is the largest id of the copies (null only if all are null).
     """
-    spark = docs.sparkSession
-    entries = (
-        docs.select(F.col(id_col).alias("id"), _text(text_col).alias("body"))
-        .withColumn("key", F.xxhash64("body"))
-        .groupBy("key", "body")
-        .agg(F.max("id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-        .select("key", F.sha2(F.col("body").cast("binary"), 256).alias("digest"), "keep_id", "group_size")
-        .withColumn("slot", F.shiftrightunsigned("key", 64 - MAX_DEPTH).cast("int"))
-    )
-    entries = materialize(entries, "exact-entries")
-    # at most 2 ** MAX_DEPTH rows whatever the input
-    counts = {r["slot"]: r["n"] for r in entries.groupBy("slot").agg(F.count(F.lit(1)).alias("n")).collect()}
-    directory = spark.createDataFrame(directory_of(counts, capacity), "slot int, bucket int, depth int")
-    owned = (
-        entries.join(F.broadcast(directory), "slot")
-        .select("bucket", "depth", "key", "digest", "keep_id", "group_size")
-        .repartitionByRange("bucket", "key")
-        .sortWithinPartitions("bucket", "key", "digest")
-    )
-    return materialize(owned, "exact-index")
+    rows = docs.select(F.col(id_col).alias("id"), _text(text_col).alias("body")).withColumn("key", F.xxhash64("body"))
+    directory, bits = build_directory(rows, capacity)
+    chains = _routed(rows, directory, bits).groupBy("bucket", "key", "body").agg(F.max("id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
+    entries = materialize(chains.select("bucket", "key", _digest("body").alias("digest"), "keep_id", "group_size"), "exact-entries")
+    owned = entries.repartitionByRange("bucket", "key").sortWithinPartitions("bucket", "key", "digest")
+    return materialize(owned, "exact-index"), directory, bits
+
+
+def _lookups(docs: DataFrame, id_col: str, text_col: str, capacity: int) -> DataFrame:
+    """(doc_id, key, digest, keep_id, group_size) of every row, answered by the index."""
+    index, directory, bits = build_index(docs, id_col, text_col, capacity)
+    rows = docs.select(F.col(id_col).alias("doc_id"), _text(text_col).alias("body"))
+    rows = rows.select("doc_id", F.xxhash64("body").alias("key"), _digest("body").alias("digest"))
+    # the index is unique in (bucket, key, digest): a key with very many rows is a skewed stream side, which Spark splits
+    return _routed(rows, directory, bits).join(index, ["bucket", "key", "digest"], "left")
 
 
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY) -> DataFrame:
@@ -79,36 +104,21 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     count in group_size and are each returned (kept alike); a null id is kept only if its whole group has null ids.
     Other columns, whatever their names, are not read.
     """
-    index = build_index(docs, id_col, text_col, capacity).select("key", "digest", "keep_id", "group_size")
-    rows = docs.select(F.col(id_col).alias("doc_id"), _text(text_col).alias("body")).select(
-        "doc_id", F.xxhash64("body").alias("key"), F.sha2(F.col("body").cast("binary"), 256).alias("digest")
-    )
-    # the index is unique in (key, digest): a key with very many rows is a skewed stream side, which Spark splits
-    return rows.join(index, ["key", "digest"], "left").select(
-        "doc_id",
-        "keep_id",
-        "group_size",
-        F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"),
-        F.col("digest").alias("text_sha256"),
-    )
-
-
-def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    kept = F.col("doc_id").eqNullSafe(F.col("keep_id"))
+    return _lookups(docs, id_col, text_col, capacity).select("doc_id", "keep_id", "group_size", kept.alias("kept"), F.col("digest").alias("text_sha256"))
+
+
+def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY) -> DataFrame:
     """Rows of ``docs`` that stay: of equal texts the one with the largest id; all columns unchanged.
 
-    Rows that repeat an id and its text are all kept or all dropped together; rows with a null id are dropped if
-    their text has any non-null id.
+    Of rows that repeat an id and its text one stays, whichever; of equal texts whose ids are all null likewise.
     """
-    keep = build_index(docs, id_col, text_col).select("key", "digest", "keep_id")
-    ids = F.col(id_col)
-    marks = (
-        docs.select(ids.alias("id"), _text(text_col).alias("body"))
-        .select("id", F.xxhash64("body").alias("key"), F.sha2(F.col("body").cast("binary"), 256).alias("digest"))
-        .join(keep, ["key", "digest"])
-        .where(~F.col("id").eqNullSafe(F.col("keep_id")))
-        .select(F.col("id").alias("__dropped_id"), F.col("digest").alias("__dropped_digest"))
-        .distinct()
-    )
-    digest = F.sha2(_text(text_col).cast("binary"), 256)
-    on = ids.eqNullSafe(F.col("__dropped_id")) & (digest == F.col("__dropped_digest"))
-    return docs.join(marks, on, "left_anti")
+    found = materialize(_lookups(docs, id_col, text_col, capacity).where("group_size > 1").select("doc_id", "digest", "keep_id"), "exact-found")
+    stays = F.col("doc_id").eqNullSafe(F.col("keep_id"))
+    gone = found.where(~stays).select(F.col("doc_id").alias("__id"), F.col("digest").alias("__digest")).distinct()
+    repeated = found.where(stays).groupBy(F.col("doc_id").alias("__id"), F.col("digest").alias("__digest")).agg(F.count(F.lit(1)).alias("__n")).where("__n > 1").drop("__n")
+    on = F.col(id_col).eqNullSafe(F.col("__id")) & (F.sha2(_text(text_col).cast("binary"), 256) == F.col("__digest"))
+    if repeated.isEmpty():
+        return docs.join(gone, on, "left_anti")
+    once = docs.join(repeated, on, "left_semi").withColumn("__text", _text(text_col)).dropDuplicates([id_col, "__text"]).drop("__text")
+    return docs.join(gone.unionByName(repeated), on, "left_anti").unionByName(once)
