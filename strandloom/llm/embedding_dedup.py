@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandloom.llm.components import connected_components
+from strandloom.operators.graph import connected
 from strandloom.session import materialize
 
 PARTS, CODEWORDS, CAP, LEAST_FILTERS = 3, 96, 3.75, 32
@@ -155,9 +155,9 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.93, id_col: str = "vec_id
     compared = dealt.join(reps.select("rep", "label", "size", "unit", "filters"), ["rep", "label"]).groupBy("task").applyInPandas(lambda r: _compare(r, cosine), "rep long, links long, root long")
     compared = materialize(compared, "vector-links")
 
-    found = connected_components(compared.select(F.col("rep").alias("a"), F.col("root").alias("b")))
+    found = connected(compared.select(F.col("rep").alias("a"), F.col("root").alias("b")))
     links = compared.groupBy("rep").agg(F.sum("links").alias("links"))
-    told = classes.join(links, "rep", "left").join(found.withColumnRenamed("id", "rep"), "rep", "left")
+    told = classes.join(links, "rep", "left").join(found.withColumnRenamed("node_id", "rep"), "rep", "left")
     told = told.select("label", "key", (F.col("size") - 1 + F.coalesce("links", F.lit(0))).alias("links"), F.coalesce("component", "rep").alias("component"), F.lit(True).alias("valid"))
     result = rows.select("vec_id", "label", "key").join(told, ["label", "key"], "left")
     component = F.when(F.col("valid"), F.col("component")).otherwise(F.col("vec_id"))

@@ -2,15 +2,16 @@
 
 1. Every whole text becomes its set of distinct word shingles. Equal sets are one class from here on; only the
    class's smallest id goes on, so any number of copies costs one row.
-2. Min-hashes give band keys, and their low ``BITS`` bits a packed signature. Bands are chosen so that a pair at the
-   threshold shares none with a probability of at most ``MISS``.
+2. Min-hashes give band keys, and their low ``BITS`` bits are packed into a signature of 64-bit words. Bands are chosen so
+   that a pair at the threshold shares none with a probability of at most ``MISS``.
 3. Round one links each member of a band's bucket with the bucket's smallest id: as many candidates as members.
-   Candidates whose signatures' collision-corrected estimate is more than ``SIGMAS`` deviations below the threshold
-   go; the rest are confirmed on the full sets.
+   Equal lanes are counted on the words' bits; candidates whose count is more than ``SIGMAS`` deviations below what a
+   pair at the threshold has, chance agreement included, go; the rest are confirmed on the full sets.
 4. Round two looks only at buckets whose members are still in several components. There, members outside the
-   bucket's largest component are compared with all members in other components, in blocks of ``BLOCK`` rows dealt over
-   tasks: first by signature, then, for rows with a surviving pair, on the full sets. A block emits a link only
-   if it joins two components. No pair within a component is made, and none that can join two is left out.
+   bucket's largest component are compared with all members in other components. Both kinds are cut into blocks of
+   ``BLOCK`` rows, and tasks get pairs of blocks, one of them at least from outside the largest component: first by
+   signature, then, for rows with a surviving pair, on the full sets. A pair of blocks emits a link only if it joins two
+   components. No pair within a component is made, and none that can join two is left out.
 5. Components of the confirmed links are found by contraction.
 """
 
@@ -25,29 +26,50 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandloom.llm.components import connected_components
-from strandloom.llm.shingles import min_hashes, mix, shingle_sets
+from strandloom.llm.shingles import min_hashes, mix, shingle_sets, slices
+from strandloom.operators.graph import connected
 from strandloom.session import materialize
 
-BITS, HASHES, MISS, SIGMAS, BLOCK = 8, 128, 1e-6, 5.0, 1024
+BITS, HASHES, MISS, SIGMAS, BLOCK = 4, 128, 1e-6, 5.0, 512
 
 
 def bands_for(percent: int) -> tuple[int, int]:
     """(bands, rows): the longest bands that miss a pair at the threshold with a probability of at most ``MISS``."""
     t = percent / 100
-    rows = max(r for r in range(1, 17) if r == 1 or (1 - t**r) ** (HASHES // r) <= MISS)
-    return HASHES // rows, rows
+    fit = [r for r in range(1, 17) if (1 - t**r) ** (HASHES // r) <= MISS]
+    if not fit:
+        raise ValueError(f"{HASHES} hashes miss pairs at {percent} % with a probability above {MISS}")
+    return HASHES // max(fit), max(fit)
 
 
 def least_matches(percent: int) -> int:
     """Signature lanes that must agree for a pair to be confirmed on its sets.
 
-    Lanes of unequal minima agree by chance once in ``2 ** BITS``; the estimate is corrected for that.
+    Lanes of unequal minima agree by chance once in ``2 ** BITS``, so a pair at the threshold t agrees in a lane with
+    probability t + (1 - t) / 2 ** BITS.
     """
     bands, rows = bands_for(percent)
-    n, t, chance = bands * rows, percent / 100, 2.0**-BITS
-    lowest = t - SIGMAS * (t * (1 - t) / n) ** 0.5
-    return int(np.floor(n * (lowest * (1 - chance) + chance)))
+    n, t = bands * rows, percent / 100
+    agree = t + (1 - t) * 2.0**-BITS
+    return int(np.floor(n * agree - SIGMAS * (n * agree * (1 - agree)) ** 0.5))
+
+
+def packed(minima: np.ndarray) -> np.ndarray:
+    """[rows, words] of 64 bits: the low ``BITS`` bits of each minimum, side by side; lanes left over are zero."""
+    per_word = 64 // BITS
+    low = np.zeros((len(minima), -(-minima.shape[1] // per_word) * per_word), np.uint64)
+    low[:, : minima.shape[1]] = minima & np.uint32((1 << BITS) - 1)
+    shifts = np.arange(per_word, dtype=np.uint64) * np.uint64(BITS)
+    return np.bitwise_or.reduce(low.reshape(len(minima), -1, per_word) << shifts, axis=2)
+
+
+def unequal_lanes(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """In how many lanes packed signatures differ, by counting bits."""
+    differ = a ^ b
+    for k in (1 << j for j in range(BITS.bit_length() - 1)):
+        differ |= differ >> np.uint64(k)
+    lowest = np.uint64(((1 << 64) - 1) // ((1 << BITS) - 1))
+    return np.bitwise_count(differ & lowest).sum(axis=-1, dtype=np.int64)
 
 
 def band_keys(minima: np.ndarray, bands: int, rows: int) -> np.ndarray:
@@ -65,13 +87,11 @@ FEATURES = "doc_id long, n_shingles long, set_id binary, signature binary, bands
 
 def _features(batches: Iterator[pa.RecordBatch], words: int, bands: int, rows: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for lo in range(0, batch.num_rows, 1000):
-            part = batch.slice(lo, 1000)
+        for part in slices(batch, "body"):
             sets = shingle_sets(part.column("body").to_pylist(), words)
             full = [i for i, s in enumerate(sets) if len(s)]
             minima = min_hashes([sets[i] for i in full], bands * rows)
-            low = (minima & np.uint32((1 << BITS) - 1)).astype(np.uint8)
-            keys = band_keys(minima, bands, rows)
+            low, keys = packed(minima), band_keys(minima, bands, rows)
             signature, band_list, set_id = ([None] * len(sets) for _ in range(3))
             for k, i in enumerate(full):
                 signature[i], band_list[i] = low[k].tobytes(), keys[k]
@@ -84,19 +104,20 @@ def _features(batches: Iterator[pa.RecordBatch], words: int, bands: int, rows: i
 
 def _sets(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        sets = shingle_sets(batch.column("body").to_pylist(), words)
-        yield pa.RecordBatch.from_arrays([batch.column("rep"), pa.array([s.tobytes() for s in sets], pa.binary())], ["rep", "shingles"])
+        for part in slices(batch, "body"):
+            sets = [s.tobytes() for s in shingle_sets(part.column("body").to_pylist(), words)]
+            keys = [hashlib.blake2b(s, digest_size=16).digest() for s in sets]
+            yield pa.RecordBatch.from_arrays([part.column("rep"), pa.array(keys, pa.binary()), pa.array(sets, pa.binary())], ["rep", "set_id", "shingles"])
 
 
-def _lanes(column: pd.Series | pa.Array) -> np.ndarray:
+def _words(column: pd.Series | pa.Array) -> np.ndarray:
     values = column.to_pylist() if isinstance(column, pa.Array) else list(column)
-    return np.frombuffer(b"".join(values), np.uint8).reshape(len(values), -1) if values else np.zeros((0, 1), np.uint8)
+    return np.frombuffer(b"".join(values), np.uint64).reshape(len(values), -1) if values else np.zeros((0, 1), np.uint64)
 
 
-def _likely(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
+def _likely(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        differ = _lanes(batch.column("a_signature")) ^ _lanes(batch.column("b_signature"))
-        keep = np.count_nonzero(differ == 0, axis=1) >= least
+        keep = unequal_lanes(_words(batch.column("a_signature")), _words(batch.column("b_signature"))) <= most
         yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
@@ -107,41 +128,45 @@ def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
 
 def _confirmed(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        pairs = zip(batch.column("a_set").to_pylist(), batch.column("b_set").to_pylist(), strict=True)
-        keep = [linked(np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64), percent) for a, b in pairs]
-        yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+        for part in slices(batch, "a_set", "b_set"):
+            pairs = zip(part.column("a_set").to_pylist(), part.column("b_set").to_pylist(), strict=True)
+            keep = [linked(np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64), percent) for a, b in pairs]
+            yield part.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
-BLOCK_ROW = "key long, block int, rep long, component long, pivot long, outer boolean, home boolean, signature binary, bands array<long>"
+BLOCK_ROW = "key long, first int, second int, rep long, component long, pivot long, outer boolean, block int, signature binary, bands array<long>"
 
 
-def _open_pairs(rows: pd.DataFrame, key: int, least: int) -> Iterator[tuple[int, np.ndarray]]:
-    """For each row outside the main component, the rows it must still be compared with in this block.
+def _open_pairs(rows: pd.DataFrame, key: tuple, most: int) -> Iterator[tuple[int, np.ndarray]]:
+    """For each row outside the main component, the rows of this pair of blocks it must still be compared with.
 
     A pair is looked at in the first band that it shares, not again with the bucket's pivot, and from one side.
     """
-    lanes, bands = _lanes(rows["signature"]), np.array(rows["bands"].tolist(), np.int64)
+    band, first, second = (int(k) for k in key)
+    lanes, bands = _words(rows["signature"]), np.array(rows["bands"].tolist(), np.int64)
     rep, component, pivot = (rows[c].to_numpy(np.int64) for c in ("rep", "component", "pivot"))
-    outer, home = rows["outer"].to_numpy(bool), rows["home"].to_numpy(bool)
+    outer, block = rows["outer"].to_numpy(bool), rows["block"].to_numpy(np.int64)
     for x in np.flatnonzero(outer & (rep != pivot)):
-        here = home & (component != component[x]) & (rep != pivot) & (~outer | (rep > rep[x]))
-        at = np.flatnonzero(here)
-        at = at[np.count_nonzero((lanes[at] ^ lanes[x]) == 0, axis=1) >= least]
+        there = (component != component[x]) & (rep != pivot) & (~outer | (rep > rep[x]))
+        if first != second:
+            there &= block != block[x]
+        at = np.flatnonzero(there)
+        at = at[unequal_lanes(lanes[at], lanes[x]) <= most]
         shared = bands[at] == bands[x]
-        at = at[bands[x][shared.argmax(1)] == key] if len(at) else at
+        at = at[bands[x][shared.argmax(1)] == band] if len(at) else at
         if len(at):
             yield int(x), at
 
 
-def _mark_block(key: tuple, rows: pd.DataFrame, least: int) -> pd.DataFrame:
+def _mark_blocks(key: tuple, rows: pd.DataFrame, most: int) -> pd.DataFrame:
     marked = np.zeros(len(rows), bool)
-    for x, at in _open_pairs(rows, int(key[0]), least):
+    for x, at in _open_pairs(rows, key, most):
         marked[x] = True
         marked[at] = True
     return rows[marked]
 
 
-def _link_block(key: tuple, rows: pd.DataFrame, least: int, percent: int) -> pd.DataFrame:
+def _link_blocks(key: tuple, rows: pd.DataFrame, most: int, percent: int) -> pd.DataFrame:
     sets = [np.frombuffer(s, np.uint64) for s in rows["shingles"]]
     rep, component = rows["rep"].to_numpy(np.int64), rows["component"].to_numpy(np.int64)
     joined: dict[int, int] = {}
@@ -152,7 +177,7 @@ def _link_block(key: tuple, rows: pd.DataFrame, least: int, percent: int) -> pd.
         return c
 
     links = []
-    for x, at in _open_pairs(rows, int(key[0]), least):
+    for x, at in _open_pairs(rows, key, most):
         at = np.array([r for r in at if root(component[r]) != root(component[x])], np.int64)
         if not len(at):
             continue
@@ -184,12 +209,14 @@ def near_groups(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str
     not read.
     """
     bands, rows = bands_for(percent)
-    least = least_matches(percent)
+    most = bands * rows - least_matches(percent)
     texts = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("body"))
     features = materialize(texts.mapInArrow(lambda b: _features(b, words, bands, rows), FEATURES), "minhash")
     classes = materialize(features.where("set_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("rep")), "shingle-classes")
     firsts = classes.where("rep is not null").select("set_id", F.col("rep").alias("doc_id"))
-    reps = materialize(features.join(firsts, ["set_id", "doc_id"], "left_semi").select(F.col("doc_id").alias("rep"), "signature", "bands"), "minhash-reps")
+    # rows that repeat id and text are one
+    reps = features.join(firsts, ["set_id", "doc_id"], "left_semi").groupBy("set_id", F.col("doc_id").alias("rep")).agg(F.first("signature").alias("signature"), F.first("bands").alias("bands"))
+    reps = materialize(reps.drop("set_id"), "minhash-reps")
 
     in_bands = reps.select("rep", F.explode("bands").alias("key"))
     buckets = in_bands.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("rep").alias("pivot")).where("n > 1")
@@ -197,28 +224,34 @@ def near_groups(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str
 
     # the sets of those that are in a bucket with others, from their whole texts
     wanted = members.select(F.col("rep").alias("doc_id")).distinct()
-    sets = texts.join(wanted, "doc_id", "left_semi").select(F.col("doc_id").alias("rep"), "body").mapInArrow(lambda b: _sets(b, words), "rep long, shingles binary")
-    sets = materialize(sets, "shingle-sets")
+    sets = texts.join(wanted, "doc_id", "left_semi").select(F.col("doc_id").alias("rep"), "body").mapInArrow(lambda b: _sets(b, words), "rep long, set_id binary, shingles binary")
+    sets = materialize(sets.groupBy("rep", "set_id").agg(F.first("shingles").alias("shingles")).drop("set_id"), "shingle-sets")
 
     star = members.where("rep <> pivot").select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct()
-    likely = _pair_up(star, reps, "signature", "signature").mapInArrow(lambda b: _likely(b, least), "a long, b long")
+    likely = _pair_up(star, reps, "signature", "signature").mapInArrow(lambda b: _likely(b, most), "a long, b long")
     links = _pair_up(likely, sets, "shingles", "set").mapInArrow(lambda b: _confirmed(b, percent), "a long, b long")
-    found = connected_components(links)
+    found = connected(links)
 
-    labelled = members.where("n > 2").join(found.select(F.col("id").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    labelled = members.where("n > 2").join(found.select(F.col("node_id").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     labelled = materialize(labelled, "bucket-components")
-    unsettled = labelled.groupBy("key", "component").agg(F.count(F.lit(1)).alias("share")).groupBy("key").agg(F.count(F.lit(1)).alias("parts"), F.max_by("component", "share").alias("main")).where("parts > 1")
-    open_rows = labelled.join(unsettled.select("key", "main"), "key").withColumn("outer", F.col("component") != F.col("main")).withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
-    own_block = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
-    dealt = open_rows.withColumn("own", own_block).withColumn("block", F.explode(F.when(F.col("outer"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("own"))))
-    dealt = dealt.withColumn("home", F.col("block") == F.col("own")).join(reps, "rep").select("key", "block", "rep", "component", "pivot", "outer", "home", "signature", "bands")
-    marked = materialize(dealt.groupBy("key", "block").applyInPandas(lambda k, r: _mark_block(k, r, least), BLOCK_ROW), "bucket-open")
-    more = marked.join(sets, "rep").groupBy("key", "block").applyInPandas(lambda k, r: _link_block(k, r, least, percent), "a long, b long")
+    shares = labelled.groupBy("key", "component").agg(F.count(F.lit(1)).alias("share"))
+    unsettled = shares.groupBy("key").agg(F.sum("share").alias("n"), F.max("share").alias("in_main"), F.max_by("component", F.struct("share", "component")).alias("main")).where("n > in_main")
+    blocks = lambda rows: F.ceil(rows / BLOCK).cast("int")
+    unsettled = unsettled.select("key", "main", blocks(F.col("n") - F.col("in_main")).alias("outer_blocks"), blocks(F.col("in_main")).alias("main_blocks"))
+    open_rows = labelled.drop("n").join(unsettled, "key").withColumn("outer", F.col("component") != F.col("main"))
+    # blocks outside the main component come first; each is paired with itself and with every other block
+    every = F.col("outer_blocks") + F.col("main_blocks")
+    own_block = F.when(F.col("outer"), F.pmod(F.xxhash64("rep"), "outer_blocks")).otherwise(F.col("outer_blocks") + F.pmod(F.xxhash64("rep"), "main_blocks")).cast("int")
+    dealt = open_rows.withColumn("block", own_block).withColumn("other", F.explode(F.sequence(F.lit(0), F.when(F.col("outer"), every).otherwise(F.col("outer_blocks")) - 1)))
+    dealt = dealt.withColumn("first", F.least("block", "other")).withColumn("second", F.greatest("block", "other"))
+    dealt = dealt.join(reps, "rep").select("key", "first", "second", "rep", "component", "pivot", "outer", "block", "signature", "bands")
+    marked = materialize(dealt.groupBy("key", "first", "second").applyInPandas(lambda k, r: _mark_blocks(k, r, most), BLOCK_ROW), "bucket-open")
+    more = marked.join(sets, "rep").groupBy("key", "first", "second").applyInPandas(lambda k, r: _link_blocks(k, r, most, percent), "a long, b long")
     more = materialize(more, "bucket-links")
     if not more.isEmpty():
-        found = connected_components(found.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(more))
+        found = connected(found.select(F.col("node_id").alias("a"), F.col("component").alias("b")).unionByName(more))
 
-    of_class = classes.join(found.select(F.col("id").alias("rep"), "component"), "rep", "left").select("set_id", F.coalesce("component", "rep").alias("component"))
+    of_class = classes.join(found.select(F.col("node_id").alias("rep"), "component"), "rep", "left").select("set_id", F.coalesce("component", "rep").alias("component"))
     result = features.select("doc_id", "n_shingles", "set_id").join(of_class, "set_id", "left")
     component = F.when(F.col("set_id").isNull(), F.col("doc_id")).otherwise(F.col("component"))
     return result.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
