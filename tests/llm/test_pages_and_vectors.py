@@ -122,7 +122,7 @@ def test_trie_walk_equals_edit_distance():
     for _ in range(500):
         word = "".join(rng.choice("abc") for _ in range(rng.randint(1, 9)))
         nearest = min(distance(word, t) for t in terms)
-        found = trie.within(word, 1)
+        found = trie.near(word)
         assert (found is None) == (nearest > 1) and (found is None or found[2] == nearest)
         assert (scorer.match(word) is None) == (nearest > 1)
 
@@ -150,8 +150,26 @@ def test_toxicity_learns_and_holds_out(spark):
     assert {i for i, _ in labels if got[i].held_out} == {i for i, _ in labels if __import__("zlib").crc32(str(i).encode()) % 5 == 0}
     clean = toxicity.keep_clean(frame, marks)
     assert clean.columns == frame.columns and sorted(r.doc_id for r in clean.collect()) == sorted(r.doc_id for r in rows if not r.predicted)
-    none = marks.where("false")
-    assert {r.predicted for r in toxicity.score_documents(frame, none).collect()} <= {0, 1} and toxicity.score_documents(frame.where("false"), marks).count() == 0
+    assert toxicity.score_documents(frame.where("false"), marks).count() == 0
+    again = toxicity.score_documents(frame.repartition(7), marks.repartition(2)).collect()
+    assert sorted((r.doc_id, r.score) for r in again) == sorted((r.doc_id, r.score) for r in rows)
+
+
+def test_without_usable_labels_every_document_is_clean(spark):
+    frame = spark.createDataFrame([(i, f"word{i} and more", None) for i in range(40)] + [(None, "x", None)], "doc_id long, text string, score double")
+    for rows in ([], [(i, None) for i in range(40)], [(i, 1) for i in range(40)], [(i, 0) for i in range(40)], [(i, i % 2) for i in range(40) if __import__("zlib").crc32(str(i).encode()) % 5 == 0]):
+        marks = spark.createDataFrame(rows, "doc_id long, toxic int")
+        assert toxicity.keep_clean(frame, marks).count() == 41
+        assert {r.predicted for r in toxicity.score_documents(frame, marks).collect()} == {0}
+
+
+def test_misspelled_terms_below_a_stem_are_found():
+    scorer = toxicity.Scorer(dict.fromkeys(["idiot", "idiots", "idiotic"], 3.0), {"idiot": 3.0})
+    assert [scorer.match(w) and scorer.match(w)[1] for w in ("idiot", "idiotism", "idoit", "ldiot", "idioot", "idit", "idiom", "radio")] == [0, 2, 1, 1, 1, 1, 1, None]
+    texts = ["fine", "", "an IDOIT!", "x" * 3_000_000 + " ldiot", "é漢 idiot's", "idi_ot"]
+    assert scorer.with_hits(texts)[0].tolist() == [False, False, True, True, True, False] == [any(scorer.features(t)[1:]) for t in texts]
+    assert [scorer.with_hits([t])[0][0] for t in texts] == scorer.with_hits(texts)[0].tolist()
+    assert scorer.features_of(texts).tolist() == [scorer.features(t) for t in texts]
 
 
 def test_quotation_counts_less():

@@ -16,7 +16,6 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from strandloom.llm import bpe, exact_dedup, line_dedup, near_dedup, packing
-from strandloom.llm.components import connected_components
 
 KIND = "doc_id long, text string, key string, body string, n int, digest string"
 VOCAB, WORDS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.path("word_bpe_49k.json")
@@ -107,15 +106,30 @@ def test_exact_groups(spark):
 
 
 def test_directory_doubles_where_buckets_are_full():
-    counts = {0: 10, 1: 10, 2: 10, 4000: 1}
-    slots = exact_dedup.directory_of(counts, 10)
-    assert sorted(s for s, _, _ in slots) == list(range(1 << exact_dedup.MAX_DEPTH))
+    counts = {0: 10, 1: 10, 2: 10, 3000: 1}
+    slots = exact_dedup.directory_of(counts, 12, 10)
+    assert [s for s, _, _ in slots] == list(range(1 << 12)) and sorted({b for _, b, _ in slots}) == list(range(max(b for _, b, _ in slots) + 1))
     held = collections.Counter()
-    for slot, bucket, depth in slots:
-        assert bucket <= slot < bucket + ((1 << exact_dedup.MAX_DEPTH) >> depth)
+    for slot, bucket, _ in slots:
         held[bucket] += counts.get(slot, 0)
     assert max(held.values()) <= 10
     assert {d for s, _, d in slots if s >= 2048} == {1}
+    assert exact_dedup.directory_of({0: 4, 7: 4}, 3, 5) == [(0, 0, 1), (1, 1, 1)] and exact_dedup.directory_of({}, 3, 5) == [(0, 0, 0)]
+
+
+def test_the_directory_routes_texts_and_lookups(spark):
+    texts = [f"text {i % 700}" for i in range(1_000)]
+    docs = table(spark, texts)
+    index, directory, bits = exact_dedup.build_index(docs, capacity=8)
+    slots = {r.slot: r.bucket for r in directory.collect()}
+    rows = index.collect()
+    assert sorted(slots) == list(range(1 << bits)) and len(rows) == 700
+    assert all(slots[(r.key & (1 << 64) - 1) >> 64 - bits] == r.bucket for r in rows)
+    assert max(collections.Counter(r.bucket for r in rows).values()) <= 8
+    got = {r.doc_id: r for r in exact_dedup.exact_groups(docs, capacity=8).collect()}
+    assert all(got[i].keep_id == (i + 700 if i + 700 <= 1_000 else i) for i in range(1, 1_001))
+    twice = table(spark, ["a", "a", "b", "b", "c", "c", None, ""], [5, 5, None, None, 6, 7, None, None])
+    assert sorted((str(r.doc_id), r.text or "") for r in exact_dedup.drop_copies(twice).collect()) == [("5", "a"), ("7", "c"), ("None", ""), ("None", "b")]
 
 
 def lines_by_hand(docs):
@@ -209,10 +223,3 @@ def test_bands_and_signatures():
         bands, rows = near_dedup.bands_for(percent)
         assert (1 - (percent / 100) ** rows) ** bands <= near_dedup.MISS and bands * rows <= near_dedup.HASHES
         assert 0 < near_dedup.least_matches(percent) < bands * rows
-
-
-def test_components(spark):
-    links = [(i, i + 1) for i in range(1, 40)] + [(100, 100 + k) for k in range(1, 50)] + [(3, 3), (900, 800)]
-    got = {r.id: r.component for r in connected_components(spark.createDataFrame(links, "a long, b long")).collect()}
-    assert {got[i] for i in range(1, 41)} == {1} and {got[i] for i in range(100, 150)} == {100} and got[900] == 800
-    assert connected_components(spark.createDataFrame([], "a long, b long")).select(F.count("*")).first()[0] == 0
