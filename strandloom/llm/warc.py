@@ -4,9 +4,11 @@ Writing: of records with equal payloads of at least ``REVISIT_BYTES`` the smalle
 others become revisits of it. Each task writes files of its own under names of its own and returns them; only files
 that a finished task has returned count, so a task that ran twice or was lost leaves nothing that is read.
 
-Reading: archives are cut into byte ranges. A task looks in its range for the gzip magic, takes a place for a
-record only if inflating there yields a WARC version line, and owns the records that start inside the range,
-reading on past its end to finish the last one. Payload digests are checked.
+Reading: archives are cut into byte ranges. A task looks in its range for the gzip magic, takes a place for a record
+only if inflating there yields the headers of a WARC record, and owns the records that start inside the range,
+reading on past its end to finish the last one. Records follow each other without a gap: the first must be at the
+file's start, and behind each one, also the last of a range, must be another or the file's end. So a damaged member is
+noticed by the task that owns it or the one before it, and raises. Payload digests are checked.
 
 Archives are opened with pyarrow.fs, which reads local, HDFS, S3 and GCS paths.
 """
@@ -27,8 +29,8 @@ from pyspark.sql import functions as F
 from strandloom.session import materialize, scratch_path
 
 REVISIT_BYTES = 100
-SPLIT_BYTES, FILE_BYTES = 8 << 20, 256 << 20
-READ_AHEAD = 1 << 20
+SPLIT_BYTES, FILE_BYTES, RANGES_PER_TASK = 8 << 20, 256 << 20, 8
+READ_AHEAD, MAX_HEAD = 1 << 20, 1 << 16
 MAGIC, VERSION = b"\x1f\x8b\x08", b"WARC/1."
 
 RECORD = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary"
@@ -38,15 +40,19 @@ def _one_line(value: str) -> str:
     return "".join(c if c > " " else f"%{ord(c):02X}" for c in value)
 
 
+def _record_id(page_id: int | None, digest: str) -> str:
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{page_id} {digest}')}>"
+
+
 def record_bytes(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None) -> bytes:
     """One record: WARC headers, then the block. A revisit's block has the HTTP headers without the payload."""
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = http if refers_to is not None else http + payload
-    name = uuid.uuid5(uuid.NAMESPACE_URL, f"{page_id} {url} {digest} {refers_to}")
-    head = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: <urn:uuid:{name}>", "WARC-Date: 1970-01-01T00:00:00Z"]
+    name = _record_id(page_id, digest) if refers_to is None else _record_id(page_id, f"revisit {digest}")
+    head = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: {name}", "WARC-Date: 1970-01-01T00:00:00Z"]
     head += [f"WARC-Target-URI: {_one_line(url)}"] if url is not None else []
     head += [f"Page-ID: {page_id}"] if page_id is not None else []
-    head += [f"WARC-Refers-To: <urn:page:{refers_to}>", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"] if refers_to is not None else []
+    head += [f"WARC-Refers-To: {_record_id(refers_to, digest)}", f"Refers-To-Page-ID: {refers_to}", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"] if refers_to is not None else []
     head += [f"WARC-Payload-Digest: sha256:{digest}", "Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}"]
     return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
@@ -62,8 +68,8 @@ def parse_record(data: bytes) -> tuple:
     kind, page = fields["WARC-Type"], fields.get("Page-ID")
     if kind == "response" and (len(payload) != size or hashlib.sha256(payload).hexdigest() != digest):
         raise ValueError(f"record of page {page}: the payload doesn't match its digest")
-    refers = fields.get("WARC-Refers-To")
-    return (page and int(page), fields.get("WARC-Target-URI"), size, digest, kind, int(refers[10:-1]) if refers else None, payload if kind == "response" else None)
+    refers = fields.get("Refers-To-Page-ID")
+    return (page and int(page), fields.get("WARC-Target-URI"), size, digest, kind, refers and int(refers), payload if kind == "response" else None)
 
 
 def _write(batches: Iterator[pd.DataFrame], folder: str, file_bytes: int) -> Iterator[pd.DataFrame]:
@@ -106,8 +112,18 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
     return materialize(manifest, "warc-manifest")
 
 
+def _has_headers(head: bytes) -> bool:
+    """Whether the decoded beginning of a member is a WARC record's, with the headers that every record has."""
+    lines = head.split(b"\r\n\r\n", 1)[0].split(b"\r\n")
+    fields = {name.strip().lower(): value.strip() for name, _, value in (line.partition(b":") for line in lines[1:])}
+    return lines[0].startswith(VERSION) and {b"warc-type", b"warc-record-id", b"warc-date"} <= fields.keys() and fields.get(b"content-length", b"").isdigit()
+
+
 def read_range(source: pa.NativeFile, start: int, end: int, ahead: int = READ_AHEAD) -> Iterator[bytes]:
-    """The records that start in the bytes from ``start`` to before ``end``."""
+    """The records that start in the bytes from ``start`` to before ``end``.
+
+    Raises EOFError where a record is cut off, and ValueError where records don't follow each other without a gap.
+    """
     source.seek(start)
     data, base, at = source.read(end - start), start, 0
 
@@ -117,37 +133,53 @@ def read_range(source: pa.NativeFile, start: int, end: int, ahead: int = READ_AH
         data += (got := source.read(ahead))
         return bool(got)
 
-    while base + at < end:
-        found = data.find(MAGIC, at)
-        if found < 0:  # the magic may begin in the range and end beyond it
-            if base + len(data) >= end + len(MAGIC) - 1 or not more():
-                return
-            continue
-        if base + found >= end:
-            return
-        inflate, body, fed = zlib.decompressobj(31), b"", found
+    def member(found: int, whole: bool) -> tuple[bytes, int] | None:
+        """(decoded bytes, place behind it) of the member at ``found``, or None if its headers aren't a record's."""
+        inflate, parts, fed, told = zlib.decompressobj(31), [], found, False
         try:
-            while len(body) < len(VERSION) and not inflate.eof:
-                if fed >= len(data) and not more():
-                    break
-                step = data[fed : fed + 4096]
-                body += inflate.decompress(step)
-                fed += len(step)
-            if not body.startswith(VERSION):
-                at = found + 1
-                continue
-            parts = [body]
             while not inflate.eof:
                 if fed >= len(data) and not more():
-                    raise EOFError(f"the record at {base + found} is cut off")
-                step = data[fed : fed + 65536]
+                    if told:
+                        raise EOFError(f"the record at {base + found} is cut off")
+                    return None
+                step = data[fed : fed + (65536 if told else 4096)]
                 parts.append(inflate.decompress(step))
                 fed += len(step)
-        except zlib.error:
-            at = found + 1
-            continue
-        yield b"".join(parts)
-        at = fed - len(inflate.unused_data)
+                if not told and (inflate.eof or b"\r\n\r\n" in (head := b"".join(parts)) or len(head) > MAX_HEAD):
+                    if not _has_headers(b"".join(parts)):
+                        return None
+                    told = True
+                    if not whole:
+                        break
+        except zlib.error as error:
+            if told:
+                raise ValueError(f"the record at {base + found} is damaged: {error}") from error
+            return None
+        return b"".join(parts), fed - len(inflate.unused_data)
+
+    known = start == 0  # the place of the next record is known
+    while base + at < end or known:
+        if at >= len(data) and not more():
+            return
+        if known:
+            if (found := member(at, base + at < end)) is None:
+                raise ValueError(f"no record at {base + at}, where one should be")
+            if base + at >= end:
+                return
+        else:
+            place = data.find(MAGIC, at)
+            if place < 0:  # the magic may begin in the range and end beyond it
+                if base + len(data) >= end + len(MAGIC) - 1 or not more():
+                    return
+                continue
+            if base + place >= end:
+                return
+            if (found := member(place, True)) is None:
+                at = place + 1
+                continue
+            known = True
+        body, at = found
+        yield body
 
 
 def _read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -171,11 +203,16 @@ def _read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def read_archives(manifest: DataFrame, split_bytes: int = SPLIT_BYTES) -> DataFrame:
-    """All records of the archives listed in ``manifest`` (file, size), read by byte ranges."""
+    """All records of the archives listed in ``manifest`` (file, size), read by byte ranges.
+
+    There are as many tasks as ``RANGES_PER_TASK`` ranges each make, and one for each range of a small job.
+    """
     starts = F.sequence(F.lit(0).cast("long"), F.col("size") - 1, F.lit(split_bytes).cast("long"))
     ranges = manifest.where("size > 0").select("file", "size", F.explode(starts).alias("start"))
     ranges = ranges.select("file", "start", F.least(F.col("start") + split_bytes, "size").alias("end"))
-    return ranges.repartition("file", "start").mapInPandas(_read, RECORD)
+    n = manifest.select(F.sum(F.ceil(F.col("size") / split_bytes))).first()[0] or 1
+    tasks = max(int(n) // RANGES_PER_TASK, min(int(n), 4 * manifest.sparkSession.sparkContext.defaultParallelism))
+    return ranges.repartition(tasks, "file", "start").mapInPandas(_read, RECORD)
 
 
 def archive_round_trip(spark: SparkSession, pages: DataFrame, folder: str | None = None) -> DataFrame:

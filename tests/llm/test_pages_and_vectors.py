@@ -125,6 +125,9 @@ def test_warc_round_trip(spark, tmp_path):
             assert (r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) == (len(data), hashlib.sha256(data).hexdigest(), "response" if refers is None else "revisit", refers)
             assert refers is not None or bytes(r.payload) == data
     assert warc.read_archives(warc.write_archives(spark.createDataFrame([], PAGE), f"file://{tmp_path}/e")).count() == 0
+    assert warc.read_archives(manifest, 997).rdd.getNumPartitions() > 16 > warc.read_archives(manifest).rdd.getNumPartitions()
+    twice = warc.write_archives(spark.createDataFrame([(1, "a", same, None, None)] * 2 + [(None, "b", same, None, None), (None, None, None, None, None)], PAGE), f"file://{tmp_path}/t")
+    assert sorted((str(r.page_id), r.record_type, r.refers_to) for r in warc.read_archives(twice).collect()) == [("1", "response", None), ("1", "response", None), ("None", "response", None), ("None", "revisit", 1)]
 
 
 def test_ranges_own_each_record_once_and_ignore_false_magic():
@@ -138,6 +141,16 @@ def test_ranges_own_each_record_once_and_ignore_false_magic():
         assert got == records
     with pytest.raises(EOFError):
         list(warc.read_range(pa.BufferReader(data[:-20]), 0, len(data) - 20))
+    place = len(gzip.compress(records[0], 6))
+    for at in (0, place, place + 15, place + 60, len(data) // 2, len(data) - 6):  # magic, headers, body, check sum
+        damaged = data[:at] + bytes([data[at] ^ 0x5A]) + data[at + 1 :]
+        with pytest.raises((ValueError, EOFError)):
+            for s in range(0, len(data), 300):
+                for record in warc.read_range(pa.BufferReader(damaged), s, min(s + 300, len(data)), ahead=64):
+                    assert record in records
+    revisit, response = warc.record_bytes(2, "u", b"x" * 200, "d", 1), warc.record_bytes(1, "v", b"x" * 200, "d", None)
+    field = lambda record, name: next(line for line in record.decode().split("\r\n") if line.startswith(name + ":")).split(": ")[1]
+    assert field(revisit, "WARC-Refers-To") == field(response, "WARC-Record-ID") != field(revisit, "WARC-Record-ID")
 
 
 def test_trie_walk_equals_edit_distance():
