@@ -47,14 +47,18 @@ def overlap_join(left: DataFrame, right: DataFrame, lo: tuple[str, Column, Colum
 def truth_label(candidates: DataFrame, truth: DataFrame) -> DataFrame:
     """Candidates (chrom, start, v_pos, v_type, v_ref, v_alt) with label 1 or 0, -1 without an anchor.
 
-    The position is start + offset whatever the strand. Truth records that overlap the position or the next one are looked
-    at: a deletion matches if its bases are within REF, an insertion if its REF is within REF and its bases within an
-    ALT, others if REF and an ALT are equal.
+    They are looked up by their canonical key: a deletion lies at the base before it (at the node's first base where there
+    is none, and then without its first base), an insertion's ALT begins with the base before it. The position is start +
+    offset whatever the strand. Truth records, in capitals, that overlap the position or the next one are looked at: a
+    deletion matches if its bases are within REF, an insertion if its REF is within REF and its ALT within an ALT, others
+    if REF and an ALT are equal.
     """
-    calls = candidates.withColumn("__call", F.monotonically_increasing_id()).withColumn("genomic_position", F.col("start") + F.col("v_pos"))
+    offset = F.expr("v_pos - IF(v_type = 'D' AND v_pos > 0, 1, 0)")
+    calls = candidates.withColumn("__call", F.monotonically_increasing_id()).withColumn("genomic_position", F.col("start") + offset)
     calls = materialize(calls, "truth-calls")  # the same call numbers on both uses
-    near = calls.where("chrom IS NOT NULL AND start IS NOT NULL").select("__call", "chrom", "genomic_position", "v_type", "v_ref", "v_alt")
-    records = truth.select(F.col("chrom").alias("t_chrom"), F.col("pos").alias("t_pos"), F.col("ref").alias("t_ref"), F.col("alts").alias("t_alts"))
+    key_ref, key_alt = F.expr("upper(IF(v_type = 'D' AND v_pos <= 0, substring(v_ref, 2), v_ref))"), F.expr("upper(IF(v_type = 'I', concat(v_ref, v_alt), v_alt))")
+    near = calls.where("chrom IS NOT NULL AND start IS NOT NULL").select("__call", "chrom", "genomic_position", "v_type", key_ref.alias("v_ref"), key_alt.alias("v_alt"))
+    records = truth.select(F.col("chrom").alias("t_chrom"), F.col("pos").alias("t_pos"), F.upper("ref").alias("t_ref"), F.transform("alts", F.upper).alias("t_alts"))
     pos, t0 = F.col("genomic_position"), F.col("t_pos") - 1
     found = overlap_join(near, records, ("chrom", F.greatest(pos - 1, F.lit(0)), pos + 1), ("t_chrom", t0, t0 + F.length("t_ref")))
     match = F.expr("""CASE v_type WHEN 'D' THEN contains(t_ref, v_ref) WHEN 'I' THEN contains(t_ref, v_ref) AND exists(t_alts, a -> contains(a, v_alt)) ELSE t_ref = v_ref AND array_contains(t_alts, v_alt) END""")

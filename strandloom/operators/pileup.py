@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from strandloom.functions.cigar import cigar_ops, cigar_walk, non_m_weight, oriented_offset, reverse_complement, variant_key
+from strandloom.functions.cigar import cigar_ops, cigar_walk, non_m_weight, oriented_offset, reverse_complement, summed, variant_key
 
 VARIANT = ["node_id", "v_pos", "v_type", "v_ref", "v_alt"]
 
@@ -28,20 +28,24 @@ def valid_segments(segments: DataFrame, nodes: DataFrame, min_mapq: int = 10) ->
 
 def rank_segments(segments: DataFrame, kind: str = "all", rows: int = 200) -> DataFrame:
     """Per node, by weighted non-match length; of nodes with more than ``rows`` segments the first ``2 * rows`` stay."""
-    by = Window.partitionBy("node_id")
-    ranked = segments.withColumn("weight", non_m_weight(F.col("ops"), kind)).withColumn("rank", F.row_number().over(by.orderBy(F.desc("weight"), "seg_order"))).withColumn("depth", F.count(F.lit(1)).over(by))
-    return ranked.where((F.col("depth") <= rows) | (F.col("rank") <= 2 * rows))
+    # a node of at most ``rows`` segments has no higher rank, so one bound does, which is applied before the shuffle too
+    by = Window.partitionBy("node_id").orderBy(F.desc("weight"), "seg_order")
+    ranked = segments.withColumn("weight", non_m_weight(F.col("ops"), kind)).withColumn("rank", F.row_number().over(by))
+    return ranked.where(F.col("rank") <= 2 * rows)
 
 
 _MISMATCHES = """filter(transform(sequence(0, greatest(least(w.n, length(seq) - w.read_pos, length(node_seq) - w.node_pos) - 1, 0)), i -> named_struct('v_pos', w.node_pos + i, 'v_type', 'X',
     'v_ref', substring(node_seq, w.node_pos + i + 1, 1), 'v_alt', substring(seq, w.read_pos + i + 1, 1))), v -> v.v_ref <> v.v_alt AND v.v_ref <> 'N' AND v.v_alt <> 'N' AND v.v_ref <> '' AND v.v_alt <> '')"""
-_INSERTION = """filter(array(named_struct('v_pos', greatest(w.node_pos - 1, 0), 'v_type', 'I', 'v_ref', substring(node_seq, greatest(w.node_pos - 1, 0) + 1, 1), 'v_alt', substring(seq, w.read_pos + 1, w.n))),
-    v -> w.n <= {m} AND v.v_ref <> 'N' AND v.v_ref <> '' AND w.read_pos + w.n <= length(seq))"""
-_DELETION = """filter(array(named_struct('v_pos', w.node_pos, 'v_type', 'D', 'v_ref', substring(node_seq, w.node_pos + 1, w.n), 'v_alt', '*')), v -> w.n <= {m} AND w.node_pos + w.n <= length(node_seq))"""
+_ANCHOR = "substring(node_seq, greatest(w.node_pos - 1, 0) + 1, 1)"
+# an insertion takes what the read has left; beyond the node its anchor is ``*``
+_INSERTION = f"""filter(array(named_struct('v_pos', greatest(w.node_pos - 1, 0), 'v_type', 'I', 'v_ref', if({_ANCHOR} = '', '*', {_ANCHOR}), 'v_alt', substring(seq, w.read_pos + 1, w.n))),
+    v -> w.n <= {{m}} AND v.v_ref <> 'N' AND v.v_alt <> '' AND NOT contains(v.v_alt, 'N'))"""
+_DELETION = """filter(array(named_struct('v_pos', w.node_pos, 'v_type', 'D', 'v_ref', substring(node_seq, w.node_pos + 1, w.n), 'v_alt', '*')),
+    v -> w.n <= {m} AND w.node_pos + w.n <= length(node_seq) AND v.v_ref <> '' AND NOT contains(v.v_ref, 'N'))"""
 
 
 def detect_variants(segments: DataFrame, kind: str = "all", max_indel: int = 50) -> DataFrame:
-    """Each segment's variants: node_id, seg_order, v_pos, v_type, v_ref, v_alt. ``=`` ops yield none."""
+    """Each segment's variants: node_id, seg_order, v_pos, v_type, v_ref, v_alt. ``=`` ops yield none, nor do bases N."""
     found = f"""flatten(transform(walk, w -> CASE WHEN w.op IN ('M', 'X') THEN {_MISMATCHES} WHEN w.op = 'I' THEN {_INSERTION.format(m=max_indel)}
         WHEN w.op = 'D' THEN {_DELETION.format(m=max_indel)} END))"""
     rows = segments.select("node_id", "seg_order", F.explode(F.expr(found.replace("END))", "ELSE array() END))"))).alias("v")).select("node_id", "seg_order", "v.*")
@@ -74,22 +78,29 @@ _LAST_BASE = "element_at(filter(walk, w -> w.op IN ('M', 'X', '=') AND w.node_po
 def allele_states(candidates: DataFrame, segments: DataFrame) -> DataFrame:
     """Each candidate and segment of a node that says something about it: ``state`` (alt, ref, other) and ``bq``.
 
-    A deletion's quality is that of the last aligned base before it, 50 if there is none.
+    A deletion's quality is that of the last aligned base before it, 50 if there is none. An insertion other than the
+    candidate's counts as ref if it equals the base before it; a deletion of that base comes before any insertion.
     """
-    rows = candidates.select(*VARIANT).join(segments.select("node_id", "seg_order", "node_seq", "seq", "bq", "walk"), "node_id")
+    reach = F.col("offset") + summed(F.col("ops"), "MX=DN")
+    spans = segments.select(F.col("node_id").alias("of_node"), "seg_order", "node_seq", "seq", "bq", "walk", (F.col("offset") - 1).alias("from_pos"), reach.alias("to_pos"))
+    # only segments that reach the position, or the one behind it, meet a candidate; both sides are dealt by node
+    near = (F.col("node_id") == F.col("of_node")) & (F.col("v_pos") >= F.col("from_pos")) & (F.col("v_pos") < F.col("to_pos"))
+    rows = candidates.select(*VARIANT).join(spans, near).drop("of_node", "from_pos", "to_pos")
     rows = rows.withColumn("over", F.expr(f"try_element_at(filter(walk, w -> w.op IN ('M', 'X', '=', 'D') AND w.node_pos <= v_pos AND v_pos < w.node_pos + w.n), 1)"))
     rows = rows.withColumn("ins", F.expr("IF(v_type = 'I', try_element_at(filter(walk, w -> w.op = 'I' AND w.node_pos - 1 = v_pos), 1), NULL)"))
     rows = rows.withColumn("at", F.expr("over.read_pos + v_pos - over.node_pos"))
     rows = rows.withColumn("last", F.expr(_LAST_BASE.replace("element_at", "try_element_at")))
     deleted_bq = "coalesce(get(bq, last.read_pos + last.n - 1), 50)"
+    inserted = "substring(seq, ins.read_pos + 1, ins.n)"
     aligned = "over.op IN ('M', 'X', '=')"
     state = f"""CASE WHEN v_type = 'X' AND {aligned} THEN CASE WHEN at >= length(seq) THEN NULL WHEN substring(seq, at + 1, 1) = v_alt THEN 'alt' WHEN substring(seq, at + 1, 1) = v_ref THEN 'ref' ELSE 'other' END
         WHEN v_type = 'X' AND over.op = 'D' THEN 'other'
-        WHEN v_type = 'I' AND ins IS NOT NULL THEN CASE WHEN ins.read_pos + ins.n > length(seq) THEN NULL WHEN substring(seq, ins.read_pos + 1, ins.n) = v_alt THEN 'alt' ELSE 'other' END
-        WHEN v_type = 'I' AND over.op = 'D' THEN 'other' WHEN v_type = 'I' AND {aligned} THEN 'ref'
+        WHEN v_type = 'I' AND over.op = 'D' THEN 'other'
+        WHEN v_type = 'I' AND ins IS NOT NULL THEN CASE WHEN ins.read_pos + ins.n > length(seq) THEN NULL WHEN {inserted} = v_alt THEN 'alt' WHEN {inserted} = v_ref THEN 'ref' ELSE 'other' END
+        WHEN v_type = 'I' AND {aligned} THEN 'ref'
         WHEN v_type = 'D' AND over.op = 'D' THEN IF(over.node_pos + over.n <= length(node_seq) AND substring(node_seq, over.node_pos + 1, over.n) = v_ref, 'alt', 'other')
         WHEN v_type = 'D' AND {aligned} AND at < length(seq) THEN 'ref' END"""
-    bq = f"""CASE WHEN over.op = 'D' AND ins IS NULL THEN {deleted_bq} WHEN ins IS NOT NULL THEN aggregate(slice(bq, ins.read_pos + 1, ins.n), 0.0D, (s, q) -> s + q) / ins.n ELSE get(bq, at) END"""
+    bq = f"""CASE WHEN over.op = 'D' THEN {deleted_bq} WHEN ins IS NOT NULL THEN aggregate(slice(bq, ins.read_pos + 1, ins.n), 0.0D, (s, q) -> s + q) / ins.n ELSE get(bq, at) END"""
     return rows.select(*VARIANT, "seg_order", F.expr(state).alias("state"), F.expr(bq).cast("double").alias("bq")).where("state IS NOT NULL")
 
 

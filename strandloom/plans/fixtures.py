@@ -16,7 +16,7 @@ from strandloom.functions.cigar import reverse_complement
 from strandloom.session import materialize
 
 
-_CANDIDATES: dict[tuple[str, str], DataFrame] = {}
+_CANDIDATES: dict[tuple, DataFrame] = {}
 
 
 class Tables:
@@ -88,15 +88,30 @@ class Tables:
             "named_struct('mapping', transform(ms, x -> named_struct('position', x.position, 'edit', x.edit, 'rank', x.rank))) AS path",
         )
 
-    def candidates(self) -> DataFrame:
-        """SNV candidates of the pileup with counts."""
+    def _state(self) -> tuple:
+        """The files that segments are derived from, with their times and sizes."""
+        files = self.spark.read.format("binaryFile").option("recursiveFileLookup", "true").load([f"{self.sf_dir}/{name}.parquet" for name in ("part", "lineitem")])
+        return tuple(sorted(tuple(map(str, r)) for r in files.select("path", "modificationTime", "length").collect()))
+
+    def candidates(self, kind: str = "snp") -> DataFrame:
+        """Candidates of the pileup with counts: SNVs, or all kinds."""
         from strandloom.operators import pileup
 
-        key = (self.spark.sparkContext.applicationId, self.sf_dir)
+        key = (self.spark.sparkContext.applicationId, kind, self._state())
         if key not in _CANDIDATES:  # many queries start from it
-            _CANDIDATES[key] = materialize(pileup.candidate_summary(self.segments(), self.nodes(), kind="snp"), "candidates")
+            _CANDIDATES[key] = materialize(pileup.candidate_summary(self.segments(), self.nodes(), kind=kind), "candidates")
         return _CANDIDATES[key]
 
+    def truth_of_all(self) -> DataFrame:
+        """``truth``, and two thirds of the insertions and deletions, in small letters on even nodes."""
+        indel = self.candidates("all").where("v_type <> 'X'").join(self.coords(), "node_id").join(self.nodes().select("node_id", "sequence"), "node_id").where("(node_id + v_pos) % 3 <> 0")
+        anchor = "substr(sequence, v_pos, 1)"
+        rows = indel.selectExpr(
+            "chrom", "IF(v_type = 'D', start + v_pos - 1, start + v_pos) AS pos", f"IF(v_type = 'D', concat({anchor}, v_ref), v_ref) AS ref", f"IF(v_type = 'D', {anchor}, concat(v_ref, v_alt)) AS alt", "node_id % 2 = 0 AS small"
+        )
+        cased = rows.selectExpr("chrom", "pos", "IF(small, lower(ref), ref) AS ref", "array(IF(small, lower(alt), alt)) AS alts")
+        return self.truth().select("chrom", F.col("pos").cast("long").alias("pos"), "ref", "alts").unionByName(cased.withColumn("pos", F.col("pos").cast("long"))).distinct()
+
     def truth(self) -> DataFrame:
         """chrom, pos, ref, alts: two thirds of the candidates on the path; odd nodes' with a base in front."""
         rows = self.candidates().join(self.coords(), "node_id").where("(node_id + v_pos) % 3 <> 0")

@@ -6,13 +6,27 @@ from pyspark.sql import functions as F
 
 from strandloom.functions import variants as fv
 from strandloom.functions.cigar import cigar_ops
-from strandloom.operators import intervals, variants
+from strandloom.operators import dataset, intervals, variants
+from strandloom.operators.pileup import VARIANT
 from strandloom.plans.fixtures import sql
+from strandloom.plans.pileup_queries import _INDELS, _PASSING
 from strandloom.session import scratch_path
 from strandloom.sources import graph_files, vcf
 
 _TRUTH_LABEL = """SELECT node_id, v_pos, v_alt, CASE WHEN start IS NULL THEN -1 ELSE coalesce((SELECT max(CASE WHEN t.ref = v_ref AND t.alt = v_alt THEN 1 ELSE 0 END) FROM truth AS t
     WHERE t.chrom = c.chrom AND t.pos - 1 < start + v_pos + 1 AND t.pos - 1 + length(t.ref) > start + v_pos - 1), 0) END AS label FROM (SELECT * FROM candidates LEFT JOIN coords USING (node_id)) AS c"""
+#: candidates of every kind with the alleles that they are looked up by, and truth records of every kind
+_ALL_KINDS = _INDELS | {
+    "passing": f"SELECT * FROM summary WHERE {_PASSING}",
+    "placed": """SELECT p.*, chrom, start, v_pos - CASE WHEN v_type = 'D' AND v_pos > 0 THEN 1 ELSE 0 END AS shifted, CASE WHEN v_type = 'D' AND v_pos <= 0 THEN substr(v_ref, 2) ELSE v_ref END AS key_ref,
+        CASE WHEN v_type = 'I' THEN v_ref || v_alt ELSE v_alt END AS key_alt FROM passing AS p LEFT JOIN coords USING (node_id)""",
+    "all_truth": """SELECT chrom, pos, ref, alt FROM truth UNION ALL SELECT chrom, CASE v_type WHEN 'D' THEN start + v_pos - 1 ELSE start + v_pos END,
+        CASE v_type WHEN 'D' THEN substr(sequence, v_pos, 1) || v_ref ELSE v_ref END, CASE v_type WHEN 'D' THEN substr(sequence, v_pos, 1) ELSE v_ref || v_alt END
+        FROM passing JOIN coords USING (node_id) JOIN nodes USING (node_id) WHERE v_type <> 'X' AND (node_id + v_pos) % 3 <> 0""",
+}
+_TRUTH_LABEL_ALL = """SELECT node_id, v_pos, v_type, v_ref, v_alt, CASE WHEN start IS NULL THEN -1 ELSE coalesce((SELECT max(CASE WHEN CASE v_type WHEN 'D' THEN contains(t.ref, key_ref)
+    WHEN 'I' THEN contains(t.ref, key_ref) AND contains(t.alt, key_alt) ELSE t.ref = key_ref AND t.alt = key_alt END THEN 1 ELSE 0 END) FROM all_truth AS t
+    WHERE t.chrom = c.chrom AND t.pos - 1 < start + shifted + 1 AND t.pos - 1 + length(t.ref) > start + shifted - 1), 0) END AS label FROM placed AS c"""
 _SBS = """SELECT *, CASE WHEN filters <> ['PASS'] THEN 'not_pass' WHEN prob <= 0.3 THEN 'low_prob' WHEN af < 0.1 THEN 'low_af' WHEN left_base IS NULL OR right_base IS NULL THEN 'no_context' END AS reason FROM (
     SELECT chrom, start + v_pos AS pos, 's' || node_id % 3 AS sample, v_ref AS ref, v_alt AS alt, CASE WHEN node_id % 4 = 0 THEN ['RefCall'] ELSE ['PASS'] END AS filters, ((node_id * 37 + v_pos * 11) % 101) / 100.0 AS prob,
     alt_allele_frequency AS af, nullif(substr(sequence, v_pos, CASE WHEN v_pos = 0 THEN 0 ELSE 1 END), '') AS left_base, nullif(substr(sequence, v_pos + 2, 1), '') AS right_base FROM located JOIN nodes USING (node_id))"""
@@ -32,10 +46,22 @@ def _labelled(t):
     return intervals.truth_label(_candidates(t), t.truth())
 
 
+def _labelled_all(t):
+    placed = t.candidates("all").join(t.coords().select("node_id", "chrom", "start"), "node_id", "left")
+    return intervals.truth_label(placed, t.truth_of_all())
+
+
 def _matched(t):
     return variants.pon_match(t.calls(), *(t.panel(k) for k in (1, 2, 3, 4)))
 
 
+def _numbered(rows, order):
+    """All rows with the place that the order gives them."""
+    names = [f"order_{k}" for k in range(len(order))]
+    keyed = rows.select("chrom", "pos", F.get("alts", 0).alias("alt"), *(c.alias(n) for c, n in zip(order, names, strict=True)))
+    return dataset.global_rank(keyed, *names, column="place").drop(*names)
+
+
 def _anchors(t):
     return t.coords().select("node_id", "chrom", "start", "strand", "length")
 
@@ -134,7 +160,7 @@ QUERIES = {
         lambda t: t.calls().selectExpr("CASE pos % 4 WHEN 0 THEN 'chrX' WHEN 1 THEN 'chrUn_1' ELSE chrom END AS chrom").where(F.col("chrom").isin(*(f"chr{k}" for k in range(1, 23)))).groupBy("chrom").agg(F.count(F.lit(1)).alias("n")),
         sql("SELECT chrom, count(*) AS n FROM calls WHERE pos % 4 >= 2 GROUP BY 1"),
     ),
-    "c7_truth_label": (lambda t: _labelled(t).select("node_id", "v_pos", "v_alt", "label"), sql(_TRUTH_LABEL)),
+    "c7_truth_label": (lambda t: _labelled_all(t).select(*VARIANT, "label"), sql(_TRUTH_LABEL_ALL, **_ALL_KINDS)),
     "c8_pon_match": (
         lambda t: _matched(t).select("id", "pos", F.get("alts", 0).alias("alt"), F.array_join("panels", ",").alias("panels")),
         sql("SELECT id, pos, alts[1] AS alt, coalesce(array_to_string(list_transform(hit, lambda k: 'PoN' || k), ','), '') AS panels FROM pon", pon=_PON),
@@ -225,15 +251,15 @@ QUERIES = {
         sql("SELECT node_id, v_pos, v_alt, round(CASE node_id % 3 WHEN 0 THEN 0.5 WHEN 1 THEN alt_allele_count / coverage ELSE 0.125 END, 9) AS vaf FROM candidates"),
     ),
     "f3_sort_vcf_linear": (
-        lambda t: vcf.sort_vcf_linear(t.calls()).limit(100).select("chrom", "pos", F.get("alts", 0).alias("alt")), sql("SELECT chrom, pos, alts[1] AS alt FROM calls ORDER BY chrom, pos, ref, array_to_string(alts, ',') LIMIT 100")
+        lambda t: _numbered(t.calls(), vcf.linear_order()), sql("SELECT chrom, pos, alts[1] AS alt, row_number() OVER (ORDER BY chrom, pos, ref, array_to_string(alts, ',')) - 1 AS place FROM calls")
     ),
     "f4_sort_vcf_node": (
-        lambda t: vcf.sort_vcf_node(t.calls().withColumn("chrom", F.element_at("info", "NID"))).limit(100).select("chrom", "pos", F.get("alts", 0).alias("alt")),
-        sql("SELECT CAST(node_id AS VARCHAR) AS chrom, pos, alts[1] AS alt FROM calls ORDER BY node_id, pos, ref, array_to_string(alts, ',') LIMIT 100"),
+        lambda t: _numbered(t.calls().withColumn("chrom", F.element_at("info", "NID")), vcf.node_order()),
+        sql("SELECT CAST(node_id AS VARCHAR) AS chrom, pos, alts[1] AS alt, row_number() OVER (ORDER BY node_id, pos, ref, array_to_string(alts, ',')) - 1 AS place FROM calls"),
     ),
     "f5_sort_header_order": (
-        lambda t: vcf.sort_header_order(t.calls(), t.spark.createDataFrame([("chr2", 0), ("chr3", 1), ("chr1", 2)], "chrom string, contig_no int")).limit(100).select("chrom", "pos", F.get("alts", 0).alias("alt")),
-        sql("SELECT chrom, pos, alts[1] AS alt FROM calls ORDER BY CASE chrom WHEN 'chr2' THEN 0 WHEN 'chr3' THEN 1 ELSE 2 END, pos, ref, array_to_string(alts, ',') LIMIT 100"),
+        lambda t: _numbered(t.calls().join(t.spark.createDataFrame([("chr2", 0), ("chr3", 1), ("chr1", 2)], "chrom string, contig_no int"), "chrom", "left"), vcf.header_order()),
+        sql("SELECT chrom, pos, alts[1] AS alt, row_number() OVER (ORDER BY CASE chrom WHEN 'chr2' THEN 0 WHEN 'chr3' THEN 1 ELSE 2 END, pos, ref, array_to_string(alts, ',')) - 1 AS place FROM calls"),
     ),
     "f7_examples_limit": (
         lambda t: variants.skip_examples(_sbs(t)).select("sample", "nth", "chrom", "pos", "reason"),

@@ -35,19 +35,32 @@ def contig_rank(chrom: Column) -> list:
     return [rank, F.when(rank == 1_000_000, chrom).otherwise(F.lit(""))]
 
 
+def linear_order() -> list[Column]:
+    return [*contig_rank(F.col("chrom")), F.col("pos"), F.col("ref"), F.array_join("alts", ",")]
+
+
+def node_order() -> list[Column]:
+    """For rows whose contig is a node number; others come last, by name."""
+    node = F.col("chrom").try_cast("long")
+    return [node.isNull(), node, F.col("chrom"), F.col("pos"), F.col("ref"), F.array_join("alts", ",")]
+
+
+def header_order() -> list[Column]:
+    """By the contig's place in a header (contig_no; none: last), start, stop, REF and ALT."""
+    return [F.col("contig_no").isNull(), F.col("contig_no"), F.col("pos"), F.col("pos") + F.length("ref") - 1, F.col("ref"), F.array_join("alts", ",")]
+
+
 def sort_vcf_linear(rows: DataFrame) -> DataFrame:
-    return rows.orderBy(*contig_rank(F.col("chrom")), "pos", "ref", F.array_join("alts", ","))
+    return rows.orderBy(*linear_order())
 
 
 def sort_vcf_node(rows: DataFrame) -> DataFrame:
-    node = F.col("chrom").try_cast("long")
-    return rows.orderBy(node.isNull(), node, "chrom", "pos", "ref", F.array_join("alts", ","))
+    return rows.orderBy(*node_order())
 
 
 def sort_header_order(rows: DataFrame, contigs: DataFrame) -> DataFrame:
-    """By the contig's place in a header (chrom, contig_no), start, stop, REF and ALT."""
-    stop = F.col("pos") + F.length("ref") - 1
-    return rows.join(contigs, "chrom", "left").orderBy(F.col("contig_no").asc_nulls_last(), "pos", stop, "ref", F.array_join("alts", ","))
+    """Rows in the order of a header's contigs (chrom, contig_no)."""
+    return rows.join(contigs, "chrom", "left").orderBy(*header_order())
 
 
 def body_line() -> Column:

@@ -25,12 +25,13 @@ def test_overlap_join_makes_each_pair_once(spark):
 
 
 def test_truth_rules(spark):
-    truth = spark.createDataFrame([("chr1", 100, "ACGT", ["A"]), ("chr1", 200, "A", ["AGG"]), ("chr1", 300, "C", ["T"])], "chrom string, pos long, ref string, alts array<string>")
+    truth = spark.createDataFrame([("chr1", 100, "ACGT", ["A"]), ("chr1", 200, "A", ["AGG"]), ("chr1", 300, "C", ["T"]), ("chr1", 400, "A", ["atgg"]), ("chr1", 500, "GT", ["G"])], "chrom string, pos long, ref string, alts array<string>")
     cand = spark.createDataFrame([
         (1, "chr1", 100, 1, "D", "CGT", "*"), (2, "chr1", 200, 0, "I", "A", "GG"), (3, "chr1", 300, 0, "X", "C", "T"), (4, "chr1", 300, 0, "X", "C", "G"), (5, None, None, 0, "X", "C", "T"), (6, "chr1", 299, 0, "X", "C", "T"), (7, "chr1", 302, 0, "X", "C", "T"),
+        (8, "chr1", 400, 0, "I", "A", "GG"), (9, "chr1", 400, 0, "I", "A", "TG"), (10, "chr1", 500, 1, "D", "T", "*"), (11, "chr1", 499, 3, "D", "T", "*"), (12, "chr1", 500, 0, "D", "A", "*"),
     ], "node_id long, chrom string, start long, v_pos int, v_type string, v_ref string, v_alt string")
     got = {r.node_id: r.label for r in intervals.truth_label(cand, truth).collect()}
-    assert got == {1: 1, 2: 1, 3: 1, 4: 0, 5: -1, 6: 1, 7: 0}
+    assert got == {1: 1, 2: 1, 3: 1, 4: 0, 5: -1, 6: 1, 7: 0, 8: 0, 9: 1, 10: 1, 11: 1, 12: 1}
 
 
 def test_components_of_long_chains_and_hubs(spark):

@@ -63,6 +63,21 @@ def test_deletion_states_and_quality(spark):
     assert rows_of(states.select("seg_order", "state", "bq")) == [(0, "alt", 2.0), (1, "alt", 50.0), (2, "ref", 7.0), (3, "other", 7.0)]
 
 
+def test_insertion_states(spark):
+    nodes = spark.createDataFrame([(1, 10, "ACGTACGTAC")], NODE)
+    segs = segments(spark, [
+        (1, 1, "CGGTTA", [1, 2, 3, 4, 5, 6], "2M2I2M", 60, "+"),  # GT after G at 2: the candidate's
+        (1, 1, "CGGTA", None, "2M1I2M", 60, "+"),  # another insertion, equal to the base before it
+        (1, 1, "CGATA", None, "2M1I2M", 60, "+"), (1, 1, "CGTA", None, "4M", 60, "+"),
+        (1, 1, "CGTTA", [1, 2, 3, 4, 5], "1M1D2I2M", 60, "+"),  # the base is deleted before the insertion
+        (1, 1, "CG", None, "2M2I", 60, "+"),  # the read ends before its insertion does
+        (1, 3, "GTTAC", None, "2I3M", 60, "+"), (1, 4, "ACGT", None, "4M", 60, "+"),  # an insertion before the first base; beyond it
+    ])
+    cand = spark.createDataFrame([(1, 2, "I", "G", "GT")], "node_id long, v_pos int, v_type string, v_ref string, v_alt string")
+    states = pileup.allele_states(cand, pileup.valid_segments(segs, nodes))
+    assert rows_of(states.select("seg_order", "state", "bq")) == [(0, "alt", 3.5), (1, "ref", 30.0), (2, "other", 30.0), (3, "ref", 30.0), (4, "other", 1.0), (6, "alt", 30.0)]
+
+
 def test_rank_keeps_400_of_many(spark):
     nodes = spark.createDataFrame([(1, 30, "ACGTACGTACGTACGTACGTACGTACGTAC")], NODE)
     for n, kept in ((200, 200), (401, 400), (201, 201)):
@@ -88,9 +103,10 @@ def model(seq, ref, offset, ops):
             for i in range(size):
                 if r + i < len(seq) and n + i < len(ref) and seq[r + i] != ref[n + i] and "N" not in (seq[r + i], ref[n + i]):
                     found.append((n + i, "X", ref[n + i], seq[r + i]))
-        if op == "I" and size <= 50 and ref[max(n - 1, 0) : max(n - 1, 0) + 1] not in ("N", "") and r + size <= len(seq):
-            found.append((max(n - 1, 0), "I", ref[max(n - 1, 0)], seq[r : r + size]))
-        if op == "D" and size <= 50 and n + size <= len(ref):
+        anchor = ref[max(n - 1, 0) : max(n - 1, 0) + 1] or "*"
+        if op == "I" and size <= 50 and anchor != "N" and seq[r : r + size] and "N" not in seq[r : r + size]:
+            found.append((max(n - 1, 0), "I", anchor, seq[r : r + size]))
+        if op == "D" and size <= 50 and n + size <= len(ref) and "N" not in ref[n : n + size]:
             found.append((n, "D", ref[n : n + size], "*"))
         n += size if op in "MX=DN" else 0
         r += size if op in "MX=IS" else 0
@@ -105,7 +121,8 @@ def test_random_cigars_match_the_model(spark):
         nodes.append((node, len(ref), ref))
         for _ in range(3):
             ops = [(rng.randint(1, 5), rng.choice("MMMXID=S")) for _ in range(rng.randint(1, 6))]
-            seq = "".join(rng.choice("ACGT") for _ in range(sum(n for n, o in ops if o in "MX=IS")))
+            seq = "".join(rng.choice("ACGTN" if rng.random() < 0.3 else "ACGT") for _ in range(sum(n for n, o in ops if o in "MX=IS")))
+            seq = seq[: len(seq) - rng.choice([0, 0, 0, 2])]  # some reads end within an op
             if seq:
                 rows.append((node, rng.randint(0, 6), seq, None, "".join(f"{n}{o}" for n, o in ops), 60, "+"))
                 wanted += [(len(rows) - 1, *v) for v in model(seq, ref, rows[-1][1], ops)]
