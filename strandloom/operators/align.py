@@ -19,16 +19,16 @@ def on_reference_path(reads: DataFrame, name: str) -> DataFrame:
 
 def explode_mappings(reads: DataFrame) -> DataFrame:
     """One row per read and mapping with its part of the read; node 0 is left out but its bases count."""
-    steps = reads.select("name", "mapping_quality", "identity", "sequence", F.posexplode("path.mapping").alias("map_no", "mapping"), F.col("path.mapping").alias("all"))
-    before = F.aggregate(
-        F.slice("all", 1, F.col("map_no")), F.lit(0), lambda s, m: s + F.aggregate(m["edit"], F.lit(0), lambda t, e: t + e["to_length"])
-    )
-    own = F.aggregate("mapping.edit", F.lit(0), lambda t, e: t + e["to_length"])
+    lengths = F.transform("path.mapping", lambda m: F.aggregate(m["edit"], F.lit(0), lambda t, e: t + e["to_length"]))
+    ends = F.aggregate("lengths", F.array(F.lit(0)), lambda s, n: F.concat(s, F.array(F.element_at(s, -1) + n)))
+    # each mapping takes its own part of the read along, so that neither read nor path rides on every row
+    own = F.transform("path.mapping", lambda m, i: F.struct(m.alias("m"), F.get("ends", i).alias("read_offset"), F.get("lengths", i).alias("read_length"), F.col("sequence").substr(F.get("ends", i) + 1, F.get("lengths", i)).alias("bases")))
+    steps = reads.withColumn("lengths", lengths).withColumn("ends", ends).select("name", "mapping_quality", "identity", F.posexplode(own).alias("map_no", "own"))
     rows = steps.select(
-        "name", "mapping_quality", "identity", "map_no", F.col("mapping.position.node_id").alias("node_id"), F.col("mapping.position.offset").alias("offset"),
-        F.col("mapping.position.is_reverse").alias("is_reverse"), F.col("mapping.edit").alias("edits"), before.alias("read_offset"), own.alias("read_length"), "sequence",
+        "name", "mapping_quality", "identity", "map_no", F.col("own.m.position.node_id").alias("node_id"), F.col("own.m.position.offset").alias("offset"),
+        F.col("own.m.position.is_reverse").alias("is_reverse"), F.col("own.m.edit").alias("edits"), "own.read_offset", "own.read_length", "own.bases",
     )
-    return rows.where("node_id <> 0").withColumn("bases", F.expr("substring(sequence, read_offset + 1, read_length)")).drop("sequence")
+    return rows.where("node_id <> 0")
 
 
 def with_cigar(mappings: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from strandloom.functions.variants import info_string, keep_decision, linear_position
+from strandloom.operators.ranks import running_sum
 from strandloom.session import materialize
 
 
@@ -35,10 +36,9 @@ def tensor_shards(df: DataFrame, size: int, *order: str) -> DataFrame:
 
 def pure_class_shards(df: DataFrame, label: str, size: int, *order: str) -> DataFrame:
     """Shards that hold one class each; shard numbers go on from class to class."""
-    by = Window.partitionBy(label).orderBy(*order)
     per = df.groupBy(label).agg(F.ceil(F.count(F.lit(1)) / size).alias("shards"))
     first = per.withColumn("first", F.coalesce(F.sum("shards").over(Window.orderBy(label).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("shards")  # a row a class
-    rows = df.withColumn("nth", F.row_number().over(by) - 1).join(F.broadcast(first), label)
+    rows = running_sum(df, label, *order, column="nth").join(F.broadcast(first), label)
     return rows.withColumn("shard_index", F.expr(f"int(first + nth div {size})")).withColumn("index_within_shard", F.expr(f"int(nth % {size})")).drop("nth", "first")
 
 
@@ -58,9 +58,9 @@ def split_by_chrom(rows: DataFrame, routes: dict[str, str]) -> DataFrame:
 
 def split_stratified(rows: DataFrame, label: str, keys: list[str], train: float, val: float, seed: int = 0) -> DataFrame:
     """Per class in hash order the first floor(n * train) are train, the next floor(n * val) val, the rest test."""
-    by = Window.partitionBy(label)
-    nth, n = F.row_number().over(by.orderBy(hash_order(seed, *keys), *keys)), F.count(F.lit(1)).over(by)
-    ranked = rows.withColumn("nth", nth).withColumn("n", n)
+    ranked = running_sum(rows.withColumn("hash", hash_order(seed, *keys)), label, "hash", *keys, column="earlier").withColumn("nth", F.col("earlier") + 1).drop("hash", "earlier")
+    classes = rows.groupBy(F.col(label).alias("of_class")).agg(F.count(F.lit(1)).alias("n"))  # a row a class
+    ranked = ranked.join(F.broadcast(classes), F.col(label).eqNullSafe(F.col("of_class"))).drop("of_class")
     a, b = F.floor(F.col("n") * train), F.floor(F.col("n") * val)
     return ranked.withColumn("split", F.when(F.col("nth") <= a, "train").when(F.col("nth") <= a + b, "val").otherwise("test")).drop("nth", "n")
 

@@ -39,9 +39,10 @@ def class_metrics_avg(rows: DataFrame) -> DataFrame:
 
 
 def prediction_report(rows: DataFrame) -> DataFrame:
-    """(outcome, n, keys): true and false positives and negatives with their sorted keys."""
+    """(outcome, key, n): each row's outcome, true or false positive or negative, and how many rows have it."""
     outcome = F.when(F.col("pred") == 1, F.when(F.col("label") == 1, "TP").otherwise("FP")).otherwise(F.when(F.col("label") == 1, "FN").otherwise("TN"))
-    return rows.groupBy(outcome.alias("outcome")).agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list("key")).alias("keys"))
+    told = rows.select(outcome.alias("outcome"), "key")
+    return told.join(F.broadcast(told.groupBy("outcome").agg(F.count(F.lit(1)).alias("n"))), "outcome")  # four rows
 
 
 def fp_overlap(rows: DataFrame, listed: DataFrame) -> DataFrame:

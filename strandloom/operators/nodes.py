@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from strandloom.operators.ranks import running_sum
+
 
 def path_lengths(steps: DataFrame, segments: DataFrame) -> DataFrame:
     """Steps with their node's length; a step on an unknown node is an error."""
@@ -15,8 +17,7 @@ def path_lengths(steps: DataFrame, segments: DataFrame) -> DataFrame:
 
 def path_positions(steps: DataFrame, first: int = 1) -> DataFrame:
     """1-based start of each step: the path's first position and the lengths before it."""
-    before = Window.partitionBy("chrom").orderBy("step").rowsBetween(Window.unboundedPreceding, -1)
-    return steps.withColumn("start", F.lit(first).cast("long") + F.coalesce(F.sum("length").over(before), F.lit(0)))
+    return running_sum(steps, "chrom", "step", value="length").withColumn("start", F.lit(first).cast("long") + F.col("before")).drop("before")
 
 
 def candidate_nodes(nodes: DataFrame, stored: DataFrame, *wanted: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from strandloom.operators import align, dataset, metrics, nodes, pileup, tensor
 from strandloom.plans.fixtures import sql
 from strandloom.plans.graph_queries import _AF, _DIGIT, _MORE, _af_bases
 from strandloom.plans.pileup_queries import _ranked
-from strandloom.plans.variant_queries import _anchors, _labelled
+from strandloom.plans.variant_queries import _PLACED_BASES, _anchors, _labelled, _read_blocks
 from strandloom.session import scratch_path
 from strandloom.sources import alignment_files, summary_files
 from strandloom.streaming import node_stats
@@ -44,28 +44,8 @@ def _gam_json(t):
 
 
 def _gam(t):
-    """Framed files written by tasks through Spark's text sink can't hold bytes, so groups go to rows of a binary table and are decoded from there."""
-    from pyspark.sql.pandas.types import to_arrow_schema
-
-    reads = t.alignments()
-    schema = reads.select("name", "sequence", "quality", "mapping_quality", "identity", "refpos", "path").schema
-    arrow = to_arrow_schema(schema)
-
-    def encode(batches):
-        import pyarrow as pa
-
-        for batch in batches:
-            rows = batch.to_pylist()
-            yield pa.RecordBatch.from_arrays([pa.array([alignment_files.encode_group(rows[:0], b"OTHER") + alignment_files.encode_group(rows)], pa.binary())], ["content"])
-
-    def decode(batches):
-        import pyarrow as pa
-
-        for batch in batches:
-            for content in batch.column("content").to_pylist():
-                yield pa.RecordBatch.from_pylist([alignment_files.decode_alignment(m) for m in alignment_files.group_messages(content)], schema=arrow)
-
-    return reads.select(*schema.names).mapInArrow(encode, "content binary").mapInArrow(decode, schema)
+    files = alignment_files.write_gam(t.alignments().repartition(5), scratch_path(t.spark, "gam"))
+    return alignment_files.read_gam(t.spark, [r["file"] for r in files.select("file").collect()])
 
 
 def _sam(t):
@@ -91,7 +71,7 @@ def _summary_file(t):
 def _stream(t):
     folder = scratch_path(t.spark, "gam-stream")
     alignment_files.write_gam_json(t.alignments().repartition(5), folder)
-    return node_stats.run_to_table(node_stats.node_stats_stream(t.spark, folder), folder.rsplit("/", 1)[1].replace("-", "_"), scratch_path(t.spark, "stream-state"))
+    return node_stats.run_to_table(node_stats.node_stats_stream(t.spark, folder), scratch_path(t.spark, "stream-table"), scratch_path(t.spark, "stream-state"))
 
 
 QUERIES = {
@@ -144,24 +124,23 @@ QUERIES = {
             SELECT tp / nullif(pr, 0) AS p, tp / nullif(s, 0) AS r, 2 * tp / (pr + s) AS f, s FROM (SELECT c, count(*) FILTER (quality = c AND 1 - toxic = c) AS tp, count(*) FILTER (quality = c) AS s, count(*) FILTER (1 - toxic = c) AS pr FROM labels, (SELECT unnest([0, 1]) AS c) GROUP BY c))""",
     ),
     "d13_prediction_report": (
-        lambda t: metrics.prediction_report(_known(t)).select("outcome", "n", F.md5(F.array_join("keys", ",")).alias("keys")),
-        sql("""SELECT outcome, count(*) AS n, md5(string_agg(key, ',' ORDER BY key)) AS keys FROM (SELECT node_id || '_' || v_pos || '_' || v_ref || '_' || v_alt AS key, CASE WHEN pred = 1 THEN CASE label WHEN 1 THEN 'TP' ELSE 'FP' END WHEN label = 1 THEN 'FN' ELSE 'TN' END AS outcome
-            FROM scored WHERE label >= 0) GROUP BY 1""", **_LABELS),
+        lambda t: metrics.prediction_report(_known(t)),
+        sql("""SELECT outcome, key, count(*) OVER (PARTITION BY outcome) AS n FROM (SELECT node_id || '_' || v_pos || '_' || v_ref || '_' || v_alt AS key, CASE WHEN pred = 1 THEN CASE label WHEN 1 THEN 'TP' ELSE 'FP' END WHEN label = 1 THEN 'FN' ELSE 'TN' END AS outcome
+            FROM scored WHERE label >= 0)""", **_LABELS),
     ),
     "d20_candidate_sites": (
-        lambda t: metrics.candidate_sites(t.mappings().where("kind = 0").join(t.coords().select("node_id", "chrom", "start"), "node_id").selectExpr("chrom", "start", "noff", "sequence", "fseq", "explode(sequence(0, m - 1)) AS i").selectExpr("chrom", "start + noff + i AS pos", "substr(sequence, noff + i + 1, 1) AS ref", "substr(fseq, i + 1, 1) AS base")),
+        lambda t: metrics.candidate_sites(_read_blocks(t).selectExpr("chrom", "r_start + 1 AS first", "ref_bases", "bases", "explode(sequence(0, length(bases) - 1)) AS i").selectExpr("chrom", "first + i AS pos", "substr(ref_bases, i + 1, 1) AS ref", "substr(bases, i + 1, 1) AS base")),
         sql("""SELECT chrom, count(*) AS sites, count(*) FILTER (alt > 2 AND alt / depth > 0.05) AS snv_sites FROM (
-            SELECT chrom, pos, sum(n) AS depth, max(CASE WHEN base <> ref THEN n ELSE 0 END) AS alt FROM (SELECT chrom, start + noff + i AS pos, substr(sequence, CAST(noff + i + 1 AS BIGINT), 1) AS ref, substr(fseq, CAST(i + 1 AS BIGINT), 1) AS base, count(*) AS n
-            FROM (SELECT chrom, start, noff, sequence, fseq, unnest(range(m)) AS i FROM mappings JOIN coords USING (node_id) WHERE kind = 0) GROUP BY ALL) GROUP BY 1, 2) GROUP BY 1"""),
+            SELECT chrom, pos, sum(n) AS depth, max(CASE WHEN base <> ref THEN n ELSE 0 END) AS alt FROM (SELECT chrom, pos, ref, base, count(*) AS n FROM placed_bases GROUP BY ALL) GROUP BY 1, 2) GROUP BY 1""", placed_bases=_PLACED_BASES),
     ),
     "d22_label_distribution": (
         lambda t: metrics.label_distribution(_known(t)),
         sql("SELECT shard_index, label, count(*) AS n, count(*) / sum(count(*)) OVER (PARTITION BY shard_index) AS share FROM (SELECT * FROM scored WHERE label >= 0) GROUP BY GROUPING SETS ((label), (shard_index, label))", **_LABELS),
     ),
     "e3_tensor_row_no": (
-        lambda t: tensor.tensor_row_no(t.candidates(), _ranked(t, "snp"), 10).select(*_KEYS, "seg_order", "row_no"),
+        lambda t: tensor.tensor_row_no(t.candidates(), _ranked(t, "snp"), tensor.ROWS).select(*_KEYS, "seg_order", "row_no"),
         sql("""SELECT v.node_id, v_pos, v_ref, v_alt, ord AS seg_order, CAST(row_number() OVER (PARTITION BY v.node_id, v_pos, v_ref, v_alt ORDER BY CASE kind WHEN 2 THEN 2 WHEN 3 THEN 1 ELSE 0 END DESC, ord) AS INT) AS row_no FROM candidates AS v JOIN mappings AS s ON s.node_id = v.node_id AND mapq >= 10
-            WHERE noff < v_pos + 50 AND noff + span > v_pos - 50 QUALIFY row_no <= 10"""),
+            WHERE noff < v_pos + 50 AND noff + span > v_pos - 50 QUALIFY row_no <= 200"""),
     ),
     "e4_shard_number": (
         lambda t: dataset.global_rank(t.candidates(), *pileup.VARIANT).select(*_KEYS, "rank"), sql(f"SELECT {_V}, row_number() OVER (ORDER BY node_id, v_pos, v_type, v_ref, v_alt) - 1 AS rank FROM candidates")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from strandloom.operators import align, nodes
@@ -56,9 +57,17 @@ def _a13(t):
 
 
 def _text(t, rows, *lines):
+    """Rows as text files that each begin with the header lines."""
     path = scratch_path(t.spark, "text")
-    header = t.spark.createDataFrame([(x,) for x in lines], "value string")
-    (header.union(rows) if lines else rows).coalesce(1).write.text(path)  # a header belongs to one file
+
+    def headed(batches):
+        begun = False
+        for batch in batches:
+            values = batch.column(0)
+            yield pa.RecordBatch.from_arrays([values if begun else pa.concat_arrays([pa.array(lines, values.type), values])], ["value"])
+            begun = True
+
+    rows.mapInArrow(headed, "value string").write.text(path)
     return path
 
 
@@ -79,8 +88,8 @@ def _a16(t):
 
 def _a17(t):
     path = scratch_path(t.spark, "fasta")
-    graph_files.write_fasta_chunks(t.nodes().selectExpr("concat('n', node_id % 4) AS contig", "node_id div 4 AS chunk_no", "rpad(sequence, 60, 'N') AS bases"), path)
-    spots = t.nodes().selectExpr("concat('n', node_id % 4) AS contig", "node_id div 4 * 60 + 1 + node_id % 20 AS pos")
+    graph_files.write_fasta(t.nodes().selectExpr("concat('n', node_id % 4) AS contig", "(node_id - 1) div 4 AS chunk_no", "rpad(sequence, 60, 'N') AS bases"), path)
+    spots = t.nodes().selectExpr("concat('n', node_id % 4) AS contig", "(node_id - 1) div 4 * 60 + 1 + node_id % 20 AS pos")
     return graph_files.fasta_base(spots, graph_files.read_fasta(t.spark, path))
 
 
@@ -114,10 +123,10 @@ QUERIES = {
     "a14_read_alt_ref_tsv": (_a14, sql("SELECT unnest([node_id, node_id + 100000]) AS alt_node, node_id + 1 AS ref_node FROM nodes WHERE node_id % 5 = 0")),
     "a15_read_neighbor_tsv": (_neighbours, sql("SELECT node_id, CASE WHEN node_id % 10 <> 1 THEN node_id - 1 END AS left_node, CASE WHEN node_id % 10 <> 0 THEN node_id + 1 END AS right_node FROM nodes")),
     "a16_read_bed": (_a16, sql('SELECT chrom, start - 1 AS start, start - 1 + length AS "end" FROM coords WHERE node_id % 4 = 0')),
-    "a17_read_fasta": (_a17, sql("SELECT 'n' || node_id % 4 AS contig, node_id // 4 * 60 + 1 + node_id % 20 AS pos, substr(sequence, CAST(node_id % 20 AS INT) + 1, 1) AS base FROM nodes")),
+    "a17_read_fasta": (_a17, sql("SELECT 'n' || node_id % 4 AS contig, (node_id - 1) // 4 * 60 + 1 + node_id % 20 AS pos, substr(sequence, CAST(node_id % 20 AS INT) + 1, 1) AS base FROM nodes")),
     "a19_segment_store": (
-        lambda t: _store(t).where("node_id % 97 = 0").groupBy("node_id").agg(F.count(F.lit(1)).alias("n")),
-        sql("SELECT node_id, count(*) AS n FROM mappings WHERE node_id % 97 = 0 GROUP BY 1"),
+        lambda t: _store(t).groupBy("node_id").agg(F.count(F.lit(1)).alias("n"), F.min("mapq").alias("low"), F.max("seg_order").alias("last")),
+        sql("SELECT node_id, count(*) AS n, min(mapq) AS low, max(ord) AS last FROM mappings GROUP BY 1"),
     ),
     "a21_coord_table": (_a21, sql("SELECT node_id, start, strand, length, chrom FROM coords")),
     "a22_node_stats_io": (lambda t: graph_files.node_stats_io(_stats(t), scratch_path(t.spark, "stats")), sql("SELECT * FROM node_stats")),

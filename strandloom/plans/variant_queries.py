@@ -30,10 +30,12 @@ _TRUTH_LABEL_ALL = """SELECT node_id, v_pos, v_type, v_ref, v_alt, CASE WHEN sta
 _SBS = """SELECT *, CASE WHEN filters <> ['PASS'] THEN 'not_pass' WHEN prob <= 0.3 THEN 'low_prob' WHEN af < 0.1 THEN 'low_af' WHEN left_base IS NULL OR right_base IS NULL THEN 'no_context' END AS reason FROM (
     SELECT chrom, start + v_pos AS pos, 's' || node_id % 3 AS sample, v_ref AS ref, v_alt AS alt, CASE WHEN node_id % 4 = 0 THEN ['RefCall'] ELSE ['PASS'] END AS filters, ((node_id * 37 + v_pos * 11) % 101) / 100.0 AS prob,
     alt_allele_frequency AS af, nullif(substr(sequence, v_pos, CASE WHEN v_pos = 0 THEN 0 ELSE 1 END), '') AS left_base, nullif(substr(sequence, v_pos + 2, 1), '') AS right_base FROM located JOIN nodes USING (node_id))"""
-_LIFTED = """SELECT q.contig, q.q_pos, b.r_chrom, b.ref_pos, b.map_kind FROM (SELECT *, 'ctg' || node_id % 20 AS contig, node_id * 40 + node_id % 12 AS q_pos, node_id % 12 AS d FROM nodes WHERE node_id % 10 < 5) AS q LEFT JOIN (
+_PLACED_BASES = """SELECT chrom, start + p AS pos, substr(sequence, CAST(p + 1 AS BIGINT), 1) AS ref, substr(fseq, CAST(j + 1 AS BIGINT), 1) AS base FROM (SELECT *, CASE WHEN j < m THEN noff + j WHEN kind = 2 AND j >= m + 2 THEN noff + j - 2
+    WHEN kind = 3 THEN noff + j + 1 END AS p FROM (SELECT *, unnest(range(length(fseq))) AS j FROM mappings JOIN (SELECT node_id, chrom, start FROM coords) USING (node_id))) WHERE p IS NOT NULL"""
+_LIFTED = """SELECT q.contig, q.q_pos, b.r_chrom, b.ref_pos, b.map_kind FROM (SELECT *, 'ctg' || node_id % 20 AS contig, node_id * 40 + node_id % 30 AS q_pos, node_id % 30 AS d FROM nodes) AS q LEFT JOIN (
             SELECT q.node_id, arg_min(chrom, ord) AS r_chrom, arg_min(start + noff + CASE WHEN d < m THEN d WHEN kind = 2 AND d < m + 2 THEN m - 1 WHEN kind = 2 THEN d - 2 ELSE d + 1 END, ord) AS ref_pos,
-            arg_min(CASE WHEN kind = 2 AND d >= m AND d < m + 2 THEN 'anchor' ELSE 'exact' END, ord) AS map_kind FROM (SELECT node_id, node_id % 12 AS d FROM nodes) AS q JOIN mappings AS a USING (node_id) JOIN coords USING (node_id)
-            WHERE node_id % 10 < 3 AND d < length(fseq) GROUP BY 1) AS b USING (node_id)"""
+            arg_min(CASE WHEN kind = 2 AND d >= m AND d < m + 2 THEN 'anchor' ELSE 'exact' END, ord) AS map_kind FROM (SELECT node_id, node_id % 30 AS d FROM nodes) AS q JOIN mappings AS a USING (node_id) JOIN coords USING (node_id)
+            WHERE d < length(fseq) GROUP BY 1) AS b USING (node_id)"""
 _PON = """SELECT *, list_filter([1, 2, 3, 4], lambda k: list_contains(hits, k)) AS hit FROM (SELECT c.*, (SELECT list(DISTINCT p.panel) FROM panels AS p WHERE p.chrom = c.chrom AND p.pos = c.pos
     AND (p.panel > 2 OR (p.ref = c.ref AND list_contains(c.alts, p.alt)))) AS hits FROM calls AS c)"""
 
@@ -88,7 +90,16 @@ def _sbs(t):
 
 
 def _linear_reads(t):
-    return t.mappings().join(t.coords().select("node_id", "chrom", "start"), "node_id").where("kind = 0").selectExpr("chrom AS r_chrom", "start - 1 + noff AS r_start", "start - 1 + noff + m AS r_end", "fseq AS bases", "concat('read', read_id) AS name")
+    """Reads in linear coordinates, 0-based and half-open."""
+    return t.mappings().join(t.coords().select("node_id", "chrom", "start"), "node_id").selectExpr("chrom AS r_chrom", "start - 1 + noff AS r_start", "start - 1 + noff + span AS r_end", "concat('read', read_id) AS name")
+
+
+def _read_blocks(t):
+    """The aligned blocks of reads, without insertions and deletions: chrom, r_start, r_end, bases, ref_bases."""
+    rows = t.mappings().join(t.coords().select("node_id", "chrom", "start"), "node_id")
+    rows = rows.selectExpr("chrom", "start", "sequence", "fseq", "explode(IF(kind < 2, array(struct(noff AS p, 0 AS r, m AS n)), array(struct(noff AS p, 0 AS r, m AS n), struct(IF(kind = 2, noff + m, noff + m + 1) AS p, IF(kind = 2, m + 2, m) AS r, 6 AS n)))) AS b")
+    cut = "substr(fseq, b.r + 1, b.n)"
+    return rows.selectExpr("chrom", "start - 1 + b.p AS r_start", f"start - 1 + b.p + length({cut}) AS r_end", f"{cut} AS bases", "substr(sequence, b.p + 1, b.n) AS ref_bases").where("bases <> ''")
 
 
 def _loci(t):
@@ -96,9 +107,9 @@ def _loci(t):
 
 
 def _lifted(t):
-    rows = t.mappings().join(t.coords().select("node_id", "chrom", "start"), "node_id").where("node_id % 10 < 3")
+    rows = t.mappings().join(t.coords().select("node_id", "chrom", "start"), "node_id")
     aligned = rows.select(F.concat(F.lit("ctg"), F.col("node_id") % 20).alias("q_contig"), (F.col("node_id") * 40).alias("q_start"), F.col("chrom").alias("r_chrom"), (F.col("start") + F.col("noff")).alias("r_start"), cigar_ops(F.col("fcigar")).alias("ops"), F.col("ord").alias("file_order"))
-    queries = t.nodes().where("node_id % 10 < 5").selectExpr("concat('ctg', node_id % 20) AS contig", "node_id * 40 + node_id % 12 AS q_pos")
+    queries = t.nodes().selectExpr("concat('ctg', node_id % 20) AS contig", "node_id * 40 + node_id % 30 AS q_pos")  # many lie beyond the reads
     return intervals.lift_query_pos(queries, intervals.alignment_blocks(aligned))
 
 
@@ -178,9 +189,9 @@ QUERIES = {
         sql("SELECT node_id AS region_id, count(t.pos) AS n FROM coords AS c LEFT JOIN truth AS t ON t.chrom = c.chrom AND t.pos BETWEEN c.start AND c.start + c.length WHERE node_id % 6 = 0 GROUP BY 1"),
     ),
     "c12_reads_near_variant": (
-        lambda t: intervals.reads_near_variant(t.truth().where("pos % 50 = 0").selectExpr("chrom", "pos").distinct(), _linear_reads(t), 20).select("chrom", "pos", F.array_join("names", ",").alias("names")),
-        sql("""SELECT v.chrom, v.pos, string_agg(DISTINCT 'read' || read_id, ',' ORDER BY 'read' || read_id) AS names FROM (SELECT DISTINCT chrom, pos FROM truth WHERE pos % 50 = 0) AS v JOIN lin AS r ON r.chrom = v.chrom
-            AND r.r_start < v.pos + 20 AND r.r_end > greatest(v.pos - 20, 0) GROUP BY ALL""", lin="SELECT m.*, chrom, start - 1 + noff AS r_start, start - 1 + noff + m AS r_end FROM mappings AS m JOIN coords USING (node_id) WHERE kind = 0"),
+        lambda t: intervals.reads_near_variant(t.truth().selectExpr("chrom", "pos").distinct(), _linear_reads(t), 20).select("chrom", "pos", F.array_join("names", ",").alias("names")),
+        sql("""SELECT v.chrom, v.pos, string_agg(DISTINCT 'read' || read_id, ',' ORDER BY 'read' || read_id) AS names FROM (SELECT DISTINCT chrom, pos FROM truth) AS v JOIN lin AS r ON r.chrom = v.chrom
+            AND r.r_start < v.pos + 20 AND r.r_end > greatest(v.pos - 20, 0) GROUP BY ALL""", lin="SELECT m.*, chrom, start - 1 + noff AS r_start, start - 1 + noff + span AS r_end FROM mappings AS m JOIN coords USING (node_id)"),
     ),
     "c14_anchor_lookup": (
         lambda t: variants.anchor_lookup(_node_calls(t), _alt_ref(t), _anchors(t)).select("node_id", "v_pos", F.get("alts", 0).alias("alt"), "anchor.chrom", "anchor.start"),
@@ -192,10 +203,9 @@ QUERIES = {
         sql("SELECT * FROM lifted", lifted=_LIFTED),
     ),
     "c21_locus_counts": (
-        lambda t: intervals.locus_counts(_loci(t), _linear_reads(t)),
-        sql("""SELECT chrom, pos, ref, alt, count(*) AS depth, count(*) FILTER (base = ref) AS ref_count, count(*) FILTER (base = alt) AS alt_count, count(*) FILTER (base NOT IN (ref, alt)) AS other_count, count(*) FILTER (base = alt) / count(*) AS vaf
-            FROM (SELECT t.*, substr(fseq, CAST(t.pos - start - noff AS INT) + 1, 1) AS base FROM truth AS t JOIN coords AS c ON c.chrom = t.chrom AND t.pos >= c.start AND t.pos < c.start + c.length JOIN mappings AS m ON m.node_id = c.node_id AND kind = 0
-            AND t.pos - start >= noff AND t.pos - start < noff + m WHERE length(t.ref) = 1) GROUP BY ALL"""),
+        lambda t: intervals.locus_counts(_loci(t), _read_blocks(t).select(F.col("chrom").alias("r_chrom"), "r_start", "r_end", "bases")),
+        sql("""SELECT chrom, pos, t.ref, alt, count(*) AS depth, count(*) FILTER (base = t.ref) AS ref_count, count(*) FILTER (base = alt) AS alt_count, count(*) FILTER (base NOT IN (t.ref, alt)) AS other_count, count(*) FILTER (base = alt) / count(*) AS vaf
+            FROM truth AS t JOIN placed_bases AS b USING (chrom, pos) WHERE length(t.ref) = 1 GROUP BY ALL""", placed_bases=_PLACED_BASES),
     ),
     "c22_verify_alt_nodes": (
         lambda t: intervals.verify_alt_nodes(_candidates(t).where("start IS NOT NULL").selectExpr("node_id", "chrom", "start + v_pos AS pos", "v_alt AS alt"), t.nodes().where("node_id % 2 = 0"), t.truth()),

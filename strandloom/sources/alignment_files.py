@@ -4,12 +4,16 @@ from __future__ import annotations
 
 import gzip
 import struct
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strandloom.session import materialize
+
 EDIT = "struct<from_length: int, to_length: int, sequence: string>"
 POSITION = "struct<node_id: long, offset: long, is_reverse: boolean>"
 MAPPING = f"struct<position: {POSITION}, edit: array<{EDIT}>, rank: long>"
@@ -157,7 +161,7 @@ def group_messages(data: bytes) -> Iterator[bytes]:
                 yield piece
 
 
-def read_gam(spark: SparkSession, path: str) -> DataFrame:
+def read_gam(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """Alignments of framed protobuf files, a task a file as gzip doesn't split; convert them to Parquet once."""
     from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -211,3 +215,23 @@ def encode_alignment(row: dict) -> bytes:
 def encode_group(rows: list[dict], tag: bytes = b"GAM") -> bytes:
     pieces = [tag, *map(encode_alignment, rows)]
     return _put_varint(len(pieces)) + b"".join(_put_varint(len(p)) + p for p in pieces)
+
+
+def write_gam(reads: DataFrame, folder: str, group: int = 1_000) -> DataFrame:
+    """Write framed protobuf files from tasks, every other one with gzip; returns (file, reads) of those that count.
+
+    A task names its files anew each time it runs, so one that was lost leaves files that aren't listed.
+    """
+    names = ["name", "sequence", "quality", "mapping_quality", "identity", "refpos", "path"]
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, base = pyarrow.fs.FileSystem.from_uri(folder)
+        fs.create_dir(base, recursive=True)
+        for k, batch in enumerate(batches):
+            rows, name = batch.to_pylist(), f"{uuid.uuid4().hex}.gam"
+            content = encode_group([], b"OTHER") + b"".join(encode_group(rows[at : at + group]) for at in range(0, len(rows), group))
+            with fs.open_output_stream(f"{base}/{name}", compression=None) as out:
+                out.write(gzip.compress(content) if k % 2 else content)
+            yield pa.RecordBatch.from_pydict({"file": [f"{folder}/{name}"], "reads": pa.array([len(rows)], pa.int64())})
+
+    return materialize(reads.select(*names).mapInArrow(write, "file string, reads long"), "gam-files")

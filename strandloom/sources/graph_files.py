@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 
 def walk_steps(walk: Column) -> Column:
@@ -62,10 +63,21 @@ def write_node_ids(ids: DataFrame, path: str) -> None:
     ids.select("node_id").distinct().orderBy("node_id").select(F.col("node_id").cast("string").alias("value")).write.text(path)
 
 
+def json_rows(spark: SparkSession, schema: str, path: str) -> DataFrame:
+    """Objects of JSON files of which each holds an object a line, or one object or array over any number of lines.
+
+    Files are told apart by a line that isn't whole by itself; if there is one, every file is read as one value. Malformed
+    objects are skipped.
+    """
+    whole = F.col("value").rlike(r"^\s*(\{.*\}\s*,?|\[|\]|)\s*$")
+    several = not spark.read.text(path).where(~whole).isEmpty()
+    return spark.read.schema(schema).option("mode", "DROPMALFORMED").option("multiLine", several).json(path)
+
+
 def read_node_json(spark: SparkSession, path: str) -> DataFrame:
-    """Node records, one JSON object per line or ``{"nodes": [...]}`` per line; malformed objects are skipped."""
+    """Node records: JSON objects or ``{"nodes": [...]}``, a line each or over several lines (see ``json_rows``); malformed ones are skipped."""
     record = "node_id string, grch38_position_start long, position_start long, strand_in_path string, strand string, length int, chrom string, sequence string, genomead_af array<double>"
-    rows = spark.read.schema(f"{record}, nodes array<struct<{record.replace(' string', ': string').replace(' long', ': long').replace(' int', ': int').replace(' array', ': array')}>>").option("mode", "DROPMALFORMED").json(path)
+    rows = json_rows(spark, f"{record}, nodes array<struct<{record.replace(' string', ': string').replace(' long', ': long').replace(' int', ': int').replace(' array', ': array')}>>", path)
     names = [f.split()[0] for f in record.split(", ")]
     own = F.when(F.col("node_id").isNotNull(), F.array(F.struct(*names)))
     return canonical_nodes(rows.select(F.explode(F.coalesce("nodes", own)).alias("n")).select("n.*"))
@@ -109,21 +121,39 @@ def write_coord_table(coords: DataFrame, path: str) -> None:
     coords.select("node_id", "start", "strand", "length", "chrom").write.partitionBy("chrom").csv(path, sep="\t")
 
 
-def read_fasta(spark: SparkSession, path: str, chunk: int = 60) -> DataFrame:
-    """(contig, chunk_no, bases): one row per sequence line; lines hold ``chunk`` bases but for the last of a contig.
+def read_fasta(spark: SparkSession, path: str) -> DataFrame:
+    """(contig, chunk_no, bases): one row per sequence line of FASTA files, numbered from 0 in its contig.
 
-    Lines carry ``contig<TAB>chunk_no<TAB>bases``, as ``write_fasta_chunks`` leaves them, so that files split.
+    Files split: lines are numbered within their split, and what a split's first lines belong to is carried over from the
+    splits before it, a row each.
     """
-    parts = spark.read.text(path).select(F.split("value", "\t").alias("f"))
-    return parts.select(F.get("f", 0).alias("contig"), F.get("f", 1).cast("long").alias("chunk_no"), F.get("f", 2).alias("bases"))
-
-
-def write_fasta_chunks(bases: DataFrame, path: str) -> None:
-    bases.select(F.concat_ws("\t", "contig", F.col("chunk_no").cast("string"), "bases").alias("value")).write.text(path)
+    meta = F.col("_metadata")
+    lines = spark.read.text(path).select("value", meta["file_path"].alias("file"), meta["file_block_start"].alias("block"), F.monotonically_increasing_id().alias("n")).where("trim(value) <> ''")
+    head = F.when(F.col("value").startswith(">"), F.regexp_extract("value", r"^>\s*(\S*)", 1))
+    within = Window.partitionBy("file", "block").orderBy("n")
+    rows = lines.withColumn("head", head).withColumn("contig", F.last("head", True).over(within)).withColumn("section", F.count("head").over(within))
+    numbered = rows.withColumn("nth", F.count_if(F.col("head").isNull()).over(Window.partitionBy("file", "block", "section").orderBy("n")) - 1)
+    # by split: its last header, and the lines behind it
+    splits = numbered.groupBy("file", "block").agg(F.max_by("contig", "n").alias("contig"), F.max_by("nth", "n").alias("last"))
+    along = Window.partitionBy("file").orderBy("block")
+    splits = splits.withColumn("run", F.count("contig").over(along))
+    so_far = F.sum(F.col("last") + 1).over(Window.partitionBy("file", "run").orderBy("block"))
+    splits = splits.withColumn("seen", so_far).withColumn("of", F.last("contig", True).over(along))
+    carried = splits.select("file", "block", F.lag("of").over(along).alias("carried"), F.coalesce(F.lag("seen").over(along), F.lit(0)).alias("seen"))
+    found = numbered.where("head IS NULL").join(carried, ["file", "block"])
+    first = F.col("section") == 0
+    return found.select(F.when(first, F.col("carried")).otherwise(F.col("contig")).alias("contig"), (F.col("nth") + F.when(first, F.col("seen")).otherwise(0)).alias("chunk_no"), F.trim("value").alias("bases"))
+
+
+def write_fasta(chunks: DataFrame, path: str) -> None:
+    """FASTA files of (contig, chunk_no, bases), each with whole contigs."""
+    heads = chunks.select("contig").distinct().select("contig", F.lit(-1).cast("long").alias("chunk_no"), F.concat(F.lit(">"), "contig").alias("bases"))
+    lines = chunks.select("contig", F.col("chunk_no").cast("long").alias("chunk_no"), "bases").unionByName(heads)
+    lines.repartition("contig").sortWithinPartitions("contig", "chunk_no").select(F.col("bases").alias("value")).write.text(path)
 
 
 def fasta_base(positions: DataFrame, fasta: DataFrame, chunk: int = 60) -> DataFrame:
-    """The base at each (contig, pos), pos 1-based, by an equi-join on the chunk's number."""
+    """The base at each (contig, pos), pos 1-based, by an equi-join on the number of the line of ``chunk`` bases."""
     keyed = positions.withColumn("chunk_no", F.expr(f"(pos - 1) div {chunk}"))
     return keyed.join(fasta, ["contig", "chunk_no"], "left").withColumn("base", F.expr(f"substring(bases, int((pos - 1) % {chunk}) + 1, 1)")).drop("bases", "chunk_no")
 

@@ -20,8 +20,18 @@ def node_stats_stream(spark: SparkSession, folder: str, min_mapq: int = 6, files
     return parts.groupBy("node_id").agg(F.count_if("perfect").alias("perfect"), F.count_if(~F.col("perfect")).alias("not_perfect"), F.max("n").alias("max_read_length"), F.max("c").alias("max_cigar_length"))
 
 
-def run_to_table(stream: DataFrame, name: str, checkpoint: str) -> DataFrame:
-    """Process all files there are, with state checkpointed in the shared folder, and return the final table."""
-    query = stream.writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def run_to_table(stream: DataFrame, path: str, checkpoint: str) -> DataFrame:
+    """Process all files there are, with state checkpointed in the shared folder, and return the final table.
+
+    Each batch adds the nodes that it changed, as Parquet below ``path``; a node's last version counts. A batch that runs
+    again overwrites its own folder.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    query = stream.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
-    return stream.sparkSession.table(name)
+    values = [c for c in stream.columns if c != "node_id"]
+    versions = stream.sparkSession.read.schema(f"{', '.join(f'{f.name} {f.dataType.simpleString()}' for f in stream.schema)}, batch long").parquet(path)
+    return versions.groupBy("node_id").agg(F.max_by(F.struct(*values), "batch").alias("last")).select("node_id", "last.*")

@@ -1,13 +1,15 @@
 """Small cases of node, variant, interval, dataset and source operators."""
 
 import gzip
+import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from strandloom.functions import variants as fv
-from strandloom.operators import dataset, graph, intervals, nodes, variants
-from strandloom.sources import alignment_files, summary_files, vcf
+from strandloom.operators import dataset, graph, intervals, nodes, ranks, variants
+from strandloom.sources import alignment_files, graph_files, summary_files, vcf
 
 
 def rows_of(df):
@@ -131,3 +133,41 @@ def test_neighbour_reader_and_node_ids(spark, tmp_path):
     (tmp_path / "bad").write_text("3\nx\n")
     with pytest.raises(Exception, match="not a node id"):
         graph_files.read_node_ids(spark, str(tmp_path / "bad")).collect()
+
+
+def test_fasta_splits_and_keeps_contigs(spark, tmp_path):
+    rng = random.Random(3)
+    contigs = {f"c{k}": "".join(rng.choice("ACGTN") for _ in range(rng.randint(1, 5_000))) for k in range(9)}
+    text = "".join(f">{name} more words\n" + "".join(bases[at : at + 60] + "\n" for at in range(0, len(bases), 60)) for name, bases in contigs.items())
+    (tmp_path / "one.fa").write_text(text)
+    wanted = sorted((name, k, bases[at : at + 60]) for name, bases in contigs.items() for k, at in enumerate(range(0, len(bases), 60)))
+    before = {key: spark.conf.get(key) for key in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        for size in ("700b", "128m"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            spark.conf.set("spark.sql.files.openCostInBytes", "1b")
+            read = graph_files.read_fasta(spark, str(tmp_path / "one.fa"))
+            assert rows_of(read) == wanted
+        graph_files.write_fasta(read, str(tmp_path / "again"))
+        assert rows_of(graph_files.read_fasta(spark, str(tmp_path / "again"))) == wanted
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
+
+
+def test_json_over_several_lines(spark, tmp_path):
+    objects = [{"shard_path": "a/shard_3.npy", "index_in_shard": k, "pred_class": "true", "pred_prob": 0.5} for k in range(3)]
+    layouts = ["\n".join(map(json.dumps, objects)), json.dumps(objects), json.dumps(objects, indent=2), "[\n" + ",\n".join(map(json.dumps, objects)) + "\n]"]
+    for k, text in enumerate(layouts):
+        (tmp_path / f"p{k}.json").write_text(text)
+        assert sorted((r.shard_index, r.index_within_shard, r.p_true) for r in summary_files.read_predictions(spark, str(tmp_path / f"p{k}.json")).collect()) == [(3, i, 0.5) for i in range(3)]
+    (tmp_path / "n.json").write_text(json.dumps({"nodes": [{"node_id": "5", "sequence": "ACG"}, {"node_id": "6", "length": 4}]}, indent=1))
+    assert rows_of(graph_files.read_node_json(spark, str(tmp_path / "n.json")).select("node_id", "length")) == [(5, 3), (6, 4)]
+
+
+def test_running_sums(spark):
+    rows = [(k % 3 if k % 7 else None, k, k % 5) for k in range(500)]
+    got = {r.k: (r.before, r.nth) for r in ranks.running_sum(ranks.running_sum(spark.createDataFrame(rows, "g int, k int, v int").repartition(9), "g", "k", value="v"), "g", "k", column="nth").collect()}
+    for g, k, _ in rows:
+        earlier = [r for r in rows if r[0] == g and r[1] < k]
+        assert got[k] == (sum(r[2] for r in earlier), len(earlier))
