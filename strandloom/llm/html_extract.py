@@ -292,13 +292,17 @@ def _unique_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _usual_blocks(blocks: DataFrame) -> DataFrame:
-    """(content, usual): of pages with articles, the places of blocks that most pages of the host have."""
-    pages = blocks.select("host", "content").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
+    """(content, usual): of pages with articles, the places of blocks that most pages of the host have.
+
+    Both tables are written before they are joined, so that the planner knows their sizes and moves whichever is small.
+    """
+    hosts = blocks.select(F.xxhash64("host").alias("of_host"), "host", "content", "blocks")
+    pages = hosts.select("of_host", "content").distinct().groupBy("of_host").agg(F.count(F.lit(1)).alias("pages"))
     bodies = F.transform("blocks", lambda b: F.unhex(F.md5(F.concat_ws("\n", "host", b["body"]))))
-    places = blocks.select("host", "content", F.posexplode(bodies).alias("at", "digest"))
-    counts = places.select("host", "digest", "content").distinct().groupBy("host", "digest").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= LEAST_PAGES)
-    usual = counts.join(pages, "host").where(F.col("n") >= MOST_SHARE * F.col("pages")).select("digest")
-    return places.join(usual, "digest", "left_semi").groupBy("content").agg(F.collect_set("at").alias("usual"))
+    places = hosts.select("of_host", "content", F.posexplode(bodies).alias("at", "digest"))
+    counts = places.select("digest", "content", "of_host").distinct().groupBy("digest", "of_host").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= LEAST_PAGES)
+    usual = materialize(counts.join(pages, "of_host").where(F.col("n") >= MOST_SHARE * F.col("pages")).select("digest"), "usual-blocks")
+    return materialize(places.join(usual, "digest", "left_semi").groupBy("content").agg(F.collect_set("at").alias("usual")), "usual-places")
 
 
 def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
