@@ -7,9 +7,9 @@ State, all on shared files: ``postings`` (digest, doc_id; one row per document a
 last_doc: the exact reference-count table) and ``filters`` (shard, blob: a cuckoo filter of each shard's frequent
 keys). ``insert`` and ``delete`` update all three; deleting what was inserted gives the earlier state back.
 
-Rewriting documents asks the filters first, map-side, so that only postings that may be frequent meet the exact
-table. The filters are sent to the tasks only if their summed size is at most ``FILTER_BYTES``; beyond that
-postings are joined with the exact table directly, with the same result.
+Rewriting documents asks the filters first, so that only postings that may be frequent meet the exact table. Filters of
+at most ``FILTER_BYTES`` together go to every task. Beyond that postings and filters are dealt by shard, each shard over
+``SALTS`` tasks so that one key's postings don't go to one, and a task reads the shard's filter ahead of its postings.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ from strandloom.session import materialize
 
 MIN_CHARS, MIN_DOCS = 40, 5
 SHARD_KEYS = 1_000_000
-FILTER_BYTES = 64 << 20
+FILTER_BYTES, SALTS = 64 << 20, 16
 WHITE = " \t\n\x0b\f\r"
 
 _SLOTS, _KICKS = 4, 500
@@ -185,6 +185,9 @@ def index_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 def _changed(index: LineIndex, postings: DataFrame, counts: DataFrame) -> LineIndex:
     counts = materialize(counts, "line-counts")
     after = counts.where(F.col("n_docs") >= MIN_DOCS)
+    shards = max(1, -(-after.count() // SHARD_KEYS))
+    if shards > 2 * index.shards or index.shards > 2 * shards:  # deal the keys anew
+        return LineIndex(postings, counts, materialize(build_filters(after, shards), "line-filters"), shards)
     keys = index.frequent.select("digest", F.lit(True).alias("was")).join(after.select("digest", F.lit(True).alias("is")), "digest", "full")
     changes = keys.where("was is null or is is null").select("digest", F.expr("if(was is null, 1, -1)").alias("delta"))
     filters = update_filters(index.filters, changes, after, index.shards)
@@ -192,8 +195,11 @@ def _changed(index: LineIndex, postings: DataFrame, counts: DataFrame) -> LineIn
 
 
 def insert(index: LineIndex, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> LineIndex:
-    """The index with ``docs``, whose ids are new, added: only their own lines are read."""
+    """The index with ``docs`` added: only their own lines are read. An id that the index has already is an error."""
     fresh = materialize(line_postings(docs, id_col, text_col), "line-postings")
+    again = fresh.select("doc_id").distinct().join(index.postings.select("doc_id").distinct(), "doc_id").first()
+    if again is not None:
+        raise ValueError(f"document {again['doc_id']} is in the index already")
     both = index.counts.unionByName(reference_counts(fresh)).groupBy("digest").agg(F.sum("n_docs").alias("n_docs"), F.max("last_doc").alias("last_doc"))
     return _changed(index, index.postings.unionByName(fresh), both)
 
@@ -207,25 +213,56 @@ def delete(index: LineIndex, ids: DataFrame) -> LineIndex:
     return _changed(index, postings, index.counts.join(touched, "digest", "left_anti").unionByName(anew))
 
 
-def _maybe_frequent(index: LineIndex) -> DataFrame:
-    """Postings that the filters let through, or all where the filters are too large to send."""
-    spark = index.postings.sparkSession
-    size = index.filters.agg(F.sum(F.octet_length("blob"))).first()[0] or 0
-    if size > FILTER_BYTES:
-        return index.postings
-    blobs = spark.sparkContext.broadcast({r["shard"]: bytes(r["blob"]) for r in index.filters.collect()})  # at most FILTER_BYTES
+def _contains(filters: dict[int, CuckooFilter], batch: pa.RecordBatch) -> np.ndarray:
+    """Which postings of a batch (digest, shard) the filters let through."""
+    hashes = _hashes(batch.column("digest").to_pylist()) if batch.num_rows else np.zeros(0, np.uint64)
+    shard, hit = batch.column("shard").to_numpy(zero_copy_only=False), np.zeros(batch.num_rows, bool)
+    for k in np.unique(shard).tolist():
+        if k in filters:
+            hit[shard == k] = filters[k].contains(hashes[shard == k])
+    return hit
+
+
+def _probe_everywhere(index: LineIndex, postings: DataFrame) -> DataFrame:
+    blobs = postings.sparkSession.sparkContext.broadcast({r["shard"]: bytes(r["blob"]) for r in index.filters.collect()})  # at most FILTER_BYTES
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         filters = {shard: CuckooFilter.loads(blob) for shard, blob in blobs.value.items()}
         for batch in batches:
-            hashes = _hashes(batch.column("digest").to_pylist()) if batch.num_rows else np.zeros(0, np.uint64)
-            shard, hit = batch.column("shard").to_numpy(zero_copy_only=False), np.zeros(batch.num_rows, bool)
-            for k, made in filters.items():
-                mine = shard == k
-                hit[mine] = made.contains(hashes[mine])
-            yield batch.select(["digest", "doc_id"]).filter(pa.array(hit))
-
-    return index.postings.withColumn("shard", _shard(index.shards)).mapInArrow(probe, index.postings.schema)
+            yield batch.select(["digest", "doc_id"]).filter(pa.array(_contains(filters, batch)))
+
+    return postings.mapInArrow(probe, index.postings.schema)
+
+
+def _probe_by_shard(index: LineIndex, postings: DataFrame) -> DataFrame:
+    salted = postings.select("shard", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int").alias("salt"), F.lit(None).cast("binary").alias("blob"), "digest", "doc_id")
+    every = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
+    filters = index.filters.select("shard", every, "blob", F.lit(None).cast("binary").alias("digest"), F.lit(None).cast("long").alias("doc_id"))
+    tasks = max(index.shards * SALTS, postings.sparkSession.sparkContext.defaultParallelism)
+    # a shard's filter sorts before its postings
+    dealt = salted.unionByName(filters).repartition(tasks, "shard", "salt").sortWithinPartitions("shard", "salt", F.col("blob").isNull())
+
+    def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        filters: dict[int, CuckooFilter] = {}
+        for batch in batches:
+            blobs = batch.column("blob")
+            begins = [*np.flatnonzero(blobs.is_valid().to_numpy(zero_copy_only=False)).tolist(), batch.num_rows]
+            for lo, hi in zip([0, *begins[:-1]], begins, strict=True):
+                if lo < batch.num_rows and blobs[lo].is_valid:
+                    filters = {batch.column("shard")[lo].as_py(): CuckooFilter.loads(blobs[lo].as_py())}
+                    lo += 1
+                part = batch.slice(lo, hi - lo)
+                if part.num_rows:
+                    yield part.select(["digest", "doc_id"]).filter(pa.array(_contains(filters, part)))
+
+    return dealt.mapInArrow(probe, index.postings.schema)
+
+
+def _maybe_frequent(index: LineIndex) -> DataFrame:
+    """Postings that the filters let through."""
+    size = index.filters.agg(F.sum(F.octet_length("blob"))).first()[0] or 0
+    postings = index.postings.withColumn("shard", _shard(index.shards))
+    return _probe_by_shard(index, postings) if size > FILTER_BYTES else _probe_everywhere(index, postings)
 
 
 def line_drops(index: LineIndex) -> DataFrame:

@@ -235,6 +235,19 @@ def test_license_forms(spark):
     assert license_scan.scan_licenses(docs.where("false"), license_scan.known_licenses(spark)).count() == 0
 
 
+def test_whole_licenses_are_found_inside_documents(spark):
+    published = "/usr/share/common-licenses"
+    texts = {name: text for name, text in license_scan.KNOWN if "\n" in text}
+    files = {"Apache-2.0": "Apache-2.0", "GPL-2.0": "GPL-2", "GPL-3.0": "GPL-3", "LGPL-3.0": "LGPL-3", "MPL-2.0": "MPL-2.0", "CC0-1.0": "CC0-1.0"}
+    texts |= {name: open(f"{published}/{file}", encoding="utf-8").read() for name, file in files.items() if os.path.exists(f"{published}/{file}")}
+    rows = [(name, text) for name, text in texts.items()] + [(name, f"Project x\n\nCopyright (c) 2020 me\n{text[:90]} ... {text}\nthe end") for name, text in texts.items()] + [(name + "!", text[: len(text) - 30]) for name, text in texts.items()]
+    docs = spark.createDataFrame([(k, t) for k, (_, t) in enumerate(rows)], "doc_id long, text string")
+    got = {r.doc_id: r for r in license_scan.scan_licenses(docs, license_scan.known_licenses(spark)).collect()}
+    for k, (name, _) in enumerate(rows):
+        assert name.endswith("!") and not got[k].contained or name in got[k].contained.split(","), name
+        assert got[k].license == (name if k < len(texts) else None)
+
+
 def test_vectors_equal_brute_force(spark):
     rng = np.random.default_rng(8)
     rows, near = [], []

@@ -167,6 +167,28 @@ def test_line_dedup_and_its_reversal(spark):
         hashes = line_dedup._hashes([bytes(r.digest) for r in index.frequent.collect()])
         assert blobs[0].contains(hashes).all()
     assert line_dedup.drop_repeated_lines(frame([])).count() == 0
+    with pytest.raises(ValueError):
+        line_dedup.insert(before, frame(docs[:1] + docs[39:41]))
+    twice = [(5, common[0] + "\n" + common[0]), (5, common[0]), (None, common[0]), (None, None), (6, common[0]), (7, common[0]), (8, "x")]
+    rows = sorted((str(r.doc_id), r.n_lines, r.n_dropped) for r in line_dedup.drop_repeated_lines(frame(twice)).collect())
+    assert rows == [("5", 1, 1), ("5", 2, 2), ("6", 1, 1), ("7", 1, 0), ("8", 1, 0), ("None", 1, 0), ("None", 1, 1)]
+
+
+def test_filters_dealt_by_shard_give_the_same(spark, monkeypatch):
+    rng = random.Random(8)
+    lines = [f"a line of forty characters and some more, number {k}" for k in range(60)]
+    docs = spark.createDataFrame([(i, "\n".join(rng.sample(lines, 8) + [f"own {i}"] + [lines[0]])) for i in range(1, 90)], "doc_id long, text string")
+    monkeypatch.setattr(line_dedup, "SHARD_KEYS", 7)
+    got = []
+    for size in (64 << 20, 0):
+        monkeypatch.setattr(line_dedup, "FILTER_BYTES", size)
+        index = line_dedup.index_lines(docs)
+        passed = line_dedup._maybe_frequent(index)
+        assert index.shards > 3 and passed.count() < index.postings.count() + 1
+        exact = index.postings.join(index.frequent.select("digest"), "digest", "left_semi")
+        assert exact.join(passed, ["digest", "doc_id"], "left_anti").isEmpty()
+        got.append(sorted(map(tuple, line_dedup.drop_repeated_lines(docs).collect())))
+    assert got[0] == got[1]
 
 
 def test_cuckoo_filter_inserts_and_deletes():
