@@ -198,7 +198,7 @@ def oracle(texts: tuple[tuple[str, str], ...] = KNOWN, long: tuple = LONG) -> st
                   UNION ALL SELECT * FROM (VALUES {more}) AS m(digest, license, head, chars)),
         docs AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS body, {form("coalesce(text, '')")} AS f FROM documents),
         held AS (SELECT rid, array_to_string(list_sort(list(DISTINCT license)), ',') AS contained FROM docs JOIN known ON head IS NOT NULL AND contains(f, head)
-                 WHERE len(list_filter(range(1, len(string_split(f, head))), lambda k: sha256(head || left(array_to_string(string_split(f, head)[k + 1:], head), CAST(chars - {HEAD} AS BIGINT))) = digest)) > 0 GROUP BY rid),
+                 WHERE len(list_filter(range(1, len(string_split(f, head))), lambda k: sha256(head || substr(f, CAST(list_sum(list_transform(string_split(f, head)[1:k], lambda p: length(p))) AS BIGINT) + k * {HEAD} + 1, CAST(chars - {HEAD} AS BIGINT))) = digest)) > 0 GROUP BY rid),
         lines AS (SELECT rid, unnest(string_split(body, chr(10))) AS line FROM docs),
         found AS (SELECT rid, string_agg(DISTINCT license, ',' ORDER BY license) AS line_licenses, count(*) AS n
                   FROM lines JOIN known ON sha256({form("line")}) = digest GROUP BY rid)
