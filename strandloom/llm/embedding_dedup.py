@@ -1,9 +1,11 @@
 """Near-duplicate embeddings by spherical-cap filters.
 
 A filter is a direction of a structured random product code: the dimensions are dealt into ``PARTS`` parts, each with
-``CODEWORDS`` random unit vectors, and a direction is one codeword per part. List decoding gives each vector all
-directions whose inner product with it exceeds ``CAP`` standard deviations, at least its ``LEAST_FILTERS`` best ones, by
-bounding the sum part by part. Vectors of one label that share a filter are candidates and are compared
+the same number of random unit vectors, and a direction is one codeword per part. List decoding gives each vector all
+directions whose inner product with it exceeds a cap, and a number of its best ones, by bounding the sum part by
+part. The cap and the number of directions grow with the largest label (``filters_for``): each vector keeps about
+``FILTERS`` filters and some more in large tables, a filter about ``MEMBERS`` vectors spread at random, so that work
+grows in proportion to the table but for a power of its logarithm. Vectors of one label that share a filter are candidates and are compared
 exactly, in double precision. Equal vectors are one class throughout.
 
 Buckets are cut into blocks of ``BLOCK`` rows and pairs of blocks are dealt over tasks, so a bucket of any size is
@@ -14,7 +16,9 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import math
 from collections.abc import Iterator
+from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
@@ -25,37 +29,49 @@ from pyspark.sql import functions as F
 from strandloom.operators.graph import connected
 from strandloom.session import materialize
 
-PARTS, CODEWORDS, CAP, LEAST_FILTERS = 3, 96, 3.75, 32
+PARTS, CAP, FILTERS, MEMBERS, LEAST_FILTERS = 3, 3.75, 78, 4.5, 32
 BLOCK, TASK_ROWS = 512, 20_000
 
 
+def filters_for(n: int) -> tuple[int, float, int]:
+    """(codewords of a part, cap in standard deviations, least filters of a vector) for labels of up to ``n`` vectors.
+
+    The higher the cap, the smaller the part of a filter's vectors that a neighbour shares, so that vectors get more
+    filters then, by a power of log n, for the same recall.
+    """
+    usual = 1 - NormalDist().cdf(CAP)
+    share = min(usual, MEMBERS / max(1, n))
+    more = (math.log(share) / math.log(usual)) ** 3
+    return math.ceil((FILTERS * more / share) ** (1 / PARTS)), -NormalDist().inv_cdf(share), round(LEAST_FILTERS * more)
+
+
 @functools.lru_cache(maxsize=8)
-def product_code(dim: int) -> list[tuple[np.ndarray, np.ndarray]]:
+def product_code(dim: int, codewords: int) -> list[tuple[np.ndarray, np.ndarray]]:
     """(dimensions, codewords as rows) of each part; a direction's parts have equal lengths that sum to one."""
     rng = np.random.default_rng(dim)
     parts = [p for p in np.array_split(rng.permutation(dim), min(PARTS, dim)) if len(p)]
     code = []
     for dims in parts:
-        words = rng.standard_normal((CODEWORDS, len(dims)))
+        words = rng.standard_normal((codewords, len(dims)))
         code.append((dims, words / np.linalg.norm(words, axis=1, keepdims=True) / len(parts) ** 0.5))
     return code
 
 
-def list_decode(vector: np.ndarray) -> np.ndarray:
-    """Numbers of all filters that the unit vector exceeds, sorted."""
-    scores = [words @ vector[dims] for dims, words in product_code(len(vector))]
-    cut = CAP / len(vector) ** 0.5
+def list_decode(vector: np.ndarray, codewords: int, cap: float, least: int) -> np.ndarray:
+    """Numbers of all filters that the unit vector exceeds, and of its ``least`` best ones, sorted."""
+    scores = [words @ vector[dims] for dims, words in product_code(len(vector), codewords)]
+    cut = cap / len(vector) ** 0.5
     # the best directions are among combinations of each part's best codewords
-    top = [np.sort(s)[::-1][:LEAST_FILTERS] for s in scores]
-    sums = functools.reduce(lambda a, b: np.sort((a[:, None] + b).ravel())[::-1][:LEAST_FILTERS], top)
+    top = [np.sort(s)[::-1][:least] for s in scores]
+    sums = functools.reduce(lambda a, b: np.sort((a[:, None] + b).ravel())[::-1][:least], top)
     cut = min(cut, sums[-1]) - 1e-12
     rest = [sum(s.max() for s in scores[k + 1 :]) for k in range(len(scores))]
     number, total = np.zeros(1, np.int64), np.zeros(1)
     for s, later in zip(scores, rest, strict=True):
         both = total[:, None] + s
         a, b = np.nonzero(both >= cut - later)
-        number, total = number[a] * CODEWORDS + b, both[a, b]
-    return np.sort(number).astype(np.int32)
+        number, total = number[a] * codewords + b, both[a, b]
+    return np.sort(number)
 
 
 def unit(values: list | None) -> np.ndarray | None:
@@ -77,10 +93,10 @@ def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("vec_id"), batch.column("label"), pa.array(keys, pa.binary()), pa.array(data, pa.binary())], ["vec_id", "label", "key", "unit"])
 
 
-def _filters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _filters(batches: Iterator[pa.RecordBatch], codewords: int, cap: float, least: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        lists = [list_decode(np.frombuffer(u, np.float64)) for u in batch.column("unit").to_pylist()]
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lists, pa.list_(pa.int32()))], [*batch.schema.names, "filters"])
+        lists = [list_decode(np.frombuffer(u, np.float64), codewords, cap, least) for u in batch.column("unit").to_pylist()]
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lists, pa.list_(pa.int64()))], [*batch.schema.names, "filters"])
 
 
 def _earlier(filters: list[np.ndarray], now: int) -> np.ndarray:
@@ -139,9 +155,11 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.93, id_col: str = "vec_id
     rows = materialize(rows.mapInArrow(_units, "vec_id long, label string, key binary, unit binary"), "vectors")
     valid = rows.where("label is not null and key is not null")
     classes = materialize(valid.groupBy("label", "key").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("size")), "vector-classes")
+    largest = classes.groupBy("label").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0]
+    codewords, cap, least = filters_for(largest or 0)
     firsts = classes.where("rep is not null")
     reps = valid.join(firsts.withColumnRenamed("rep", "vec_id"), ["label", "key", "vec_id"]).dropDuplicates(["label", "vec_id", "key"])
-    reps = reps.select(F.col("vec_id").alias("rep"), "label", "size", "unit").mapInArrow(_filters, "rep long, label string, size long, unit binary, filters array<int>")
+    reps = reps.select(F.col("vec_id").alias("rep"), "label", "size", "unit").mapInArrow(lambda b: _filters(b, codewords, cap, least), "rep long, label string, size long, unit binary, filters array<long>")
     reps = materialize(reps.withColumn("dim", F.octet_length("unit")), "vector-filters")
 
     posts = reps.select("rep", "label", "dim", F.explode("filters").alias("filter"))
