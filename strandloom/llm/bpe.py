@@ -1,6 +1,6 @@
 """Byte-level BPE encoding and decoding of whole texts.
 
-Texts of up to ``CHUNK`` characters are encoded as they are. Longer ones are cut into overlapping chunks, which
+Texts of up to ``CHUNK`` characters are one chunk, which has no seam, and are encoded where they are. Longer ones are cut into overlapping chunks, which
 tasks pre-tokenise in parallel. Two neighbouring chunks are stitched at the first pre-token boundary on which
 both agree: a match of the pattern depends on nothing before its start, so from a common boundary on the later
 chunk's matches are those of the whole text. The pieces between such boundaries are then encoded in parallel.
@@ -24,6 +24,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from strandloom.llm.shingles import slices
+
 CHUNK = 32_768
 OVERLAP = 1_024
 #: a contraction is known to be one only after three characters
@@ -104,16 +106,17 @@ def _digest_pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def _digest_texts(batches: Iterator[pa.RecordBatch], vocab_path: str, pattern: str) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        n, ids_sha, raw_sha = [], [], []
-        for text in batch.column("body").to_pylist():
-            ids = encode(text, vocab_path, pattern)
-            n.append(len(ids))
-            ids_sha.append(hashlib.sha256(ids.tobytes()).hexdigest())
-            raw_sha.append(hashlib.sha256(decode(ids, vocab_path, pattern)).hexdigest())
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(raw_sha, pa.string())],
-            ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
-        )
+        for part in slices(batch, "body"):
+            n, ids_sha, raw_sha = [], [], []
+            for text in part.column("body").to_pylist():
+                ids = encode(text, vocab_path, pattern)
+                n.append(len(ids))
+                ids_sha.append(hashlib.sha256(ids.tobytes()).hexdigest())
+                raw_sha.append(hashlib.sha256(decode(ids, vocab_path, pattern)).hexdigest())
+            yield pa.RecordBatch.from_arrays(
+                [part.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(raw_sha, pa.string())],
+                ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
+            )
 
 
 def encode_pieces(docs: DataFrame, vocab_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:

@@ -284,26 +284,32 @@ def test_vectors_equal_brute_force(spark):
     assert embedding_dedup.near_vectors(frame.where("false")).count() == 0
 
 
-def test_filter_recall():
-    rng, shared = np.random.default_rng(1), []
-    for _ in range(300):
+@pytest.mark.parametrize("n", [0, 50_000, 2_000_000, 100_000_000])
+def test_filter_recall(n):
+    rng, shared, kept = np.random.default_rng(1), [], []
+    codewords, cap, least = embedding_dedup.filters_for(n)
+    for _ in range(150):
         x = rng.standard_normal(64)
         x /= np.linalg.norm(x)
         y = rng.standard_normal(64)
         y -= x * (x @ y)
         y /= np.linalg.norm(y)
         other = 0.93 * x + np.sqrt(1 - 0.93**2) * y
-        shared.append(len(np.intersect1d(embedding_dedup.list_decode(x), embedding_dedup.list_decode(other))))
-    assert np.mean(np.array(shared) > 0) >= 0.98
+        lists = [embedding_dedup.list_decode(v, codewords, cap, least) for v in (x, other)]
+        shared.append(len(np.intersect1d(*lists)))
+        kept.append(len(lists[0]))
+    assert np.mean(np.array(shared) > 0) >= 0.97
+    # a vector's filters grow by a power of log n, a filter's vectors hardly
+    assert np.mean(kept) < 900 and n * np.mean(kept) / codewords**3 < 12
 
 
 def test_list_decode_is_complete():
     vector = embedding_dedup.unit(np.random.default_rng(3).standard_normal(16).tolist())
-    code = embedding_dedup.product_code(16)
+    code = embedding_dedup.product_code(16, 30)
     scores = [words @ vector[dims] for dims, words in code]
     total = (scores[0][:, None, None] + scores[1][:, None] + scores[2]).ravel()
-    cut = min(embedding_dedup.CAP / 4, np.sort(total)[::-1][embedding_dedup.LEAST_FILTERS - 1])
-    assert set(embedding_dedup.list_decode(vector)) == set(np.flatnonzero(total >= cut - 1e-12))
+    cut = min(3.75 / 4, np.sort(total)[::-1][31])
+    assert set(embedding_dedup.list_decode(vector, 30, 3.75, 32)) == set(np.flatnonzero(total >= cut - 1e-12))
 
 
 def test_pipeline_on_the_smallest_tables(spark):

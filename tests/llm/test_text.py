@@ -200,6 +200,34 @@ def test_cuckoo_filter_inserts_and_deletes():
     assert made.contains(ins[5_000:]).all() and made.contains(ins[:5_000]).mean() < 0.01
 
 
+def test_repeated_and_null_ids_are_rows_of_their_own(spark):
+    texts, ids = ["same words here", "same words here", "same words here", None, "other text", "other text"], [5, 5, None, None, 6, 7]
+    docs = table(spark, texts, ids)
+    assert sorted((str(r.doc_id), r.n_tokens) for r in bpe.round_trip_digests(docs, VOCAB, public_tokenizers.PATTERN).collect())[-2:][0][0] == "None"
+    assert bpe.round_trip_digests(docs, VOCAB, public_tokenizers.PATTERN).count() == 6 and bpe.round_trip_digests(table(spark, []), VOCAB, public_tokenizers.PATTERN).count() == 0
+    pieces = packing.pack_documents(docs, WORDS).collect()
+    assert sorted(str(r.doc_id) for r in pieces) == sorted(map(str, ids)) and len({(r.sequence_id, r.offset) for r in pieces}) == 6
+    groups = near_dedup.near_groups(docs, 3, 85).collect()
+    assert sorted((str(r.doc_id), r.component_id, r.kept) for r in groups) == [("5", 5, True), ("5", 5, True), ("6", 6, True), ("7", 6, False), ("None", 5, False), ("None", None, True)]
+
+
+def test_a_bucket_of_many_unlinked_rows(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "BLOCK", 16)  # many pairs of blocks
+    rng = random.Random(12)
+    base = [f"w{k}" for k in range(120)]
+    texts = []
+    for k in range(150):  # a template: near each other, below the threshold but for a few
+        copy = list(base)
+        for at in rng.sample(range(120), 14):
+            copy[at] = f"x{k}y{at}"
+        texts.append(" ".join(copy))
+        if k % 30 == 0:
+            texts.append(" ".join([*copy[:-1], "end"]))
+    rows = near_dedup.near_groups(table(spark, texts), 3, 85).collect()
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in rows}
+    assert [got[i] for i in range(1, len(texts) + 1)] == near_by_hand(texts, 3, 85)
+
+
 def near_by_hand(texts, words, percent):
     sets = []
     for t in texts:
