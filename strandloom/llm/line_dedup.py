@@ -216,7 +216,7 @@ def delete(index: LineIndex, ids: DataFrame) -> LineIndex:
 def _contains(filters: dict[int, CuckooFilter], batch: pa.RecordBatch) -> np.ndarray:
     """Which postings of a batch (digest, shard) the filters let through."""
     hashes = _hashes(batch.column("digest").to_pylist()) if batch.num_rows else np.zeros(0, np.uint64)
-    shard, hit = batch.column("shard").to_numpy(zero_copy_only=False), np.zeros(batch.num_rows, bool)
+    shard, hit = np.array(batch.column("shard").to_pylist(), np.int32), np.zeros(batch.num_rows, bool)
     for k in np.unique(shard).tolist():
         if k in filters:
             hit[shard == k] = filters[k].contains(hashes[shard == k])
@@ -246,9 +246,9 @@ def _probe_by_shard(index: LineIndex, postings: DataFrame) -> DataFrame:
         filters: dict[int, CuckooFilter] = {}
         for batch in batches:
             blobs = batch.column("blob")
-            begins = [*np.flatnonzero(blobs.is_valid().to_numpy(zero_copy_only=False)).tolist(), batch.num_rows]
-            for lo, hi in zip([0, *begins[:-1]], begins, strict=True):
-                if lo < batch.num_rows and blobs[lo].is_valid:
+            edges = sorted({0, *np.flatnonzero(blobs.is_valid().to_pylist()).tolist(), batch.num_rows})
+            for lo, hi in zip(edges[:-1], edges[1:], strict=True):
+                if blobs[lo].is_valid:
                     filters = {batch.column("shard")[lo].as_py(): CuckooFilter.loads(blobs[lo].as_py())}
                     lo += 1
                 part = batch.slice(lo, hi - lo)
