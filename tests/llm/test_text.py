@@ -203,12 +203,12 @@ def test_cuckoo_filter_inserts_and_deletes():
 def test_repeated_and_null_ids_are_rows_of_their_own(spark):
     texts, ids = ["same words here", "same words here", "same words here", None, "other text", "other text"], [5, 5, None, None, 6, 7]
     docs = table(spark, texts, ids)
-    assert sorted((str(r.doc_id), r.n_tokens) for r in bpe.round_trip_digests(docs, VOCAB, public_tokenizers.PATTERN).collect())[-2:][0][0] == "None"
-    assert bpe.round_trip_digests(docs, VOCAB, public_tokenizers.PATTERN).count() == 6 and bpe.round_trip_digests(table(spark, []), VOCAB, public_tokenizers.PATTERN).count() == 0
+    assert sorted(str(r.doc_id) for r in bpe.round_trip_digests(docs, VOCAB, public_tokenizers.PATTERN).collect()) == sorted(map(str, ids))
+    assert bpe.round_trip_digests(table(spark, []), VOCAB, public_tokenizers.PATTERN).count() == 0
     pieces = packing.pack_documents(docs, WORDS).collect()
     assert sorted(str(r.doc_id) for r in pieces) == sorted(map(str, ids)) and len({(r.sequence_id, r.offset) for r in pieces}) == 6
     groups = near_dedup.near_groups(docs, 3, 85).collect()
-    assert sorted((str(r.doc_id), r.component_id, r.kept) for r in groups) == [("5", 5, True), ("5", 5, True), ("6", 6, True), ("7", 6, False), ("None", 5, False), ("None", None, True)]
+    assert sorted(((str(r.doc_id), r.component_id, r.kept) for r in groups), key=str) == [("5", 5, True), ("5", 5, True), ("6", 6, True), ("7", 6, False), ("None", 5, False), ("None", None, True)]
 
 
 def test_a_bucket_of_many_unlinked_rows(spark, monkeypatch):
