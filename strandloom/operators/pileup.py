@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from strandloom.functions.cigar import cigar_ops, cigar_walk, non_m_weight, oriented_offset, reverse_complement, summed, variant_key
+from strandloom.session import materialize
 
 VARIANT = ["node_id", "v_pos", "v_type", "v_ref", "v_alt"]
 
@@ -126,8 +127,11 @@ def dedupe_keys(variants: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def candidate_summary(segments: DataFrame, nodes: DataFrame, kind: str = "all", min_mapq: int = 10, rows: int = 200, **thresholds: float) -> DataFrame:
-    """The whole pileup: valid segments, ranking before the join that multiplies them, candidates, counts, thresholds."""
-    ranked = rank_segments(valid_segments(segments, nodes, min_mapq), kind, rows)
+    """The whole pileup: valid segments, ranking before the join that multiplies them, candidates, counts, thresholds.
+
+    Ranked segments are written, as both the search for candidates and the counts read them.
+    """
+    ranked = materialize(rank_segments(valid_segments(segments, nodes, min_mapq), kind, rows), "ranked")
     found = candidate_counts(detect_variants(ranked, kind))
     return candidate_thresholds(allele_summary(allele_states(found, ranked)), **thresholds).withColumn("coverage", F.col("coverage_at_locus"))
 

@@ -7,6 +7,7 @@ nodes divisible by 3, so that some nodes stay perfect), and reads divisible by 3
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,10 +25,22 @@ class Tables:
 
     def __init__(self, spark: SparkSession, sf_dir: str) -> None:
         self.spark, self.sf_dir = spark, sf_dir
+        self._written: dict[str, DataFrame] = {}
+
+    def _stored(self, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+        """A derived table as a user has it: stored. Filters on its columns would otherwise derive them once more each."""
+        if name not in self._written:
+            self._written[name] = materialize(make(), name)
+        return self._written[name]
 
     def raw(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
+    def _dealt(self, rows: DataFrame, *keys: str) -> DataFrame:
+        """Rows of files that can't be split as often as there are cores, dealt over them before anything is derived."""
+        cores = self.spark.sparkContext.defaultParallelism
+        return rows.repartition(cores, *keys) if rows.rdd.getNumPartitions() < cores else rows
+
     def nodes(self) -> DataFrame:
         """node_id, length, sequence."""
         base = "substr('ACGT', int(1 + (p_partkey * 7 + i * i * 3 + i * 5 + i div 3) % 4), 1)"
@@ -53,13 +66,16 @@ class Tables:
         base = "substr(sequence, int(noff + i + 1), 1)"
         head = f"array_join(transform(sequence(0, m - 1), i -> if((noff + i + node_id) % 13 = 0 AND read_id % 3 = 0, translate({base}, 'ACGT', 'CGTA'), {base})), '')"
         tail = "CASE kind WHEN 2 THEN concat('GT', substr(sequence, noff + m + 1, 6)) WHEN 3 THEN substr(sequence, noff + m + 2, 6) ELSE '' END"
-        return items.join(self.nodes(), "node_id").selectExpr(
+        return self._dealt(items, "read_id", "map_rank").join(self.nodes(), "node_id").selectExpr(
             "read_id", "map_rank", "node_id", "noff", "m", "kind", "mapq", "strand", "ord", "length", "sequence", f"concat({head}, {tail}) AS fseq",
             "CASE kind WHEN 2 THEN concat(m, 'M2I6M') WHEN 3 THEN concat(m, 'M1D6M') ELSE concat(m, 'M') END AS fcigar", "CASE kind WHEN 2 THEN m + 6 WHEN 3 THEN m + 7 ELSE m END AS span",
         )
 
     def segments(self) -> DataFrame:
         """The stored form: minus-strand rows hold the reverse complement and an offset from the other end."""
+        return self._stored("segments", self._segments)
+
+    def _segments(self) -> DataFrame:
         minus = F.col("strand") == "-"
         back = "concat_ws('', transform(reverse(regexp_extract_all(fcigar, '([0-9]+[MIDNSHPX=])', 1)), x -> x))"
         quality = "transform(sequence(0, length(fseq) - 1), i -> int(10 + (read_id * 3 + i * 7) % 31))"
@@ -71,6 +87,9 @@ class Tables:
 
     def alignments(self) -> DataFrame:
         """One row per read with its mappings as nested edits."""
+        return self._stored("alignments", self._alignments)
+
+    def _alignments(self) -> DataFrame:
         edits = """CASE WHEN kind = 2 THEN array(named_struct('from_length', m, 'to_length', m, 'sequence', ''), named_struct('from_length', 0, 'to_length', 2, 'sequence', 'GT'),
                                                  named_struct('from_length', 6, 'to_length', 6, 'sequence', ''))
                         WHEN kind = 3 THEN array(named_struct('from_length', m, 'to_length', m, 'sequence', ''), named_struct('from_length', 1, 'to_length', 0, 'sequence', ''),

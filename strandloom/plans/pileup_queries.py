@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from strandloom.functions import cigar
 from strandloom.operators import align, pileup
 from strandloom.plans.fixtures import sql
+from strandloom.session import materialize
 
 _STATES = """SELECT c.node_id, c.v_pos, c.v_type, c.v_ref, c.v_alt, s.st AS state, s.q AS bq FROM c JOIN s ON c.node_id = s.node_id AND c.v_pos = s.p AND c.v_type = s.v_type AND c.v_ref = s.v_ref AND c.v_alt = s.v_alt"""
 #: insertions and deletions of the derived mappings in closed form: both begin after the first m bases
@@ -42,7 +43,7 @@ def _variants(t, kind="all"):
 
 
 def _states(t):
-    ranked = _ranked(t)
+    ranked = materialize(_ranked(t), "ranked")
     return pileup.allele_states(pileup.candidate_counts(pileup.detect_variants(ranked)), ranked)
 
 
