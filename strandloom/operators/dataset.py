@@ -97,6 +97,20 @@ def class_to_label(name: Column, classes: list[str] | None = None) -> Column:
     return F.nullif(F.array_position(F.array(*map(F.lit, names)), F.lower(name) if classes is None else name).cast("int") - 1, F.lit(-1))
 
 
+#: tensors that a scorer is given at once
+SCORED = 128
+
+
+def mean_scorer(weights: tuple[float, ...]) -> Callable[[np.ndarray], np.ndarray]:
+    """Logits (false, true) from the weighted means of the channels."""
+
+    def score(values: np.ndarray) -> np.ndarray:
+        true = values.reshape(len(values), len(weights), -1).mean(2, dtype=np.float64) @ np.array(weights)
+        return np.stack([-true, true], axis=1)
+
+    return score
+
+
 def linear_scorer(values: np.ndarray) -> np.ndarray:
     """Logits (false, true) by a fixed linear form; for tests."""
     weight = np.sin(np.arange(values.shape[1]))
@@ -107,19 +121,17 @@ def linear_scorer(values: np.ndarray) -> np.ndarray:
 def batch_score(rows: DataFrame, mean: list[float], std: list[float], scorer: Callable[[np.ndarray], np.ndarray] = linear_scorer, column: str = "data") -> DataFrame:
     """Softmax of the scorer's logits per tensor, normalised per channel: p_true, pred_class.
 
-    ``data`` holds int8 tensors, channel after channel.
+    ``data`` holds int8 tensors, channel after channel; the scorer is given at most ``SCORED`` of them at once.
     """
     keys = [f for f in rows.schema.fields if f.name != column]
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            if not len(batch):
-                continue
+        for batch in (whole.iloc[at : at + SCORED] for whole in batches for at in range(0, len(whole), SCORED)):
             raw = np.stack([np.frombuffer(d, np.int8) for d in batch[column]]).astype(np.float32).reshape(len(batch), len(mean), -1)
             values = (raw - np.array(mean, np.float32)[:, None]) / np.array(std, np.float32)[:, None]
-            logits = scorer(values.reshape(len(batch), -1))
+            logits = scorer(values.reshape(len(batch), -1)).astype(float)
             odds = np.exp(logits - logits.max(1, keepdims=True))
-            p = (odds / odds.sum(1, keepdims=True))[:, 1].astype(float)
+            p = (odds / odds.sum(1, keepdims=True))[:, 1]
             yield batch.drop(columns=column).assign(p_true=p, pred_class=np.where(p > 0.5, "true", "false"))
 
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in keys) + ", p_true double, pred_class string"

@@ -20,6 +20,27 @@ _LABELS = {
         WHERE t.chrom = c.chrom AND t.pos - 1 < start + v_pos + 1 AND t.pos - 1 + length(t.ref) > start + v_pos - 1), 0) END AS label FROM (SELECT * FROM candidates LEFT JOIN coords USING (node_id)) AS c""",
     "scored": "SELECT l.*, p.shard_index, p.index_within_shard, p.p_true, CASE WHEN p.pred_class = 'true' THEN 1 ELSE 0 END AS pred FROM labelled AS l JOIN predictions AS p USING (node_id, v_pos, v_ref, v_alt)",
 }
+#: what the derived mappings draw in SNV windows of 100 columns; a tensor has 201 rows, and -1 stands where nothing is drawn
+_CODE = "CASE {b} WHEN 'A' THEN 20 WHEN 'C' THEN 30 WHEN 'G' THEN 50 WHEN 'T' THEN 70 WHEN '*' THEN 1 ELSE 5 END"
+_DRAWN = {
+    "shown": """SELECT node_id, ord, mapq, CASE WHEN j < m THEN noff + j WHEN kind = 2 THEN noff + j - 2 ELSE noff + j + 1 END AS p, substr(fseq, j + 1, 1) AS base, 10 + (read_id * 3 + j * 7) % 31 AS bq, 10 AS cig
+        FROM (SELECT *, unnest(range(length(fseq))) AS j FROM mappings WHERE mapq >= 10) WHERE NOT (kind = 2 AND j >= m AND j < m + 2)
+        UNION ALL SELECT node_id, ord, mapq, noff + m, '*', 0, 50 FROM mappings WHERE mapq >= 10 AND kind = 3""",
+    "cells": f"""SELECT c.node_id, c.v_pos, c.v_ref, c.v_alt, p - c.v_pos + 51 AS col, ord, {_CODE.format(b='base')} AS b0, bq AS b1, CASE WHEN base = substr(sequence, p + 1, 1) THEN 0 WHEN p = c.v_pos THEN 5 ELSE 1 END AS b2, mapq AS b3, cig AS b4
+        FROM candidates AS c JOIN shown AS s ON s.node_id = c.node_id AND p BETWEEN c.v_pos - 50 AND c.v_pos + 49 JOIN nodes AS n ON n.node_id = c.node_id
+        UNION ALL SELECT c.node_id, v_pos, v_ref, v_alt, p - v_pos + 51, NULL, """ + _CODE.format(b="substr(sequence, p + 1, 1)") + """, 0, -1, -1, 0
+        FROM (SELECT c.*, sequence, unnest(range(greatest(0, v_pos - 50), least(length(sequence), v_pos + 50))) AS p FROM candidates AS c JOIN nodes USING (node_id)) AS c""",
+    # channels 2 and 3 are -1 where nothing is drawn: a drawn cell adds one to that
+    "channel_sums": "SELECT node_id, v_pos, v_ref, v_alt, count(DISTINCT ord) AS n_rows, "
+    + ", ".join(f"CAST(sum(b{c}{' + 1' if c in (2, 3) else ''}) - {20100 if c in (2, 3) else 0} AS BIGINT) AS sum_{c}, CAST(sum((b{c}{' + 1' if c in (2, 3) else ''}) * col) - {201 * 5050 if c in (2, 3) else 0} AS BIGINT) AS placed_{c}" for c in range(5))
+    + " FROM cells GROUP BY ALL",
+    "squares": "SELECT count(DISTINCT (node_id, v_pos, v_ref, v_alt)) * 20100 AS n, "
+    + ", ".join(f"sum(b{c}{' + 1' if c in (2, 3) else ''}) AS s{c}, sum(b{c} * b{c}{' - 1' if c in (2, 3) else ''}) AS q{c}" for c in range(5))
+    + " FROM cells",
+    "moments": " UNION ALL ".join(f"SELECT {c} AS channel, n, CAST(s{c}{' - n' if c in (2, 3) else ''} AS DOUBLE) AS s, CAST(q{c}{' + n' if c in (2, 3) else ''} AS DOUBLE) AS q FROM squares" for c in range(5)),
+}
+_MEANS, _SDS, _WEIGHTS = [10.0, 8.0, 0.0, 0.5, 0.0], [20.0, 15.0, 10.0, 1.0, 1.0], (1.0, -2.0, 30.0, 0.5, 1.5)
+_LOGIT = " + ".join(f"({w}) * (sum_{c} / 20100.0 - {m}) / {d}" for c, (m, d, w) in enumerate(zip(_MEANS, _SDS, _WEIGHTS, strict=True)))
 _KEY = "md5('{seed}|' || node_id || '|' || v_pos || '|' || v_ref || '|' || v_alt)"
 _KEYS = ["node_id", "v_pos", "v_ref", "v_alt"]
 
@@ -112,7 +133,10 @@ QUERIES = {
         lambda t: tensor.moments_of_arrays(t.raw("embeddings"), 4, "embedding"),
         "SELECT CAST(i * 4 // n AS INT) AS channel, count(x) AS n, avg(CAST(x AS DOUBLE)) AS mean, stddev_samp(CAST(x AS DOUBLE)) AS sd FROM (SELECT unnest(embedding) AS x, unnest(range(len(embedding))) AS i, len(embedding) AS n FROM embeddings) GROUP BY 1",
     ),
-    "d11_tensor_moments": (lambda t: tensor.channel_moments(_tensors(t), tensor.CHANNELS), None),
+    "d11_tensor_moments": (
+        lambda t: tensor.channel_moments(_tensors(t), tensor.CHANNELS),
+        sql("SELECT CAST(channel AS INT) AS channel, CAST(n AS BIGINT) AS n, s / n AS mean, sqrt((q - s * s / n) / (n - 1)) AS sd FROM moments WHERE n > 0", **_DRAWN),
+    ),
     "d12_class_metrics": (
         lambda t: metrics.class_metrics(_known(t)),
         sql("""SELECT tp, fp, fn, tn, tp / (tp + fp) AS precision, tp / (tp + fn) AS recall, 2 * tp / (2 * tp + fp + fn) AS f1, tn / (tn + fp) AS accuracy_0, tp / (tp + fn) AS accuracy_1, (tp + tn) / (tp + fp + fn + tn) AS accuracy FROM (
@@ -161,7 +185,7 @@ QUERIES = {
         lambda t: _af_bases(t).groupBy("node_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", nodes.af_digit(F.col("af")).cast("int").alias("d")))), lambda x: x["d"]).alias("levels")).select("node_id", F.array_join(tensor.af_channel(F.col("levels"), F.lit(10) - 50), "").alias("row")),
         sql(f"SELECT node_id, repeat('0', 40) || rpad(left(string_agg({_DIGIT}, '' ORDER BY i), 60), 60, '0') AS row FROM af_bases GROUP BY 1", **_MORE),
     ),
-    "h14_tensor_rows": (lambda t: _tensors(t).select(*_KEYS, "n_rows", F.crc32("data").alias("crc")), None),
+    "h14_tensor_rows": (lambda t: tensor.channel_sums(_tensors(t)).drop("v_type"), sql("SELECT * FROM channel_sums", **_DRAWN)),
     "h15_mismatch_flags": (
         lambda t: tensor.mismatch_counts(_tensors(t)).select(*_KEYS, "n_5", (F.col("n_0") + F.col("n_1") + F.col("n_5")).alias("cells")),
         sql("""SELECT v.node_id, v_pos, v_ref, v_alt, CAST(count(*) FILTER (p = v_pos AND base <> v_ref) AS INT) AS n_5, CAST(count(*) AS INT) AS cells FROM candidates AS v JOIN site_states AS s ON s.node_id = v.node_id
@@ -198,7 +222,10 @@ QUERIES = {
         lambda t: t.predictions().select(*_KEYS, dataset.class_to_label(F.initcap("pred_class")).alias("binary"), dataset.class_to_label(F.concat(F.lit("c"), F.col("node_id") % 4), ["c0", "c1", "c2"]).alias("many")),
         sql(f"SELECT {_V}, CASE pred_class WHEN 'true' THEN 1 ELSE 0 END AS binary, CASE WHEN node_id % 4 < 3 THEN CAST(node_id % 4 AS INT) END AS many FROM predictions"),
     ),
-    "j7_batch_score": (lambda t: dataset.batch_score(_tensors(t).select(*_KEYS, "data"), [10.0, 8.0, 0.0, 0.5, 0.0], [20.0, 15.0, 10.0, 1.0, 1.0]), None),
+    "j7_batch_score": (
+        lambda t: dataset.batch_score(_tensors(t).select(*_KEYS, "data"), _MEANS, _SDS, dataset.mean_scorer(_WEIGHTS)).withColumn("p_true", F.floor(F.col("p_true") * 1000 + 0.5) / 1000),
+        sql(f"SELECT {_V}, floor(1000 / (1 + exp(-2 * t)) + 0.5) / 1000 AS p_true, CASE WHEN t > 0 THEN 'true' ELSE 'false' END AS pred_class FROM (SELECT *, {_LOGIT} AS t FROM channel_sums)", **_DRAWN),
+    ),
     "j8_calls_to_vcf": (
         lambda t: dataset.calls_to_vcf(t.predictions().select(*_KEYS, "p_true", "pred_class"), _anchors(t), p_refcall=0.1).drop("info"),
         sql("""SELECT chrom, pos, ref, alt, filter, is_linear FROM (SELECT coalesce(chrom, CAST(node_id AS VARCHAR)) AS chrom, CASE WHEN chrom IS NULL THEN v_pos + 1 WHEN strand = '-' THEN start + length - 1 - v_pos ELSE start + v_pos END AS pos, v_ref AS ref, v_alt AS alt,
