@@ -19,11 +19,13 @@ def make_importable(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a scratch folder where it is unset (tests)."""
+    """The folder all executors share: spark.checkpoint.dir, or a scratch folder where it is unset and the master is local (tests)."""
     sc = spark.sparkContext
     given = sc.getConf().get("spark.checkpoint.dir")
     if given:
         return given.rstrip("/")
+    if not sc.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     root = f"file:///tmp/checkpoints/strandloom-{sc.applicationId}"
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         sc.setCheckpointDir(root)
