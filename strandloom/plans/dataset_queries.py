@@ -31,7 +31,7 @@ _DRAWN = {
         UNION ALL SELECT c.node_id, v_pos, v_ref, v_alt, p - v_pos + 51, NULL, """ + _CODE.format(b="substr(sequence, p + 1, 1)") + """, 0, -1, -1, 0
         FROM (SELECT c.*, sequence, unnest(range(greatest(0, v_pos - 50), least(length(sequence), v_pos + 50))) AS p FROM candidates AS c JOIN nodes USING (node_id)) AS c""",
     # channels 2 and 3 are -1 where nothing is drawn: a drawn cell adds one to that
-    "channel_sums": "SELECT node_id, v_pos, v_ref, v_alt, count(DISTINCT ord) AS n_rows, "
+    "channel_sums": "SELECT node_id, v_pos, v_ref, v_alt, CAST(count(DISTINCT ord) AS INT) AS n_rows, "
     + ", ".join(f"CAST(sum(b{c}{' + 1' if c in (2, 3) else ''}) - {20100 if c in (2, 3) else 0} AS BIGINT) AS sum_{c}, CAST(sum((b{c}{' + 1' if c in (2, 3) else ''}) * col) - {201 * 5050 if c in (2, 3) else 0} AS BIGINT) AS placed_{c}" for c in range(5))
     + " FROM cells GROUP BY ALL",
     "squares": "SELECT count(DISTINCT (node_id, v_pos, v_ref, v_alt)) * 20100 AS n, "
