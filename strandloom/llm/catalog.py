@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from strandloom.llm import bpe, embedding_dedup, exact_dedup, html_extract, license_scan, line_dedup, near_dedup, packing, toxicity, warc
+from strandloom.llm import bpe, embedding_dedup, exact_dedup, html_extract, license_scan, line_dedup, merkle, near_dedup, packing, toxicity, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -56,6 +56,10 @@ def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(spark.read.parquet(f"{sf_dir}/documents.parquet"), merkle.lowered(5))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_byte_bpe": op1_byte_bpe,
@@ -68,6 +72,7 @@ def queries() -> dict[str, Query]:
         "op8_warc": op8_warc,
         "op9_minhash_near_dedup": op9_minhash_near_dedup,
         "op10_embedding_near_dedup": op10_embedding_near_dedup,
+        "op11_merkle_manifest": op11_merkle_manifest,
         "pipeline": corpus_pipeline.run,
     }
 
