@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from strandloom.llm import bpe, embedding_dedup, exact_dedup, html_extract, license_scan, line_dedup, merkle, near_dedup, packing, toxicity, warc
+from strandloom.llm import bpe, collocations, embedding_dedup, exact_dedup, html_extract, license_scan, line_dedup, merkle, near_dedup, packing, toxicity, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -60,6 +60,10 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.manifest(spark.read.parquet(f"{sf_dir}/documents.parquet"), merkle.lowered(5))
 
 
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(spark.read.parquet(f"{sf_dir}/documents.parquet"), least=100, top=2000)
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_byte_bpe": op1_byte_bpe,
@@ -73,6 +77,7 @@ def queries() -> dict[str, Query]:
         "op9_minhash_near_dedup": op9_minhash_near_dedup,
         "op10_embedding_near_dedup": op10_embedding_near_dedup,
         "op11_merkle_manifest": op11_merkle_manifest,
+        "op13_collocations": op13_collocations,
         "pipeline": corpus_pipeline.run,
     }
 
@@ -90,6 +95,7 @@ def oracle_sql() -> dict[str, str]:
                    sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT lost), '')) AS kept_sha256
             FROM told GROUP BY r, doc_id""",
         "op6_license_scan": license_scan.oracle(),
+        "op13_collocations": collocations.oracle(),
         "op8_warc": """
             WITH rows AS (SELECT page_id, coalesce(html, '') AS html, sha256(coalesce(html, '')) AS digest FROM pages),
             sized AS (SELECT *, octet_length(encode(html)) AS size, min(page_id) OVER (PARTITION BY digest) AS first_id FROM rows)
