@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from strandloom.llm import bpe, collocations, embedding_dedup, exact_dedup, html_extract, license_scan, line_dedup, merkle, near_dedup, packing, toxicity, warc
+from strandloom.llm import bpe, collocations, embedding_dedup, exact_dedup, html_extract, license_scan, line_dedup, merkle, near_dedup, packing, secret_scan, toxicity, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -60,6 +60,10 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.manifest(spark.read.parquet(f"{sf_dir}/documents.parquet"), merkle.lowered(5))
 
 
+def op12_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.scan_secrets(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
 def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(spark.read.parquet(f"{sf_dir}/documents.parquet"), least=100, top=2000)
 
@@ -77,6 +81,7 @@ def queries() -> dict[str, Query]:
         "op9_minhash_near_dedup": op9_minhash_near_dedup,
         "op10_embedding_near_dedup": op10_embedding_near_dedup,
         "op11_merkle_manifest": op11_merkle_manifest,
+        "op12_secret_scan": op12_secret_scan,
         "op13_collocations": op13_collocations,
         "pipeline": corpus_pipeline.run,
     }
