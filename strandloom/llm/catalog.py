@@ -100,6 +100,7 @@ def oracle_sql() -> dict[str, str]:
                    sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT lost), '')) AS kept_sha256
             FROM told GROUP BY r, doc_id""",
         "op6_license_scan": license_scan.oracle(),
+        "op11_merkle_manifest": merkle.oracle(),
         "op13_collocations": collocations.oracle(),
         "op8_warc": """
             WITH rows AS (SELECT page_id, coalesce(html, '') AS html, sha256(coalesce(html, '')) AS digest FROM pages),

@@ -7,7 +7,7 @@ gives every phrase's occurrences, the words' and the language's total at once.
 Most windows of a text occur once. Before they are counted, a sketch of 2 ** ``SLOT_BITS`` slots counts the occurrences of
 all pairs and triples of words that fall into a slot; where a slot holds fewer than ``least``, none of its pairs or triples
 can be a candidate or part of one, and windows are padded from there on. Counts of frequent phrases are exact at any
-load of the sketch; a full one only pads less. Its bits, at most 64 MB, go to every task.
+load of the sketch; a full one only pads less. Its bits, at most 32 MB, go to every task.
 
 Words are 64-bit hashes while they are counted. The words themselves are gathered too; should two share a hash, all is counted
 anew with other hashes.
@@ -29,9 +29,11 @@ from strandloom.llm.shingles import SLICE, mix, slices, span_hashes
 from strandloom.session import materialize
 
 ORDER = 5
-SLOT_BITS, SEGMENT_BITS = 29, 16
-HELD = 1 << 21  # words or slots that a task gathers before it folds them
+SLOT_BITS, SEGMENT_BITS = 28, 16
+CHUNK = 1 << 18  # bytes that are cut into words at once
+HELD = 1 << 19  # words or slots that a task gathers before it folds them
 BASES = (0x9E3779B97F4A7C15, 0xD1B54A32D192ED03, 0x8CB92BA72F3D8DD7, 0xAEF17502108EF2D9)
+CHECK = 0xC2B2AE3D27D4EB4F
 
 SPACES, BREAKS = b" \t", b".,;:!?\n\x0b\x0c\r"
 _KIND = np.zeros(256, np.uint8)
@@ -52,12 +54,20 @@ class _Words:
         word = np.concatenate([[False], kind == 0, [False]])
         edges = np.flatnonzero(word[1:] != word[:-1])
         self.first, self.after = edges[::2], edges[1::2]
-        self.hash = span_hashes(codes, self.first, self.after, base)
+        self.codes, self.hash = codes, span_hashes(codes, self.first, self.after, base)
         piece = np.cumsum(kind == 2)[self.first]
         self.lang = langs[np.searchsorted(begins, self.first, "right") - 1]
         self.own = int(np.searchsorted(self.first, own_bytes))
         self.same = piece[1:] == piece[:-1]
 
+    def distinct(self) -> Iterator[tuple[int, int, bytes]]:
+        """(pair of hashes, hash, word) of the own words that differ in either of two hashes."""
+        hashes = self.hash[: self.own]
+        pairs = mix(span_hashes(self.codes, self.first[: self.own], self.after[: self.own], CHECK)) + hashes
+        pairs, at = np.unique(pairs, return_index=True)
+        for pair, h, a, b in zip(pairs.tolist(), hashes[at].tolist(), self.first[at].tolist(), self.after[at].tolist(), strict=True):
+            yield pair, h, self.bytes[a:b]
+
     def slots(self, salts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The sketch's slots of the pairs and of the triples of words that begin at each word."""
         h = self.hash
@@ -70,7 +80,7 @@ def _chunks(data: bytes) -> Iterator[tuple[bytes, int, int]]:
     """(bytes, number of own bytes, place) of the chunks of ``data``: each also holds the words that its last windows reach."""
     at = 0
     while at < len(data):
-        gap = _GAP.search(data, at + SLICE)
+        gap = _GAP.search(data, at + CHUNK)
         end = gap.end() if gap else len(data)
         yield data[at : _AHEAD.match(data, end).end()], end - at, at
         at = end
@@ -158,20 +168,19 @@ def _windows(docs: DataFrame, bits: bytes, base: int) -> DataFrame:
         often = np.frombuffer(zlib.decompress(sent.value), np.uint8)
         codes: dict[str, int] = {}
         held: list[np.ndarray] = []
-        texts: dict[int, bytes] = {}
+        texts: dict[int, tuple[int, bytes]] = {}  # by pairs of hashes, so that words that share one of them are both told
         n = 0
         for words in _words(batches, codes, base):
             held.append(opened(words, often, _salts(codes)))
-            distinct, at = np.unique(words.hash[: words.own], return_index=True)
-            for h, i in zip(distinct.tolist(), at.tolist(), strict=True):
-                if h not in texts:
-                    texts[h] = words.bytes[words.first[i] : words.after[i]]
+            texts |= {pair: (h, word) for pair, h, word in words.distinct() if pair not in texts}
             n += words.own
             if n >= HELD:
-                yield from folded(held, texts, [*codes])
+                yield from folded(held, [*codes])
+                yield from told([*texts.values()])
                 held, texts, n = [], {}, 0
         if held:
-            yield from folded(held, texts, [*codes])
+            yield from folded(held, [*codes])
+            yield from told([*texts.values()])
 
     def opened(words: _Words, often: np.ndarray, salts: np.ndarray) -> np.ndarray:
         """[1 + ORDER, own]: language and windows of the own words."""
@@ -192,7 +201,7 @@ def _windows(docs: DataFrame, bits: bytes, base: int) -> DataFrame:
             out[1 + k, at] = words.hash[at + k]
         return out
 
-    def folded(held: list[np.ndarray], texts: dict[int, bytes], langs: list[str]) -> Iterator[pa.RecordBatch]:
+    def folded(held: list[np.ndarray], langs: list[str]) -> Iterator[pa.RecordBatch]:
         rows = np.concatenate(held, axis=1)
         key = rows[0]
         for column in rows[1:]:
@@ -206,8 +215,10 @@ def _windows(docs: DataFrame, bits: bytes, base: int) -> DataFrame:
             part = slice(lo, lo + (1 << 16))
             columns = [names.take(pa.array(rows[0, part].astype(np.int64))), *(pa.array(c[part].view(np.int64)) for c in rows[1:]), pa.array(counts[part])]
             yield pa.RecordBatch.from_arrays([*columns, pa.nulls(len(columns[0]), pa.string())], schema=schema)
-        hashes, found = np.fromiter(texts.keys(), np.uint64, len(texts)).view(np.int64), pa.array(list(texts.values()), pa.binary())
-        size = max(1, len(texts) * SLICE // max(1, sum(map(len, texts.values()))))
+
+    def told(texts: list[tuple[int, bytes]]) -> Iterator[pa.RecordBatch]:
+        hashes, found = np.array([h for h, _ in texts], np.uint64).view(np.int64), pa.array([w for _, w in texts], pa.binary())
+        size = max(1, len(texts) * SLICE // max(1, sum(len(w) for _, w in texts)))
         for lo in range(0, len(texts), size):
             own = hashes[lo : lo + size]
             none = pa.nulls(len(own), pa.int64())

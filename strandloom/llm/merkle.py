@@ -175,3 +175,48 @@ def lowered(one_in: int = 5) -> Column:
     """The text with A-Z lower-cased where ``one_in`` divides the unsigned crc32 of the decimal doc_id, else null."""
     lower = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     return F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % one_in == 0, lower)
+
+
+def oracle(levels: int = 6) -> str:
+    """SQL of ``manifest(docs, lowered(5))``, for sources and numbers of sources up to 16 ** ``levels``."""
+
+    def tree(name: str, leaves: str) -> str:
+        """Tables {name}_k (tree, i, h, m) of each level, {name}_runs_k (tree, run, hs) and {name}_top (tree, h)."""
+        sql = [f"{name}_0 AS (SELECT tree, i, h, count(*) OVER (PARTITION BY tree) AS m FROM ({leaves}))"]
+        for k in range(levels):
+            sql.append(f"{name}_runs_{k} AS (SELECT tree, i // {FAN} AS run, max(m) AS m, list(h ORDER BY i) AS hs FROM {name}_{k} WHERE m > 1 GROUP BY ALL)")
+            sql.append(f"{name}_{k + 1} AS (SELECT tree, run AS i, sha256(array_to_string(hs, '')) AS h, (m + {FAN - 1}) // {FAN} AS m FROM {name}_runs_{k})")
+        tops = " UNION ALL ".join(f"SELECT tree, h FROM {name}_{k} WHERE m = 1" for k in range(levels + 1))
+        return ",\n".join([*sql, f"{name}_top AS ({tops})"])
+
+    def fold(name: str, table: str, at: str) -> str:
+        """``table`` with proof and folded carried up ``name``'s tree from place ``at``."""
+        sql = []
+        for k in range(levels):
+            place = f"({at} // {FAN**k} % {FAN})"
+            kept = f"hs[:{place}]", f"hs[{place} + 2:]"
+            sql.append(f"""{name}_fold_{k + 1} AS (SELECT t.* REPLACE (
+                CASE WHEN hs IS NULL THEN proof ELSE proof || array_to_string({kept[0]} || {kept[1]}, '') END AS proof,
+                CASE WHEN hs IS NULL THEN folded ELSE sha256(array_to_string({kept[0]} || [folded] || {kept[1]}, '')) END AS folded)
+                FROM {table} t LEFT JOIN {name}_runs_{k} r ON r.tree = t.{'source_no' if name == 'own' else 'forest'} AND r.run = {at} // {FAN ** (k + 1)})""")
+            table = f"{name}_fold_{k + 1}"
+        return ",\n".join(sql)
+
+    def leaf(text: str) -> str:
+        fields = ["doc_id", "source", "lang", "n_chars", text]
+        return "sha256(" + " || ".join(f"coalesce(octet_length(encode(({f})::VARCHAR)) || ':' || ({f})::VARCHAR, '-')" for f in fields) + ")"
+
+    # crc32 bit by bit over the id's characters
+    step = "list_reduce(list_concat([xor(c, ascii(d)::BIGINT)], range(8)), lambda x, y: xor(x >> 1, (x & 1) * 3988292384))"
+    crc = f"xor(list_reduce(list_concat([4294967295], list_transform(string_split(doc_id::VARCHAR, ''), lambda d: ascii(d)::BIGINT)), lambda c, d: {step.replace('ascii(d)::BIGINT', 'd')}), 4294967295)"
+    lower = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    return f"""
+        WITH docs AS (SELECT doc_id, {leaf("text")} AS leaf, CASE WHEN {crc} % 5 = 0 THEN {leaf(lower)} ELSE {leaf("text")} END AS folded,
+                             dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS source_no, source FROM documents),
+        placed AS (SELECT *, row_number() OVER (PARTITION BY source_no ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, 0 AS forest, '' AS proof FROM docs),
+        {tree("own", "SELECT source_no AS tree, i, leaf AS h FROM placed")},
+        {tree("all", "SELECT 0 AS tree, tree AS i, h FROM own_top")},
+        {fold("own", "placed", "i")},
+        {fold("all", f"own_fold_{levels}", "source_no")}
+        SELECT doc_id, leaf, s.h AS subroot, r.h AS root, sha256(proof) AS proof_sha256, folded AS folded_root, folded = r.h AS verified
+        FROM all_fold_{levels} f JOIN own_top s ON s.tree = f.source_no JOIN all_top r ON r.tree = f.forest"""

@@ -72,11 +72,11 @@ ALLOWED_TEXT = (
     rb"(?i)^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$",
     rb"(?i)abcdefghij|0123456789|qwertyuiop|xxxxxx",
     rb"^(.{1,8}?)\1{2,}",
-    rb"^(?:[A-Za-z][a-z]*[0-9]{0,4}[/_-])+[A-Za-z][a-z]*[0-9]{0,4}$",
+    rb"^[/_-]?(?:[A-Za-z]+[0-9]{0,4}[/_-])+(?:[A-Za-z]+[0-9]{0,4})?$",
 )
 ALLOWED_BEFORE = (
     rb"(?i)(?:sha-?(?:1|224|256|384|512)|md5|crc32|checksum|digest|etag|commit|revision|integrity|fingerprint|uuid|guid)[\"']?[ ]*[:=-]?[ ]*[\"']?$",
-    rb"(?i)(?:https?://|www\.)\S*$",
+    rb"(?i)(?:https?:|www\.)[^\s?]*$",
     rb"(?i)base64,$",
 )
 BEFORE = 24
