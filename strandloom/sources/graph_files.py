@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from strandloom.sources.json_objects import json_rows
+
 
 def walk_steps(walk: Column) -> Column:
     """``>1<2`` or ``1+,2-`` as array<struct<node_id, strand>> in order."""
@@ -63,24 +65,10 @@ def write_node_ids(ids: DataFrame, path: str) -> None:
     ids.select("node_id").distinct().orderBy("node_id").select(F.col("node_id").cast("string").alias("value")).write.text(path)
 
 
-def json_rows(spark: SparkSession, schema: str, path: str) -> DataFrame:
-    """Objects of JSON files of which each holds an object a line, or one object or array over any number of lines.
-
-    Files are told apart by a line that isn't whole by itself; if there is one, every file is read as one value. Malformed
-    objects are skipped.
-    """
-    whole = F.col("value").rlike(r"^\s*(\{.*\}\s*,?|\[|\]|)\s*$")
-    several = not spark.read.text(path).where(~whole).isEmpty()
-    return spark.read.schema(schema).option("mode", "DROPMALFORMED").option("multiLine", several).json(path)
-
-
 def read_node_json(spark: SparkSession, path: str) -> DataFrame:
-    """Node records: JSON objects or ``{"nodes": [...]}``, a line each or over several lines (see ``json_rows``); malformed ones are skipped."""
+    """Node records of JSON files in any layout (see ``json_objects``); broken ones cost themselves only."""
     record = "node_id string, grch38_position_start long, position_start long, strand_in_path string, strand string, length int, chrom string, sequence string, genomead_af array<double>"
-    rows = json_rows(spark, f"{record}, nodes array<struct<{record.replace(' string', ': string').replace(' long', ': long').replace(' int', ': int').replace(' array', ': array')}>>", path)
-    names = [f.split()[0] for f in record.split(", ")]
-    own = F.when(F.col("node_id").isNotNull(), F.array(F.struct(*names)))
-    return canonical_nodes(rows.select(F.explode(F.coalesce("nodes", own)).alias("n")).select("n.*"))
+    return canonical_nodes(json_rows(spark, record, path, "node_id"))
 
 
 def canonical_nodes(rows: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandloom.sources.graph_files import json_rows
+from strandloom.sources.json_objects import json_rows
 
 SUMMARY = (
     "node_id long, variant_key string, v_pos int, v_type string, v_ref string, v_alt string, alt_allele_count int, ref_allele_count_at_locus int, other_allele_count_at_locus int, coverage_at_locus int, "
@@ -37,6 +37,6 @@ def true_probability(probs: Column, pred_class: Column, pred_prob: Column) -> Co
 
 
 def read_predictions(spark: SparkSession, path: str, last: bool = True) -> DataFrame:
-    """shard_index, index_within_shard, pred_class, p_true of JSON lines, or of objects or arrays over several lines."""
-    rows = json_rows(spark, "shard_path string, index_in_shard int, pred_class string, probs map<string,double>, pred_prob double", path)
+    """shard_index, index_within_shard, pred_class, p_true of JSON files in any layout; broken records cost themselves only."""
+    rows = json_rows(spark, "shard_path string, index_in_shard int, pred_class string, probs map<string,double>, pred_prob double", path, "shard_path")
     return rows.select(shard_of(F.col("shard_path"), last).alias("shard_index"), F.col("index_in_shard").alias("index_within_shard"), "pred_class", true_probability(F.col("probs"), F.col("pred_class"), F.col("pred_prob")).alias("p_true"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from strandloom.functions import variants as fv
 from strandloom.operators import dataset, graph, intervals, nodes, ranks, variants
-from strandloom.sources import alignment_files, graph_files, summary_files, vcf
+from strandloom.sources import alignment_files, graph_files, json_objects, summary_files, vcf
 
 
 def rows_of(df):
@@ -43,6 +43,28 @@ def test_components_of_long_chains_and_hubs(spark):
     assert graph.connected(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_components_take_logarithmic_rounds(spark):
+    chain = spark.range(9_999).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
+    star = spark.range(1, 3_000).select(F.lit(1_500).cast("long").alias("a"), F.col("id").alias("b"))
+    grid = spark.range(2_500).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b")).where("b % 50 <> 0").union(spark.range(2_450).select(F.col("id").alias("a"), (F.col("id") + 50).alias("b")))
+    for edges, lowest, n in ((chain, 0, 10_000), (star, 1, 2_999), (grid, 0, 2_500)):
+        rounds = graph.contractions(edges, alone=0)
+        assert len(rounds) <= 12
+        assert [tuple(r) for r in graph.labels(rounds).groupBy("component").count().collect()] == [(lowest, n)]
+
+
+def test_components_equal_a_search(spark):
+    rng = random.Random(8)
+    edges = [(rng.randrange(900), rng.randrange(900)) for _ in range(500)]
+    lowest = {k: k for e in edges for k in e if e[0] != e[1]}
+    for _ in range(len(lowest)):
+        for a, b in edges:
+            if a != b:
+                lowest[a] = lowest[b] = min(lowest[a], lowest[b])
+    for alone in (0, 100, 10_000):
+        assert dict(rows_of(graph.connected(spark.createDataFrame(edges, "a long, b long"), alone))) == lowest
+
+
 def test_ambiguous_anchor_is_removed_and_missing_segment_fails(spark):
     base = spark.createDataFrame([(1, 5), (2, 5)], "node_id long, length int")
     coords = spark.createDataFrame([(1, "c", 1, "+"), (2, "c", 9, "+"), (2, "d", 3, "-")], "node_id long, chrom string, start long, strand string")
@@ -165,6 +187,56 @@ def test_json_over_several_lines(spark, tmp_path):
     assert rows_of(graph_files.read_node_json(spark, str(tmp_path / "n.json")).select("node_id", "length")) == [(5, 3), (6, 4)]
 
 
+def _node(k):
+    return {"node_id": str(k), "sequence": "ACGT"[: k % 4 + 1], "genomead_af": [0.5, None], "note": 'br{ace}s "quoted" \\\\ [x]'}
+
+
+def _small_splits(spark, size="600b"):
+    spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+    spark.conf.set("spark.sql.files.openCostInBytes", "1b")
+
+
+@pytest.fixture
+def split_sizes(spark):
+    before = {key: spark.conf.get(key) for key in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    yield
+    for key, value in before.items():
+        spark.conf.set(key, value)
+
+
+def test_broken_json_objects_cost_themselves_only(spark, tmp_path, split_sizes):
+    nodes_of = lambda lo, hi: [_node(k) for k in range(lo, hi)]
+    lines = [json.dumps(n) for n in nodes_of(0, 100)]
+    lines[40] = lines[40][:25]  # cut within a string
+    lines[41] = lines[41][:-1]  # no closing brace
+    lines[60] = lines[60].replace('"sequence": ', '"sequence" ')  # doesn't parse
+    lines[70:70] = ["}", "]", "", "not json", "{", '{"other": 1}']
+    (tmp_path / "lines.json").write_text("\n".join(lines))
+    (tmp_path / "pretty.json").write_text(json.dumps({"meta": {"a": [1]}, "nodes": nodes_of(200, 260)}, indent=2))
+    whole = json.dumps(nodes_of(300, 340), indent=1).replace('"node_id": "310"', '"node_id": "310', 1)  # an open quote within one object
+    (tmp_path / "array.json").write_text(whole)
+    (tmp_path / "one_line.json").write_text(json.dumps(nodes_of(400, 430)))
+    with gzip.open(tmp_path / "packed.json.gz", "wt") as f:
+        f.write("[\n" + ",\n".join(map(json.dumps, nodes_of(500, 540))) + "\n")  # the end is missing
+    (tmp_path / "empty.json").write_text("")
+    (tmp_path / "long.json").write_text(json.dumps([_node(600) | {"sequence": "A" * 5_000}, _node(601)], indent=1))  # longer than several splits
+    wanted = sorted([*(k for k in range(100) if k not in (40, 41, 60)), *range(200, 260), *(k for k in range(300, 340) if k != 310), *range(400, 430), *range(500, 540), 600, 601])
+    for size in ("64m", "700b"):
+        _small_splits(spark, size)
+        got = graph_files.read_node_json(spark, str(tmp_path)).collect()
+        assert sorted(r.node_id for r in got) == wanted
+        assert all(r.sequence == _node(r.node_id)["sequence"] for r in got if r.node_id != 600)
+        told = {r.file.rsplit("/", 1)[1]: (r.records, r.rejected) for r in json_objects.rejected_objects(spark, str(tmp_path), "node_id").collect()}
+        assert told == {"lines.json": (97, 3), "pretty.json": (60, 0), "array.json": (39, 1), "one_line.json": (30, 0), "packed.json.gz": (40, 0), "long.json": (2, 0)}
+
+
+def test_broken_predictions_cost_themselves_only(spark, tmp_path):
+    rows = [json.dumps({"shard_path": "a/shard_3.npy", "index_in_shard": k, "pred_class": "true", "probs": {"True": 0.75}, "pred_prob": 0.5}) for k in range(100)]
+    (tmp_path / "p.json").write_text("\n".join([*rows[:50], rows[50][:60], *rows[51:]]))
+    got = summary_files.read_predictions(spark, str(tmp_path))
+    assert sorted((r.shard_index, r.index_within_shard, r.p_true) for r in got.collect()) == [(3, k, 0.75) for k in range(100) if k != 50]
+
+
 def test_running_sums(spark):
     rows = [(k % 3 if k % 7 else None, k, k % 5) for k in range(500)]
     got = {r.k: (r.before, r.nth) for r in ranks.running_sum(ranks.running_sum(spark.createDataFrame(rows, "g int, k int, v int").repartition(9), "g", "k", value="v"), "g", "k", column="nth").collect()}
