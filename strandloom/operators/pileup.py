@@ -114,6 +114,92 @@ def allele_summary(states: DataFrame) -> DataFrame:
     )
 
 
+#: the op before the i-th one of a walk that is of some kinds: the neighbour as a rule, else looked for
+_BEFORE = """CASE WHEN i = 0 THEN NULL WHEN get(walk, i - 1).op IN {kinds} AND get(walk, i - 1).n > 0 THEN get(walk, i - 1)
+    ELSE try_element_at(filter(slice(walk, 1, i), u -> u.op IN {kinds} AND u.n > 0), -1) END"""
+_FIRST_INSERTION = """CASE WHEN i = 0 OR get(walk, i - 1).op IN ('M', 'X', '=', 'D', 'N') THEN true WHEN get(walk, i - 1).op = 'I' THEN false
+    ELSE NOT exists(slice(walk, 1, i), u -> u.op = 'I' AND u.node_pos = w.node_pos) END"""
+COVERAGE_BLOCK = 4_096
+
+
+def site_coverage(sites: DataFrame, segments: DataFrame) -> DataFrame:
+    """(node_id, v_pos, aligned, read, deleted) of ``sites``: how many segments have an aligned op there, one whose base the read still has, a deletion.
+
+    Each op is a step up where it begins and a step down behind its end; steps of one position fold map-side, so that a node has
+    at most as many as it has positions. They are summed up within blocks of positions, and blocks within nodes.
+    """
+    ops = segments.select("node_id", F.length("seq").alias("read_length"), F.explode("walk").alias("w")).where("w.op IN ('M', 'X', '=', 'D') AND w.n > 0")
+    step = lambda pos, *v: f"named_struct('pos', {pos}, 'aligned', {v[0]}, 'read', {v[1]}, 'deleted', {v[2]})"
+    has = "greatest(least(w.n, read_length - w.read_pos), 0)"
+    aligned = f"array({step('w.node_pos', 1, 1, 0)}, {step('w.node_pos + w.n', -1, 0, 0)}, {step(f'w.node_pos + {has}', 0, -1, 0)})"
+    deleted = f"array({step('w.node_pos', 0, 0, 1)}, {step('w.node_pos + w.n', 0, 0, -1)})"
+    steps = ops.select("node_id", F.expr(f"explode(IF(w.op = 'D', {deleted}, {aligned})) AS s")).select("node_id", "s.*", F.lit(False).alias("site"))
+    kinds = ("aligned", "read", "deleted")
+    steps = steps.unionByName(sites.select("node_id", F.col("v_pos").alias("pos"), *(F.lit(0).alias(k) for k in kinds), F.lit(True).alias("site")))
+    steps = steps.groupBy("node_id", "pos").agg(*(F.sum(k).alias(k) for k in kinds), F.bool_or("site").alias("site")).withColumn("block", F.expr(f"pos div {COVERAGE_BLOCK}"))
+    steps = materialize(steps, "coverage-steps")
+    earlier = Window.partitionBy("node_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = steps.groupBy("node_id", "block").agg(*(F.sum(k).alias(k) for k in kinds))
+    blocks = blocks.select("node_id", "block", *(F.coalesce(F.sum(k).over(earlier), F.lit(0)).alias(f"{k}_before") for k in kinds))
+    within = Window.partitionBy("node_id", "block").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    here = steps.select("node_id", "block", "pos", "site", *(F.sum(k).over(within).alias(k) for k in kinds)).where("site")
+    return here.join(blocks, ["node_id", "block"]).select("node_id", F.col("pos").alias("v_pos"), *((F.col(k) + F.col(f"{k}_before")).alias(k) for k in kinds))
+
+
+def _allele_events(segments: DataFrame) -> DataFrame:
+    """(node_id, v_pos, v_type, allele, n, bq_sum, bq_n, n_aligned): bases other than the node's, and inserted bases by anchor.
+
+    An insertion behind a deletion is none; one that outruns its read has no allele and counts in ``n_aligned`` only, the insertions
+    whose anchor is aligned.
+    """
+    size = "greatest(least(w.n, length(seq) - w.read_pos, length(node_seq) - w.node_pos), 0)"
+    other = f"""filter(transform(slice(sequence(0, {size}), 1, {size}), k -> named_struct('v_pos', w.node_pos + k, 'v_type', 'X', 'allele', substring(seq, w.read_pos + k + 1, 1),
+        'bq', CAST(get(bq, w.read_pos + k) AS DOUBLE), 'over', 'M')), v -> v.allele <> substring(node_seq, v.v_pos + 1, 1))"""
+    inserted = f"""filter(array(named_struct('v_pos', w.node_pos - 1, 'v_type', 'I', 'allele', IF(w.read_pos + w.n <= length(seq), substring(seq, w.read_pos + 1, w.n), NULL),
+        'bq', try_divide(aggregate(slice(bq, w.read_pos + 1, w.n), 0.0D, (s, q) -> s + q), w.n), 'over', IF({_FIRST_INSERTION}, coalesce(({_BEFORE.format(kinds="('M', 'X', '=', 'D', 'N')")}).op, '-'), 'D'))), v -> v.over <> 'D')"""
+    found = f"flatten(transform(walk, (w, i) -> CASE WHEN w.op IN ('M', 'X', '=') THEN {other} WHEN w.op = 'I' THEN {inserted} ELSE array() END))"
+    events = segments.select("node_id", F.explode(F.expr(found)).alias("v")).select("node_id", "v.*")
+    on_base = (F.col("v_type") == "I") & F.col("over").isin("M", "X", "=")
+    return events.groupBy("node_id", "v_pos", "v_type", "allele").agg(F.count("allele").alias("n"), F.sum(F.when(F.col("allele").isNotNull(), F.col("bq"))).alias("bq_sum"), F.count(F.when(F.col("allele").isNotNull(), F.col("bq"))).alias("bq_n"), F.count_if(on_base).alias("n_aligned"))
+
+
+def _deletions(segments: DataFrame) -> DataFrame:
+    """(node_id, start, deleted, n, bq_sum, bq_n): a deletion's quality is that of the last aligned base before it, 50 without one."""
+    aligned = "('M', 'X', '=')"
+    last = f"({_BEFORE.format(kinds=aligned)})"
+    one = f"array(named_struct('start', w.node_pos, 'deleted', substring(node_seq, w.node_pos + 1, w.n), 'bq', CAST(coalesce(get(bq, {last}.read_pos + {last}.n - 1), 50) AS DOUBLE)))"
+    found = f"flatten(transform(walk, (w, i) -> IF(w.op = 'D' AND w.n > 0 AND w.node_pos + w.n <= length(node_seq), {one}, array())))"
+    events = segments.select("node_id", F.explode(F.expr(found)).alias("v")).select("node_id", "v.*")
+    return events.groupBy("node_id", "start", "deleted").agg(F.count(F.lit(1)).alias("n"), F.sum("bq").alias("bq_sum"), F.count("bq").alias("bq_n"))
+
+
+def allele_counts(candidates: DataFrame, segments: DataFrame) -> DataFrame:
+    """The ``allele_summary`` of candidates as ``detect_variants`` gives them, without a row for each candidate and segment.
+
+    Coverage comes from a sweep over the ends of ops, alleles from the segments that bear them, and what bears none is the reference:
+    work follows segments and their differences, at any depth.
+    """
+    sites = candidates.select("node_id", "v_pos").distinct()
+    events = materialize(_allele_events(segments), "allele-events")
+    at = ["node_id", "v_pos", "v_type"]
+    totals = events.groupBy(*at).agg(F.sum("n").alias("told"), F.sum("n_aligned").alias("on_anchor"))
+    alts = events.select(*at, F.col("allele").alias("v_alt"), F.col("n").alias("alt"), "bq_sum", "bq_n")
+    refs = events.where("v_type = 'I'").select(*at, F.col("allele").alias("v_ref"), F.col("n").alias("as_ref"))
+    gone = _deletions(segments).withColumnRenamed("node_id", "of_node")
+    whole = (F.col("of_node") == F.col("node_id")) & (F.col("deleted") == F.col("v_ref")) & (F.col("start") <= F.col("v_pos")) & (F.col("v_pos") < F.col("start") + F.length("deleted"))
+    # the same bases may be deleted from up to their number of starts around a position
+    dels = candidates.select(*VARIANT).where("v_type = 'D'").join(gone, whole).groupBy(*VARIANT).agg(F.sum("n").alias("del_alt"), F.sum("bq_sum").alias("del_sum"), F.sum("bq_n").alias("del_n"))
+    rows = candidates.select(*VARIANT).join(site_coverage(sites, segments), ["node_id", "v_pos"]).join(totals, at, "left").join(alts, [*at, "v_alt"], "left").join(refs, [*at, "v_ref"], "left").join(dels, VARIANT, "left")
+    alt = "coalesce(IF(v_type = 'D', del_alt, alt), 0)"
+    as_ref = "IF(v_ref = v_alt, 0, coalesce(as_ref, 0))"
+    ref = f"CASE v_type WHEN 'X' THEN read - coalesce(told, 0) WHEN 'D' THEN read ELSE aligned - coalesce(on_anchor, 0) + {as_ref} END"
+    other = f"deleted + CASE v_type WHEN 'X' THEN coalesce(told, 0) - alt_allele_count WHEN 'D' THEN -alt_allele_count ELSE coalesce(told, 0) - alt_allele_count - {as_ref} END"
+    rows = rows.withColumn("alt_allele_count", F.expr(alt)).withColumn("ref_allele_count_at_locus", F.expr(ref)).withColumn("other_allele_count_at_locus", F.expr(other))
+    rows = rows.withColumn("coverage_at_locus", F.expr("alt_allele_count + ref_allele_count_at_locus + other_allele_count_at_locus")).where("coverage_at_locus > 0")
+    quality = F.expr("IF(alt_allele_count > 0, try_divide(IF(v_type = 'D', del_sum, bq_sum), IF(v_type = 'D', del_n, bq_n)), NULL)")
+    return rows.select(*VARIANT, "alt_allele_count", "ref_allele_count_at_locus", "other_allele_count_at_locus", "coverage_at_locus", (F.col("alt_allele_count") / F.col("coverage_at_locus")).alias("alt_allele_frequency"), quality.alias("mean_alt_allele_base_quality"))
+
+
 def candidate_thresholds(summary: DataFrame, min_variants: int = 3, min_af: float = 0.05, min_bq: float = 10.0) -> DataFrame:
     return summary.where((F.col("alt_allele_count") >= min_variants) & (F.col("alt_allele_frequency") >= min_af) & (F.col("mean_alt_allele_base_quality") >= min_bq))
 
@@ -133,7 +219,7 @@ def candidate_summary(segments: DataFrame, nodes: DataFrame, kind: str = "all",
     """
     ranked = materialize(rank_segments(valid_segments(segments, nodes, min_mapq), kind, rows), "ranked")
     found = candidate_counts(detect_variants(ranked, kind))
-    return candidate_thresholds(allele_summary(allele_states(found, ranked)), **thresholds).withColumn("coverage", F.col("coverage_at_locus"))
+    return candidate_thresholds(allele_counts(found, ranked), **thresholds).withColumn("coverage", F.col("coverage_at_locus"))
 
 
 def pool_segments(*stores: DataFrame) -> DataFrame:

@@ -42,9 +42,13 @@ def _variants(t, kind="all"):
     return pileup.detect_variants(_ranked(t, kind), kind)
 
 
-def _states(t):
+def _states(t, of=pileup.allele_states):
     ranked = materialize(_ranked(t), "ranked")
-    return pileup.allele_states(pileup.candidate_counts(pileup.detect_variants(ranked)), ranked)
+    return of(pileup.candidate_counts(pileup.detect_variants(ranked)), ranked)
+
+
+def _summary(t):
+    return _states(t, pileup.allele_counts)
 
 
 QUERIES = {
@@ -86,7 +90,7 @@ QUERIES = {
         lambda t: _variants(t, "indel").select("node_id", "seg_order", "v_pos", "v_type", "v_ref", "v_alt"), sql("SELECT node_id, ord AS seg_order, v_pos, v_type, v_ref, v_alt FROM indels", **_INDELS)
     ),
     "b10_candidate_thresholds": (
-        lambda t: pileup.candidate_thresholds(pileup.allele_summary(_states(t))).select(*pileup.VARIANT, "alt_allele_count"),
+        lambda t: pileup.candidate_thresholds(_summary(t)).select(*pileup.VARIANT, "alt_allele_count"),
         sql(f"SELECT node_id, v_pos, v_type, v_ref, v_alt, alt_allele_count FROM summary WHERE {_PASSING}", **_INDELS),
     ),
     "c1_segments_on_nodes": (
@@ -112,7 +116,7 @@ QUERIES = {
             sum(not_perfect) * 100.0 / (SELECT count(*) FROM reads WHERE mapping_quality > 5) AS imperfect_percent FROM node_stats"""),
     ),
     "d3_candidate_counts": (lambda t: pileup.candidate_counts(_variants(t)), sql("SELECT * FROM kept", **_INDELS)),
-    "d4_allele_summary": (lambda t: pileup.allele_summary(_states(t)), sql("SELECT * FROM summary", **_INDELS)),
+    "d4_allele_summary": (lambda t: _summary(t), sql("SELECT * FROM summary", **_INDELS)),
     "d5_align_stats_graph": (
         lambda t: align.align_stats_graph(t.alignments()),
         sql("""SELECT count(*) AS total, count(*) AS aligned, count(*) FILTER (worst = 0) AS perfect, count(*) FILTER (NOT gaps) AS gapless, isum(mm) AS match_bp, isum(xx) AS substitution_bp, isum(ii) AS insertion_bp, isum(dd) AS deletion_bp,
@@ -128,7 +132,7 @@ QUERIES = {
         sql("""SELECT node_id, ord AS seg_order, w AS weight, row_number() OVER (PARTITION BY node_id ORDER BY w DESC, ord) AS rank FROM (SELECT *, CASE kind WHEN 2 THEN 4 WHEN 3 THEN 2 ELSE 0 END AS w FROM mappings WHERE mapq >= 10)"""),
     ),
     "e6_dedupe_keys": (
-        lambda t: pileup.dedupe_keys(pileup.candidate_thresholds(pileup.allele_summary(_states(t))), t.nodes()).select(*pileup.VARIANT, "variant_key"),
+        lambda t: pileup.dedupe_keys(pileup.candidate_thresholds(_summary(t)), t.nodes()).select(*pileup.VARIANT, "variant_key"),
         sql(f"""SELECT node_id, v_pos, v_type, v_ref, v_alt, CASE v_type WHEN 'X' THEN v_pos || '_X_' || v_ref || '_' || v_alt WHEN 'I' THEN v_pos || '_I_' || v_ref || '_' || v_ref || v_alt
             ELSE (v_pos - 1) || '_D_' || substr(sequence, v_pos, 1) || v_ref || '_' || substr(sequence, v_pos, 1) END AS variant_key FROM summary JOIN nodes USING (node_id) WHERE {_PASSING}""", **_INDELS),
     ),

@@ -146,6 +146,41 @@ def test_counts_add_up_and_reverse_complement_is_its_own_inverse(spark):
     assert nodes.select(cigar.reverse_complement(cigar.reverse_complement(F.col("sequence"))) == F.col("sequence")).first()[0]
 
 
+def random_reads(rng, n_nodes, n_reads, deletions="D"):
+    nodes, rows = [], []
+    for node in range(n_nodes):
+        ref = "".join(rng.choice("AC" if node % 2 else "ACGTN") for _ in range(rng.randint(6, 30)))  # repeats shift deletions
+        nodes.append((node, len(ref), ref))
+        for _ in range(n_reads):
+            ops = [(rng.randint(1, 3), rng.choice("MMMMXI=SNPH" + deletions)) for _ in range(rng.randint(1, 8))]
+            seq = "".join(rng.choice("AC" if node % 2 else "ACGTN") for _ in range(sum(n for n, o in ops if o in "MX=IS")))
+            seq = seq[: len(seq) - rng.choice([0, 0, 0, 2])]
+            if seq:
+                rows.append((node, rng.randint(0, 6), seq, [rng.randint(0, 60) for _ in seq], "".join(f"{n}{o}" for n, o in ops), 60, rng.choice("++-")))
+    return nodes, rows
+
+
+def test_counts_by_sweep_equal_counts_of_states(spark, monkeypatch):
+    monkeypatch.setattr(pileup, "COVERAGE_BLOCK", 5)
+    nodes, rows = random_reads(random.Random(11), 40, 25, "DDDII")
+    valid = pileup.materialize(pileup.valid_segments(segments(spark, rows), spark.createDataFrame(nodes, NODE)), "valid")
+    found = pileup.candidate_counts(pileup.detect_variants(valid))
+    columns = [*pileup.VARIANT, "alt_allele_count", "ref_allele_count_at_locus", "other_allele_count_at_locus", "coverage_at_locus", "alt_allele_frequency", F.round("mean_alt_allele_base_quality", 9)]
+    got, wanted = (sorted((tuple(r) for r in df.select(*columns).collect()), key=str) for df in (pileup.allele_counts(found, valid), pileup.allele_summary(pileup.allele_states(found, valid))))
+    assert got == wanted and {r[2] for r in got} == {"X", "I", "D"} and len(got) > 500
+
+
+def test_sweep_is_linear_in_depth(spark):
+    """100,000 segments on one node, each with a difference of its own: pairs with its candidates would be millions."""
+    nodes = spark.createDataFrame([(1, 200, "ACGTACGTAC" * 20)], NODE)
+    kinds = "element_at(array('8M', '4M1D4M', '3M1I4M', '8='), int(id % 4) + 1)"
+    segs = spark.range(100_000).selectExpr("1L AS node_id", "id AS seg_order", "id % 150 AS offset", "concat(substring('ACGTACGT', 1, int(id % 8)), 'A', substring('ACGTACGT', 1, int(7 - id % 8))) AS seq", "array_repeat(int(id % 40), 8) AS bq", f"{kinds} AS cigar", "60 AS mapq", "'+' AS strand")
+    valid = pileup.valid_segments(segs, nodes)
+    counts = pileup.allele_counts(pileup.candidate_counts(pileup.detect_variants(valid)), valid)
+    assert "seg_order" not in " ".join(line for line in counts._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join" in line or "Project" in line)
+    assert counts.where("coverage_at_locus > 1000").count() > 500
+
+
 def test_tensor_encodings():
     walk = [{"n": 3, "op": "M", "node_pos": 0, "read_pos": 0}, {"n": 2, "op": "I", "node_pos": 3, "read_pos": 3}, {"n": 2, "op": "M", "node_pos": 3, "read_pos": 5}, {"n": 4, "op": "D", "node_pos": 5, "read_pos": 7}]
     reads = pd.DataFrame([{"seq": "ACTGGTA", "bq": [200, 2, 3, 10, 21, 6, 7], "mapq": 300, "walk": walk}])
