@@ -2,6 +2,7 @@
 
 import base64
 import collections
+import dataclasses
 import hashlib
 import itertools
 import random
@@ -120,18 +121,50 @@ def test_directory_doubles_where_buckets_are_full():
 def test_the_directory_routes_texts_and_lookups(spark):
     texts = [f"text {i % 700}" for i in range(1_000)]
     docs = table(spark, texts)
-    index, directory, bits = exact_dedup.build_index(docs, capacity=8)
-    slots = {r.slot: r.bucket for r in directory.collect()}
-    rows = index.collect()
-    assert sorted(slots) == list(range(1 << bits)) and len(rows) == 700
-    assert all(slots[(r.key & (1 << 64) - 1) >> 64 - bits] == r.bucket for r in rows)
+    index = exact_dedup.build_index(docs, capacity=8)
+    slots = {r.slot: r.bucket for r in index.directory.collect()}
+    rows = index.entries.collect()
+    assert sorted(slots) == list(range(1 << index.bits)) and len(rows) == 700
+    assert all(slots[(r.key & (1 << 64) - 1) >> 64 - index.bits] == r.bucket for r in rows)
     assert max(collections.Counter(r.bucket for r in rows).values()) <= 8
     got = {r.doc_id: r for r in exact_dedup.exact_groups(docs, capacity=8).collect()}
     assert all(got[i].keep_id == (i + 700 if i + 700 <= 1_000 else i) for i in range(1, 1_001))
+    # a directory that names other buckets finds nothing there
+    wrong = dataclasses.replace(index, directory=index.directory.withColumn("bucket", (F.col("bucket") + 1) % (max(slots.values()) + 1)))
+    assert exact_dedup.lookup(wrong, docs).where("keep_id IS NOT NULL").count() == 0
     twice = table(spark, ["a", "a", "b", "b", "c", "c", None, ""], [5, 5, None, None, 6, 7, None, None])
     assert sorted((str(r.doc_id), r.text or "") for r in exact_dedup.drop_copies(twice).collect()) == [("5", "a"), ("7", "c"), ("None", ""), ("None", "b")]
 
 
+def test_owners_of_bucket_ranges_fold_texts(spark):
+    """Texts are dealt by ranges of buckets and by nothing else; a bucket of very many rows goes to several owners first."""
+    docs = table(spark, ["copy"] * 500 + [f"text {i}" for i in range(300)])
+    index = exact_dedup.build_index(docs, capacity=8)
+    rows = exact_dedup._routed(exact_dedup._rows(docs, "doc_id", "text"), index.directory, index.bits)
+    assert rows.agg(F.max("slices")).first()[0] >= 500 // (8 * exact_dedup.SLICE_ROWS)
+    owned = rows.withColumn("slice", F.pmod(F.xxhash64("id"), "slices")).repartitionByRange("bucket", "slice").groupBy("bucket", "slice", "slices", "key", "body").count()
+    plan = owned._jdf.queryExecution().executedPlan().toString()
+    assert "rangepartitioning(bucket" in plan and "hashpartitioning" not in plan
+    assert [(r.group_size, r.keep_id) for r in index.entries.where("group_size > 1").collect()] == [(500, 500)] and index.entries.count() == 301
+
+
+def test_a_second_batch_extends_the_index(spark):
+    texts = [f"text {i % 90}" for i in range(400)] + [None, ""]
+    one, two = table(spark, texts[:150]), table(spark, texts[150:] + [f"new {i}" for i in range(300)], range(1_000, 1_552))
+    grown = exact_dedup.insert(exact_dedup.build_index(one, capacity=8), two)
+    whole = exact_dedup.build_index(one.unionByName(two), capacity=8)
+    told = lambda index: sorted(tuple(r) for r in index.entries.select("key", "digest", "keep_id", "group_size").collect())
+    assert told(grown) == told(whole) and grown.bits > exact_dedup.build_index(one, capacity=8).bits
+    assert max(collections.Counter(r.bucket for r in grown.entries.collect()).values()) <= 8
+    assert exact_dedup.lookup(grown, two).where("keep_id IS NULL").count() == 0
+
+
+def test_dropping_copies_leaves_any_columns(spark):
+    docs = spark.createDataFrame([(1, "a", "x", "y", 5), (2, "a", None, "z", 6), (3, "b", "x", "y", 7)], "doc_id long, text string, __text string, __id string, __digest int")
+    kept = exact_dedup.drop_copies(docs)
+    assert kept.columns == docs.columns and sorted(tuple(r) for r in kept.collect()) == [(2, "a", None, "z", 6), (3, "b", "x", "y", 7)]
+
+
 def lines_by_hand(docs):
     white = " \t\n\x0b\f\r"
     key = lambda line: "".join(c.lower() if "A" <= c <= "Z" else c for c in line.strip(white))
