@@ -15,6 +15,7 @@ at most ``FILTER_BYTES`` together go to every task. Beyond that postings and fil
 from __future__ import annotations
 
 import dataclasses
+import hashlib
 import string
 from collections.abc import Iterator
 
@@ -115,8 +116,9 @@ def lines_of(text_col: str) -> Column:
 
 def line_postings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(digest, doc_id): each row's distinct long keys. No shuffle."""
-    keys = F.array_distinct(F.array_compact(F.transform(lines_of(text_col), lambda x: key_digest(line_key(x)))))
-    return docs.select(F.col(id_col).alias("doc_id"), F.explode(keys).alias("digest")).select("digest", "doc_id")
+    # as hex, of which Spark keeps a hash set: binary values would be compared in pairs
+    keys = F.array_distinct(F.array_compact(F.transform(lines_of(text_col), lambda x: F.hex(key_digest(line_key(x))))))
+    return docs.select(F.col(id_col).alias("doc_id"), F.explode(keys).alias("digest")).select(F.unhex("digest").alias("digest"), "doc_id")
 
 
 def reference_counts(postings: DataFrame) -> DataFrame:
@@ -272,6 +274,21 @@ def line_drops(index: LineIndex) -> DataFrame:
     return lost.groupBy("doc_id").agg(F.collect_set("digest").alias("drop"))
 
 
+def _kept_lines(body: pd.Series, drop: pd.Series) -> pd.DataFrame:
+    """Each text without the lines whose keys are in ``drop``."""
+    white, lower = WHITE, str.maketrans(string.ascii_uppercase, string.ascii_lowercase)
+    out = []
+    for text, digests in zip(body, drop, strict=True):
+        if digests is None:
+            out.append((None, None))
+            continue
+        gone, lines = {bytes(d) for d in digests}, text.split("\n")
+        keys = (line.strip(white).translate(lower) for line in lines)
+        kept = [line for line, key in zip(lines, keys, strict=True) if len(key) < MIN_CHARS or hashlib.sha256(key.encode()).digest() not in gone]
+        out.append(("\n".join(kept), len(lines) - len(kept)))
+    return pd.DataFrame({"kept_text": pd.Series([k for k, _ in out], dtype=object), "n_dropped": pd.Series([n for _, n in out], dtype="Int64")})
+
+
 def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, n_lines, n_dropped, kept_text.
 
@@ -280,12 +297,9 @@ def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     columns are not read. A line kept by the largest id keeps all its occurrences there.
     """
     drops = line_drops(index_lines(docs, id_col, text_col)).select(F.col("doc_id").alias("of_doc"), "drop")
-    rows = docs.select(F.col(id_col).alias("doc_id"), lines_of(text_col).alias("lines"))
-    kept = F.when(F.col("drop").isNull(), F.col("lines")).otherwise(
-        F.filter("lines", lambda x: ~F.coalesce(F.array_contains(F.col("drop"), key_digest(line_key(x))), F.lit(False)))
-    )
-    return (
-        rows.join(drops, F.col("doc_id").eqNullSafe(F.col("of_doc")), "left")
-        .select("doc_id", F.size("lines").cast("long").alias("n_lines"), kept.alias("kept"))
-        .select("doc_id", "n_lines", (F.col("n_lines") - F.size("kept")).alias("n_dropped"), F.array_join("kept", "\n").alias("kept_text"))
-    )
+    body = F.coalesce(F.col(text_col), F.lit(""))
+    rows = docs.select(F.col(id_col).alias("doc_id"), body.alias("body"), F.size(lines_of(text_col)).cast("long").alias("n_lines"))
+    rows = rows.join(drops, F.col("doc_id").eqNullSafe(F.col("of_doc")), "left")
+    # only texts that lose lines go to Python
+    rows = rows.withColumn("left", F.pandas_udf(_kept_lines, "kept_text string, n_dropped long")(F.when(F.col("drop").isNotNull(), F.col("body")), F.col("drop")))
+    return rows.select("doc_id", "n_lines", F.coalesce("left.n_dropped", F.lit(0).cast("long")).alias("n_dropped"), F.coalesce("left.kept_text", "body").alias("kept_text"))

@@ -7,6 +7,7 @@ import hashlib
 import itertools
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -165,6 +166,16 @@ def test_dropping_copies_leaves_any_columns(spark):
     assert kept.columns == docs.columns and sorted(tuple(r) for r in kept.collect()) == [(2, "a", None, "z", 6), (3, "b", "x", "y", 7)]
 
 
+def test_a_text_of_very_many_lines(spark):
+    lines = [f"line number {i} of a document with very many lines" for i in range(200_000)]
+    shared = lines[:20_000]
+    docs = table(spark, ["\n".join(lines)] + ["\n".join([*shared, f"own line {k} that is long enough to have a key"]) for k in range(5)])
+    began = time.time()
+    got = {r.doc_id: (r.n_lines, r.n_dropped) for r in line_dedup.drop_repeated_lines(docs).select("doc_id", "n_lines", "n_dropped").collect()}
+    assert got == {1: (200_000, 20_000)} | {k: (20_001, 20_000) for k in range(2, 6)} | {6: (20_001, 0)}
+    assert time.time() - began < 60
+
+
 def lines_by_hand(docs):
     white = " \t\n\x0b\f\r"
     key = lambda line: "".join(c.lower() if "A" <= c <= "Z" else c for c in line.strip(white))
