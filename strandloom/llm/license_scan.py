@@ -22,7 +22,8 @@ SPELLINGS = (
     ("acknowledgement", "acknowledgment"), ("merchantable", "merchantability"), ("per cent", "percent"), ("whilst", "while"), ("https:", "http:"),
 )
 FANCY, PLAIN = "‘’“”–— ", "''\"\"-- "
-COPYRIGHT_LINE = r"(^|\n)[ \t]*(copyright|\(c\)|\x{a9})[^\n]*"
+# a wrapped license may have a line that begins with "copyright holder": a copyright line has a sign, a year or an owner behind the word
+COPYRIGHT_LINE = r"(^|\n)[ \t]*(copyright[ \t,:]*(\(c\)|\x{a9}|by[ \t]|[0-9]{4}|\[yyyy\]|<year>)|\(c\)[ \t]*(copyright|by[ \t]|[0-9]{4})|\x{a9})[^\n]*"
 BETWEEN_WORDS = r"[\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+"
 WITHIN_LINES = r"[\x00-\x09\x0b-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+"
 
@@ -97,18 +98,18 @@ KNOWN = (
 
 # Long licenses as published: name, the first words of the canonical form, its characters, its digest.
 LONG = (
-    ("Apache-2.0", "apache license version 2 0 january 2004 http www apache org ", 9701, "ff7be961361eda3cd2a76927dd0d9482cf45defafde2045befedf77400d98100"),
+    ("Apache-2.0", "apache license version 2 0 january 2004 http www apache org ", 9882, "e87dea5078ce2faaea46d3475af18d30a5c0ac0f09425b60b3e0c6569f72f8d2"),
     ("GPL-1.0", "gnu general public license version 1 february 1989 51 frankl", 11765, "8f586b09c093668e2db772bdcfc1d5dc0b03e0e862fccbff035e1bf134e9b224"),
-    ("GPL-2.0", "gnu general public license version 2 june 1991 51 franklin s", 17053, "b866f5427b78991db8012466b32f51c907f5e974fde5129a47372d0d0552e3a1"),
-    ("GPL-3.0", "gnu general public license version 3 29 june 2007 everyone i", 33274, "010ce52b3b970c80b5447205f4afc3b42084811cda2d11b95178b1fd3940764f"),
-    ("LGPL-2.0", "gnu library general public license version 2 june 1991 51 fr", 23937, "9b0b3105b96203f9d9e4b72d4b77951152156c88139302b5aedf6295e3ceaaa3"),
-    ("LGPL-2.1", "gnu lesser general public license version 2 1 february 1999 ", 25024, "cb225061bb71741fe8b31a2092e22fe05b1130438158ae5d16c48fd50186e345"),
+    ("GPL-2.0", "gnu general public license version 2 june 1991 51 franklin s", 17117, "efe73660e5476cf0368fc0fc143f624ff9d1b73c4484b14a9969dd20c5786821"),
+    ("GPL-3.0", "gnu general public license version 3 29 june 2007 everyone i", 33406, "eaab5d82fdcca441d83a1913bbf07e4de3a739e190578c0bffde24f84e93bb2a"),
+    ("LGPL-2.0", "gnu library general public license version 2 june 1991 51 fr", 24130, "61af4dcea4e412e8ccfb8877fd2762bd6d962f8d42a9fa2c06cf7b4613f2c908"),
+    ("LGPL-2.1", "gnu lesser general public license version 2 1 february 1999 ", 25217, "4d55922bdeafabde164d75448bbfb0b474bf952bbb541325364010900acd9891"),
     ("LGPL-3.0", "gnu lesser general public license version 3 29 june 2007 eve", 7104, "aae2b222477171fb64e298e7965e768a9a6f85320646b266c94399ac029d42be"),
-    ("MPL-1.1", "mozilla public license version 1 1 1 definitions 1 0 1 comme", 22342, "d5f6e601917398144de4e463fbe58df0b88e92b30f0657060db65f3480ab4aa5"),
-    ("MPL-2.0", "mozilla public license version 2 0 1 definitions 1 1 contrib", 14274, "c2713eb9ffe7cf58eeb67ec5410a54ac745b6fb19c51c595bdfd96f92361166b"),
+    ("MPL-1.1", "mozilla public license version 1 1 1 definitions 1 0 1 comme", 22470, "2360480671121a8c63e9bb07294269d3dbd0ca318a7882fc28c54c106dbee3d5"),
+    ("MPL-2.0", "mozilla public license version 2 0 1 definitions 1 1 contrib", 14344, "3599de37bcef5820a1933fc9b0c5b5389b95fa5dc39cb6e05f4764ef1c2f2439"),
     ("CC0-1.0", "creative commons legal code cc0 1 0 universal creative commo", 6692, "96bdc7f63190fb4bd1ae584b890300ed7517d858b34c945642a3b9b2f1612a5f"),
-    ("GFDL-1.2", "gnu free documentation license version 1 2 november 2002 51 ", 19509, "19d29a7c800a0d85704b63b4c09d5cd01dd9a287c61e238f4717d8a9e75d214f"),
-    ("GFDL-1.3", "gnu free documentation license version 1 3 3 november 2008 h", 21877, "e70f40f3a50995855f972521fe4eaa4af360a4597e5914977b6093cce5243480"),
+    ("GFDL-1.2", "gnu free documentation license version 1 2 november 2002 51 ", 19578, "15f6a8d360ffdecc988c29279c00f23e20de17f14f2a06572ab0d41de6e98b7b"),
+    ("GFDL-1.3", "gnu free documentation license version 1 3 3 november 2008 h", 22013, "2d36daeff2ad303badb6dee8149748be25e22974dd468e1e8a55cf40f16fc01d"),
 )
 HEAD = 60
 
@@ -147,7 +148,8 @@ def _inside(form: Column, licenses: list[Row]) -> Column:
 
     def held(row: Row) -> Column:
         parts = F.split(form, row["head"], -1)
-        behind = lambda k: F.array_join(F.slice(parts, k + 1, F.size(parts)), row["head"])
+        # each part brings the head's characters too, so that a license has a bounded number of them
+        behind = lambda k: F.array_join(F.slice(parts, k + 1, row["chars"] // len(row["head"]) + 2), row["head"])
         here = lambda k: _sha(F.concat(F.lit(row["head"]), F.left(behind(k), F.lit(row["chars"] - len(row["head"]))))) == row["digest"]
         found = F.instr(form, row["head"]) > 0
         return F.when(found & F.exists(F.sequence(F.lit(1), F.greatest(F.size(parts) - 1, F.lit(1))), here), F.lit(row["license"]))
