@@ -5,8 +5,9 @@ styles and comments goes by markup; the other blocks are inside the page's artic
 the host's pages are held against each other, pages of equal blocks counting as one:
 
 * an open block loses the runs of at least ``REPEAT`` tokens that another page of the host has too;
-* a block inside an article goes as a whole if at least ``LEAST_PAGES`` pages of the host and ``MOST_SHARE`` of all of them
-  have it, as they do cookie bars, share lines and footers that markup doesn't tell. Passages that some articles share stay.
+* a block inside an article goes as a whole if it has at least ``LONG`` tokens and at least ``LEAST_PAGES`` pages of the host and
+  ``MOST_SHARE`` of all of them have it, as they do cookie bars and footers that markup doesn't tell. Passages that some
+  articles share stay, and so do headings and short steps however many share them.
 
 The host is looked at whole, whatever its size. Windows of ``REPEAT`` tokens and blocks travel as 128-bit digests of host
 and tokens with the digest of their page and are folded map-side, so that a large host is no group of its own.
@@ -18,7 +19,7 @@ from __future__ import annotations
 import hashlib
 import html
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,10 +31,10 @@ from strandloom.llm.shingles import slices
 from strandloom.session import materialize
 
 REPEAT, FLUSH_WINDOWS = 8, 50_000
-LEAST_PAGES, MOST_SHARE = 3, 0.5
+LONG, LEAST_PAGES, MOST_SHARE = 10, 5, 0.5
 
 # Elements by their role in HTML.
-DROPPED = frozenset("script style noscript template head title nav header footer aside form button select textarea input option label fieldset menu dialog iframe object embed svg canvas audio video map math".split())
+DROPPED = frozenset("script style noscript template head title nav header footer aside form button select textarea input option label fieldset menu dialog iframe object embed svg canvas audio video map".split())
 RAW = frozenset("script style textarea title noscript template iframe xmp noembed noframes".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img".split())
@@ -44,13 +45,15 @@ SCOPES = frozenset("table ul ol dl menu select article section div body main td
 # Words that name, in a class, id or role, what isn't the article; the second ones only on containers.
 MARKS = frozenset(
     "ad ads advert adverts advertisement advertising banner sponsor sponsored promo promotion nav navbar navigation menu breadcrumb breadcrumbs footer colophon sidebar aside cookie cookies consent gdpr"
-    " popup modal overlay newsletter subscribe subscription signup login comment comments commentlist disqus respond replies sharing social pagination pager toolbar skip contentinfo complementary dialog byline-links".split()
+    " popup modal overlay newsletter subscribe subscription signup login comment comments commentlist disqus respond replies responses user-reviews reader-reviews customer-reviews sharing social pagination pager toolbar skip contentinfo complementary dialog byline-links".split()
 )
 CONTAINER_MARKS = frozenset("widget widgets related recommended trending popular notice notices share search form copyright legal disclaimer alert tags".split())
+# Those of them that may name a part of an article.
+OF_ARTICLES = frozenset("popular notice notices copyright legal disclaimer alert tags".split())
 # Words that may stand beside those in one name without changing its sense.
 BESIDE = frozenset(
     "site page global main top bottom left right header head box bar block list lists item items area section wrapper wrap container content inner outer link links button buttons panel slot unit group icons icon"
-    " menu text message primary secondary post posts article articles story stories entry body the of and by us media".split()
+    " menu text message primary secondary post posts article articles story stories entry body the of and by us media user users reader readers customer customers visitor visitors reviews".split()
 )
 CONTAINERS = frozenset("div section ul ol dl table center details article".split())
 PAGE_HEADER = frozenset("site page global main top".split())
@@ -62,9 +65,10 @@ SPACE = re.compile(r"\s+")
 
 def _names_boilerplate(value: str, container: bool, inside: bool) -> bool:
     """Whether one of the names in ``value`` is made of words that mark boilerplate, and of others that may stand beside them."""
+    told = (CONTAINER_MARKS - OF_ARTICLES if inside else CONTAINER_MARKS) if container else frozenset()
     for name in value.lower().split():
         words = [w for w in re.split(r"[-_\d:.]+|side-bar", name) if w]
-        mark = name in MARKS or any(w in MARKS or container and w in CONTAINER_MARKS for w in words)
+        mark = name in MARKS or any(w in MARKS or w in told for w in words)
         if mark and all(w in MARKS or w in CONTAINER_MARKS or w in BESIDE for w in words):
             return True
         if not inside and words and words[-1] in ("header", "masthead") and all(w in PAGE_HEADER for w in words[:-1]):
@@ -116,6 +120,8 @@ def blocks_of(page: str) -> list[tuple[str, str]]:
     text: list[str] = []
     stack: list[tuple[str, bool]] = []  # open elements, each with whether it is dropped
     opened: Counter[str] = Counter()
+    places: dict[str, list[int]] = defaultdict(list)  # where open inline elements of a name stand in the stack
+    outer: list[int] = []  # where its other elements stand
     dropped = articles = 0
 
     def flush() -> None:
@@ -129,6 +135,7 @@ def blocks_of(page: str) -> list[tuple[str, str]]:
         while len(stack) > n:
             name, out = stack.pop()
             opened[name] -= 1
+            (places[name] if name in INLINE else outer).pop()
             if name not in INLINE or out:
                 flush()
             dropped -= out
@@ -138,22 +145,17 @@ def blocks_of(page: str) -> list[tuple[str, str]]:
         """Open or close an element; the place to go on from, if it isn't the tag's end."""
         nonlocal dropped, articles
         if closing:
-            for k in range(len(stack) - 1 if opened[name] else -1, -1, -1):
-                if stack[k][0] == name:
-                    leave(k)
-                    return None
-                if name in INLINE and stack[k][0] not in INLINE:
-                    return None
-            if name not in INLINE:
+            if name in INLINE:
+                if places[name] and places[name][-1] > (outer[-1] if outer else -1):
+                    leave(places[name][-1])
+                return None
+            if not opened[name]:
                 flush()
+                return None
+            leave(next(k for k in reversed(outer) if stack[k][0] == name))
             return None
-        if name in CLOSES_P and opened["p"]:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == "p":
-                    leave(k)
-                    break
-                if stack[k][0] not in INLINE:
-                    break
+        if name in CLOSES_P and outer and stack[outer[-1]][0] == "p":
+            leave(outer[-1])
         if name in SIBLINGS and any(opened[sibling] for sibling in SIBLINGS[name]):
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] in SIBLINGS[name]:
@@ -176,6 +178,7 @@ def blocks_of(page: str) -> list[tuple[str, str]]:
         if name in RAW:
             end = re.compile(rf"</{re.escape(name)}\s*+>", re.I).search(page, at)
             return end.end() if end else len(page)
+        (places[name] if name in INLINE else outer).append(len(stack))
         stack.append((name, out))
         opened[name] += 1
         dropped += out
@@ -298,8 +301,9 @@ def _usual_blocks(blocks: DataFrame) -> DataFrame:
     """
     hosts = blocks.select(F.xxhash64("host").alias("of_host"), "host", "content", "blocks")
     pages = hosts.select("of_host", "content").distinct().groupBy("of_host").agg(F.count(F.lit(1)).alias("pages"))
-    bodies = F.transform("blocks", lambda b: F.unhex(F.md5(F.concat_ws("\n", "host", b["body"]))))
-    places = hosts.select("of_host", "content", F.posexplode(bodies).alias("at", "digest"))
+    long = lambda b: F.size(F.split(b["body"], " ")) >= LONG
+    bodies = F.transform("blocks", lambda b: F.when(long(b), F.unhex(F.md5(F.concat_ws("\n", "host", b["body"])))))
+    places = hosts.select("of_host", "content", F.posexplode(bodies).alias("at", "digest")).where("digest IS NOT NULL")
     counts = places.select("digest", "content", "of_host").distinct().groupBy("digest", "of_host").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= LEAST_PAGES)
     usual = materialize(counts.join(pages, "of_host").where(F.col("n") >= MOST_SHARE * F.col("pages")).select("digest"), "usual-blocks")
     return materialize(places.join(usual, "digest", "left_semi").groupBy("content").agg(F.collect_set("at").alias("usual")), "usual-places")

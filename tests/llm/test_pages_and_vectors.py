@@ -3,6 +3,7 @@
 import hashlib
 import os
 import random
+import textwrap
 import time
 
 import numpy as np
@@ -39,6 +40,30 @@ def test_hostile_pages_take_linear_time():
     assert time.time() - began < 60
 
 
+def test_crossing_tags_and_open_inline_elements_take_linear_time():
+    n = 100_000
+    for page in ("<b><div>" + "<i>" * n + "</b>" * n, "<p><object>" + "<i>" * n + "<hr>" * n, "<p>" + "<i>" * n + "<div>" * n, "<li>" + "<b>" * n + "<li>" * n):
+        began = time.time()
+        html_extract.blocks_of(page)
+        assert time.time() - began < 10
+
+
+def test_crossing_tags_close_what_is_open():
+    text = lambda page: [t for _, t in html_extract.blocks_of(page)]
+    assert text("<b>a<i>b</b>c</i>d") == ["abcd"] and text("<b><div>x</b>y</div>z") == ["xy", "z"]
+    assert text("<div><p>a<b>b</div>c") == ["ab", "c"] and text("<p>a<p>b</p>c") == ["a", "b", "c"] and text("<p><b>a<hr>b") == ["a", "b"]
+
+
+def test_articles_keep_what_their_host_repeats_in_short_and_what_names_their_parts(spark):
+    recipe = lambda i: f"<article><h1>Dish {i}</h1><h2>Ingredients</h2><p>Egg {i}</p><h2>Method</h2><p>Stir well.</p><p>Cook 20 min</p></article>"
+    rows = [(i, f"https://r.example/{i}", recipe(i), None, None) for i in range(8)]
+    parts = '<article><p>Let <math><mi>x</mi></math> be.</p><div class="notice">Mind the gap.</div><div class="legal">By law.</div><section class="reader-comments">no</section><div id="user-reviews">no</div><ol class="responses"><li>no</ol></article>'
+    rows.append((100, "https://s.example/", parts, None, None))
+    got = {r.page_id: r.text for r in html_extract.main_text(spark.createDataFrame(rows, PAGE)).collect()}
+    assert all(got[i] == f"Dish {i} Ingredients Egg {i} Method Stir well. Cook 20 min" for i in range(8))
+    assert got[100] == "Let x be. Mind the gap. By law."
+
+
 def test_hosts_decide_on_blocks_of_articles(spark):
     bar = "We use cookies to make this site better for you"
     page = lambda i, k: f"<article><p>{bar}</p><p>own {i}</p><p>passage {k} shared by few</p></article>"
@@ -248,6 +273,27 @@ def test_whole_licenses_are_found_inside_documents(spark):
         assert got[k].license == (name if k < len(texts) else None)
 
 
+def test_wrapped_licenses_are_found_at_any_width(spark):
+    known = [(name, text) for name, text in license_scan.KNOWN if "\n" in text]
+    rows = []
+    for name, text in known:
+        for width in range(60, 101):
+            body = "\n\n".join(textwrap.fill(part, width, break_on_hyphens=False) for part in text.split("\n\n"))
+            rows += [(name, f"Copyright (c) 2019 A. Person\n\n{body}"), (name, f"Words before.\nCopyright 2019, A. Person\n(c) 2020 B\n{body}\nand behind.")]
+    docs = spark.createDataFrame([(k, t) for k, (_, t) in enumerate(rows)], "doc_id long, text string").repartition(8)
+    got = {r.doc_id: r for r in license_scan.scan_licenses(docs, license_scan.known_licenses(spark)).collect()}
+    for k, (name, _) in enumerate(rows):
+        assert got[k].contained == name and got[k].license == (None if k % 2 else name)
+
+
+def test_repeated_heads_of_a_license_take_linear_time(spark):
+    head = next(t for name, t in license_scan.KNOWN if name == "ISC")[:70]
+    docs = spark.createDataFrame([(n, (head + " ") * n) for n in (1_000, 8_000)], "doc_id long, text string")
+    began = time.time()
+    assert {r.contained for r in license_scan.scan_licenses(docs, license_scan.known_licenses(spark)).collect()} == {""}
+    assert time.time() - began < 60
+
+
 def test_vectors_equal_brute_force(spark):
     rng = np.random.default_rng(8)
     rows, near = [], []
