@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from strandloom.functions.variants import keep_decision, keep_decision_simple
 from strandloom.operators import align, dataset, metrics, nodes, pileup, tensor
+from strandloom.plans import gam_files
 from strandloom.plans.fixtures import sql
 from strandloom.plans.graph_queries import _AF, _DIGIT, _MORE, _af_bases
 from strandloom.plans.pileup_queries import _ranked
@@ -65,8 +66,10 @@ def _gam_json(t):
 
 
 def _gam(t):
-    files = alignment_files.write_gam(t.alignments().repartition(5), scratch_path(t.spark, "gam"))
-    return alignment_files.read_gam(t.spark, [r["file"] for r in files.select("file").collect()])
+    folder = scratch_path(t.spark, "gam")
+    gam_files.write_gam(t.alignments().repartition(5), folder)
+    # of small ranges, so that groups lie across them; node statistics need these columns only
+    return alignment_files.read_gam(t.spark, folder, ("name", "sequence", "mapping_quality", "identity", "path"), split=1 << 18)
 
 
 def _sam(t):

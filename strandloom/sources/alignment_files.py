@@ -2,18 +2,16 @@
 
 from __future__ import annotations
 
-import gzip
+import re
 import struct
-import uuid
-from collections.abc import Iterator
+import zlib
+from collections.abc import Collection, Iterator
 
 import pyarrow as pa
 import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandloom.session import materialize
-
 EDIT = "struct<from_length: int, to_length: int, sequence: string>"
 POSITION = "struct<node_id: long, offset: long, is_reverse: boolean>"
 MAPPING = f"struct<position: {POSITION}, edit: array<{EDIT}>, rank: long>"
@@ -86,6 +84,7 @@ def _signed(value: int, bits: int = 64) -> int:
     return value - (1 << bits) if value >> (bits - 1) else value
 
 
+ALIGNMENT_COLUMNS = ("name", "sequence", "quality", "mapping_quality", "identity", "refpos", "path")
 # Field numbers of the public alignment schema.
 _ALIGNMENT = {"sequence": 1, "path": 2, "name": 3, "quality": 4, "mapping_quality": 5, "identity": 16, "refpos": 20}
 
@@ -102,9 +101,11 @@ def _position(data: bytes) -> dict:
     return out
 
 
-def decode_alignment(data: bytes) -> dict:
-    row = {"name": "", "sequence": "", "quality": b"", "mapping_quality": 0, "identity": 0.0, "refpos": [], "path": {"mapping": []}}
-    names = {number: name for name, number in _ALIGNMENT.items()}
+def decode_alignment(data: bytes, columns: Collection[str] = tuple(_ALIGNMENT)) -> dict:
+    """The wanted columns of one alignment; other fields are stepped over undecoded."""
+    empty = {"name": "", "sequence": "", "quality": b"", "mapping_quality": 0, "identity": 0.0}
+    row = {c: {"mapping": []} if c == "path" else [] if c == "refpos" else empty[c] for c in columns}
+    names = {_ALIGNMENT[c]: c for c in columns}
     for number, value in _fields(data):
         name = names.get(number)
         if name in ("name", "sequence"):
@@ -144,94 +145,244 @@ def _mapping(data: bytes) -> dict:
     return out
 
 
-def group_messages(data: bytes) -> Iterator[bytes]:
-    """Messages of the ``GAM`` groups in a file: a count, then that many length-prefixed pieces, the first the tag."""
-    if data[:2] == b"\x1f\x8b":
-        data = gzip.decompress(data)
-    at = 0
-    while at < len(data):
-        count, at = _varint(data, at)
-        tag = None
-        for k in range(count):
-            n, at = _varint(data, at)
-            piece, at = data[at : at + n], at + n
-            if k == 0:
-                tag = piece
-            elif tag == b"GAM":
-                yield piece
-
-
-def read_gam(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """Alignments of framed protobuf files, a task a file as gzip doesn't split; convert them to Parquet once."""
+def _is_message(data: bytes) -> bool:
+    """Whether ``data`` is made of whole protobuf fields."""
+    at, end = 0, len(data)
+    try:
+        while at < end:
+            key, at = _varint(data, at)
+            kind = key & 7
+            if not key >> 3 or kind not in (0, 1, 2, 5):
+                return False
+            if kind == 0:
+                _, at = _varint(data, at)
+            else:
+                n, at = _varint(data, at) if kind == 2 else (8 if kind == 1 else 4, at)
+                at += n
+    except IndexError:
+        return False
+    return at == end
+
+
+TAG = b"\x03GAM"
+PIECE = 1 << 18
+SPLIT = 64 << 20
+
+
+def _bgzf_size(header: bytes) -> int:
+    """Bytes of the BGZF block that ``header`` begins, 0 if it begins none."""
+    if len(header) < 18 or header[:4] != b"\x1f\x8b\x08\x04":
+        return 0
+    at, end = 12, 12 + int.from_bytes(header[10:12], "little")
+    while at + 6 <= min(end, len(header)):
+        size = int.from_bytes(header[at + 2 : at + 4], "little")
+        if header[at : at + 4] == b"BC\x02\x00":
+            return int.from_bytes(header[at + 4 : at + 6], "little") + 1
+        at += 4 + size
+    return 0
+
+
+def _bgzf_pieces(file: pa.NativeFile, size: int, lo: int) -> Iterator[tuple[int, bytes]]:
+    """(place in the file, content) of the BGZF blocks from the first that begins at or behind ``lo``."""
+    held, at = b"", lo
+
+    def need(n: int) -> None:
+        nonlocal held
+        if len(held) < n and at + len(held) < size:
+            file.seek(at + len(held))
+            held += file.read(max(n - len(held), PIECE))
+
+    while lo and at < size:  # a block is one that ends at another or at the file's end
+        need(2 * PIECE)
+        found = held.find(b"\x1f\x8b\x08\x04")
+        if found >= 0 and (n := _bgzf_size(held[found : found + 64])):
+            held, at = held[found:], at + found
+            need(n + 64)
+            if at + n == size or _bgzf_size(held[n : n + 64]):
+                break
+            found = 0
+        drop = found + 1 if found >= 0 else max(1, len(held) - 3)
+        held, at = held[drop:], at + drop
+    while at < size:
+        need(64)
+        n = _bgzf_size(held[:64])
+        if not n:
+            raise ValueError(f"no BGZF block at byte {at}")
+        need(n)
+        yield at, zlib.decompress(held[:n], 31)
+        held, at = held[n:], at + n
+
+
+def _pieces(file: pa.NativeFile, size: int, lo: int) -> Iterator[tuple[int, bytes]]:
+    """Content in order, each piece with its place in the file; nothing if another range owns all of the file."""
+    head = file.read(64) if size else b""
+    if head[:2] != b"\x1f\x8b":
+        for at in range(lo, size, PIECE):
+            file.seek(at)
+            yield at, file.read(min(PIECE, size - at))
+    elif _bgzf_size(head):
+        yield from _bgzf_pieces(file, size, lo)
+    elif lo == 0:  # plain gzip has no places to begin at: its first range reads all of it
+        file.seek(0)
+        unpacked = zlib.decompressobj(31)
+        while part := unpacked.unconsumed_tail or unpacked.unused_data or file.read(PIECE):
+            if unpacked.eof:
+                unpacked = zlib.decompressobj(31)
+            yield 0, unpacked.decompress(part, 16 * PIECE)
+        while not unpacked.eof and (part := unpacked.decompress(b"", 16 * PIECE)):
+            yield 0, part
+
+
+class _Frames:
+    """Groups of framed messages in content that comes piece by piece."""
+
+    def __init__(self, pieces: Iterator[tuple[int, bytes]], exact: bool):
+        self.pieces, self.exact = pieces, exact
+        self.data, self.base, self.ended = bytearray(), 0, False
+        self.marks: list[tuple[int, int]] = []  # where a piece begins in the content, and in the file
+
+    def more(self) -> bool:
+        place, piece = next(self.pieces, (0, None))
+        if piece is None:
+            self.ended = True
+            return False
+        self.marks.append((self.base + len(self.data), place))
+        self.data += piece
+        return True
+
+    def place(self, at: int) -> int:
+        """The file's place of a byte: its own in plain files, its block's in packed ones."""
+        begin, place = next(m for m in reversed(self.marks) if m[0] <= at)
+        return place + (at - begin if self.exact else 0)
+
+    def forget(self, at: int) -> None:
+        if at - self.base > PIECE:
+            del self.data[: at - self.base]
+            self.base = at
+            while len(self.marks) > 1 and self.marks[1][0] <= at:
+                self.marks.pop(0)
+
+    def has(self, end: int) -> bool:
+        while self.base + len(self.data) < end:
+            if not self.more():
+                return False
+        return True
+
+    def varint(self, at: int) -> tuple[int, int]:
+        """(value, end); raises EOFError where the content ends."""
+        value = shift = 0
+        while self.has(at + 1) and shift < 64:
+            byte = self.data[at - self.base]
+            value |= (byte & 127) << shift
+            at += 1
+            if byte < 128:
+                return value, at
+            shift += 7
+        raise EOFError
+
+    def piece(self, at: int) -> tuple[int, int]:
+        """(begin, end) of the length-prefixed piece at ``at``."""
+        n, begin = self.varint(at)
+        if n > 1 << 30 or not self.has(begin + n):
+            raise EOFError
+        return begin, begin + n
+
+    def is_group(self, at: int, others: int = 8) -> bool:
+        """Whether a ``GAM`` group begins at ``at``: its first pieces are messages, and all of them are whole and lead to the content's
+        end or to the next one, over some groups of other kinds at most."""
+        if not self.has(at + 1):
+            return True
+        try:
+            count, at = self.varint(at)
+            begin, at = self.piece(at)
+            tag = bytes(self.data[begin - self.base : at - self.base])
+            if tag == TAG[1:] and others < 8:
+                return True
+            if count < 1 or len(tag) > 32 or not tag.isalnum() or not others:
+                return False
+            for k in range(count - 1):
+                begin, at = self.piece(at)
+                if k < 8 and tag == TAG[1:] and not _is_message(bytes(self.data[begin - self.base : at - self.base])):
+                    return False
+        except EOFError:
+            return False
+        return self.is_group(at, others - 1)
+
+    def first_group(self, hi: int) -> int | None:
+        """Where the first ``GAM`` group begins that can be told, if before ``hi``."""
+        at = 0
+        while self.has(at + len(TAG) + 1):
+            found = self.data.find(TAG, at - self.base)
+            if found < 0:
+                at = max(at, self.base + len(self.data) - len(TAG) + 1)
+                if self.place(min(at, self.base + len(self.data) - 1)) >= hi or not self.more():
+                    return None
+                self.forget(at - 16)
+                continue
+            found += self.base
+            for width in (5, 4, 3, 2, 1):
+                begin = found - width
+                if begin >= self.base:
+                    count = self.data[begin - self.base : found - self.base]
+                    if count[-1] < 128 and all(b >= 128 for b in count[:-1]) and (width == 1 or count[-1]) and self.is_group(begin):
+                        return begin
+            at = found + 1
+        return None
+
+    def messages(self, lo: int, hi: int) -> Iterator[bytes]:
+        """Messages of the ``GAM`` groups that begin in the file's range from ``lo`` to before ``hi``."""
+        at = 0 if lo == 0 else self.first_group(hi)
+        while at is not None and self.has(at + 1) and self.place(at) < hi:
+            try:
+                count, at = self.varint(at)
+                tag = None
+                for k in range(count):
+                    begin, at = self.piece(at)
+                    piece = bytes(self.data[begin - self.base : at - self.base])
+                    if k == 0:
+                        tag = piece
+                    elif tag == TAG[1:]:
+                        yield piece
+                    self.forget(at)
+            except EOFError:
+                raise ValueError("the file ends within a group") from None
+
+
+def range_messages(path: str, size: int, lo: int, hi: int) -> Iterator[bytes]:
+    """Messages that the range from ``lo`` to before ``hi`` of a file owns, in bounded memory."""
+    local = path.startswith("file:")
+    fs, name = (pyarrow.fs.LocalFileSystem(), re.sub("^file:/+", "/", path)) if local else pyarrow.fs.FileSystem.from_uri(path)
+    with fs.open_input_file(name) as file:
+        exact = file.read(2) != b"\x1f\x8b"
+        file.seek(0)
+        yield from _Frames(_pieces(file, size, lo), exact).messages(lo, hi)
+
+
+def read_gam(spark: SparkSession, path: str | list[str], columns: Collection[str] = tuple(_ALIGNMENT), split: int = SPLIT) -> DataFrame:
+    """Alignments of framed protobuf files, plain or packed, with the given columns; a task reads a range of ``split`` bytes.
+
+    A group belongs to the range in which it begins, in packed (BGZF) files the range in which its block begins; a range finds its first
+    group by frames that lead to further ones. Plain gzip is read by one task, piece by piece. Paths need a file system that
+    ``pyarrow.fs`` opens; a file that ends within a group is an error.
+    """
     from pyspark.sql.pandas.types import to_arrow_schema
 
-    schema = spark.createDataFrame([], ALIGNMENT).schema
+    wanted = [c for c in ALIGNMENT_COLUMNS if c in columns]
+    schema = spark.createDataFrame([], ALIGNMENT).select(*wanted).schema
     arrow = to_arrow_schema(schema)
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for content in batch.column("content").to_pylist():
+            for part in batch.to_pylist():
                 rows: list[dict] = []
-                for message in group_messages(content):
-                    rows.append(decode_alignment(message))
+                for message in range_messages(part["path"], part["length"], part["lo"], part["lo"] + split):
+                    rows.append(decode_alignment(message, wanted))
                     if len(rows) == 2_000:
                         yield pa.RecordBatch.from_pylist(rows, schema=arrow)
                         rows = []
                 if rows:
                     yield pa.RecordBatch.from_pylist(rows, schema=arrow)
 
-    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(decode, schema)
-
-
-def _put_varint(value: int) -> bytes:
-    value &= (1 << 64) - 1
-    out = bytearray()
-    while value > 127:
-        out.append(value & 127 | 128)
-        value >>= 7
-    out.append(value)
-    return bytes(out)
-
-
-def _put(number: int, value: int | bytes | float | str) -> bytes:
-    if isinstance(value, float):
-        return _put_varint(number << 3 | 1) + struct.pack("<d", value)
-    if isinstance(value, int):
-        return _put_varint(number << 3) + _put_varint(value) if value else b""
-    value = value.encode() if isinstance(value, str) else bytes(value)
-    return _put_varint(number << 3 | 2) + _put_varint(len(value)) + value
-
-
-def encode_alignment(row: dict) -> bytes:
-    mappings = b""
-    for m in row["path"]["mapping"]:
-        p = m["position"]
-        edits = b"".join(_put(2, _put(1, e["from_length"]) + _put(2, e["to_length"]) + _put(3, e["sequence"])) for e in m["edit"])
-        mappings += _put(2, _put(1, _put(1, p["node_id"]) + _put(2, p["offset"]) + _put(4, int(p["is_reverse"]))) + edits + _put(5, m["rank"]))
-    refpos = b"".join(_put(20, _put(2, r["offset"]) + _put(4, int(r["is_reverse"])) + _put(5, r["name"])) for r in row["refpos"])
-    return _put(1, row["sequence"]) + _put(2, mappings) + _put(3, row["name"]) + _put(4, row["quality"]) + _put(5, row["mapping_quality"]) + _put(16, float(row["identity"])) + refpos
-
-
-def encode_group(rows: list[dict], tag: bytes = b"GAM") -> bytes:
-    pieces = [tag, *map(encode_alignment, rows)]
-    return _put_varint(len(pieces)) + b"".join(_put_varint(len(p)) + p for p in pieces)
-
-
-def write_gam(reads: DataFrame, folder: str, group: int = 1_000) -> DataFrame:
-    """Write framed protobuf files from tasks, every other one with gzip; returns (file, reads) of those that count.
-
-    A task names its files anew each time it runs, so one that was lost leaves files that aren't listed.
-    """
-    names = ["name", "sequence", "quality", "mapping_quality", "identity", "refpos", "path"]
-
-    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fs, base = pyarrow.fs.FileSystem.from_uri(folder)
-        fs.create_dir(base, recursive=True)
-        for k, batch in enumerate(batches):
-            rows, name = batch.to_pylist(), f"{uuid.uuid4().hex}.gam"
-            content = encode_group([], b"OTHER") + b"".join(encode_group(rows[at : at + group]) for at in range(0, len(rows), group))
-            with fs.open_output_stream(f"{base}/{name}", compression=None) as out:
-                out.write(gzip.compress(content) if k % 2 else content)
-            yield pa.RecordBatch.from_pydict({"file": [f"{folder}/{name}"], "reads": pa.array([len(rows)], pa.int64())})
-
-    return materialize(reads.select(*names).mapInArrow(write, "file string, reads long"), "gam-files")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "length").where("length > 0")
+    ranges = files.select("path", "length", F.explode(F.expr(f"sequence(0L, length - 1, {split}L)")).alias("lo"))
+    return ranges.repartition("path", "lo").mapInArrow(decode, schema)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from strandloom.functions import variants as fv
 from strandloom.operators import dataset, graph, intervals, nodes, ranks, variants
+from strandloom.plans import gam_files
 from strandloom.sources import alignment_files, graph_files, json_objects, summary_files, vcf
 
 
@@ -114,12 +115,37 @@ def test_vcf_round_trip_orders_contigs(spark, tmp_path):
 def test_framed_alignments(spark, tmp_path):
     row = {"name": "r1", "sequence": "ACGT", "quality": b"\x01\x02\x00\xff", "mapping_quality": 60, "identity": 0.75, "refpos": [{"name": "chr1", "offset": 5, "is_reverse": True}],
            "path": {"mapping": [{"position": {"node_id": 7, "offset": 3, "is_reverse": False}, "edit": [{"from_length": 4, "to_length": 4, "sequence": ""}], "rank": 1}]}}
-    plain = alignment_files.encode_group([row], b"OTHER") + alignment_files.encode_group([row, row | {"name": "r2"}])
+    plain = gam_files.encode_group([row], b"OTHER") + gam_files.encode_group([row, row | {"name": "r2"}])
     (tmp_path / "a.gam").write_bytes(plain)
-    (tmp_path / "b.gam").write_bytes(gzip.compress(plain))
+    (tmp_path / "b.gam").write_bytes(gzip.compress(plain[:40]) + gzip.compress(plain[40:]))  # two members
+    (tmp_path / "c.gam").write_bytes(gam_files.bgzf(plain))
     got = alignment_files.read_gam(spark, str(tmp_path)).orderBy("name").collect()
-    assert [r.name for r in got] == ["r1", "r1", "r2", "r2"]
+    assert [r.name for r in got] == ["r1"] * 3 + ["r2"] * 3
     assert got[0].asDict(True) | {"quality": bytes(got[0].quality)} == row
+    few = alignment_files.read_gam(spark, str(tmp_path), ("path", "name"))
+    assert few.columns == ["name", "path"] and few.orderBy("name").first().path.asDict(True) == row["path"]
+    (tmp_path / "c.gam").write_bytes(plain[:-3])
+    with pytest.raises(Exception, match="ends within a group"):
+        alignment_files.read_gam(spark, str(tmp_path)).collect()
+
+
+def test_every_alignment_is_owned_once_at_any_split(tmp_path):
+    rng = random.Random(9)
+    names, content = [], b""
+    for group in range(60):
+        rows = []
+        for _ in range(rng.choice([1, 3, 40, 130])):
+            names.append(f"read{len(names)}" + rng.choice(["", "\x03GAM", "\x05\x03GAMx"]))  # names that look like a group's tag
+            rows.append({"name": names[-1], "sequence": "ACGT" * rng.randint(1, 60), "quality": rng.randbytes(9), "mapping_quality": group, "identity": 0.5, "refpos": [], "path": {"mapping": []}})
+        content += gam_files.encode_group(rows) + (gam_files.encode_group(rows[:2], b"OTHER") if group % 7 == 0 else b"")
+    files = {"plain": content, "packed": gam_files.bgzf(content, 3_000), "small": gam_files.bgzf(content, 90), "gzip": gzip.compress(content)}
+    for kind, data in files.items():
+        path = tmp_path / kind
+        path.write_bytes(data)
+        for split in (1_500, 9_973, 70_001, len(data)):
+            tasks = [[alignment_files.decode_alignment(m, ("name",))["name"] for m in alignment_files.range_messages(f"file:{path}", len(data), lo, lo + split)] for lo in range(0, len(data), split)]
+            assert sum(tasks, []) == names, (kind, split)
+            assert kind == "gzip" or split > 70_000 or sum(map(bool, tasks)) > 3
 
 
 def test_shard_numbers_and_probabilities(spark):
