@@ -181,10 +181,92 @@ def test_sweep_is_linear_in_depth(spark):
     assert counts.where("coverage_at_locus > 1000").count() > 500
 
 
-def test_tensor_encodings():
+def read_rows(seq: str, bq: np.ndarray, mapq: int, walk: list, begin: int, width: int = tensor.WIDTH) -> tuple[np.ndarray, bool]:
+    """base, quality, mapq and CIGAR rows of one segment in a window; False if nothing of it is in there.
+
+    Pads are 0, 0, -1 and 0; a deletion shows as ``*``. The walk stops when the read is used up, so a trailing deletion isn't drawn.
+    """
+    rows = np.zeros((4, width), np.int16)
+    rows[2] = -1
+    codes, hit = tensor.BASE_CODE[np.frombuffer(seq.encode(), np.uint8)], False
+    for op in walk:
+        kind, n, at, read = op["op"], op["n"], op["node_pos"], op["read_pos"]
+        if read >= len(seq):
+            break
+        lo, hi = max(at, begin), min(at + n, begin + width)
+        if kind in "MX=" and lo < hi:
+            hi = min(hi, at + len(seq) - read)
+            place, source = slice(lo - begin, hi - begin), slice(read + lo - at, read + hi - at)
+            rows[0, place], rows[1, place] = codes[source], np.minimum(bq[source], 127)
+        elif kind in "DN" and lo < hi:
+            place = slice(lo - begin, hi - begin)
+            rows[0, place] = tensor.BASES["*"]
+        else:
+            continue
+        rows[2, place], rows[3, place] = max(0, min(127, mapq)), tensor.CIGARS[kind]
+        hit = True
+    return rows, hit
+
+
+def draw(reads: pd.DataFrame, begin: int, width: int) -> tuple[np.ndarray, dict[tuple[int, str], list[tuple[int, int]]]]:
+    """(rows, insertions): each read drawn once, [reads, 4, width]; (position, bases) -> reads with that insertion and its quality."""
+    drawn, inserted = np.zeros((len(reads), 4, width), np.int16), {}
+    for no, (seq, bq, mapq, walk) in enumerate(zip(reads["seq"], reads["bq"], reads["mapq"], reads["walk"], strict=True)):
+        quality = np.asarray(bq, np.int16)
+        drawn[no] = read_rows(seq, quality, int(mapq), walk, begin, width)[0]
+        for op in walk:
+            if op["op"] == "I" and op["read_pos"] < len(seq):
+                own = slice(op["read_pos"], op["read_pos"] + op["n"])
+                inserted.setdefault((op["node_pos"] - 1, seq[own]), []).append((no, min(127, round(float(quality[own].mean())))))
+    return drawn, inserted
+
+
+def window_begin(variant: dict, width: int = tensor.WIDTH) -> int:
+    """The node position of a window's first column: an insertion's window is centred on the base behind it."""
+    return int(variant["v_pos"]) + (variant["v_type"] == "I") - width // 2
+
+
+def tensor_of(variant: dict, node_seq: str, drawn: np.ndarray, inserted: dict, first: int, rows: int, width: int) -> tuple[np.ndarray, int]:
+    """A candidate's tensor from reads drawn from position ``first`` on; see ``build_tensor``."""
+    out = np.zeros((tensor.CHANNELS, 1 + rows, width), np.int8)
+    out[2] = out[3] = -1
+    begin = window_begin(variant, width)
+    at = int(variant["v_pos"]) - begin
+    lo, hi = max(0, begin), min(len(node_seq), begin + width)
+    if lo < hi:
+        out[0, 0, lo - begin : hi - begin] = tensor.BASE_CODE[np.frombuffer(node_seq[lo:hi].encode(), np.uint8)]
+    window = drawn[:, :, begin - first : begin - first + width]
+    hit = (window[:, 3] > 0).any(1)
+    borne = inserted.get((int(variant["v_pos"]), variant["v_alt"]), []) if variant["v_type"] == "I" else []
+    if borne:
+        window = window.copy()
+        for no, quality in borne:
+            window[no, 0, at], window[no, 1, at], hit[no] = tensor.INSERTED, quality, True
+    chosen = np.flatnonzero(hit)[:rows]
+    shown, used = window[chosen], len(chosen)
+    both = (shown[:, 0] > 0) & (out[0, 0] > 0)
+    differ = both & (shown[:, 0] != out[0, 0])
+    out[0, 1 : used + 1], out[1, 1 : used + 1], out[3, 1 : used + 1], out[4, 1 : used + 1] = shown.transpose(1, 0, 2)
+    out[2, 1 : used + 1] = np.where(both, differ, -1)
+    if 0 <= at < width:
+        out[2, 1 : used + 1, at][differ[:, at]] = 5
+    return out, used
+
+
+def build_tensor(variant: dict, node_seq: str, reads: pd.DataFrame, rows: int = tensor.ROWS, width: int = tensor.WIDTH) -> tuple[np.ndarray, int]:
+    """int8 [5, 1 + rows, width]: base, quality, mismatch, mapq and CIGAR channels; row 0 has the reference's bases.
+
+    Mismatches are 0 and 1 where read and reference both have a base, 5 for a mismatch at the variant, else -1. A read
+    that bears the insertion shows it at the variant with its mean quality.
+    """
+    first = window_begin(variant, width)
+    return tensor_of(variant, node_seq, *draw(reads, first, width), first, rows, width)
+
+
+def test_tensor_model():
     walk = [{"n": 3, "op": "M", "node_pos": 0, "read_pos": 0}, {"n": 2, "op": "I", "node_pos": 3, "read_pos": 3}, {"n": 2, "op": "M", "node_pos": 3, "read_pos": 5}, {"n": 4, "op": "D", "node_pos": 5, "read_pos": 7}]
     reads = pd.DataFrame([{"seq": "ACTGGTA", "bq": [200, 2, 3, 10, 21, 6, 7], "mapq": 300, "walk": walk}])
-    data, used = tensor.build_tensor({"v_pos": 2, "v_type": "I", "v_ref": "G", "v_alt": "GG"}, "ACGTACGT", reads)
+    data, used = build_tensor({"v_pos": 2, "v_type": "I", "v_ref": "G", "v_alt": "GG"}, "ACGTACGT", reads)
     assert data.shape == (5, 201, 100) and used == 1
     at = 49  # node position 2 in a window around 3
     assert data[0, 0, at - 2 : at + 2].tolist() == [20, 30, 50, 70]
@@ -195,6 +277,30 @@ def test_tensor_encodings():
     assert np.count_nonzero(data[0, 1]) == 5  # the trailing deletion isn't drawn
 
 
+def test_tensors_by_arrays_equal_the_model(spark):
+    rng = random.Random(12)
+    nodes, rows = random_reads(rng, 12, 60, "DDII")
+    long = "".join(rng.choice("ACGT") for _ in range(700))
+    nodes.append((99, 700, long))
+    for _ in range(300):
+        at = rng.randint(0, 600)
+        ops = [(rng.randint(5, 40), "M"), (rng.randint(1, 3), rng.choice("IDNX")), (rng.randint(5, 40), "M")]
+        seq = "".join(rng.choice("ACGT") for _ in range(sum(n for n, o in ops if o in "MXI")))
+        rows.append((99, at, seq, [rng.randint(0, 200) for _ in seq], "".join(f"{n}{o}" for n, o in ops), rng.choice([10, 60, 300]), "+"))
+    ranked = pileup.materialize(pileup.rank_segments(pileup.valid_segments(segments(spark, rows), spark.createDataFrame(nodes, NODE))), "ranked")
+    found = pileup.candidate_counts(pileup.detect_variants(ranked)).where("v_type <> 'X' OR node_id <> 99 OR v_pos % 9 = 0")
+    for shown in (200, 7):
+        got = {tuple(r[:5]): (r.n_rows, bytes(r.data)) for r in tensor.tensors(found, ranked, shown).collect()}
+        reads = ranked.toPandas()
+        wanted = {}
+        for v in found.collect():
+            own = reads[reads["node_id"] == v.node_id].sort_values("rank")
+            data, used = build_tensor(v.asDict(), own["node_seq"].iloc[0], own, shown)
+            wanted[tuple(v[:5])] = (used, data.tobytes())
+        assert len(wanted) > 400 and {k for k in wanted if wanted[k][0]} <= set(got)
+        assert all(wanted[k] == value for k, value in got.items())
+
+
 def test_empty_tables(spark):
     nodes, segs = spark.createDataFrame([], NODE), spark.createDataFrame([], SEGMENT)
     assert pileup.candidate_summary(segs, nodes).count() == 0
