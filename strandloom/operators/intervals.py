@@ -1,6 +1,9 @@
 """Interval joins: both sides are dealt into bins of the contig, joined on equal bins and tested again.
 
-A pair that shares several bins is made only in the last first bin of the two, so nothing has to be deduplicated.
+Bins come in levels, each ``STEP`` times as wide as the one before. An interval's own level is the first whose bins are as long as it
+is, so that it lies in at most two of them however long it is. Two intervals meet at the higher one's level, in the last first
+bin of the two, so that each pair is made once. Only levels that the other side has are dealt out, for intervals of usual
+lengths a single one. A bin of very many rows is a skewed key of a join, which adaptive execution splits over tasks.
 """
 
 from __future__ import annotations
@@ -10,32 +13,55 @@ from pyspark.sql import functions as F
 
 from strandloom.session import materialize
 
-BIN = 1_000
+BIN, STEP, LEVELS = 1_000, 8, 12
+
+
+def _own_level(length: Column, width: int) -> Column:
+    return sum(((length > width * STEP**k).cast("int") for k in range(1, LEVELS)), (length > width).cast("int"))
+
+
+def _bins(rows: DataFrame, tag: str, level: Column, width: int) -> DataFrame:
+    """``rows`` once for each bin that they touch at ``level``, with the first of them."""
+    rows = rows.withColumn(f"__{tag}v", level)
+    size = F.lit(float(width)) * F.pow(F.lit(float(STEP)), F.col(f"__{tag}v"))
+    number = lambda c: F.floor(F.col(c) / size)
+    rows = rows.withColumn(f"__{tag}f", number(f"__{tag}s"))
+    return rows.withColumn(f"__{tag}b", F.explode(F.sequence(f"__{tag}f", F.greatest(F.floor((F.col(f"__{tag}e") - 1) / size), f"__{tag}f"))))
 
 
 def overlap_join(left: DataFrame, right: DataFrame, lo: tuple[str, Column, Column], ro: tuple[str, Column, Column], how: str = "inner", width: int = BIN) -> DataFrame:
     """Pairs of rows with equal contig whose half-open intervals overlap; ``lo`` and ``ro`` are (contig column, start, end).
 
-    ``width`` should exceed the usual interval. ``how`` is inner, left, left_semi or left_anti. Column names of
+    ``width`` is that of the narrowest bins. ``how`` is inner, left, left_semi or left_anti. Column names of
     the two sides should differ, except that both may have the contig's.
     """
-    number = lambda x: F.floor(x / width)
 
-    def binned(df: DataFrame, side: tuple[str, Column, Column], tag: str) -> DataFrame:
+    def prepared(df: DataFrame, side: tuple[str, Column, Column], tag: str) -> DataFrame:
         contig, start, end = side
         rows = df.withColumn(f"__{tag}s", start).withColumn(f"__{tag}e", end).withColumn(f"__{tag}c", F.col(contig))
-        first = number(F.col(f"__{tag}s"))
-        return rows.withColumn(f"__{tag}f", first).withColumn(f"__{tag}b", F.explode(F.sequence(first, F.greatest(number(F.col(f"__{tag}e") - 1), first))))
+        return rows.withColumn(f"__{tag}o", _own_level(F.col(f"__{tag}e") - F.col(f"__{tag}s"), width))
 
     if how in ("left", "left_semi", "left_anti"):
         left = materialize(left.withColumn("__row", F.monotonically_increasing_id()), "overlap-left")  # the same row numbers on both uses
-    l, r = binned(left, lo, "l"), binned(right, ro, "r")
+    l, r = prepared(left, lo, "l"), prepared(right, ro, "r")
     if ro[0] in left.columns:
         r = r.drop(ro[0])
-    pairs = l.join(r, (F.col("__lc") == F.col("__rc")) & (F.col("__lb") == F.col("__rb")))
-    pairs = pairs.where((F.col("__ls") < F.col("__re")) & (F.col("__rs") < F.col("__le")) & (F.col("__lb") == F.greatest("__lf", "__rf")))
-    hidden = [f"__{t}{x}" for t in "lr" for x in "secfb"]
-    pairs = pairs.drop(*hidden)
+    # at most LEVELS numbers a side
+    on_left, on_right = (sorted(x[0] for x in df.select(f"__{t}o").distinct().collect() if x[0] is not None) for df, t in ((l, "l"), (r, "r")))
+
+    def at_levels(rows: DataFrame, tag: str, levels: list[int], above: bool) -> DataFrame:
+        own = F.col(f"__{tag}o")
+        wanted = F.filter(F.array(*(F.lit(k) for k in levels)).cast("array<int>"), lambda k: k > own if above else k >= own)
+        return _bins(rows, tag, F.explode(wanted), width)
+
+    def met(l: DataFrame, r: DataFrame) -> DataFrame:
+        pairs = l.join(r, (F.col("__lc") == F.col("__rc")) & (F.col("__lv") == F.col("__rv")) & (F.col("__lb") == F.col("__rb")))
+        pairs = pairs.where((F.col("__ls") < F.col("__re")) & (F.col("__rs") < F.col("__le")) & (F.col("__lb") == F.greatest("__lf", "__rf")))
+        return pairs.drop(*(f"__{t}{x}" for t in "lr" for x in "secofbv"))
+
+    pairs = met(_bins(l, "l", F.col("__lo"), width), at_levels(r, "r", on_left, False))
+    if on_left and on_right and on_right[-1] > on_left[0]:
+        pairs = pairs.unionByName(met(at_levels(l, "l", on_right, True), _bins(r, "r", F.col("__ro"), width)))
     if how == "inner":
         return pairs
     rest = [c for c in pairs.columns if c not in left.columns]

@@ -27,6 +27,20 @@ def test_overlap_join_makes_each_pair_once(spark):
         assert sorted(r.id for r in kept.collect()) == ids
 
 
+def test_intervals_of_all_lengths_equal_brute_force(spark):
+    rng = random.Random(14)
+    size = lambda: rng.choice([0, 1, 5, 900, 1_000, 1_001, 8_000, 8_001, 70_000, 5_000_000, 300_000_000])
+    rows = lambda n: [(rng.choice("cd"), at := rng.choice([0, 999, 1_000, 7_999, 8_000, rng.randint(0, 400_000_000)]), at + size(), k) for k in range(n)]
+    left, right = rows(150), rows(150)
+    l, r = spark.createDataFrame(left, "chrom string, s long, e long, id int"), spark.createDataFrame(right, "r_chrom string, rs long, re long, rid int")
+    sides = ("chrom", F.col("s"), F.col("e")), ("r_chrom", F.col("rs"), F.col("re"))
+    wanted = sorted((a[3], b[3]) for a in left for b in right if a[0] == b[0] and a[1] < b[2] and b[1] < a[2])
+    assert rows_of(intervals.overlap_join(l, r, *sides).select("id", "rid")) == wanted and len(wanted) > 1_000
+    assert sorted(x.id for x in intervals.overlap_join(l, r, *sides, "left_anti").collect()) == sorted({a[3] for a in left} - {a for a, _ in wanted})
+    long = spark.createDataFrame([("c", 17, 100_000_017)], "chrom string, __ls long, __le long").withColumn("__lo", intervals._own_level(F.col("__le") - F.col("__ls"), intervals.BIN))
+    assert intervals._bins(long, "l", F.col("__lo"), intervals.BIN).count() <= 2
+
+
 def test_truth_rules(spark):
     truth = spark.createDataFrame([("chr1", 100, "ACGT", ["A"]), ("chr1", 200, "A", ["AGG"]), ("chr1", 300, "C", ["T"]), ("chr1", 400, "A", ["atgg"]), ("chr1", 500, "GT", ["G"])], "chrom string, pos long, ref string, alts array<string>")
     cand = spark.createDataFrame([
