@@ -166,11 +166,10 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     stays = F.col("doc_id").eqNullSafe(F.col("keep_id"))
     gone = found.where(~stays).select("doc_id", "digest").distinct()
     repeated = found.where(stays).groupBy("doc_id", "digest").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    packed = docs.select(F.col(id_col).alias("doc_id"), _text(text_col).alias("body"), F.struct("*").alias("row"))
-    packed = packed.withColumn("digest", _digest("body"))
+    packed = docs.select(F.col(id_col).alias("doc_id"), F.sha2(_text(text_col).cast("binary"), 256).alias("digest"), F.struct("*").alias("row"))
     same = F.col("l.doc_id").eqNullSafe(F.col("r.doc_id")) & (F.col("l.digest") == F.col("r.digest"))
     meet = lambda side, how: packed.alias("l").join(side.alias("r"), same, how)
     if repeated.isEmpty():
         return meet(gone, "left_anti").select("row.*")
-    once = meet(repeated, "left_semi").dropDuplicates(["doc_id", "body"]).select("row.*")
+    once = meet(repeated, "left_semi").dropDuplicates(["doc_id", "digest"]).select("row.*")
     return meet(gone.unionByName(repeated), "left_anti").select("row.*").unionByName(once)
