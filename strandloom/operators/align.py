@@ -21,12 +21,13 @@ def explode_mappings(reads: DataFrame) -> DataFrame:
     """One row per read and mapping with its part of the read; node 0 is left out but its bases count."""
     lengths = F.transform("path.mapping", lambda m: F.aggregate(m["edit"], F.lit(0), lambda t, e: t + e["to_length"]))
     ends = F.aggregate("lengths", F.array(F.lit(0)), lambda s, n: F.concat(s, F.array(F.element_at(s, -1) + n)))
+    quality = F.col("quality") if "quality" in reads.columns else F.lit(None).cast("binary")
     # each mapping takes its own part of the read along, so that neither read nor path rides on every row
-    own = F.transform("path.mapping", lambda m, i: F.struct(m.alias("m"), F.get("ends", i).alias("read_offset"), F.get("lengths", i).alias("read_length"), F.col("sequence").substr(F.get("ends", i) + 1, F.get("lengths", i)).alias("bases")))
+    own = F.transform("path.mapping", lambda m, i: F.struct(m.alias("m"), F.get("ends", i).alias("read_offset"), F.get("lengths", i).alias("read_length"), F.col("sequence").substr(F.get("ends", i) + 1, F.get("lengths", i)).alias("bases"), F.substring(quality, F.get("ends", i) + 1, F.get("lengths", i)).alias("quality")))
     steps = reads.withColumn("lengths", lengths).withColumn("ends", ends).select("name", "mapping_quality", "identity", F.posexplode(own).alias("map_no", "own"))
     rows = steps.select(
         "name", "mapping_quality", "identity", "map_no", F.col("own.m.position.node_id").alias("node_id"), F.col("own.m.position.offset").alias("offset"),
-        F.col("own.m.position.is_reverse").alias("is_reverse"), F.col("own.m.edit").alias("edits"), "own.read_offset", "own.read_length", "own.bases",
+        F.col("own.m.position.is_reverse").alias("is_reverse"), F.col("own.m.edit").alias("edits"), "own.read_offset", "own.read_length", "own.bases", "own.quality",
     )
     return rows.where("node_id <> 0")
 
@@ -124,10 +125,10 @@ def mapq_summary(df: DataFrame, column: str = "mapping_quality") -> DataFrame:
 
 
 def masked_segment(mappings: DataFrame) -> DataFrame:
-    """Older segment text: substituted and inserted bases in lower case, other bases as they are."""
+    """Older segment text: substituted and inserted bases in lower case, other bases as they are; qualities as lower-case hex."""
     ends = F.aggregate(
         "edits", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
         lambda s, e: F.struct((s["at"] + e["to_length"]).alias("at"), F.concat(s["out"], F.when(edit_letter(e) == "M", F.substring(F.col("bases"), s["at"] + 1, e["to_length"])).otherwise(F.lower(F.substring(F.col("bases"), s["at"] + 1, e["to_length"])))).alias("out")),
         lambda s: s["out"],
     )
-    return mappings.withColumn("masked", ends)
+    return mappings.withColumn("masked", ends).withColumn("quality_hex", F.lower(F.hex("quality")))

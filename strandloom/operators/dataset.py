@@ -56,6 +56,11 @@ def split_by_chrom(rows: DataFrame, routes: dict[str, str]) -> DataFrame:
     return out
 
 
+def genotype_of(name: Column) -> Column:
+    """The genotype in a file's name: what stands behind its last underscore, without ``.npy``."""
+    return F.regexp_replace(F.regexp_extract(name, r"([^_]*)$", 1), r"\.npy", "")
+
+
 def split_stratified(rows: DataFrame, label: str, keys: list[str], train: float, val: float, seed: int = 0) -> DataFrame:
     """Per class in hash order the first floor(n * train) are train, the next floor(n * val) val, the rest test."""
     ranked = running_sum(rows.withColumn("hash", hash_order(seed, *keys)), label, "hash", *keys, column="earlier").withColumn("nth", F.col("earlier") + 1).drop("hash", "earlier")

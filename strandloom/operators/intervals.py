@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from strandloom.functions.cigar import cigar_walk, summed
 from strandloom.session import materialize
 
 BIN, STEP, LEVELS = 1_000, 8, 12
@@ -124,11 +125,11 @@ def reads_near_variant(variants: DataFrame, reads: DataFrame, flank: int = 200)
     return near.groupBy("chrom", "pos").agg(F.array_sort(F.collect_set("name")).alias("names"))
 
 
-def variants_to_nodes(variants: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Variants (chrom, pos, ref, kind) with the sorted nodes they touch; SNV and INS take one base, others their REF."""
+def variants_to_nodes(variants: DataFrame, nodes: DataFrame, flank: int = 0) -> DataFrame:
+    """Variants (chrom, pos, ref, kind) with the sorted nodes within ``flank`` of them; SNV and INS take one base, others their REF."""
     last = F.when(F.col("kind").isin("SNV", "INS"), F.col("pos")).otherwise(F.col("pos") + F.length("ref") - 1)
     spans = nodes.select(F.col("chrom").alias("n_chrom"), F.col("start").alias("n_start"), (F.col("start") + F.col("length")).alias("n_end"), "node_id")
-    found = overlap_join(variants, spans, ("chrom", F.col("pos"), last + 1), ("n_chrom", F.col("n_start"), F.col("n_end")))
+    found = overlap_join(variants, spans, ("chrom", F.col("pos") - flank, last + 1 + flank), ("n_chrom", F.col("n_start"), F.col("n_end")))
     return found.groupBy("chrom", "pos", "ref", "kind").agg(F.array_sort(F.collect_set("node_id")).alias("node_ids")).withColumn("n_nodes", F.size("node_ids"))
 
 
@@ -150,21 +151,38 @@ def locus_counts(loci: DataFrame, reads: DataFrame) -> DataFrame:
     return counts.withColumn("vaf", F.col("alt_count") / F.col("depth"))
 
 
-def lift_query_pos(queries: DataFrame, blocks: DataFrame) -> DataFrame:
+def indel_counts(loci: DataFrame, reads: DataFrame) -> DataFrame:
+    """Per INS or DEL locus (chrom, pos 1-based, ref, alt): depth, ref and alt counts and VAF from reads (r_chrom, r_start 0-based, seq, ops).
+
+    A read counts where its base at the anchor is aligned. An indel follows its anchor: it is the ALT's if it has its length and, inserted, its
+    bases; reads without one there count as REF, others in depth only.
+    """
+    placed = reads.withColumn("walk", cigar_walk(F.col("ops"), F.col("r_start"))).withColumn("r_end", F.col("r_start") + summed(F.col("ops"), "MX=DN"))
+    anchors = loci.where("length(ref) <> length(alt)").withColumn("at", (F.col("pos") - 1).cast("int"))
+    rows = overlap_join(anchors, placed, ("chrom", F.col("at"), F.col("at") + 1), ("r_chrom", F.col("r_start"), F.col("r_end")))
+    rows = rows.withColumn("nth", F.expr("array_position(transform(walk, w -> w.op IN ('M', 'X', '=') AND w.node_pos <= at AND at < w.node_pos + w.n), true)")).where("nth > 0")
+    rows = rows.withColumn("over", F.expr("get(walk, int(nth) - 1)")).withColumn("behind", F.expr("IF(at = over.node_pos + over.n - 1, get(walk, int(nth)), NULL)")).withColumn("q", F.expr("over.read_pos + at - over.node_pos")).where("q < length(seq)")
+    rows = rows.withColumn("indel", F.expr("CASE behind.op WHEN 'I' THEN behind.n WHEN 'D' THEN -behind.n ELSE 0 END"))
+    is_alt = F.expr("indel = length(alt) - length(ref) AND (indel < 0 OR upper(substring(seq, q + 2, indel)) = upper(substring(alt, length(ref) + 1)))")
+    counts = rows.groupBy("chrom", "pos", "ref", "alt").agg(F.count(F.lit(1)).alias("depth"), F.count_if(F.col("indel") == 0).alias("ref_count"), F.count_if(is_alt).alias("alt_count"))
+    return counts.withColumn("vaf", F.col("alt_count") / F.col("depth"))
+
+
+def lift_query_pos(queries: DataFrame, blocks: DataFrame, query_shift: int = 0) -> DataFrame:
     """Assembly positions (contig, q_pos) to reference positions through aligned blocks; the first alignment in file order wins.
 
     blocks: q_contig, q_start, q_end (half-open), op, r_chrom, r_pos, file_order. An insertion maps to its left anchor.
+    ``query_shift`` is added to a position before it is looked up.
     """
-    found = overlap_join(queries, blocks, ("contig", F.col("q_pos"), F.col("q_pos") + 1), ("q_contig", F.col("q_start"), F.col("q_end")))
-    mapped = F.when(F.col("op") == "I", F.col("r_pos") - 1).otherwise(F.col("r_pos") + F.col("q_pos") - F.col("q_start"))
+    at = F.col("q_pos") + query_shift
+    found = overlap_join(queries, blocks, ("contig", at, at + 1), ("q_contig", F.col("q_start"), F.col("q_end")))
+    mapped = F.when(F.col("op") == "I", F.col("r_pos") - 1).otherwise(F.col("r_pos") + at - F.col("q_start"))
     best = found.withColumn("ref_pos", mapped).groupBy("contig", "q_pos").agg(F.min_by(F.struct("r_chrom", "ref_pos", F.when(F.col("op") == "I", "anchor").otherwise("exact").alias("map_kind")), "file_order").alias("best"))
     return queries.join(best, ["contig", "q_pos"], "left").select("contig", "q_pos", "best.*")
 
 
 def alignment_blocks(alignments: DataFrame) -> DataFrame:
     """Blocks of alignments (q_contig, q_start, r_chrom, r_start, ops, file_order) as ``lift_query_pos`` takes them."""
-    from strandloom.functions.cigar import cigar_walk
-
     rows = alignments.withColumn("w", F.explode(cigar_walk(F.col("ops"), F.lit(0)))).where("w.op IN ('M', 'X', '=', 'I')")
     return rows.select("q_contig", (F.col("q_start") + F.col("w.read_pos")).alias("q_start"), (F.col("q_start") + F.col("w.read_pos") + F.col("w.n")).alias("q_end"), F.col("w.op").alias("op"), "r_chrom", (F.col("r_start") + F.col("w.node_pos")).alias("r_pos"), "file_order")
 

@@ -234,7 +234,7 @@ def pool_segments(*stores: DataFrame) -> DataFrame:
 def supporting_rows(segments: DataFrame, variants: DataFrame) -> DataFrame:
     """Older pileup: only the segments that bear a candidate, with its window clipped to the node."""
     borne = variants.select("node_id", "seg_order", "v_pos", "v_type", "v_ref", "v_alt")
-    return borne.join(segments.select("node_id", "seg_order", "offset", "seq", F.length("node_seq").alias("node_length")), ["node_id", "seg_order"]).withColumn(
+    return borne.join(segments.select("node_id", "seg_order", "offset", "seq", "bq", "walk", F.length("node_seq").alias("node_length")), ["node_id", "seg_order"]).withColumn(
         "window_begin", F.greatest(F.col("v_pos") - 50, F.lit(0))
     ).withColumn("window_end", F.least(F.col("v_pos") + 50, F.col("node_length")))
 
@@ -248,3 +248,26 @@ def pileup_view(segments: DataFrame, candidates: DataFrame, width: int = 100, va
     rows = rows.withColumn("text", F.expr(f"array_join(transform(sequence(begin, begin + {width - 1}), p -> {cell}), '')")).where("text RLIKE '[^.]'")
     nth = F.row_number().over(Window.partitionBy(*VARIANT).orderBy("seg_order"))
     return rows.withColumn("row_no", nth).where(F.col("row_no") <= reads).select(*VARIANT, "row_no", "text")
+
+
+def view_header(candidates: DataFrame, nodes: DataFrame, width: int = 100) -> DataFrame:
+    """The lines above a candidate's rows: ``reference``, the node's bases in its window with 0 beyond the node, and ``marker``, ^ at the variant."""
+    rows = candidates.select(*VARIANT).join(nodes.select("node_id", F.upper("sequence").alias("node_seq")), "node_id").withColumn("begin", F.expr(f"v_pos + IF(v_type = 'I', 1, 0) - {width // 2}"))
+    cell = "IF(p < 0 OR p >= length(node_seq), '0', substring(node_seq, p + 1, 1))"
+    reference = F.expr(f"array_join(transform(sequence(begin, begin + {width - 1}), p -> {cell}), '')")
+    marker = F.expr(f"concat(repeat(' ', v_pos - begin), '^', repeat(' ', {width - 1} - v_pos + begin))")
+    return rows.select(*VARIANT, reference.alias("reference"), marker.alias("marker"))
+
+
+def coded_rows(rows: DataFrame, width: int = 100) -> DataFrame:
+    """Rows (begin, seq, bq, walk) with the older encoding's two channels over their windows: ``codes`` and ``qualities``.
+
+    A, C, G, T, others are 0 to 4, a deletion 5, nothing 6; qualities are 0 but for bases. What follows a read's last base isn't coded.
+    """
+    over = "try_element_at(filter(walk, w -> w.op IN ('M', 'X', '=', 'D', 'N') AND w.node_pos <= p AND p < w.node_pos + w.n AND w.read_pos < length(seq)), 1)"
+    base = "CASE upper(substring(seq, over.read_pos + p - over.node_pos + 1, 1)) WHEN '' THEN 6 WHEN 'A' THEN 0 WHEN 'C' THEN 1 WHEN 'G' THEN 2 WHEN 'T' THEN 3 ELSE 4 END"
+    code = f"CASE WHEN over IS NULL THEN 6 WHEN over.op IN ('D', 'N') THEN 5 ELSE {base} END"
+    quality = "CASE WHEN over IS NULL OR over.op IN ('D', 'N') THEN 0 ELSE coalesce(get(bq, over.read_pos + p - over.node_pos), 0) END"
+    cells = rows.withColumn("ops_over", F.expr(f"transform(sequence(begin, begin + {width - 1}), p -> {over})"))
+    each = lambda value: F.expr(f"transform(ops_over, (over, i) -> {value})".replace(" p ", " (begin + i) "))
+    return cells.withColumn("codes", each(code)).withColumn("qualities", each(quality)).drop("ops_over")

@@ -209,6 +209,11 @@ QUERIES = {
         lambda t: dataset.split_stratified(_labelled(t), "label", _KEYS, 0.7, 0.2, 3).select(*_KEYS, "split"),
         sql(f"""SELECT {_V}, CASE WHEN nth <= floor(n * 0.7) THEN 'train' WHEN nth <= floor(n * 0.7) + floor(n * 0.2) THEN 'val' ELSE 'test' END AS split FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY {_KEY.format(seed=3)}) AS nth, count(*) OVER (PARTITION BY label) AS n FROM labelled)""", **_LABELS),
     ),
+    "j2_split_genotype": (
+        lambda t: dataset.split_stratified(t.candidates().select(*_KEYS).withColumn("genotype", dataset.genotype_of(F.expr("concat_ws('_', node_id, v_pos, concat('GT', node_id % 2, '|', v_pos % 2, '.npy'))"))), "genotype", _KEYS, 0.8, 0.1, 4).select(*_KEYS, "genotype", "split"),
+        sql(f"""SELECT {_V}, genotype, CASE WHEN nth <= floor(n * 0.8) THEN 'train' WHEN nth <= floor(n * 0.8) + floor(n * 0.1) THEN 'val' ELSE 'test' END AS split FROM (SELECT *, row_number() OVER (PARTITION BY genotype ORDER BY {_KEY.format(seed=4)}) AS nth, count(*) OVER (PARTITION BY genotype) AS n
+            FROM (SELECT {_V}, 'GT' || node_id % 2 || '|' || v_pos % 2 AS genotype FROM candidates))"""),
+    ),
     "j3_downsample_false": (
         lambda t: dataset.downsample_false(_scored(t), 0.5, _KEYS, 5, True).select(*_KEYS, "label", "shard_index"),
         sql(f"""SELECT {_V}, label, shard_index FROM (SELECT *, row_number() OVER (PARTITION BY shard_index, label ORDER BY {_KEY.format(seed=5)}) AS nth, count(*) OVER (PARTITION BY shard_index, label) AS n FROM scored) WHERE label = 1 OR (label = 0 AND nth > round_even(n * 0.5, 0))""", **_LABELS),

@@ -198,4 +198,20 @@ QUERIES = {
         lambda t: pileup.supporting_rows(_ranked(t), _variants(t, "snp")).select("node_id", "seg_order", "v_pos", "v_alt", "window_begin", "window_end"),
         sql("SELECT node_id, ord AS seg_order, v_pos, v_alt, greatest(v_pos - 50, 0) AS window_begin, least(v_pos + 50, nodes.length) AS window_end FROM found JOIN nodes USING (node_id) WHERE v_type = 'X'", **_INDELS),
     ),
+    "h17_view_header": (
+        lambda t: pileup.view_header(t.candidates(), t.nodes()),
+        sql("""SELECT c.node_id, v_pos, v_type, v_ref, v_alt, repeat(' ', 50) || '^' || repeat(' ', 49) AS marker,
+            repeat('0', greatest(50 - v_pos, 0)) || substr(sequence, greatest(v_pos - 50, 0) + 1, least(v_pos + 50, length) - greatest(v_pos - 50, 0)) || repeat('0', greatest(v_pos + 50 - length, 0)) AS reference FROM candidates AS c JOIN nodes USING (node_id)"""),
+    ),
+    "h34_quality_hex": (
+        lambda t: align.masked_segment(align.explode_mappings(t.alignments())).groupBy("node_id").agg(F.count("quality_hex").alias("n"), F.sum(F.length("quality_hex")).alias("digits"), F.sum(F.length("masked")).alias("bases")),
+        sql("SELECT node_id, count(*) AS n, CAST(sum(2 * length(fseq)) AS BIGINT) AS digits, CAST(sum(length(fseq)) AS BIGINT) AS bases FROM mappings GROUP BY 1"),
+    ),
+    "h36_coded_rows": (
+        lambda t: pileup.coded_rows(pileup.supporting_rows(_ranked(t), _variants(t, "snp")).withColumn("begin", F.col("v_pos") - 50)).select(
+            "node_id", "seg_order", "v_pos", "v_alt", F.size(F.filter("codes", lambda c: c < 6)).alias("cells"), F.expr("aggregate(filter(codes, c -> c < 6), 0, (s, c) -> s + c)").alias("code_sum"), F.expr("aggregate(qualities, 0, (s, q) -> s + q)").alias("quality_sum")),
+        sql("""SELECT f.node_id, f.ord AS seg_order, v_pos, v_alt, CAST(count(*) AS INT) AS cells, CAST(sum(CASE s.base WHEN 'A' THEN 0 WHEN 'C' THEN 1 WHEN 'G' THEN 2 WHEN 'T' THEN 3 ELSE 5 END) AS INT) AS code_sum, CAST(sum(s.bq) AS INT) AS quality_sum
+            FROM found AS f JOIN (SELECT node_id, ord, p, base, bq FROM bases WHERE p IS NOT NULL UNION ALL SELECT node_id, ord, noff + m, '*', 0 FROM mappings WHERE mapq >= 10 AND kind = 3 AND length(fseq) > m) AS s
+            ON s.node_id = f.node_id AND s.ord = f.ord AND s.p BETWEEN v_pos - 50 AND v_pos + 49 WHERE v_type = 'X' GROUP BY ALL""", **_INDELS),
+    ),
 }

@@ -36,6 +36,7 @@ _LIFTED = """SELECT q.contig, q.q_pos, b.r_chrom, b.ref_pos, b.map_kind FROM (SE
             SELECT q.node_id, arg_min(chrom, ord) AS r_chrom, arg_min(start + noff + CASE WHEN d < m THEN d WHEN kind = 2 AND d < m + 2 THEN m - 1 WHEN kind = 2 THEN d - 2 ELSE d + 1 END, ord) AS ref_pos,
             arg_min(CASE WHEN kind = 2 AND d >= m AND d < m + 2 THEN 'anchor' ELSE 'exact' END, ord) AS map_kind FROM (SELECT node_id, node_id % 30 AS d FROM nodes) AS q JOIN mappings AS a USING (node_id) JOIN coords USING (node_id)
             WHERE d < length(fseq) GROUP BY 1) AS b USING (node_id)"""
+_LIFTED_BY_3 = _LIFTED.replace("node_id % 30 AS d", "node_id % 30 + 3 AS d")
 _PON = """SELECT *, list_filter([1, 2, 3, 4], lambda k: list_contains(hits, k)) AS hit FROM (SELECT c.*, (SELECT list(DISTINCT p.panel) FROM panels AS p WHERE p.chrom = c.chrom AND p.pos = c.pos
     AND (p.panel > 2 OR (p.ref = c.ref AND list_contains(c.alts, p.alt)))) AS hits FROM calls AS c)"""
 
@@ -106,11 +107,23 @@ def _loci(t):
     return t.truth().where("length(ref) = 1").selectExpr("chrom", "pos", "ref", "alts[0] AS alt")
 
 
-def _lifted(t):
+def _indel_loci(t):
+    """The insertions and deletions of the derived reads, by the base before them."""
+    rows = t.mappings().where("kind >= 2").join(t.coords().select("node_id", "chrom", "start"), "node_id")
+    base = "substr(sequence, noff + m, 1)"
+    return rows.selectExpr("chrom", "start + noff + m - 1 AS pos", f"IF(kind = 2, {base}, substr(sequence, noff + m, 2)) AS ref", f"IF(kind = 2, concat({base}, 'GT'), {base}) AS alt").where("length(ref) <> length(alt)").distinct()
+
+
+def _cigar_reads(t):
+    rows = t.mappings().join(t.coords().select("node_id", "chrom", "start"), "node_id")
+    return rows.select(F.col("chrom").alias("r_chrom"), (F.col("start") - 1 + F.col("noff")).alias("r_start"), F.col("fseq").alias("seq"), cigar_ops(F.col("fcigar")).alias("ops"))
+
+
+def _lifted(t, query_shift=0):
     rows = t.mappings().join(t.coords().select("node_id", "chrom", "start"), "node_id")
     aligned = rows.select(F.concat(F.lit("ctg"), F.col("node_id") % 20).alias("q_contig"), (F.col("node_id") * 40).alias("q_start"), F.col("chrom").alias("r_chrom"), (F.col("start") + F.col("noff")).alias("r_start"), cigar_ops(F.col("fcigar")).alias("ops"), F.col("ord").alias("file_order"))
     queries = t.nodes().selectExpr("concat('ctg', node_id % 20) AS contig", "node_id * 40 + node_id % 30 AS q_pos")  # many lie beyond the reads
-    return intervals.lift_query_pos(queries, intervals.alignment_blocks(aligned))
+    return intervals.lift_query_pos(queries, intervals.alignment_blocks(aligned), query_shift)
 
 
 def _merged(t):
@@ -207,6 +220,20 @@ QUERIES = {
         sql("""SELECT chrom, pos, t.ref, alt, count(*) AS depth, count(*) FILTER (base = t.ref) AS ref_count, count(*) FILTER (base = alt) AS alt_count, count(*) FILTER (base NOT IN (t.ref, alt)) AS other_count, count(*) FILTER (base = alt) / count(*) AS vaf
             FROM truth AS t JOIN placed_bases AS b USING (chrom, pos) WHERE length(t.ref) = 1 GROUP BY ALL""", placed_bases=_PLACED_BASES),
     ),
+    "c21_indel_counts": (
+        lambda t: intervals.indel_counts(_indel_loci(t), _cigar_reads(t)),
+        sql("""SELECT chrom, pos, ref, alt, count(*) AS depth, count(*) FILTER (NOT here) AS ref_count, count(*) FILTER (here AND kind = own) AS alt_count, count(*) FILTER (here AND kind = own) / count(*) AS vaf FROM (
+            SELECT l.*, r.kind, r.kind >= 2 AND r.noff + r.m - 1 = p AS here FROM (SELECT DISTINCT chrom, node_id, start + noff + m - 1 AS pos, noff + m - 1 AS p, kind AS own, CASE kind WHEN 2 THEN substr(sequence, noff + m, 1) ELSE substr(sequence, noff + m, 2) END AS ref,
+                CASE kind WHEN 2 THEN substr(sequence, noff + m, 1) || 'GT' ELSE substr(sequence, noff + m, 1) END AS alt FROM mappings JOIN (SELECT node_id, chrom, start FROM coords) USING (node_id) WHERE kind >= 2) AS l
+            JOIN mappings AS r ON r.node_id = l.node_id AND p >= r.noff AND (p < r.noff + r.m OR r.kind = 2 AND p < r.noff + r.m + 6 AND p - r.noff + 2 < length(r.fseq) OR r.kind = 3 AND p > r.noff + r.m AND p < r.noff + r.m + 7 AND p - r.noff - 1 < length(r.fseq))
+            WHERE length(ref) <> length(alt)) GROUP BY ALL"""),
+    ),
+    "c18_lift_shifted": (lambda t: _lifted(t, 3), sql("SELECT * FROM lifted", lifted=_LIFTED_BY_3)),
+    "c24_flanked_nodes": (
+        lambda t: intervals.variants_to_nodes(t.truth().withColumn("kind", fv.variant_class4(F.col("ref"), F.get("alts", 0))).select("chrom", "pos", "ref", "kind").distinct(), _anchors(t), 100).select("chrom", "pos", "ref", "kind", F.array_join("node_ids", ",").alias("node_ids"), "n_nodes"),
+        sql("""SELECT chrom, pos, ref, kind, string_agg(node_id, ',' ORDER BY node_id) AS node_ids, CAST(count(*) AS INT) AS n_nodes FROM (SELECT DISTINCT v.*, node_id FROM (SELECT chrom, pos, ref, CASE WHEN length(ref) = 1 THEN 'SNV' WHEN substr(ref, 1, 1) = alt
+            THEN 'DEL' ELSE 'COMPLEX' END AS kind FROM truth) AS v JOIN coords AS c ON c.chrom = v.chrom AND c.start < v.pos + length(v.ref) + 100 AND c.start + c.length > v.pos - 100) GROUP BY ALL"""),
+    ),
     "c22_verify_alt_nodes": (
         lambda t: intervals.verify_alt_nodes(_candidates(t).where("start IS NOT NULL").selectExpr("node_id", "chrom", "start + v_pos AS pos", "v_alt AS alt"), t.nodes().where("node_id % 2 = 0"), t.truth()),
         sql("""SELECT count(*) AS checked, count(*) FILTER (hit) AS with_record, count(*) FILTER (NOT hit) AS without_record FROM (SELECT EXISTS (SELECT 1 FROM truth AS t WHERE t.chrom = l.chrom AND t.pos - 1 < start + v_pos + 2
