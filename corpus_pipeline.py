@@ -1,7 +1,10 @@
 """Corpus pipeline over ``documents``: toxicity filter, exact dedup, near dedup, packing.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and reread as the next
-stage's docs. All but the last return the columns of ``documents``.
+stage's docs. All but the last return the columns of ``documents``, and further ones whatever their names.
+
+In every stage a null text counts as empty; empty and very long texts, ties and rows that repeat are rows like others, as
+each stage says; an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -14,22 +17,25 @@ from strandloom.session import materialize
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier, learned from the labelled ones, doesn't call toxic."""
+    """Documents that the classifier, learned from the labelled ones, doesn't call toxic; null and empty texts are clean, repeated
+    rows share their score."""
     return toxicity.keep_clean(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the one with the largest id."""
+    """Of equal texts the one with the largest id; null and empty are equal; of rows that repeat an id and its text one stays."""
     return exact_dedup.drop_copies(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group linked by a similarity of 0.8 or more on five-word shingles the smallest id."""
+    """Of each group linked by a similarity of 0.8 or more on five-word shingles the smallest id; null, empty and blank texts are
+    linked with nothing and stay; rows that repeat an id are one document and share its fate."""
     return near_dedup.drop_near_copies(docs, words=5, percent=80)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of all remaining documents, placed in sequences of at most 4096 ids."""
+    """Pieces of all remaining documents, placed in sequences of at most 4096 ids; a null or empty text is one
+    piece of its end mark, repeated rows are packed each."""
     return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandloom.functions.cigar import cigar_ops, edit_letter, edits_to_cigar, mapping_is_perfect, summed
+from strandloom.operators.ranks import exact_median
 
 
 def mapq_gate(df: DataFrame, least: int, column: str = "mapping_quality") -> DataFrame:
@@ -121,7 +122,7 @@ def mapq_summary(df: DataFrame, column: str = "mapping_quality") -> DataFrame:
     """Mean, sample deviation (0 for one value), exact median and count."""
     c = F.col(column).cast("double")
     sd = F.when(F.count(c) == 1, 0.0).otherwise(F.stddev_samp(c))
-    return df.agg(F.avg(c).alias("mean"), sd.alias("sd"), F.median(c).alias("median"), F.count(c).alias("n"))
+    return df.agg(F.avg(c).alias("mean"), sd.alias("sd"), F.lit(exact_median(df, column)).cast("double").alias("median"), F.count(c).alias("n"))
 
 
 def masked_segment(mappings: DataFrame) -> DataFrame:

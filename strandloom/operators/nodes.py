@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from strandloom.operators.ranks import running_sum
+from strandloom.operators.ranks import exact_median, running_sum
 
 
 def path_lengths(steps: DataFrame, segments: DataFrame) -> DataFrame:
@@ -124,7 +124,7 @@ def with_ratios(stats: DataFrame) -> DataFrame:
 
 def length_stats(nodes: DataFrame) -> DataFrame:
     c = F.col("length")
-    return nodes.agg(F.count(c).alias("n"), F.min(c).alias("min"), F.max(c).alias("max"), F.avg(c).alias("mean"), F.median(c).alias("median"), F.stddev_samp(c).alias("sd"))
+    return nodes.agg(F.count(c).alias("n"), F.min(c).alias("min"), F.max(c).alias("max"), F.avg(c).alias("mean"), F.lit(exact_median(nodes, "length")).cast("double").alias("median"), F.stddev_samp(c).alias("sd"))
 
 
 def length_bins(nodes: DataFrame, bins: int = 10) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Running counts and sums in a total order without a window over a whole group."""
+"""Running counts and sums in a total order without a window over a whole group, and values by rank."""
 
 from __future__ import annotations
 
@@ -25,3 +25,40 @@ def running_sum(df: DataFrame, group: str, *order: str, value: str | None = None
     rows = parts.withColumn("__own", own)
     rows = rows.join(starts, (F.col("__part") == F.col("__of")) & F.col(group).eqNullSafe(F.col("__group")))
     return rows.withColumn(column, F.col("__start") + F.col("__own")).drop("__part", "__of", "__group", "__start", "__own")
+
+
+SORTED = 10_000
+
+
+def value_at(df: DataFrame, column: str, rank: int, sorted_rows: int = SORTED) -> float | int | None:
+    """The value of ``rank`` (from 0) in ``column``'s order, nulls left out; None beyond its end.
+
+    Each pass brackets the rank by approximate quantiles and counts what lies below and within, until the bracket is one value or
+    holds at most ``sorted_rows`` rows. Only counts and those rows come to one task, however many different values there are.
+    """
+    rows = df.select(F.col(column).alias("v")).where("v IS NOT NULL")
+    n = rows.count()
+    if not 0 <= rank < n:
+        return None
+    while n > sorted_rows:
+        share = [max(0.0, (rank - n * 0.001) / n), min(1.0, (rank + n * 0.001) / n)]
+        low, high = rows.agg(F.percentile_approx("v", share, 20_000).alias("q")).first()["q"]
+        told = rows.agg(F.count_if(F.col("v") < low).alias("below"), F.count_if(F.col("v") == low).alias("at_low"), F.count_if(F.col("v").between(low, high)).alias("within"), F.count_if(F.col("v") > high).alias("above")).first()
+        if told["below"] <= rank < told["below"] + told["at_low"]:
+            return low
+        if rank < told["below"]:
+            rows, n = rows.where(F.col("v") < low), told["below"]
+        elif rank < told["below"] + told["within"]:
+            rows, rank, n = rows.where((F.col("v") > low) & (F.col("v") <= high)), rank - told["below"] - told["at_low"], told["within"] - told["at_low"]
+        else:
+            rows, rank, n = rows.where(F.col("v") > high), rank - told["below"] - told["within"], told["above"]
+    return rows.orderBy("v").limit(rank + 1).agg(F.max("v")).first()[0]
+
+
+def exact_median(df: DataFrame, column: str, sorted_rows: int = SORTED) -> float | None:
+    """The median of a column: the middle value, or the mean of both middle ones; None without values."""
+    n = df.where(F.col(column).isNotNull()).count()
+    if not n:
+        return None
+    low = value_at(df, column, (n - 1) // 2, sorted_rows)
+    return float(low) if n % 2 else (low + value_at(df, column, n // 2, sorted_rows)) / 2

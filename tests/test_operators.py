@@ -277,6 +277,16 @@ def test_broken_predictions_cost_themselves_only(spark, tmp_path):
     assert sorted((r.shard_index, r.index_within_shard, r.p_true) for r in got.collect()) == [(3, k, 0.75) for k in range(100) if k != 50]
 
 
+def test_exact_medians_by_selection(spark):
+    rng = random.Random(15)
+    for values in ([], [None], [3], [1, 2], [rng.random() for _ in range(30_001)], [rng.choice([1, 5, 5, 9]) for _ in range(20_000)], [k % 7 - 3 for k in range(9_999)] + [None] * 50):
+        df = spark.createDataFrame([(None if v is None else float(v),) for v in values], "v double")
+        found = sorted(v for v in values if v is not None)
+        assert ranks.exact_median(df, "v", 100) == (None if not found else (found[(len(found) - 1) // 2] + found[len(found) // 2]) / 2)
+        for rank in (0, len(found) // 3, len(found) - 1, len(found)):
+            assert ranks.value_at(df, "v", rank, 100) == (found[rank] if 0 <= rank < len(found) else None)
+
+
 def test_running_sums(spark):
     rows = [(k % 3 if k % 7 else None, k, k % 5) for k in range(500)]
     got = {r.k: (r.before, r.nth) for r in ranks.running_sum(ranks.running_sum(spark.createDataFrame(rows, "g int, k int, v int").repartition(9), "g", "k", value="v"), "g", "k", column="nth").collect()}
