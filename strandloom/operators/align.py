@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandloom.functions.cigar import cigar_ops, edit_letter, edits_to_cigar, mapping_is_perfect, summed
-from strandloom.operators.ranks import exact_median
+from strandloom.operators.ranks import exact_median, lists_in_parts
 
 
 def mapq_gate(df: DataFrame, least: int, column: str = "mapping_quality") -> DataFrame:
@@ -62,9 +62,8 @@ def scan_totals(reads: DataFrame, min_mapq: int = 6) -> DataFrame:
 
 
 def imperfect_reads(reads: DataFrame) -> DataFrame:
-    """Under each touched node, the names of reads whose identity isn't 1."""
-    rows = explode_mappings(reads.where("identity <> 1.0")).select("node_id", "name").distinct()
-    return rows.groupBy("node_id").agg(F.array_sort(F.collect_list("name")).alias("names"))
+    """Under each touched node, the names of reads whose identity isn't 1, in ordered parts (``part``)."""
+    return lists_in_parts(explode_mappings(reads.where("identity <> 1.0")), ["node_id"], "name", "names")
 
 
 def segments_on_nodes(mappings: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -77,8 +76,9 @@ def reads_on_nodes(reads: DataFrame, wanted: DataFrame, min_mapq: int = 0) -> Da
 
 
 def reads_on_path(reads: DataFrame, steps: DataFrame, nodes: DataFrame) -> DataFrame:
-    """For each node of a path, in order: its length and the sorted names of the reads on it."""
-    touched = explode_mappings(reads).select("node_id", "name").distinct().groupBy("node_id").agg(F.array_sort(F.collect_list("name")).alias("names"))
+    """For each node of a path, in order: its length and the sorted names of the reads on it, in ordered parts (``part``)."""
+    on_path = segments_on_nodes(explode_mappings(reads), steps)
+    touched = lists_in_parts(on_path, ["node_id"], "name", "names")
     return steps.select("step", "node_id").join(nodes.select("node_id", "length"), "node_id").join(touched, "node_id")
 
 

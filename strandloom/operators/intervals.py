@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandloom.functions.cigar import cigar_walk, summed
+from strandloom.operators.ranks import lists_in_parts
 from strandloom.session import materialize
 
 BIN, STEP, LEVELS = 1_000, 8, 12
@@ -120,9 +121,9 @@ def regions_to_variants(regions: DataFrame, variants: DataFrame, keep_empty: boo
 
 
 def reads_near_variant(variants: DataFrame, reads: DataFrame, flank: int = 200) -> DataFrame:
-    """Per variant (chrom, pos 0-based), sorted names of reads (r_chrom, r_start, r_end, name) within ``flank``."""
+    """Per variant (chrom, pos 0-based), sorted names of reads (r_chrom, r_start, r_end, name) within ``flank``, in ordered parts (``part``)."""
     near = overlap_join(variants, reads, ("chrom", F.greatest(F.col("pos") - flank, F.lit(0)), F.col("pos") + flank), ("r_chrom", F.col("r_start"), F.col("r_end")))
-    return near.groupBy("chrom", "pos").agg(F.array_sort(F.collect_set("name")).alias("names"))
+    return lists_in_parts(near, ["chrom", "pos"], "name", "names")
 
 
 def variants_to_nodes(variants: DataFrame, nodes: DataFrame, flank: int = 0) -> DataFrame:

@@ -27,6 +27,17 @@ def running_sum(df: DataFrame, group: str, *order: str, value: str | None = None
     return rows.withColumn(column, F.col("__start") + F.col("__own")).drop("__part", "__of", "__group", "__start", "__own")
 
 
+PART = 10_000
+
+
+def lists_in_parts(rows: DataFrame, keys: list[str], value: str, names: str, size: int = PART) -> DataFrame:
+    """(keys, part, names): each key's distinct values in order, in lists of at most ``size``, so that a key of very many is many rows."""
+    distinct = rows.select(F.struct(*keys).alias("__key"), value).distinct()
+    ranked = running_sum(distinct, "__key", value, column="__nth")
+    lists = ranked.groupBy("__key", F.expr(f"__nth div {size}").cast("int").alias("part")).agg(F.array_sort(F.collect_list(value)).alias(names))
+    return lists.select("__key.*", "part", names)
+
+
 SORTED = 10_000
 
 

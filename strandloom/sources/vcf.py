@@ -72,7 +72,7 @@ def body_line() -> Column:
 
 
 def write_vcf(rows: DataFrame, path: str, meta: tuple[str, ...] = ("##fileformat=VCFv4.2",), sort: str = "linear") -> None:
-    """Header lines in a first part, then the sorted body in parts whose names keep the order.
+    """Header lines, then the sorted body, both in parts whose names keep the order.
 
     Contigs are listed in first-seen order of the sorted body, that is in sort order.
     """
@@ -87,8 +87,8 @@ def write_vcf(rows: DataFrame, path: str, meta: tuple[str, ...] = ("##fileformat
 
 
 def _write_header(lines: DataFrame, path: str) -> None:
-    """Header lines (part, n, name, value) in one file, in order."""
-    lines.repartition(1).sortWithinPartitions("part", "n", "name").select("value").write.text(path)
+    """Header lines (part, n, name, value) in parts whose names keep the order, like the body's."""
+    lines.orderBy("part", "n", "name").select("value").write.text(path)
 
 
 def read_written(spark: SparkSession, path: str) -> DataFrame:

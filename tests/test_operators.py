@@ -277,6 +277,14 @@ def test_broken_predictions_cost_themselves_only(spark, tmp_path):
     assert sorted((r.shard_index, r.index_within_shard, r.p_true) for r in got.collect()) == [(3, k, 0.75) for k in range(100) if k != 50]
 
 
+def test_lists_of_any_length_come_in_ordered_parts(spark):
+    rows = spark.range(5_000).selectExpr("'c' AS chrom", "IF(id % 50 = 0, 2, 1) AS pos", "concat('r', lpad(id % 2500, 5, '0')) AS name")  # each name twice
+    got = ranks.lists_in_parts(rows, ["chrom", "pos"], "name", "names", 700).orderBy("pos", "part").collect()
+    assert [(r.pos, r.part, len(r.names)) for r in got] == [(1, 0, 700), (1, 1, 700), (1, 2, 700), (1, 3, 350), (2, 0, 50)]
+    for pos in (1, 2):
+        assert sum((r.names for r in got if r.pos == pos), []) == sorted({f"r{k % 2500:05d}" for k in range(5_000) if (k % 50 == 0) == (pos == 2)})
+
+
 def test_exact_medians_by_selection(spark):
     rng = random.Random(15)
     for values in ([], [None], [3], [1, 2], [rng.random() for _ in range(30_001)], [rng.choice([1, 5, 5, 9]) for _ in range(20_000)], [k % 7 - 3 for k in range(9_999)] + [None] * 50):
