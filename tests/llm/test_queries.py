@@ -127,3 +127,28 @@ def test_pipeline_equals_its_stages_by_hand(spark):
     got = rows(spark, "pipeline")
     assert sorted((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in got) == pieces_by_hand(docs)
     check_places(got)
+
+
+def test_pipeline_stages_on_adverse_rows(spark):
+    import corpus_pipeline
+
+    make_importable(spark)
+    own = " ".join(f"word{k}" for k in range(40))
+    long = " ".join(f"long{k % 977}x{k}" for k in range(60_000))
+    rows = [(1, None), (2, ""), (3, " \n\t"), (4, own), (4, own), (5, own), (6, own + " more"), (None, "without an id"), (8, long), (9, long + " end"), (10, "a\x00b é 漢"), (10, "another text of this id")]
+    kind = "doc_id long, text string, lang string, source string, n_chars long, __text string, __id long, digest string, key long, row string, rep long, body string, score double, kept boolean"
+    docs = spark.createDataFrame([(i, t, None, "s", 1, "x", 1, "d", 2, "r", 3, "b", 0.5, True) for i, t in rows], kind).repartition(3)
+    for table_of in (docs, docs.where("false")):
+        kept = table_of
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            kept = stage(spark, kept, DIR)
+            assert kept.columns == docs.columns, name
+        ids = sorted((r.doc_id is not None, r.doc_id or 0) for r in kept.select("doc_id").collect())
+        packed = corpus_pipeline.STAGES[-1][1](spark, kept, DIR).collect()
+        if table_of is docs:
+            # null and empty are equal, the larger id stays; of the copies 5 stays and its near copy 6 goes; 9 is 8's
+            assert ids == [(False, 0), (True, 2), (True, 3), (True, 5), (True, 8), (True, 10), (True, 10)]
+            assert {r.doc_id for r in packed} == {None, 2, 3, 5, 8, 10}
+            check_places(packed)
+        else:
+            assert ids == [] and packed == []
