@@ -30,7 +30,8 @@ from strandloom.operators.graph import connected
 from strandloom.session import materialize
 
 PARTS, CAP, FILTERS, MEMBERS, LEAST_FILTERS = 3, 3.75, 78, 4.5, 32
-BLOCK, TASK_ROWS = 512, 20_000
+BLOCK, TASK_ROWS, TASK_BYTES = 512, 20_000, 64 << 20
+TOGETHER = 1_024
 
 
 def filters_for(n: int) -> tuple[int, float, int]:
@@ -100,12 +101,18 @@ def _filters(batches: Iterator[pa.RecordBatch], codewords: int, cap: float, leas
 
 
 def _earlier(filters: list[np.ndarray], now: int) -> np.ndarray:
-    """Which pairs of rows share a filter before ``now``."""
+    """Which pairs of rows share a filter before ``now``; ``TOGETHER`` filters at a time are laid out."""
     before = [f[: np.searchsorted(f, now)] for f in filters]
     names, column = np.unique(np.concatenate(before), return_inverse=True)
-    has = np.zeros((len(filters), max(1, len(names))), np.float32)
-    has[np.repeat(np.arange(len(filters)), [len(b) for b in before]), column] = 1
-    return has @ has.T > 0
+    order = np.argsort(column, kind="stable")
+    row, column = np.repeat(np.arange(len(filters)), [len(b) for b in before])[order], column[order]
+    shared = np.zeros((len(filters), len(filters)), bool)
+    for lo in range(0, len(names), TOGETHER):
+        part = slice(*np.searchsorted(column, (lo, lo + TOGETHER)))
+        has = np.zeros((len(filters), TOGETHER), np.float32)
+        has[row[part], column[part] - lo] = 1
+        shared |= has @ has.T > 0
+    return shared
 
 
 def _compare(rows: pd.DataFrame, cosine: float) -> pd.DataFrame:
@@ -168,7 +175,8 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.93, id_col: str = "vec_id
     members = members.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     members = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     members = materialize(members.select("rep", "label", "dim", "filter", "block", F.least("block", "other").alias("first"), F.greatest("block", "other").alias("second")), "filter-members")
-    tasks = max(1, members.count() // TASK_ROWS)
+    told = members.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.col("dim").cast("long")), F.lit(0)).alias("n_bytes")).first()
+    tasks = max(1, told["n"] // TASK_ROWS, told["n_bytes"] // TASK_BYTES)
     dealt = members.withColumn("task", F.pmod(F.xxhash64("label", "dim", "filter", "first", "second"), F.lit(tasks)))
     compared = dealt.join(reps.select("rep", "label", "size", "unit", "filters"), ["rep", "label"]).groupBy("task").applyInPandas(lambda r: _compare(r, cosine), "rep long, links long, root long")
     compared = materialize(compared, "vector-links")

@@ -26,7 +26,7 @@ FAN = 16
 BLOCK_LEVELS = 3
 BLOCK = FAN**BLOCK_LEVELS
 FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
-RESULT = "doc_id long, leaf string, subroot string, root string, proof_sha256 string, folded_root string, verified boolean"
+RESULT = "doc_id string, leaf string, subroot string, root string, proof_sha256 string, folded_root string, verified boolean"
 
 
 def joined_digest(nodes: Sequence[bytes]) -> bytes:
@@ -161,14 +161,15 @@ def manifest(docs: DataFrame, tampered: Column | None = None) -> DataFrame:
     sizes = materialize(running_sum(sizes, "forest", "source", column="tree").select(F.col("source").alias("of_source"), "n", "tree"), "merkle-sources")
     told = sizes.agg(F.count(F.lit(1)).alias("sources"), F.max("n").alias("most")).first()
     if not told["sources"]:
-        return docs.sparkSession.createDataFrame([], RESULT)
+        return docs.sparkSession.createDataFrame([], RESULT).withColumn("doc_id", F.col("doc_id").cast("long"))
     ranked = running_sum(leaves, "source", "doc_id", "leaf", column="rank")
-    placed = ranked.join(sizes, F.col("source").eqNullSafe(F.col("of_source"))).select("tree", "n", "rank", F.expr(f"rank div {BLOCK}").alias("block"), "doc_id", "leaf", "tampered")
+    placed = ranked.join(sizes, F.col("source").eqNullSafe(F.col("of_source"))).select("tree", "n", "rank", F.expr(f"rank div {BLOCK}").alias("block"), F.col("doc_id").cast("string").alias("doc_id"), "leaf", "tampered")
     placed = materialize(placed, "merkle-placed")
     bases = placed.select("tree", "block", "n", "rank", "leaf").groupBy("tree", "block").applyInPandas(_block_root, "tree long, idx long, m long, node string")
     outer, root = _outer_nodes(materialize(bases, "merkle-bases"), told["sources"], told["most"])
     pairs = placed.groupBy("tree", "block").cogroup(outer.groupBy("tree", "block"))
-    return pairs.applyInPandas(lambda left, right: _finish(left, right, root), RESULT)
+    # ids travel as text: pandas would make numbers with nulls among them floats
+    return pairs.applyInPandas(lambda left, right: _finish(left, right, root), RESULT).withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def lowered(one_in: int = 5) -> Column:

@@ -72,7 +72,7 @@ def test_manifest_equals_brute_force(spark):
     rows = [(i, f"Text {i} É", "en" if i % 3 else None, "hot", i) for i in range(4_500)]  # two superblocks, the last with one run at the top
     rows += [(10_000 + i, f"t{i}", "de", f"s{i % 40}", None) for i in range(600)]  # more than 16 sources
     rows += [(20_000, None, None, None, None), (20_005, "", "é", "", 0), (20_006, "A" * 300_000, "x", "alone", 1), (20_007, "A", "x", "漢", -1)]
-    rows += [(20_010, "Same", "en", "s1", 4)] * 3 + [(20_010, "Other", "en", "s1", 5), (None, "No id", "en", "s2", 1), (None, "NO ID", "en", "s2", 1)]
+    rows += [(20_010, "Same", "en", "s1", 4)] * 3 + [(20_010, "Other", "en", "s1", 5), (None, "No id", "en", "s2", 1), (None, "NO ID", "en", "s2", 1), ((1 << 62) + 1, "Far", "en", "s2", 1)]
     rows += [(30_000 + i, "x", "en", "sixteen", 1) for i in range(16)] + [(31_000 + i, "x", "en", "seventeen", 1) for i in range(17)]
     rng.shuffle(rows)
     got = merkle.manifest(table(spark, rows), merkle.lowered(5)).collect()
