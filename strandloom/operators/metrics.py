@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from strandloom.functions.cigar import cigar_walk
+
 
 def _ratio(a: Column, b: Column) -> Column:
     return F.coalesce(F.try_divide(a, b), F.lit(0.0))
@@ -63,3 +65,25 @@ def candidate_sites(bases: DataFrame, min_count: int = 2, min_af: float = 0.05)
     sites = alts.groupBy("chrom", "pos").agg(F.sum("n").alias("depth"), F.max(F.when(F.col("base") != F.col("ref"), F.col("n")).otherwise(0)).alias("alt"))
     hit = (F.col("alt") > min_count) & (F.col("alt") / F.col("depth") > min_af)
     return sites.groupBy("chrom").agg(F.count(F.lit(1)).alias("sites"), F.count_if(hit).alias("snv_sites"))
+
+
+def indel_anchors(reads: DataFrame) -> DataFrame:
+    """(chrom, pos 1-based, kind): the aligned base before each insertion (INS) and deletion (DEL) of reads (r_chrom, r_start 0-based, ops)."""
+    rows = reads.select("r_chrom", cigar_walk(F.col("ops"), F.col("r_start")).alias("walk"))
+    behind = "filter(walk, (w, i) -> w.op IN ('I', 'D') AND i > 0 AND get(walk, i - 1).op IN ('M', 'X', '='))"
+    return rows.select(F.col("r_chrom").alias("chrom"), F.expr(f"explode({behind})").alias("w")).select("chrom", F.col("w.node_pos").cast("long").alias("pos"), F.when(F.col("w.op") == "I", "INS").otherwise("DEL").alias("kind"))
+
+
+def candidate_kinds(bases: DataFrame, indels: DataFrame, min_count: int = 2, min_af: float = 0.05) -> DataFrame:
+    """Per chromosome: sites with depth, and those with SNV, INS, DEL and any evidence; bases are (chrom, pos, ref, base), indels as ``indel_anchors`` gives them.
+
+    Depth and mismatches count bases A, C, G and T where the reference has one of them; each kind needs more than ``min_count`` reads and
+    more than ``min_af`` of the depth.
+    """
+    plain = bases.where("upper(ref) IN ('A', 'C', 'G', 'T') AND upper(base) IN ('A', 'C', 'G', 'T')")
+    sites = plain.groupBy("chrom", "pos").agg(F.count(F.lit(1)).alias("depth"), F.count_if(F.upper("base") != F.upper("ref")).alias("snv"))
+    found = indels.groupBy("chrom", "pos").agg(F.count_if(F.col("kind") == "INS").alias("ins"), F.count_if(F.col("kind") == "DEL").alias("del"))
+    sites = sites.join(found, ["chrom", "pos"], "left")
+    is_kind = {k: (F.coalesce(k, F.lit(0)) > min_count) & (F.coalesce(k, F.lit(0)) / F.col("depth") > min_af) for k in ("snv", "ins", "del")}
+    counts = [F.count_if(hit).alias(f"{k}_sites") for k, hit in is_kind.items()]
+    return sites.groupBy("chrom").agg(F.count(F.lit(1)).alias("sites"), *counts, F.count_if(is_kind["snv"] | is_kind["ins"] | is_kind["del"]).alias("any_sites"))

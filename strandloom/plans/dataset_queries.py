@@ -10,7 +10,7 @@ from strandloom.plans import gam_files
 from strandloom.plans.fixtures import sql
 from strandloom.plans.graph_queries import _AF, _DIGIT, _MORE, _af_bases
 from strandloom.plans.pileup_queries import _ranked
-from strandloom.plans.variant_queries import _PLACED_BASES, _anchors, _labelled, _read_blocks
+from strandloom.plans.variant_queries import _PLACED_BASES, _anchors, _cigar_reads, _labelled, _read_blocks
 from strandloom.session import scratch_path
 from strandloom.sources import alignment_files, summary_files
 from strandloom.streaming import node_stats
@@ -160,6 +160,13 @@ QUERIES = {
         sql("""SELECT chrom, count(*) AS sites, count(*) FILTER (alt > 2 AND alt / depth > 0.05) AS snv_sites FROM (
             SELECT chrom, pos, sum(n) AS depth, max(CASE WHEN base <> ref THEN n ELSE 0 END) AS alt FROM (SELECT chrom, pos, ref, base, count(*) AS n FROM placed_bases GROUP BY ALL) GROUP BY 1, 2) GROUP BY 1""", placed_bases=_PLACED_BASES),
     ),
+    "d20_candidate_kinds": (
+        lambda t: metrics.candidate_kinds(_read_blocks(t).selectExpr("chrom", "r_start + 1 AS first", "ref_bases", "bases", "explode(sequence(0, length(bases) - 1)) AS i").selectExpr("chrom", "first + i AS pos", "substr(ref_bases, i + 1, 1) AS ref", "substr(bases, i + 1, 1) AS base"), metrics.indel_anchors(_cigar_reads(t))),
+        sql("""SELECT chrom, count(*) AS sites, count(*) FILTER (snv > 2 AND snv / depth > 0.05) AS snv_sites, count(*) FILTER (ins > 2 AND ins / depth > 0.05) AS ins_sites, count(*) FILTER (del > 2 AND del / depth > 0.05) AS del_sites,
+            count(*) FILTER (snv > 2 AND snv / depth > 0.05 OR ins > 2 AND ins / depth > 0.05 OR del > 2 AND del / depth > 0.05) AS any_sites FROM (SELECT chrom, pos, depth, snv, coalesce(ins, 0) AS ins, coalesce(del, 0) AS del
+            FROM (SELECT chrom, pos, count(*) AS depth, count(*) FILTER (base <> ref) AS snv FROM placed_bases GROUP BY 1, 2) LEFT JOIN (SELECT chrom, start + noff + m - 1 AS pos, count(*) FILTER (kind = 2) AS ins, count(*) FILTER (kind = 3) AS del
+                FROM mappings JOIN (SELECT node_id, chrom, start FROM coords) USING (node_id) WHERE kind >= 2 GROUP BY 1, 2) USING (chrom, pos)) GROUP BY 1""", placed_bases=_PLACED_BASES),
+    ),
     "d22_label_distribution": (
         lambda t: metrics.label_distribution(_known(t)),
         sql("SELECT shard_index, label, count(*) AS n, count(*) / sum(count(*)) OVER (PARTITION BY shard_index) AS share FROM (SELECT * FROM scored WHERE label >= 0) GROUP BY GROUPING SETS ((label), (shard_index, label))", **_LABELS),
