@@ -42,13 +42,13 @@ def _variants(t, kind="all"):
     return pileup.detect_variants(_ranked(t, kind), kind)
 
 
-def _states(t, of=pileup.allele_states):
+def _states(t):
     ranked = materialize(_ranked(t), "ranked")
-    return of(pileup.candidate_counts(pileup.detect_variants(ranked)), ranked)
+    return pileup.allele_states(pileup.candidate_counts(pileup.detect_variants(ranked)), ranked)
 
 
 def _summary(t):
-    return _states(t, pileup.allele_counts)
+    return pileup.variant_counts(_ranked(t))
 
 
 QUERIES = {

@@ -304,3 +304,16 @@ def test_tensors_by_arrays_equal_the_model(spark):
 def test_empty_tables(spark):
     nodes, segs = spark.createDataFrame([], NODE), spark.createDataFrame([], SEGMENT)
     assert pileup.candidate_summary(segs, nodes).count() == 0
+
+
+def test_candidates_take_one_pass_over_the_segments(spark, monkeypatch):
+    nodes = spark.createDataFrame([(1, 10, "ACGTACGTAC")], NODE)
+    segs = segments(spark, [(1, 0, "ACTTA", None, "5M", 60, "+")] * 3 + [(1, 2, "GTGGAC", None, "2M2I2M", 60, "+")] * 3 + [(1, 1, "CGAC", None, "2M1D2M", 60, "+")] * 3)
+    plans, real = [], pileup.materialize
+    seen = lambda df: plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+    monkeypatch.setattr(pileup, "materialize", lambda df, label, *by: seen(df) or real(df, label, *by))
+    found = pileup.candidate_summary(segs, nodes)
+    seen(found)
+    read = [x for plan in plans for x in plan.splitlines() if any(k in x for k in ("LogicalRDD", "LocalRelation", "Relation [")) and any(k in x for k in ("cigar#", "walk#"))]
+    assert len(read) == 1
+    assert rows_of(found.select("v_pos", "v_type", "v_ref", "v_alt", "alt_allele_count", "coverage")) == [(2, "X", "G", "T", 3, 9), (3, "D", "T", "*", 3, 9), (3, "I", "T", "GG", 3, 9)]
