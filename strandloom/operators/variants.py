@@ -117,7 +117,8 @@ def fix_indel(rows: DataFrame, bases: DataFrame) -> DataFrame:
     """
     single = rows.where("NOT contains(alt, ',')").where("v_type <> 'D' OR pos > 1")
     before = bases.select("chrom", (F.col("pos") + 1).alias("pos"), F.upper("base").alias("left_base"))
-    joined = single.join(before, ["chrom", "pos"], "left")
+    # a row a base: their number can't be told from the table that they are split from, so they are never broadcast
+    joined = single.join(before.hint("merge"), ["chrom", "pos"], "left")
     starts = F.col("alt").startswith(F.col("ref")) & (F.col("alt") != F.col("ref"))
     is_i, is_d = F.col("v_type") == "I", F.col("v_type") == "D"
     left = F.coalesce("left_base", F.lit("N"))
