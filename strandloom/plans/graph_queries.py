@@ -72,7 +72,7 @@ def _text(t, rows, *lines):
 
 
 def _a14(t):
-    rows = t.nodes().where("node_id % 5 = 0").selectExpr("concat_ws('\t', node_id + 1, concat(node_id, '; ', node_id + 100000)) AS value")
+    rows = t.nodes().where("node_id % 5 = 0").orderBy("node_id").selectExpr("concat_ws('\t', node_id + 1, concat(node_id, '; ', node_id + 100000)) AS value")
     return graph_files.read_alt_ref_tsv(t.spark, _text(t, rows, "REF_NODE\tALT_NODE(S)"))
 
 
@@ -120,7 +120,7 @@ QUERIES = {
     "a4_read_gfa_edges": (lambda t: _gfa(t)[2], sql("SELECT node_id AS from_id, '+' AS from_orient, node_id + 2 AS to_id, '+' AS to_orient FROM nodes WHERE node_id % 50 < 46 AND node_id + 2 IN (SELECT node_id FROM nodes)")),
     "a5_read_node_json": (_a5, sql("SELECT node_id, start, CASE WHEN node_id % 11 = 0 THEN '+' ELSE coalesce(strand, '+') END AS strand, nodes.length, chrom FROM nodes LEFT JOIN coords USING (node_id)")),
     "a13_node_ids": (_a13, sql("SELECT node_id FROM nodes WHERE node_id % 3 = 0 OR node_id % 4 = 0")),
-    "a14_read_alt_ref_tsv": (_a14, sql("SELECT unnest([node_id, node_id + 100000]) AS alt_node, node_id + 1 AS ref_node FROM nodes WHERE node_id % 5 = 0")),
+    "a14_read_alt_ref_tsv": (_a14, sql("SELECT alt_node, arg_max(ref_node, node_id) AS ref_node FROM (SELECT node_id, unnest([node_id, node_id + 100000]) AS alt_node, node_id + 1 AS ref_node FROM nodes WHERE node_id % 5 = 0) GROUP BY 1")),
     "a15_read_neighbor_tsv": (_neighbours, sql("SELECT node_id, CASE WHEN node_id % 10 <> 1 THEN node_id - 1 END AS left_node, CASE WHEN node_id % 10 <> 0 THEN node_id + 1 END AS right_node FROM nodes")),
     "a16_read_bed": (_a16, sql('SELECT chrom, start - 1 AS start, start - 1 + length AS "end" FROM coords WHERE node_id % 4 = 0')),
     "a17_read_fasta": (_a17, sql("SELECT 'n' || node_id % 4 AS contig, (node_id - 1) // 4 * 60 + 1 + node_id % 20 AS pos, substr(sequence, CAST(node_id % 20 AS INT) + 1, 1) AS base FROM nodes")),

@@ -93,8 +93,11 @@ def read_alt_ref_tsv(spark: SparkSession, path: str) -> DataFrame:
     rows = spark.read.csv(path, sep="\t", header=True)
     names = {c.strip().upper(): c for c in rows.columns}
     ref, alt = names.get("REF_NODE", rows.columns[0]), names.get("ALT_NODE(S)", names.get("ALT_NODES", rows.columns[-1]))
-    rows = rows.select(F.col(f"`{ref}`").try_cast("long").alias("ref_node"), F.explode(F.regexp_extract_all(F.col(f"`{alt}`"), F.lit(r"(\d+)"), F.lit(1))).alias("alt"), F.monotonically_increasing_id().alias("row_no"))
-    return rows.groupBy(F.col("alt").cast("long").alias("alt_node")).agg(F.max_by("ref_node", "row_no").alias("ref_node"))
+    # files are not read in the order of their names: the place of a row is its file, the part of it that a task reads, and its number there
+    place = F.struct("_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("row_no"))
+    rows = rows.select(F.col(f"`{ref}`").try_cast("long").alias("ref_node"), F.col(f"`{alt}`").alias("alts"), place.alias("place"))
+    rows = rows.select("ref_node", "place", F.explode(F.regexp_extract_all("alts", F.lit(r"(\d+)"), F.lit(1))).alias("alt"))
+    return rows.groupBy(F.col("alt").cast("long").alias("alt_node")).agg(F.max_by("ref_node", "place").alias("ref_node"))
 
 
 def read_bed(spark: SparkSession, path: str) -> DataFrame:

@@ -309,3 +309,10 @@ def test_bases_of_an_indel_repair_are_never_broadcast(spark):
     fixed = variants.fix_indel(rows, bases)
     assert "Broadcast" not in fixed._jdf.queryExecution().sparkPlan().toString()
     assert rows_of(fixed) == [("c", 2, "D", "CG", "C", "left base"), ("c", 2, "I", "C", "CT", "prefixed"), ("d", 3, "D", "NA", "N", "left base")]
+
+
+def test_last_row_of_an_alt_id_is_that_of_the_last_file(spark, tmp_path):
+    (tmp_path / "part-00000.tsv").write_text("REF_NODE\tALT_NODES\n1\t7;8\n2\t8\n")
+    (tmp_path / "part-00001.tsv").write_text("REF_NODE\tALT_NODES\n3\t7\n" + "".join(f"{k}\t{k + 1}\n" for k in range(100, 150)))  # larger files are read first
+    found = dict(rows_of(graph_files.read_alt_ref_tsv(spark, str(tmp_path))))
+    assert (found[7], found[8], found[101], len(found)) == (3, 2, 100, 52)
