@@ -317,3 +317,32 @@ def test_candidates_take_one_pass_over_the_segments(spark, monkeypatch):
     read = [x for plan in plans for x in plan.splitlines() if any(k in x for k in ("LogicalRDD", "LocalRelation", "Relation [")) and any(k in x for k in ("cigar#", "walk#"))]
     assert len(read) == 1
     assert rows_of(found.select("v_pos", "v_type", "v_ref", "v_alt", "alt_allele_count", "coverage")) == [(2, "X", "G", "T", 3, 9), (3, "D", "T", "*", 3, 9), (3, "I", "T", "GG", 3, 9)]
+
+
+def cells(begin, width, seq, walk):
+    """A view's row, one cell after another."""
+    out = []
+    for p in range(begin, begin + width):
+        over = next((w for w in walk if w.op in "MXD" and w.node_pos <= p < w.node_pos + w.n), None)
+        out.append("." if over is None else "*" if over.op == "D" else seq[over.read_pos + p - over.node_pos :][:1])
+    return "".join(out)
+
+
+def test_view_rows_equal_cells_and_are_drawn_op_by_op(spark):
+    rng = random.Random(5)
+    nodes = spark.createDataFrame([(n, 40, "".join(rng.choices("ACGT", k=40))) for n in (1, 2)], NODE)
+    made = []
+    for _ in range(60):
+        ops = [(rng.randint(1, 6), rng.choice("MMMMX=DINS")) for _ in range(rng.randint(1, 5))]
+        read = "".join(rng.choices("ACGT", k=max(1, sum(n for n, op in ops if op in "MX=IS") - rng.choice((0, 0, 3)))))
+        made.append((rng.choice((1, 2)), rng.randint(0, 25), read, None, "".join(f"{n}{op}" for n, op in ops), 60, "+"))
+    valid = pileup.valid_segments(segments(spark, made), nodes)
+    variants = spark.createDataFrame([(n, p, kind, "A", "C") for n in (1, 2) for p, kind in ((3, "X"), (20, "I"), (33, "D"))], "node_id long, v_pos int, v_type string, v_ref string, v_alt string")
+    view = pileup.pileup_view(valid, variants, width=12, reads=7)
+    assert "sequence(begin" not in view._jdf.queryExecution().optimizedPlan().toString()
+    wanted = []
+    for v in variants.collect():
+        begin, rows = v.v_pos + (v.v_type == "I") - 6, sorted((s for s in valid.collect() if s.node_id == v.node_id), key=lambda s: s.seg_order)
+        texts = [t for t in (cells(begin, 12, s.seq, s.walk) for s in rows) if t.strip(".")]
+        wanted += [(v.node_id, v.v_pos, v.v_type, k, t) for k, t in enumerate(texts[:7], 1)]
+    assert rows_of(view.select("node_id", "v_pos", "v_type", "row_no", "text")) == sorted(wanted)
