@@ -385,4 +385,7 @@ def read_gam(spark: SparkSession, path: str | list[str], columns: Collection[str
 
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "length").where("length > 0")
     ranges = files.select("path", "length", F.explode(F.expr(f"sequence(0L, length - 1, {split}L)")).alias("lo"))
-    return ranges.repartition("path", "lo").mapInArrow(decode, schema)
+    # a number of partitions is given: adaptive execution would put all these small rows into one task
+    size, tasks = files.agg(F.sum("length"), F.sum(F.expr(f"(length - 1) div {split} + 1"))).first()
+    tasks = min(tasks or 1, max(4 * spark.sparkContext.defaultParallelism, (size or 0) // SPLIT))
+    return ranges.repartition(tasks).mapInArrow(decode, schema)

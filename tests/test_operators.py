@@ -316,3 +316,11 @@ def test_last_row_of_an_alt_id_is_that_of_the_last_file(spark, tmp_path):
     (tmp_path / "part-00001.tsv").write_text("REF_NODE\tALT_NODES\n3\t7\n" + "".join(f"{k}\t{k + 1}\n" for k in range(100, 150)))  # larger files are read first
     found = dict(rows_of(graph_files.read_alt_ref_tsv(spark, str(tmp_path))))
     assert (found[7], found[8], found[101], len(found)) == (3, 2, 100, 52)
+
+
+def test_ranges_of_alignment_files_go_to_many_tasks(spark, tmp_path):
+    rows = [{"name": f"r{k}", "sequence": "ACGT" * 20, "quality": b"", "mapping_quality": 9, "identity": 0.5, "refpos": [], "path": {"mapping": []}} for k in range(400)]
+    (tmp_path / "a.gam").write_bytes(b"".join(gam_files.encode_group(rows[at : at + 10]) for at in range(0, 400, 10)))
+    read = alignment_files.read_gam(spark, str(tmp_path), ("name",), split=4_000)
+    assert read.select("name", F.spark_partition_id().alias("p")).groupBy("p").count().count() > 3
+    assert sorted(r.name for r in read.collect()) == sorted(r["name"] for r in rows)
