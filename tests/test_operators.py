@@ -305,7 +305,7 @@ def test_running_sums(spark):
 
 def test_bases_of_an_indel_repair_are_never_broadcast(spark):
     rows = spark.createDataFrame([("c", 3, "D", "G", "*"), ("c", 2, "I", "C", "T"), ("d", 4, "D", "A", "*")], "chrom string, pos long, v_type string, ref string, alt string")
-    bases = spark.createDataFrame([("c", "ACGT")], "chrom string, sequence string").select("chrom", F.posexplode(F.split("sequence", "")).alias("p", "base")).select("chrom", (F.col("p") + 1).cast("long").alias("pos"), "base")
+    bases = spark.sql("SELECT * FROM VALUES ('c', 'ACGT') AS t(chrom, sequence)").select("chrom", F.posexplode(F.split("sequence", "")).alias("p", "base")).select("chrom", (F.col("p") + 1).cast("long").alias("pos"), "base")
     fixed = variants.fix_indel(rows, bases)
     assert "Broadcast" not in fixed._jdf.queryExecution().sparkPlan().toString()
     assert rows_of(fixed) == [("c", 2, "D", "CG", "C", "left base"), ("c", 2, "I", "C", "CT", "prefixed"), ("d", 3, "D", "NA", "N", "left base")]
