@@ -185,9 +185,9 @@ QUERIES = {
         sql("SELECT DISTINCT node_id, ord AS seg_order, v_pos, v_type, v_pos + CASE v_type WHEN 'I' THEN 1 ELSE 0 END - 50 AS window_begin FROM found", **_INDELS),
     ),
     "h17_pileup_view": (
-        lambda t: pileup.pileup_view(_ranked(t), t.candidates()).select(*pileup.VARIANT, "row_no", F.expr("substring(text, 51, 1)").alias("center")),
+        lambda t: pileup.pileup_view(_segments(t), t.candidates(rows=None)).select(*pileup.VARIANT, "row_no", F.expr("substring(text, 51, 1)").alias("center")),
         sql("""SELECT v.node_id, v_pos, v_type, v_ref, v_alt, row_number() OVER (PARTITION BY v.node_id, v_pos, v_ref, v_alt ORDER BY s.ord) AS row_no, coalesce(b.base, CASE WHEN kind = 3 AND noff + m = v_pos THEN '*' END, '.') AS center
-            FROM candidates AS v JOIN mappings AS s ON s.node_id = v.node_id AND mapq >= 10 LEFT JOIN (SELECT ord, node_id, p, base FROM bases) AS b ON b.ord = s.ord AND b.node_id = s.node_id AND b.p = v_pos QUALIFY row_no <= 50"""),
+            FROM candidates AS v JOIN mappings AS s ON s.node_id = v.node_id AND mapq >= 10 LEFT JOIN (SELECT ord, node_id, p, base FROM bases) AS b ON b.ord = s.ord AND b.node_id = s.node_id AND b.p = v_pos"""),
     ),
     "h34_masked_segment": (
         lambda t: align.masked_segment(align.explode_mappings(t.alignments())).select("name", "node_id", "read_offset", "masked"),

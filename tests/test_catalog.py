@@ -38,3 +38,15 @@ def test_query_equals_its_twin(spark, duck, name):
     assert sorted(names) == columns
     wanted = sorted((tuple(plain(dict(zip(names, r, strict=True))[c]) for c in columns) for r in result.fetchall()), key=str)
     assert got == wanted
+
+
+def test_view_of_deep_nodes_is_whole(spark, tmp_path):
+    con = duckdb.connect()
+    con.execute(f"COPY (SELECT * FROM '{DIR}/part.parquet' WHERE p_partkey < 6) TO '{tmp_path}/part.parquet' (FORMAT parquet)")
+    con.execute(f"COPY (SELECT l.* REPLACE (l_orderkey + k * 3000 AS l_orderkey) FROM '{DIR}/lineitem.parquet' AS l, range(21) AS r(k) WHERE l_partkey < 6) TO '{tmp_path}/lineitem.parquet' (FORMAT parquet)")
+    for table in ("part", "lineitem"):
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{tmp_path}/{table}.parquet'")
+    frame = catalog.queries()["h17_pileup_view"](spark, str(tmp_path))
+    got = sorted(tuple(plain(x) for x in r) for r in frame.collect())
+    wanted = sorted(tuple(plain(x) for x in r) for r in con.sql(catalog.oracle_sql()["h17_pileup_view"]).select(*frame.columns).fetchall())
+    assert got == wanted and max(r[5] for r in got) > 400  # more than the pileup ranks

@@ -346,3 +346,23 @@ def test_view_rows_equal_cells_and_are_drawn_op_by_op(spark):
         texts = [t for t in (cells(begin, 12, s.seq, s.walk) for s in rows) if t.strip(".")]
         wanted += [(v.node_id, v.v_pos, v.v_type, k, t) for k, t in enumerate(texts[:7], 1)]
     assert rows_of(view.select("node_id", "v_pos", "v_type", "row_no", "text")) == sorted(wanted)
+
+
+def test_view_shows_all_candidates_and_all_reads_unless_told(spark):
+    rng = random.Random(9)
+    nodes = spark.createDataFrame([(1, 3_000, "".join(rng.choices("ACGT", k=3_000))), (2, 40, "ACGT" * 10)], NODE)
+    border = pileup.VIEW_BLOCK
+    made = [(2, rng.randint(0, 20), "".join(rng.choices("ACGT", k=10)), None, "10M", 60, "+") for _ in range(130)]
+    for at in (border - 1, border, 2 * border, 700, 1_500):  # windows and reads on both sides of a block's end
+        made += [(1, max(0, at + rng.randint(-70, 60)), "".join(rng.choices("ACGT", k=12)), None, rng.choice(["12M", "5M3D7M", "4M2I6M"]), 60, "+") for _ in range(60)]
+    made.append((1, 100, "".join(rng.choices("ACGT", k=2_400)), None, "2400M", 60, "+"))
+    valid = pileup.valid_segments(segments(spark, made), nodes)
+    places = [(2, p) for p in range(30)] + [(1, b + p) for b in (0, border, 2 * border) for p in (-52, -51, -50, -1, 0, 1, 49, 50, 51) if b + p >= 0]
+    variants = spark.createDataFrame([(n, p, "XID"[k % 3], "A", "C") for k, (n, p) in enumerate(places)], "node_id long, v_pos int, v_type string, v_ref string, v_alt string")
+    wanted, reads = [], sorted(valid.collect(), key=lambda s: s.seg_order)
+    for v in variants.collect():
+        begin = v.v_pos + (v.v_type == "I") - 50
+        texts = [t for t in (cells(begin, 100, s.seq, s.walk) for s in reads if s.node_id == v.node_id) if t.strip(".")]
+        wanted += [(v.node_id, v.v_pos, v.v_type, k, t) for k, t in enumerate(texts, 1)]
+    got = rows_of(pileup.pileup_view(valid, variants).select("node_id", "v_pos", "v_type", "row_no", "text"))
+    assert got == sorted(wanted) and len({r[1] for r in got if r[0] == 2}) == 30 and max(r[3] for r in got) == 130
