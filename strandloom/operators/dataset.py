@@ -6,11 +6,13 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from strandloom.functions.variants import info_string, keep_decision, linear_position
+from strandloom.operators import tensor
 from strandloom.operators.ranks import running_sum
 from strandloom.session import materialize
 
@@ -102,8 +104,8 @@ def class_to_label(name: Column, classes: list[str] | None = None) -> Column:
     return F.nullif(F.array_position(F.array(*map(F.lit, names)), F.lower(name) if classes is None else name).cast("int") - 1, F.lit(-1))
 
 
-#: tensors that a scorer is given at once
-SCORED = 128
+#: tensors that a scorer is given at once, and where they are built: few, so that their values stay in a core's caches
+SCORED, SCORED_WHERE_BUILT = 128, 16
 
 
 def mean_scorer(weights: tuple[float, ...]) -> Callable[[np.ndarray], np.ndarray]:
@@ -123,6 +125,17 @@ def linear_scorer(values: np.ndarray) -> np.ndarray:
     return np.stack([-true, true], axis=1)
 
 
+def _scores(raw: np.ndarray, mean: list[float], std: list[float], scorer: Callable[[np.ndarray], np.ndarray], room: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(p_true, pred_class) of int8 tensors [n, size]; ``room`` takes their values, float32 [n or more, size]."""
+    raw = raw.reshape(len(raw), len(mean), -1)
+    values = np.subtract(raw, np.array(mean, np.float32)[:, None], out=None if room is None else room[: len(raw)].reshape(raw.shape))
+    np.divide(values, np.array(std, np.float32)[:, None], out=values)
+    logits = scorer(values.reshape(len(raw), -1)).astype(float)
+    odds = np.exp(logits - logits.max(1, keepdims=True))
+    p = (odds / odds.sum(1, keepdims=True))[:, 1]
+    return p, np.where(p > 0.5, "true", "false")
+
+
 def batch_score(rows: DataFrame, mean: list[float], std: list[float], scorer: Callable[[np.ndarray], np.ndarray] = linear_scorer, column: str = "data") -> DataFrame:
     """Softmax of the scorer's logits per tensor, normalised per channel: p_true, pred_class.
 
@@ -132,17 +145,30 @@ def batch_score(rows: DataFrame, mean: list[float], std: list[float], scorer: Ca
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in (whole.iloc[at : at + SCORED] for whole in batches for at in range(0, len(whole), SCORED)):
-            raw = np.stack([np.frombuffer(d, np.int8) for d in batch[column]]).astype(np.float32).reshape(len(batch), len(mean), -1)
-            values = (raw - np.array(mean, np.float32)[:, None]) / np.array(std, np.float32)[:, None]
-            logits = scorer(values.reshape(len(batch), -1)).astype(float)
-            odds = np.exp(logits - logits.max(1, keepdims=True))
-            p = (odds / odds.sum(1, keepdims=True))[:, 1]
-            yield batch.drop(columns=column).assign(p_true=p, pred_class=np.where(p > 0.5, "true", "false"))
+            p, names = _scores(np.stack([np.frombuffer(d, np.int8) for d in batch[column]]), mean, std, scorer)
+            yield batch.drop(columns=column).assign(p_true=p, pred_class=names)
 
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in keys) + ", p_true double, pred_class string"
     return rows.mapInPandas(score, schema)
 
 
+def score_where_built(candidates: DataFrame, segments: DataFrame, mean: list[float], std: list[float], scorer: Callable[[np.ndarray], np.ndarray] = linear_scorer, **shape: int) -> DataFrame:
+    """``batch_score`` of the candidates' tensors, in the tasks that build them: scores leave a task, tensors don't."""
+
+    kept: list[np.ndarray] = []  # a task's room for values, used again and again
+
+    def score(made: pa.Table) -> pa.Table:
+        raw, p, names = tensor.as_array(made), [], []
+        if len(raw) and not kept:
+            kept.append(np.empty((SCORED_WHERE_BUILT, raw.shape[1]), np.float32))
+        for at in range(0, len(raw), SCORED_WHERE_BUILT):
+            part = _scores(raw[at : at + SCORED_WHERE_BUILT], mean, std, scorer, kept[0])
+            p, names = [*p, *part[0]], [*names, *part[1]]
+        return made.drop_columns(["n_rows", "data"]).append_column("p_true", pa.array(p, pa.float64())).append_column("pred_class", pa.array(names, pa.string()))
+
+    return tensor.tensors(candidates, segments, **shape, then=score, columns="node_id long, v_pos int, v_type string, v_ref string, v_alt string, p_true double, pred_class string")
+
+
 def score_to_meta(predictions: DataFrame, summary: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(calls, misses): predictions with their summary row by shard and index; the last of a repeated key counts."""
     keys = ["shard_index", "index_within_shard"]

@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from strandloom.functions import cigar
-from strandloom.operators import pileup, tensor
+from strandloom.operators import dataset, pileup, tensor
 
 SEGMENT = "node_id long, seg_order long, offset long, seq string, bq array<int>, cigar string, mapq int, strand string"
 NODE = "node_id long, length int, sequence string"
@@ -366,3 +366,30 @@ def test_view_shows_all_candidates_and_all_reads_unless_told(spark):
         wanted += [(v.node_id, v.v_pos, v.v_type, k, t) for k, t in enumerate(texts, 1)]
     got = rows_of(pileup.pileup_view(valid, variants).select("node_id", "v_pos", "v_type", "row_no", "text"))
     assert got == sorted(wanted) and len({r[1] for r in got if r[0] == 2}) == 30 and max(r[3] for r in got) == 130
+
+
+def test_tensors_of_many_nodes_are_scored_where_they_are_built(spark, monkeypatch):
+    rng = random.Random(21)
+    nodes, rows = random_reads(rng, 90, 12, "DDII")
+    ranked = pileup.materialize(pileup.rank_segments(pileup.valid_segments(segments(spark, rows), spark.createDataFrame(nodes, NODE))), "ranked")
+    found = pileup.materialize(pileup.candidate_counts(pileup.detect_variants(ranked)).select(*pileup.VARIANT), "found")
+    mean, std = [10.0, 8.0, 0.0, 0.5, 0.0], [20.0, 15.0, 10.0, 1.0, 1.0]
+    wanted = rows_of(dataset.batch_score(tensor.tensors(found, ranked, 7).select(*pileup.VARIANT, "data"), mean, std))
+    scored = dataset.score_where_built(found, ranked, mean, std, rows=7)
+    assert rows_of(scored) == wanted and len(wanted) > 500 and len({r[0] for r in wanted}) > tensor.NODES
+    plan = scored._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInPandas" not in plan and "data#" not in plan  # no tensor is a column of a table
+    # 64 candidates at a time, or fewer where their cells are many
+    asked, reads = found.orderBy(*pileup.VARIANT).toArrow(), ranked.withColumnRenamed("node_id", "of_node").orderBy("of_node", "rank").toArrow()
+    whole = list(tensor.build_tensors(asked, reads, 7))
+    monkeypatch.setattr(tensor, "CELLS", 400)
+    parts = list(tensor.build_tensors(asked, reads, 7))
+    assert sorted({p.num_rows for p in parts})[0] < max(p.num_rows for p in parts) < tensor.TOGETHER == whole[0].num_rows
+    assert [r for p in parts for r in p.to_pylist()] == [r for p in whole for r in p.to_pylist()]
+
+
+def test_no_tensor_of_the_scoring_query_leaves_its_task(spark):
+    from strandloom import catalog
+
+    plan = catalog.queries()["j7_batch_score"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "data#" not in plan and "FlatMapCoGroupsInArrow" in plan
